@@ -2,8 +2,11 @@
 
 A line's set is its distinct character shingles.  Signatures are sixteen MinHash
 values, the minimum of ``hash XOR constant`` for sixteen constants, aggregated in
-generated code over exploded shingles; banding reads them along the parallel classes
-of the affine plane of order four, so that two bands share one value at most.  Lines
+generated code over exploded slices of the encoded line.  A line of 128 bytes or more
+takes the slices of a fixed quarter of the hash values only, which leaves the share of
+common ones unbiased; lines near that length are signed both ways, so that two lines
+whose lengths allow a link meet in one scheme or the other. Banding reads the values along parallel
+classes of the affine plane of order four, so that two bands share one value at most.  Lines
 that share a band are verified by exact Jaccard, links become components by
 distributed union-find, and one line of each component is kept.
 """
@@ -20,6 +23,7 @@ SHINGLE = 8
 PERCENT = 80
 CLASSES = 2
 _MINS = 16
+_LONG = 128
 
 
 def _bytes(line: Column) -> Column:
@@ -31,12 +35,20 @@ def _starts(n_chars: Column, k: int) -> Column:
     return F.sequence(F.lit(0), F.greatest(n_chars - k, F.lit(0)))
 
 
-def _shingle_set(data: Column, k: int) -> Column:
-    """Distinct 64-bit hashes of the k-character slices; a shorter line is one slice."""
-    n = F.length(data) / 4
-    return F.array_distinct(
-        F.transform(_starts(n.cast("int"), k), lambda i: F.xxhash64(F.substring(data, i * 4 + 1, F.lit(4 * k))))
+def _shingle_set(line: Column, k: int) -> Column:
+    """Distinct 64-bit hashes of the k-character slices; a shorter line is one slice.
+
+    The encoded line is a lambda's argument, so it is computed once for all slices.
+    """
+    one = F.transform(
+        F.array(_bytes(line)),
+        lambda d: F.array_distinct(
+            F.transform(
+                _starts((F.length(d) / 4).cast("int"), k), lambda i: F.xxhash64(F.substring(d, i * 4 + 1, F.lit(4 * k)))
+            )
+        ),
     )
+    return F.element_at(one, 1)
 
 
 def bands(classes: int = CLASSES) -> list[list[int]]:
@@ -74,27 +86,34 @@ def line_components(
     holding the line itself.
     """
     lines = lines_of(docs, id_col, text_col).select("doc", F.xxhash64("line").alias("id"), "line")
-    # The encoded line is a generator's output: an expression would be computed again for each shingle.
-    encoded = F.transform(
-        F.filter(F.split(text_col, "\n", -1), lambda x: F.length(F.trim(x)) > 0),
-        lambda x: F.struct(F.xxhash64(x).alias("id"), F.char_length(x).alias("n"), _bytes(x).alias("data")),
+    # The encoded line is a generator's output: an expression would be computed again for each slice.
+    one = lambda x, scheme: F.struct(
+        F.xxhash64(x).alias("id"), F.lit(scheme).alias("scheme"), F.encode(x, "utf-8").alias("data")
+    )
+    encoded = F.flatten(
+        F.transform(
+            F.filter(F.split(text_col, "\n", -1), lambda x: F.length(F.trim(x)) > 0),
+            lambda x: F.when(F.octet_length(x) < _LONG * percent / 100, F.array(one(x, 0)))
+            .when(F.octet_length(x) >= _LONG, F.array(one(x, 1)))
+            .otherwise(F.array(one(x, 0), one(x, 1))),
+        )
     )
     rows = docs.select(F.col(id_col).alias("doc"), F.inline(encoded)).select(
-        "doc", "id", "data", F.explode(_starts(F.col("n"), shingle)).alias("i")
+        "doc", "id", "scheme", "data", F.explode(_starts(F.length("data"), shingle)).alias("i")
     )
-    h = F.xxhash64(F.substring(F.col("data"), F.col("i") * 4 + 1, F.lit(4 * shingle)))
+    h = F.xxhash64(F.substring(F.col("data"), F.col("i") + 1, F.lit(shingle)))
     salt = [F.xxhash64(F.lit(f"line {j}")) for j in range(_MINS)]
-    sigs = rows.select("doc", "id", h.alias("h")).groupBy("id").agg(
+    sigs = rows.select("doc", "id", "scheme", h.alias("h")).where("scheme = 0 OR h & 3 = 0").groupBy("id", "scheme").agg(
         F.min("doc").alias("first_doc"),
         *[F.min(F.col("h").bitwiseXOR(s)).alias(f"m{j}") for j, s in enumerate(salt)],
     )
     sigs = store.keep(sigs, "signatures")
-    band = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{j}") for j in js]) for b, js in enumerate(bands(classes))])
+    band = F.array(*[F.xxhash64(F.lit(b), "scheme", *[F.col(f"m{j}") for j in js]) for b, js in enumerate(bands(classes))])
     members = sigs.select(F.explode(band).alias("key"), "id")
     size = members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     shared = members.join(size, "key", "left_semi")
     shared = store.keep(shared, "shared")
-    wanted = shared.select("id").distinct().join(sigs.select("id", "first_doc"), "id")
+    wanted = shared.select("id").distinct().join(sigs.select("id", "first_doc").distinct(), "id")
     texts = store.keep(
         lines.join(
             wanted.select("id", F.col("first_doc").alias("doc")).hint("shuffle_hash"), ["id", "doc"], "left_semi"
@@ -108,14 +127,13 @@ def line_components(
         sets = (
             pairs.join(a, "a")
             .join(b, "b")
-            .select("a", "b", _bytes(F.col("ta")).alias("xa"), _bytes(F.col("tb")).alias("xb"))
-            .select("a", "b", _shingle_set(F.col("xa"), shingle).alias("sa"), _shingle_set(F.col("xb"), shingle).alias("sb"))
+            .select("a", "b", _shingle_set(F.col("ta"), shingle).alias("sa"), _shingle_set(F.col("tb"), shingle).alias("sb"))
             .select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("inter"))
         )
         return sets.where(F.col("inter") * 100 >= (F.col("total") - F.col("inter")) * percent)
 
     labels, _ = link(shared, verify, store)
-    out = store.keep(labels.join(sigs.select("id", "first_doc"), "id"), "components")
+    out = store.keep(labels.join(sigs.select("id", "first_doc").distinct(), "id"), "components")
     store.drop(sigs, shared, texts, labels)
     return out
 
@@ -165,10 +183,11 @@ def dedup_lines(
     gone = store.keep(gone, "gone").select(F.col("doc").alias("_doc"), F.col("rid").alias("_rid"), F.col("gone").alias("_gone"))
     full = lambda xs: F.size(F.filter(xs, lambda x: F.length(F.trim(x)) > 0)).cast("long")
     added = ("n_lines", "n_kept")
-    whole = docs.select(F.struct(*docs.columns).alias("_row"), key.alias("_id"), F.col(text_col).alias("_text"))
-    joined = whole.join(gone, (F.col("_id") == F.col("_doc")) & (F.xxhash64("_id", "_text") == F.col("_rid")), "left")
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), key.alias("_doc"), F.xxhash64(key, F.col(text_col)).alias("_rid"))
+    joined = whole.join(gone.hint("shuffle_hash"), ["_doc", "_rid"], "left")
     cut = (
-        joined.withColumn("_parts", F.coalesce(F.split("_text", "\n", -1), F.array().cast("array<string>")))
+        joined.withColumn("_text", F.col(f"_row.`{text_col}`"))
+        .withColumn("_parts", F.coalesce(F.split("_text", "\n", -1), F.array().cast("array<string>")))
         .withColumn("_kept", F.when(F.col("_gone").isNull(), F.col("_parts")).otherwise(
             F.filter("_parts", lambda x, i: ~F.array_contains("_gone", i))))
         .withColumn("n_lines", full(F.col("_parts")))

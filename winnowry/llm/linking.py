@@ -23,7 +23,7 @@ def connected_components(edges: DataFrame, store: Scratch) -> DataFrame:
     """Components of the links (a, b): rows (id, comp) of every id in a link, comp the smallest id.
 
     Distributed union-find by alternating large-star and small-star steps until the
-    links no longer change.  Rows with nulls and loops are ignored; no rows give no rows.
+    links are stars around the smallest ids.  Rows with nulls and loops are ignored; no rows give no rows.
     """
     cur = store.keep(
         edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
@@ -31,7 +31,6 @@ def connected_components(edges: DataFrame, store: Scratch) -> DataFrame:
         .distinct(),
         "links",
     )
-    mark = None
     while True:
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -48,15 +47,26 @@ def connected_components(edges: DataFrame, store: Scratch) -> DataFrame:
         )
         new = store.keep(small, "links")
         store.drop(cur, large)
-        now = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         cur = new
-        if now == mark:
+        # done when every id points to one root and no root points on
+        n, ids = cur.agg(F.count("*"), F.count_distinct("a")).first()
+        if n == ids and is_empty(cur.join(cur.select(F.col("a").alias("b")), "b", "left_semi")):
             break
-        mark = now
     roots = cur.select(F.col("b").alias("id")).distinct().select("id", F.col("id").alias("comp"))
     return cur.select(F.col("a").alias("id"), F.col("b").alias("comp")).unionByName(roots)
 
 
+def _joined(labels: DataFrame, found: DataFrame, store: Scratch) -> DataFrame:
+    """Labels after more links: components of the links between components, then of their ids."""
+    known = labels.unionByName(
+        found.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(labels, "id", "left_anti").withColumn("comp", F.col("id"))
+    )
+    of = lambda c: known.select(F.col("id").alias(c), F.col("comp").alias(f"c{c}"))
+    between = found.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    moved = connected_components(between, store).select(F.col("id").alias("comp"), F.col("comp").alias("_to"))
+    return known.join(moved, "comp", "left").select("id", F.coalesce("_to", "comp").alias("comp"))
+
+
 def link(
     members: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
@@ -95,15 +105,17 @@ def link(
         found = store.keep(verify(pairs).select("a", "b"), "found")
         done = pivots.select("key", F.col("p.id").alias("id"))
         rest = live.join(done, ["key", "id"], "left_anti").drop("comp")
-        all_links = found if links is None else links.unionByName(found)
-        old = labels
-        labels = store.keep(connected_components(all_links, store), "labels")
-        store.drop(old)
+        links = found if links is None else links.unionByName(found)
+        if labels is None:
+            labels = store.keep(connected_components(found, store), "labels")
+        elif not is_empty(found):
+            labels, old = store.keep(_joined(labels, found, store), "labels"), labels
+            store.drop(old)
         rest = rest.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         open_ = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
         rest = store.keep(rest.join(open_.select("key"), "key", "left_semi"), "members")
         store.drop(pivots, first, live)
-        first, live, links = None, rest, all_links
+        first, live = None, rest
         if is_empty(live):
             return labels, links
         fan *= 4
