@@ -86,8 +86,9 @@ def mix_sources(
     most: int = 2,
     seed: str = "mix",
     parts: int | None = None,
+    slim: bool = False,
 ) -> DataFrame:
-    """Rows of ``docs`` packed as struct ``row`` with size, source_size, target and copies.
+    """Rows of ``docs`` packed as struct ``row`` (only the id if ``slim``) with size, source_size, target and copies.
 
     A document's size is its number of words.  Within a source documents go by size, largest
     first, then id: neighbours have like sizes, so the words taken come near the target.
@@ -101,7 +102,7 @@ def mix_sources(
     store = Scratch(spark, "mix")
     parts = parts or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     base = docs.select(
-        F.struct(*docs.columns).alias("row"),
+        F.struct(*([id_col] if slim else docs.columns)).alias("row"),
         F.coalesce(F.col(source_col), F.lit("")).alias("src"),
         F.col(source_col).isNull().alias("none"),
         word_count(F.col(text_col)).alias("size"),

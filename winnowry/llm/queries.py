@@ -7,18 +7,93 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe, chat, fingerprint, html_crf, mixing, quality, toxicity
 from .line_dedup import dedup_lines
+from .near_dedup import near_groups
+from .scratch import Scratch
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+
+
+def vocabulary() -> str:
+    """The tokenizer file, found where the code runs."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages", "page_id", "url", "html")
+    return html_crf.extract(pages).select("page_id", "url", "text", "n_chars")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without repeated lines: doc_id, n_lines, n_kept, text."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_kept", F.coalesce("text", F.lit("")).alias("text"))
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    groups = near_groups(docs, Scratch(spark, "near"), k=3, percent=85)
+    return groups.select(
+        F.col("doc").alias("doc_id"),
+        F.col("n").alias("n_shingles"),
+        F.col("component").alias("component_id"),
+        (F.col("doc") == F.col("component")).alias("kept"),
+    )
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    return bpe.encode(docs, vocabulary, ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.text_media(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    scored = toxicity.score(docs, model)
+    return scored.select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
+    )
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    return quality.score(docs, *quality.fit(docs, _table(spark, sf_dir, "labels", "doc_id", "quality")))
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(_table(spark, sf_dir, "documents", "doc_id", "text", "source"), slim=True)
+    return mixed.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_conversations(rows.unionByName(extra)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_line_dedup": op2_line_dedup}
+    return {
+        f.__name__: f
+        for f in (
+            op1_html_extraction, op2_line_dedup, op3_minhash_near_dedup, op4_bpe,
+            op6_document_fingerprints, op7_toxicity, op8_quality_classifier, op9_source_mixing, op10_chat_formatting,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_source_mixing": mixing.ORACLE}

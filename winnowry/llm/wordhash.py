@@ -21,6 +21,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: ASCII punctuation separates words too.
+PLAIN = _SPACE.copy()
+PLAIN[[c for c in range(128) if not chr(c).isalnum()]] = True
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -70,14 +73,17 @@ def slices(at: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]
         i = min(j, n)
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all words, where each text's words begin (one more entry), and the words' byte ranges."""
+def words(data: np.ndarray, at: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words, where each text's words begin (one more entry), and the words' byte ranges.
+
+    ``space`` marks the bytes that are no part of a word.
+    """
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), np.zeros(len(at), np.int64), z, z
     low = _LOWER[data]
-    word = ~_SPACE[low]
+    word = ~space[low]
     edge = np.zeros(n + 1, bool)
     edge[at] = True
     first = word.copy()
