@@ -81,14 +81,14 @@ def link(
     sides that must hold for every true link.  ``verify`` gets distinct pairs (a, b),
     a < b, and returns those that are links.  Returns (labels (id, comp), links (a, b)).
     """
-    size = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    size = members.groupBy("key").agg(F.count("*").alias("_size")).where("_size > 1")
     live = store.keep(members.join(size, "key"), "members")
-    score = live.groupBy("id").agg(F.sum("n").alias("score"))
+    score = live.groupBy("id").agg(F.sum("_size").alias("score"))
     first = live
     live = live.join(score, "id").withColumn("comp", F.col("id"))
     links, labels = None, None
     while True:
-        pick = F.when(F.col("n") <= fan, F.col("id")).otherwise(F.pmod(F.xxhash64("id", "key"), F.lit(fan)))
+        pick = F.when(F.col("_size") <= fan, F.col("id")).otherwise(F.pmod(F.xxhash64("id", "key"), F.lit(fan)))
         pivots = live.groupBy("key", pick.alias("pick")).agg(
             F.max_by(F.struct("id", "comp", *extra), F.struct("score", -F.col("id"))).alias("p")
         )

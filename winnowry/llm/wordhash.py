@@ -117,10 +117,10 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarray]:
         if b - a >= k:
             out.append(np.unique(g[a : b - k + 1]))
         elif b > a:
-            x = np.uint64(b - a)
+            x = np.array([b - a], np.uint64)
             for v in h[a:b]:
-                x = mix(np.array([x * np.uint64(0x9FB21C651E98DF25) + v]))[0]
-            out.append(np.array([x], np.uint64))
+                x = mix(x * np.uint64(0x9FB21C651E98DF25) + v)
+            out.append(x)
         else:
             out.append(np.zeros(0, np.uint64))
     return out
