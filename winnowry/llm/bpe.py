@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 _PIECE = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 _KEPT = 200_000
@@ -182,11 +183,8 @@ def encode(
         added |= {"ids": "array<int>", "decoded": "string"}
     keep = [c for c in docs.columns if c not in added]
     src = docs.select(*keep, F.col(text_col).alias("_text"))
-    from pyspark.sql.types import StructType
-
-    schema = StructType([src.schema[c] for c in keep])
-    for n, t in added.items():
-        schema = schema.add(n, t)
+    types = {"long": LongType(), "string": StringType(), "array<int>": ArrayType(IntegerType())}
+    schema = StructType([src.schema[c] for c in keep] + [StructField(n, types[t]) for n, t in added.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where = path() if callable(path) else path
