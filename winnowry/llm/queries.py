@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, html_crf, mixing, quality, toxicity
+from . import bpe, chat, fingerprint, html_crf, media, mixing, quality, toxicity
 from .line_dedup import dedup_lines
 from .near_dedup import near_groups
 from .scratch import Scratch
@@ -89,7 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            op1_html_extraction, op2_line_dedup, op3_minhash_near_dedup, op4_bpe,
+            op1_html_extraction, op2_line_dedup, op3_minhash_near_dedup, op4_bpe, op5_media_columns,
             op6_document_fingerprints, op7_toxicity, op8_quality_classifier, op9_source_mixing, op10_chat_formatting,
         )
     }
