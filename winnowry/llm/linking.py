@@ -5,8 +5,10 @@ function, and returns the connected components of the verified links.  It never
 emits all pairs of a bucket.  In each round every bucket names a few pivots; each
 pivot is compared with those members that are still in another component; then the
 pivot leaves the bucket.  Buckets whose members are already connected are finished.
-The number of pivots grows by rounds, so a bucket of near copies is settled in one or
-two rounds, and a bucket of members that are not alike still gets every comparison.
+The first round has one pivot a bucket, the member that shares most buckets: among near
+copies that is the text they were made from.  The number of pivots then grows by rounds, so
+a bucket of near copies is soon connected, and a bucket of members that are not alike still
+gets every comparison.
 """
 
 from __future__ import annotations
@@ -73,7 +75,7 @@ def link(
     store: Scratch,
     extra: tuple[str, ...] = (),
     likely: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None,
-    fan: int = 8,
+    fan: int = 1,
 ) -> tuple[DataFrame, DataFrame]:
     """Components and links of (key, id, *extra) rows; see the module's text.
 

@@ -26,7 +26,7 @@ BANDS = 20
 ROWS = 8
 MANTISSA = 10
 SHORT = 6
-_PACKED = 128
+_PACKED = 256
 _rng = np.random.default_rng(7)
 _DETOUR = np.array([_rng.permutation(REGISTERS) for _ in range(64)])
 
@@ -65,7 +65,7 @@ def band_keys(reg: np.ndarray) -> np.ndarray:
 
 
 def packed(reg: np.ndarray) -> np.ndarray:
-    """The last 128 registers' low four bits, sixteen to a signed 64-bit value."""
+    """The registers' low four bits, sixteen to a signed 64-bit value."""
     four = (reg[:, REGISTERS - _PACKED :] & np.uint16(15)).astype(np.uint64).reshape(len(reg), -1, 16)
     return (four << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64).view(np.int64)
 
@@ -121,8 +121,8 @@ def _likely(percent: int):
         d = d.bitwiseOR(F.shiftrightunsigned(d, 2))
         return F.bit_count(d.bitwiseAND(F.lit(nibbles)))
 
-    # equal by chance: 1/16; the margin is over four standard deviations of the estimate
-    least = (percent / 100 - 0.15) * 15 / 16 + 1 / 16
+    # equal by chance: 1/16; the margin is about four standard deviations of the estimate
+    least = (percent / 100 - 0.09) * 15 / 16 + 1 / 16
 
     def cond(left, right) -> Column:
         n, m = left("n"), right("n")
