@@ -1,6 +1,6 @@
 """All queries that apply the operators to the tables, with their SQL."""
 
-from . import scalar
+from . import choice, scalar
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "scalar"]
+__all__ = ["ORACLES", "QUERIES", "choice", "scalar"]
