@@ -1,6 +1,6 @@
 """All queries that apply the operators to the tables, with their SQL."""
 
-from . import choice, scalar
+from . import choice, measure, scalar
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "choice", "scalar"]
+__all__ = ["ORACLES", "QUERIES", "choice", "measure", "scalar"]
