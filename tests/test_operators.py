@@ -154,7 +154,7 @@ def test_session(spark):
     x = np.repeat(base, 3, axis=0) + r.normal(size=(18, 8)) * 0.05
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     items = spark.createDataFrame([(i, v.tolist(), float(i % 5)) for i, v in enumerate(x)], "item long, vector array<double>, score double")
-    c = Curation(spark, items, Config(target=6, segments=3, family_cap=1, percentile=0.9))
+    c = Curation(spark, items, Config(target=6, segments=3, family_cap=1, percentile=0.5))
     ranked = c.rank().cache()
     assert ranked.count() == 18 and ranked.select("family").distinct().count() == 6
     assert c.select(ranked).count() == 6
