@@ -20,10 +20,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 _PIECE = re.compile(r"[^ \t\n\r\x0b\x0c]+")
-_KEPT = 200_000
+_KEPT = 400_000
+# Printable ASCII and Latin letters: composed already, and lower case has the same letters everywhere.
+_LATIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 _LONG = 64
 
 
+def _byte_char(b: int) -> str:
+    """The printable character that stands for a byte: itself where it has one, else the next of those from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return chr(b) if b in own else chr(256 + sum(x not in own for x in range(b)))
+
+
 class TrieBpe:
     """A BPE vocabulary with an end-of-word mark, read from a tokenizer file."""
 
@@ -41,13 +50,28 @@ class TrieBpe:
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"]):
             self.merges.setdefault((self.ids[a], self.ids[b]), (rank, self.ids[a + b]))
-        self.longest = max(len(t.removesuffix(self.end)) for t in self.ids)
+        # tokens read backwards: letters lead on, False and True hold the token inside and at the end of a word
+        self._back: dict = {}
+        for t, i in self.ids.items():
+            body = t.removesuffix(self.end) if self.end else t
+            node = self._back
+            for c in reversed(body):
+                node = node.setdefault(c, {})
+            node[len(body) < len(t)] = i
+            if not self.end:
+                node[True] = i
         # only the parts of the library that cut a text into words are used, not its encoder
         tok = Tokenizer.from_file(path)
         self._normal, self._split = tok.normalizer, tok.pre_tokenizer
         self._special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        split = '"\'s|\'t|\'re|\'ve|\'m|\'ll|\'d|[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+"'
+        steps = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        # the short way below holds for this cut and this normalisation only
+        self._short = steps == ["NFC", "Replace", "Lowercase"] and split in json.dumps(spec.get("pre_tokenizer"))
+        self._bytes = str.maketrans({chr(c): "".join(_byte_char(b) for b in chr(c).encode()) for c in range(0xC0, 0x100)})
         self._follows: dict[tuple[int, int], bool] = {}
         self._symbols: dict[int, list[int]] = {}
+        self._whole: dict[int, bool] = {}
 
     def merged(self, symbols: list[int]) -> list[int]:
         """Plain byte-pair merging: the lowest rank first, the leftmost of equals."""
@@ -71,6 +95,13 @@ class TrieBpe:
             self._symbols[token] = out
         return out
 
+    def whole(self, token: int) -> bool:
+        """Whether merging a token's symbols gives back the token."""
+        got = self._whole.get(token)
+        if got is None:
+            got = self._whole[token] = self.merged(self.symbols(token)) == [token]
+        return got
+
     def follows(self, a: int, b: int) -> bool:
         """Whether merging the joined symbols of two tokens gives back these tokens."""
         got = self._follows.get((a, b))
@@ -83,7 +114,7 @@ class TrieBpe:
     def encode_words(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
         """Encodings of words in the byte alphabet of the vocabulary, by a walk of their trie."""
         out: dict[str, tuple[int, ...]] = {}
-        ids, follows, longest, end = self.ids, self.follows, self.longest, self.end
+        ids, follows, whole, back, end, known = self.ids, self.follows, self.whole, self._back, self.end, self._follows
         before, last = "", [-1]  # last[i]: the token that ends the encoding of the first i characters
         size = [0]
         for word in sorted(set(words)):
@@ -96,10 +127,25 @@ class TrieBpe:
                 shared += 1
             del last[shared + 1 :], size[shared + 1 :]
             for i in range(shared + 1, len(word) + 1):
-                final = end if i == len(word) else ""
-                for j in range(max(0, i - longest), i):
-                    t = ids.get(word[j:i] + final)
-                    if t is not None and (j == 0 and self.merged(self.symbols(t)) == [t] if j == 0 else last[j] >= 0 and follows(last[j], t)):
+                node, j, final = back, i, i == len(word)
+                while j:
+                    j -= 1
+                    node = node.get(word[j])
+                    if node is None:
+                        last.append(-1)
+                        size.append(0)
+                        break
+                    t = node.get(final)
+                    if t is None:
+                        continue
+                    if j:
+                        pair = (last[j], t)
+                        ok = known.get(pair)
+                        if ok is None:
+                            ok = pair[0] >= 0 and follows(*pair)
+                    else:
+                        ok = whole(t)
+                    if ok:
                         last.append(t)
                         size.append(i - j)
                         break
@@ -119,6 +165,9 @@ class TrieBpe:
 
     def pieces(self, piece: str) -> list[str | int]:
         """The words of a text without blanks; special tokens as ids."""
+        if self._short and _LATIN.fullmatch(piece) and "<|" not in piece:
+            words = _WORD.findall(piece.lower())
+            return words if piece.isascii() else [w.translate(self._bytes) for w in words]
         out: list[str | int] = []
         for part in self._special.split(piece) if self._special and "<|" in piece else [piece]:
             if part in self.special:
