@@ -59,13 +59,19 @@ class Prefix:
             self.sums.append(_fold(s))
             self.back.append(_powers(pow(base, -1, int(_P)), n + 1))
 
-    def spans(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """62-bit hashes of the spans [i, j)."""
-        a, b = (_fold(_fold(s[j] + _P - s[i]) * back[i]) for s, back in zip(self.sums, self.back, strict=True))
+    def windows(self, k: int) -> np.ndarray:
+        """62-bit hashes of all spans of k characters."""
+        a, b = (_fold(_fold(s[k:] + _P - s[:-k]) * back[: len(s) - k]) for s, back in zip(self.sums, self.back, strict=True))
         return (a << _U31) | b
 
+    def parts(self, i: int, j: int) -> list[int]:
+        p = int(_P)
+        return [(int(s[j]) - int(s[i])) * int(back[i]) % p for s, back in zip(self.sums, self.back, strict=True)]
+
     def span(self, i: int, j: int) -> int:
-        return int(self.spans(np.array([i]), np.array([j]))[0])
+        """62-bit hash of the span [i, j)."""
+        a, b = self.parts(i, j)
+        return a << 31 | b
 
     def common(self, i: int, other: Prefix, j: int) -> int:
         """Length of the longest common extension of place i here and place j there."""
@@ -83,19 +89,50 @@ def points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _print(p: Prefix) -> str:
+_EMPTY = np.uint64(2**64 - 1)
+
+
+def _registers(h: np.ndarray) -> np.ndarray:
+    """The smallest mixed span hash of each bucket."""
+    reg = np.full(BUCKETS, _EMPTY, np.uint64)
+    np.minimum.at(reg, (h >> np.uint64(58)).astype(np.int64), h)
+    return reg
+
+
+def _hashes(p: Prefix) -> np.ndarray:
+    if p.n >= SPAN:
+        return mix(p.windows(SPAN))
+    return mix(np.array([p.span(0, p.n)], np.uint64)) if p.n else np.zeros(0, np.uint64)
+
+
+def _written(whole: int, reg: np.ndarray) -> str:
     """Whole-text hash and bucket minima as lowercase hex; a bucket without spans is ffff."""
-    reg = np.full(BUCKETS, 2**64 - 1, np.uint64)
-    if p.n:
-        i = np.arange(max(1, p.n - SPAN + 1))
-        h = mix(p.spans(i, np.minimum(i + SPAN, p.n)))
-        np.minimum.at(reg, (h >> np.uint64(58)).astype(np.int64), h)
-    low = np.where(reg == np.uint64(2**64 - 1), np.uint64(0xFFFF), (mix(reg) >> np.uint64(16)) % np.uint64(0xFFFF))
-    return f"{p.span(0, p.n) if p.n else 0:016x}" + low.astype(">u2").tobytes().hex()
+    low = np.where(reg == _EMPTY, np.uint64(0xFFFF), (mix(reg) >> np.uint64(16)) % np.uint64(0xFFFF))
+    return f"{whole:016x}" + low.astype(">u2").tobytes().hex()
+
+
+def _print(p: Prefix) -> str:
+    return _written(p.span(0, p.n) if p.n else 0, _registers(_hashes(p)))
 
 
-def fingerprint(text: str) -> str:
-    return _print(Prefix(points(text)))
+def _both(p: Prefix, keep: int, tail: np.ndarray) -> tuple[str, str, int]:
+    """Fingerprints of a text and of its first ``keep`` characters with another tail, and their common prefix.
+
+    Spans inside the kept part are hashed once; the edited text's own hash is put together from
+    the hashes of its two parts.
+    """
+    if keep < SPAN:
+        raise ValueError("too short to share spans")
+    h = _hashes(p)
+    inside, rest = _registers(h[: keep - SPAN + 1]), _registers(h[keep - SPAN + 1 :])
+    q = Prefix(tail)
+    edge = SPAN - 1  # the tail begins with the last kept characters
+    new = _registers(_hashes(q)) if q.n >= SPAN else np.full(BUCKETS, _EMPTY, np.uint64)
+    whole = 0
+    for base, x, y in zip(_BASES, p.parts(0, keep), q.parts(edge, q.n), strict=True):
+        whole = whole << 31 | (x + pow(base, keep, int(_P)) * y) % int(_P)
+    own = _written(p.span(0, p.n), np.minimum(inside, rest))
+    return own, _written(whole, np.minimum(inside, new)), keep + p.common(keep, q, edge)
 
 
 def likeness(a: str, b: str) -> float:
@@ -119,27 +156,51 @@ _KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.floa
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each row with the row after it in the same range; the last row of a range is only looked at."""
-    held = None  # bucket, doc, text, prefix, print
-    rows: list[tuple] = []
+    """Each row with the row after it in the same range; the last row of a range is only looked at.
+
+    A row's likeness to the next text waits until that text's fingerprint is made in its turn.
+    """
+    held: tuple | None = None  # bucket, doc, text, code points
+    waits: list | None = None  # the row before ``held``, without its likeness to it
+    rows: list[list] = []
+
+    def settle(f: str) -> None:
+        if waits is not None:
+            waits[6] = likeness(waits[3], f)
+            rows.append(waits)
+
+    def batch_of() -> pa.RecordBatch:
+        cols = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _KINDS, strict=True)], names=[x.split()[0] for x in _FIELDS.split(", ")])
+
     for batch in batches:
         for bucket, doc, text in zip(*(batch.column(c).to_pylist() for c in ("bucket", "doc", "text")), strict=True):
             text = text or ""
-            prefix = Prefix(points(text))
-            now = (bucket, doc, text, prefix, _print(prefix))
+            now = (bucket, doc, text, points(text))
             if held is not None and held[0] == bucket:
-                _, d, t, p, f = held
+                _, d, t, cp = held
                 half = len(t) // 2
-                edited = t[: len(t) - half] + text[:half]
-                q = Prefix(points(edited))
-                g = f if edited == t else _print(q)
-                rows.append((d, len(t), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), f, g, likeness(f, g), likeness(f, now[4]), p.common(0, q, 0)))
-                if len(rows) >= 1000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=[x.split()[0] for x in _FIELDS.split(", ")])
-                    rows = []
+                keep = len(t) - half
+                edited = t[:keep] + text[:half]
+                p = Prefix(cp)
+                if keep >= SPAN:
+                    f, g, same = _both(p, keep, np.concatenate([cp[keep - SPAN + 1 : keep], now[3][:half]]))
+                else:
+                    q = Prefix(points(edited))
+                    f, g, same = _print(p), _print(q), p.common(0, q, 0)
+                settle(f)
+                waits = [d, len(t), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), f, g, likeness(f, g), None, same]
+            elif held is not None:
+                settle(_print(Prefix(held[3])))
+                waits = None
             held = now
+            if len(rows) >= 1000:
+                yield batch_of()
+                rows.clear()
+    if held is not None:
+        settle(_print(Prefix(held[3])))
     if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=[x.split()[0] for x in _FIELDS.split(", ")])
+        yield batch_of()
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
