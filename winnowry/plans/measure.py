@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
 from ..operators import statistics as X
@@ -43,8 +44,8 @@ def a8(spark, d):
     return X.hits(_gold(spark, d), "ord", "g", [10, 20, 30, 40, 50]).agg(F.round(F.avg("lift"), 9).alias("lift"))
 
 
-_tail_udf = F.udf(X.hypergeometric_tail, "double")  # one row for each report
-_mcnemar_udf = F.udf(X.mcnemar, "double")
+_tail_udf = F.udf(X.hypergeometric_tail, DoubleType(), useArrow=False)  # one row for each report
+_mcnemar_udf = F.udf(X.mcnemar, DoubleType(), useArrow=False)
 
 
 @query("a9_hypergeometric", _GOLD + """, c AS (SELECT count(*) AS n, count(*) FILTER (g) AS gold, count(*) FILTER (g AND ord < 20) AS h FROM r),
