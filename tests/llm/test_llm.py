@@ -114,6 +114,16 @@ def test_line_components_recall(spark):
     assert all(wrong[a] == wrong[b] for a in got for b in got if got[a] == got[b])
 
 
+def test_lines_of_any_length_meet(spark):
+    """A repeated text has few distinct slices however long the line is."""
+    once = "the committee will meet again on Thursday afternoon to settle the budget of the new library"
+    lines = [once, f"{once} {once}", "-" * 60, "-" * 200, "=-" * 500, "=-" * 20]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    comps = line_dedup.line_components(df, Scratch(spark, "t"))
+    got = {x["first_doc"]: x["comp"] for x in comps.collect()}
+    assert len(got) == 6 and got[0] == got[1] and got[2] == got[3] and got[4] == got[5] and len(set(got.values())) == 3
+
+
 # ---- documents ----
 def brute_near(texts, k, percent):
     lower = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})

@@ -2,10 +2,9 @@
 
 A line's set is its distinct character shingles.  Signatures are sixteen MinHash
 values, the minimum of ``hash XOR constant`` for sixteen constants, aggregated in
-generated code over exploded slices of the encoded line.  A line of 128 bytes or more
-takes the slices of a fixed quarter of the hash values only, which leaves the share of
-common ones unbiased; lines near that length are signed both ways, so that two lines
-whose lengths allow a link meet in one scheme or the other. Banding reads the values along parallel
+generated code over exploded slices of the encoded line.  Every line is signed in the same
+way on all its slices, as the length of a line says nothing about how many distinct ones it
+has.  Banding reads the values along parallel
 classes of the affine plane of order four, so that two bands share one value at most.  Lines
 that share a band are verified by exact Jaccard, links become components by
 distributed union-find, and one line of each component is kept.
@@ -23,7 +22,6 @@ SHINGLE = 8
 PERCENT = 80
 CLASSES = 2
 _MINS = 16
-_LONG = 128
 
 
 def _bytes(line: Column) -> Column:
@@ -87,33 +85,26 @@ def line_components(
     """
     lines = lines_of(docs, id_col, text_col).select("doc", F.xxhash64("line").alias("id"), "line")
     # The encoded line is a generator's output: an expression would be computed again for each slice.
-    one = lambda x, scheme: F.struct(
-        F.xxhash64(x).alias("id"), F.lit(scheme).alias("scheme"), F.encode(x, "utf-8").alias("data")
-    )
-    encoded = F.flatten(
-        F.transform(
-            F.filter(F.split(text_col, "\n", -1), lambda x: F.length(F.trim(x)) > 0),
-            lambda x: F.when(F.octet_length(x) < _LONG * percent / 100, F.array(one(x, 0)))
-            .when(F.octet_length(x) >= _LONG, F.array(one(x, 1)))
-            .otherwise(F.array(one(x, 0), one(x, 1))),
-        )
+    encoded = F.transform(
+        F.filter(F.split(text_col, "\n", -1), lambda x: F.length(F.trim(x)) > 0),
+        lambda x: F.struct(F.xxhash64(x).alias("id"), F.encode(x, "utf-8").alias("data")),
     )
     rows = docs.select(F.col(id_col).alias("doc"), F.inline(encoded)).select(
-        "doc", "id", "scheme", "data", F.explode(_starts(F.length("data"), shingle)).alias("i")
+        "doc", "id", "data", F.explode(_starts(F.length("data"), shingle)).alias("i")
     )
     h = F.xxhash64(F.substring(F.col("data"), F.col("i") + 1, F.lit(shingle)))
     salt = [F.xxhash64(F.lit(f"line {j}")) for j in range(_MINS)]
-    sigs = rows.select("doc", "id", "scheme", h.alias("h")).where("scheme = 0 OR h & 3 = 0").groupBy("id", "scheme").agg(
+    sigs = rows.select("doc", "id", h.alias("h")).groupBy("id").agg(
         F.min("doc").alias("first_doc"),
         *[F.min(F.col("h").bitwiseXOR(s)).alias(f"m{j}") for j, s in enumerate(salt)],
     )
     sigs = store.keep(sigs, "signatures")
-    band = F.array(*[F.xxhash64(F.lit(b), "scheme", *[F.col(f"m{j}") for j in js]) for b, js in enumerate(bands(classes))])
+    band = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{j}") for j in js]) for b, js in enumerate(bands(classes))])
     members = sigs.select(F.explode(band).alias("key"), "id")
     size = members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     shared = members.join(size, "key", "left_semi")
     shared = store.keep(shared, "shared")
-    wanted = shared.select("id").distinct().join(sigs.select("id", "first_doc").distinct(), "id")
+    wanted = shared.select("id").distinct().join(sigs.select("id", "first_doc"), "id")
     texts = store.keep(
         lines.join(
             wanted.select("id", F.col("first_doc").alias("doc")).hint("shuffle_hash"), ["id", "doc"], "left_semi"
@@ -133,7 +124,7 @@ def line_components(
         return sets.where(F.col("inter") * 100 >= (F.col("total") - F.col("inter")) * percent)
 
     labels, _ = link(shared, verify, store)
-    out = store.keep(labels.join(sigs.select("id", "first_doc").distinct(), "id"), "components")
+    out = store.keep(labels.join(sigs.select("id", "first_doc"), "id"), "components")
     store.drop(sigs, shared, texts, labels)
     return out
 
