@@ -124,6 +124,24 @@ def test_lines_of_any_length_meet(spark):
     assert len(got) == 6 and got[0] == got[1] and got[2] == got[3] and got[4] == got[5] and len(set(got.values())) == 3
 
 
+def test_line_recall_at_the_threshold(spark):
+    """Isolated pairs whose similarity is 0.80 to 0.82: nothing else leads to them."""
+    r = random.Random(8)
+    sets = lambda t: {t[i : i + 8] for i in range(len(t) - 7)}
+    pairs = []
+    while len(pairs) < 2000:
+        a = "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(r.randint(60, 300)))
+        w = list(a)
+        for i in r.sample(range(len(w)), r.randint(1, 4)):
+            w[i] = "#"
+        x, y = sets(a), sets(b := "".join(w))
+        if 0.8 <= len(x & y) / len(x | y) < 0.82 and a.strip() and b.strip():
+            pairs.append(f"{a}\n{b}")
+    df = spark.createDataFrame(list(enumerate(pairs)), "doc_id long, text string")
+    comps = line_dedup.line_components(df, Scratch(spark, "t"))
+    assert comps.select("first_doc").distinct().count() >= 0.99 * len(pairs)
+
+
 # ---- documents ----
 def brute_near(texts, k, percent):
     lower = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})

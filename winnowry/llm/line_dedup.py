@@ -1,18 +1,18 @@
 """Fuzzy line dedup with DataFrame functions only.
 
 A line's set is its distinct character shingles.  Signatures are sixteen MinHash
-values, the minimum of ``hash XOR constant`` for sixteen constants, aggregated in
-generated code over exploded slices of the encoded line.  Every line is signed in the same
+values, the minimum of ``hash XOR constant`` for sixteen constants whose first four bits
+differ, aggregated in generated code over exploded slices of the encoded line.  Every line is signed in the same
 way on all its slices, as the length of a line says nothing about how many distinct ones it
-has.  Banding reads the values along parallel
-classes of the affine plane of order four, so that two bands share one value at most.  Lines
+has.  Banding reads the values along all twenty lines of the affine plane of order four, so
+that two bands share one value at most and seven of sixteen values must differ to miss all.  Lines
 that share a band are verified by exact Jaccard, links become components by
 distributed union-find, and one line of each component is kept.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .linking import link
@@ -20,7 +20,7 @@ from .scratch import Scratch
 
 SHINGLE = 8
 PERCENT = 80
-CLASSES = 2
+CLASSES = 5
 _MINS = 16
 
 
@@ -93,7 +93,8 @@ def line_components(
         "doc", "id", "data", F.explode(_starts(F.length("data"), shingle)).alias("i")
     )
     h = F.xxhash64(F.substring(F.col("data"), F.col("i") + 1, F.lit(shingle)))
-    salt = [F.xxhash64(F.lit(f"line {j}")) for j in range(_MINS)]
+    # first four bits all different: each value is taken from another part of the hashes
+    salt = [F.shiftrightunsigned(F.xxhash64(F.lit(f"line {j}")), 4).bitwiseOR(F.lit((j - 8) << 60)) for j in range(_MINS)]
     sigs = rows.select("doc", "id", h.alias("h")).groupBy("id").agg(
         F.min("doc").alias("first_doc"),
         *[F.min(F.col("h").bitwiseXOR(s)).alias(f"m{j}") for j, s in enumerate(salt)],
@@ -101,9 +102,8 @@ def line_components(
     sigs = store.keep(sigs, "signatures")
     band = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{j}") for j in js]) for b, js in enumerate(bands(classes))])
     members = sigs.select(F.explode(band).alias("key"), "id")
-    size = members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    shared = members.join(size, "key", "left_semi")
-    shared = store.keep(shared, "shared")
+    size = F.count("*").over(Window.partitionBy("key"))
+    shared = store.keep(members.withColumn("c", size).where("c > 1").select("key", "id"), "shared")
     wanted = shared.select("id").distinct().join(sigs.select("id", "first_doc"), "id")
     texts = store.keep(
         lines.join(
