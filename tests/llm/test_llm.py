@@ -179,6 +179,31 @@ def test_near_dedup_keeps_one_and_all_columns(spark):
     assert near_dedup.near_dedup(df.where("false")).count() == 0
 
 
+def test_short_near_groups_against_brute_force(spark):
+    """At 80 % sets of four and five shingles are linked already."""
+    r = random.Random(12)
+    texts = []
+    for n in [*range(5, 32)] * 3:
+        w = [f"w{r.randrange(10**6)}" for _ in range(n)]
+        texts += [" ".join(w), " ".join([*w, "more"]), " ".join(["less", "or", *w])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc"]: x["component"] for x in near_dedup.near_groups(df, Scratch(spark, "t")).collect()}
+    _, comp = brute_near(texts, 5, 80)
+    assert [got[i] for i in range(len(texts))] == comp and len(set(comp)) < len(texts)
+
+
+def test_short_keys_lose_no_link():
+    r = np.random.default_rng(4)
+    for percent in (60, 80, 85, 90):
+        for _ in range(1500):
+            u = r.integers(0, 2**63, 20, dtype=np.uint64)
+            i, j, k = r.integers(1, 17), *r.integers(0, 3, 2)
+            a, b = np.sort(u[: i + j]), np.sort(np.concatenate([u[:i], u[17 : 17 + k]]))
+            if 100 * i >= percent * (i + j + k) and j + k and i + j <= 17:
+                assert len(np.intersect1d(near_dedup.short_keys(a, percent), near_dedup.short_keys(b, percent)))
+                assert min(len(a), len(b)) >= near_dedup.smallest_linked(percent)
+
+
 def test_sketch_estimates_similarity():
     r = np.random.default_rng(2)
     a = np.unique(r.integers(0, 2**63, 3000, dtype=np.uint64) * np.uint64(2))

@@ -3,7 +3,8 @@
 A document's set is its distinct k-word shingles.  Its sketch has 256 registers; each
 holds, for the smallest hash of its bucket, the count of leading zeros and ten mantissa
 bits.  Empty registers are filled from others in a fixed order, so that short texts
-compare as well.  Bands hash eight registers each.  Pairs that share a band are kept if
+compare as well.  Bands hash eight registers each; sets of at most twenty shingles meet
+by exact keys of their smallest shingles instead.  Pairs that share a band are kept if
 the sizes allow a link and if the share of equal four-bit registers, corrected for chance
 collisions, is not far below the threshold; then the full sets decide.
 """
@@ -11,6 +12,8 @@ collisions, is not far below the threshold; then the full sets decide.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,8 @@ REGISTERS = 256
 BANDS = 20
 ROWS = 8
 MANTISSA = 10
-SHORT = 6
+SHORT = 20
+_COMMON = 3
 _PACKED = 256
 _rng = np.random.default_rng(7)
 _DETOUR = np.array([_rng.permutation(REGISTERS) for _ in range(64)])
@@ -64,13 +68,47 @@ def band_keys(reg: np.ndarray) -> np.ndarray:
     return W.mix(W.mix(two[:, :, 0] + at) * np.uint64(0x9FB21C651E98DF25) + two[:, :, 1]).view(np.int64)
 
 
+def smallest_linked(percent: int) -> float:
+    """Sets of fewer shingles are linked with equal sets only: n of n + 1 is below the threshold."""
+    return -(-percent // (100 - percent)) if percent < 100 else np.inf
+
+
+@cache
+def _choices(n: int, t: int) -> np.ndarray:
+    return np.array(list(combinations(range(n), t)), np.int64).reshape(-1, t)
+
+
+def short_keys(u: np.ndarray, percent: int) -> np.ndarray:
+    """Signed keys that two linked sets of at most SHORT shingles always share.
+
+    The t smallest common shingles of a linked pair are among the first n - ceil(n * percent / 100) + t
+    of each set, so a key for every choice of t among these loses no pair.  Linked sets that differ
+    have ``smallest_linked`` common shingles at least.
+    """
+    t = min(_COMMON, int(smallest_linked(percent)))
+    at = _choices(len(u) - -(-len(u) * percent // 100) + t, t)
+    out = np.full(len(at), 0x5851F42D4C957F2D, np.uint64)
+    for j in range(t):
+        out = W.mix(out * np.uint64(0x9FB21C651E98DF25) + u[at[:, j]])
+    return out.view(np.int64)
+
+
+def _keys(u: np.ndarray, bands: np.ndarray, percent: int) -> list[int]:
+    """Keys by which a set meets others: exact ones up to SHORT shingles, bands for all that may link with a larger set."""
+    n = len(u)
+    if n < smallest_linked(percent):
+        return []
+    exact = short_keys(u, percent).tolist() if n <= SHORT else []
+    return exact + (bands.tolist() if n * 100 > SHORT * percent else [])
+
+
 def packed(reg: np.ndarray) -> np.ndarray:
     """The registers' low four bits, sixteen to a signed 64-bit value."""
     four = (reg[:, REGISTERS - _PACKED :] & np.uint16(15)).astype(np.uint64).reshape(len(reg), -1, 16)
     return (four << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64).view(np.int64)
 
 
-def _sketch(k: int):
+def _sketch(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = W.utf8(batch.column("text"))
@@ -86,7 +124,7 @@ def _sketch(k: int):
                         batch.column("check").slice(i, j - i),
                         pa.array(size),
                         pa.array(W.mix(np.array(ident, np.uint64)).view(np.int64)),
-                        pa.array([x if n >= SHORT else [] for x, n in zip(keys.tolist(), size, strict=True)], pa.list_(pa.int64())),
+                        pa.array([_keys(u, x, percent) for u, x in zip(sets, keys, strict=True)], pa.list_(pa.int64())),
                         *[pa.array(np.ascontiguousarray(four[:, c])) for c in range(_PACKED // 16)],
                     ],
                     names=["doc", "check", "n", "cid", "keys", *[f"q{c}" for c in range(_PACKED // 16)]],
@@ -146,7 +184,7 @@ def near_groups(
     own = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("check"), F.col(text_col).alias("text"))
     quads = [f"q{c}" for c in range(_PACKED // 16)]
     schema = "doc long, check long, n long, cid long, keys array<long>, " + ", ".join(f"{q} long" for q in quads)
-    sigs = store.keep(own.mapInArrow(_sketch(k), schema), "sketches")
+    sigs = store.keep(own.mapInArrow(_sketch(k, percent), schema), "sketches")
     reps = (
         sigs.where(F.size("keys") > 0)
         .groupBy("cid")
