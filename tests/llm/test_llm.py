@@ -204,6 +204,19 @@ def test_short_keys_lose_no_link():
                 assert min(len(a), len(b)) >= near_dedup.smallest_linked(percent)
 
 
+def test_bands_find_pairs_at_the_threshold():
+    r = np.random.default_rng(6)
+    for percent in (80, 85):
+        left, right = [], []
+        for _ in range(2000):
+            u = r.integers(0, 2**64, 200, dtype=np.uint64)
+            half = (200 + 2 * percent) // 2
+            left.append(np.sort(u[:half]))
+            right.append(np.sort(np.concatenate([u[: 2 * percent], u[half:]])))
+        a, b = (near_dedup.band_keys(near_dedup.registers(x), percent) for x in (left, right))
+        assert (a == b).any(axis=1).mean() >= 0.999
+
+
 def test_sketch_estimates_similarity():
     r = np.random.default_rng(2)
     a = np.unique(r.integers(0, 2**63, 3000, dtype=np.uint64) * np.uint64(2))

@@ -3,7 +3,8 @@
 A document's set is its distinct k-word shingles.  Its sketch has 256 registers; each
 holds, for the smallest hash of its bucket, the count of leading zeros and ten mantissa
 bits.  Empty registers are filled from others in a fixed order, so that short texts
-compare as well.  Bands hash eight registers each; sets of at most twenty shingles meet
+compare as well.  Bands hash as many registers each as
+lose at most one in ten thousand pairs at the threshold; together they cover all registers.  Sets of at most twenty shingles meet
 by exact keys of their smallest shingles instead.  Pairs that share a band are kept if
 the sizes allow a link and if the share of equal four-bit registers, corrected for chance
 collisions, is not far below the threshold; then the full sets decide.
@@ -25,8 +26,7 @@ from .linking import link
 from .scratch import Scratch
 
 REGISTERS = 256
-BANDS = 20
-ROWS = 8
+LOSS = 1e-4
 MANTISSA = 10
 SHORT = 20
 _COMMON = 3
@@ -61,11 +61,21 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return full
 
 
-def band_keys(reg: np.ndarray) -> np.ndarray:
+def rows_of_bands(percent: int) -> int:
+    """Most registers a band may have for pairs at the threshold to share no band in LOSS of cases at most."""
+    p = percent / 100
+    return max((r for r in range(1, 17) if (1 - p**r) ** (REGISTERS // r) <= LOSS), default=1)
+
+
+def band_keys(reg: np.ndarray, percent: int) -> np.ndarray:
     """Signed 64-bit key of each band."""
-    two = np.ascontiguousarray(reg[:, : BANDS * ROWS]).view(np.uint64).reshape(len(reg), BANDS, 2)
-    at = np.arange(1, BANDS + 1, dtype=np.uint64)[None, :]
-    return W.mix(W.mix(two[:, :, 0] + at) * np.uint64(0x9FB21C651E98DF25) + two[:, :, 1]).view(np.int64)
+    rows = rows_of_bands(percent)
+    n = REGISTERS // rows
+    of = reg[:, : n * rows].astype(np.uint64).reshape(len(reg), n, rows)
+    out = np.broadcast_to(np.arange(1, n + 1, dtype=np.uint64), (len(reg), n))
+    for j in range(rows):
+        out = W.mix(out * np.uint64(0x9FB21C651E98DF25) + of[:, :, j])
+    return out.view(np.int64)
 
 
 def smallest_linked(percent: int) -> float:
@@ -117,7 +127,7 @@ def _sketch(k: int, percent: int):
                 reg = registers(sets)
                 size = np.array([len(s) for s in sets], np.int64)
                 ident = [W.mix(s).sum(dtype=np.uint64) ^ np.uint64(len(s)) for s in sets]
-                keys, four = band_keys(reg), packed(reg)
+                keys, four = band_keys(reg, percent), packed(reg)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc").slice(i, j - i),
@@ -159,8 +169,8 @@ def _likely(percent: int):
         d = d.bitwiseOR(F.shiftrightunsigned(d, 2))
         return F.bit_count(d.bitwiseAND(F.lit(nibbles)))
 
-    # equal by chance: 1/16; the margin is about four standard deviations of the estimate
-    least = (percent / 100 - 0.09) * 15 / 16 + 1 / 16
+    # equal by chance: 1/16; the margin is more than five standard deviations of the estimate
+    least = (percent / 100 - 0.14) * 15 / 16 + 1 / 16
 
     def cond(left, right) -> Column:
         n, m = left("n"), right("n")
@@ -190,9 +200,11 @@ def near_groups(
         .groupBy("cid")
         .agg(F.min_by(F.struct("doc", "check", "n", "keys", *quads), F.struct("doc", "check")).alias("r"))
     )
-    members = reps.select(F.explode("r.keys").alias("key"), F.col("cid").alias("id"), "r.doc", "r.check", "r.n", *[f"r.{q}" for q in quads])
+    reps = store.keep(reps.select(F.col("cid").alias("id"), "r.*"), "classes")
+    members = reps.select(F.explode("keys").alias("key"), "id")
     size = members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    shared = store.keep(members.join(size.select("key"), "key", "left_semi"), "shared")
+    met = members.join(size.select("key"), "key", "left_semi")
+    shared = store.keep(met.join(reps.drop("keys"), "id"), "shared")
     wanted = shared.select("id", "doc", "check").distinct()
     texts = store.keep(
         own.join(wanted.hint("shuffle_hash"), [own["doc"].eqNullSafe(wanted["doc"]), own["check"] == wanted["check"]])
@@ -218,7 +230,7 @@ def near_groups(
         ),
         "groups",
     )
-    store.drop(sigs, shared, texts, labels)
+    store.drop(sigs, reps, shared, texts, labels)
     return out
 
 
