@@ -20,7 +20,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 # HTML element classes.
-_RAW = "script style noscript template textarea iframe object svg math select canvas audio video head"
+_RAW = "script style noscript template textarea iframe title xmp noembed noframes"
+#: Elements whose text is left out; markup inside is read as elsewhere.
+_SKIPPED = frozenset("head object svg math select canvas audio video datalist".split())
+#: A start tag of _BREAKOUT ends an open one of these.
+_ENDED = ("head", "select")
+_BREAKOUT = frozenset(
+    "article aside blockquote body dd div dl dt footer form h1 h2 h3 h4 h5 h6 header li main nav ol p pre section table ul".split()
+)
+_RAW_SET = frozenset(_RAW.split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span "
@@ -33,12 +41,18 @@ _CLOSES = {
 _NONE: frozenset[str] = frozenset()
 # what keeps an open element from being closed by a new one further in
 _SCOPE = {"li": frozenset({"ul", "ol"}), "td": frozenset({"table"}), "th": frozenset({"table"}), "tr": frozenset({"table"})}
+# A quote begins a value only after an equals sign; elsewhere it is a character like others.
+_REST = r"""(?:[^=>]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)?+)*+"""
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(_RAW.split()) + r""")\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"""
-    r"""|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*>?""",
+    r"<!--.*?(?:-->|\Z)"
+    rf"|<(?P<raw>{'|'.join(_RAW.split())})(?=[\s/>]){_REST}>.*?</(?P=raw)(?=[\s/>])[^>]*>"
+    r"|<(?P<open>script|style)(?=[\s/>]).*\Z"
+    rf"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>{_REST})>"
+    r"|<[!?/][^>]*>?|<[a-zA-Z][^>]*\Z",
     re.S | re.I,
 )
-_ATTR = re.compile(r"""(class|id|role|hidden|style|aria-label)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?""")
+_PLACE = frozenset({"class", "id", "role", "aria-label"})
 _NAME = re.compile(r"[a-z]+")
 
 
@@ -50,8 +64,14 @@ class Block(NamedTuple):
 
 
 def leaf_blocks(page: str | None) -> list[Block]:
-    """Leaf blocks with text, in page order; scripts, styles, comments and the head are left out."""
+    """Leaf blocks with text, in page order; scripts, styles, comments and the head are left out.
+
+    An end tag may be missing: an unclosed script or style holds the rest of the page, any other raw or skipped
+    element without an end tag is taken as empty, and a head ends where the first element of a body begins.
+    """
     out: list[Block] = []
+    closers: dict[str, int] = {}
+    hidden = 0  # open skipped elements
     # each entry: tag, block-level tags down to here, class words down to here, inside a link
     stack: list[tuple[str, tuple[str, ...], tuple[str, ...], bool]] = [("", (), (), False)]
     parts: list[str] = []
@@ -68,16 +88,26 @@ def leaf_blocks(page: str | None) -> list[Block]:
             linked = 0
 
     def pop_to(tag: str) -> None:
+        nonlocal hidden
         for i in range(len(stack) - 1, 0, -1):
             if stack[i][0] == tag:
                 if stack[-1][1] is not stack[i - 1][1]:
                     flush()
+                if hidden:
+                    hidden -= sum(x[0] in _SKIPPED for x in stack[i:])
                 del stack[i:]
                 return
 
+    def closes(tag: str) -> bool:
+        """Whether an end tag of this name stands further on."""
+        if closers.get(tag, -1) < at:
+            m = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+            closers[tag] = m.start() if m else len(page)
+        return closers[tag] < len(page)
+
     at, page = 0, page or ""
     for m in _TOKEN.finditer(page):
-        if m.start() > at:
+        if m.start() > at and not hidden:
             parts.append(page[at : m.start()])
             if stack[-1][3]:
                 linked += m.start() - at
@@ -88,9 +118,20 @@ def leaf_blocks(page: str | None) -> list[Block]:
                 parts.append(" ")
             continue
         tag = tag.lower()
+        if hidden and not close and tag in _BREAKOUT:
+            for t in _ENDED:
+                if any(x[0] == t for x in stack):
+                    pop_to(t)
         if close:
             pop_to(tag)
-        elif tag in _INLINE:
+        elif tag in _SKIPPED:
+            if tag in _ENDED or rest[-1:] != "/" and closes(tag):
+                _, path, names, link = stack[-1]
+                stack.append((tag, path, names, link))
+                hidden += 1
+        elif tag in _RAW_SET or hidden and rest[-1:] == "/":
+            continue  # no end tag
+        elif tag in _INLINE or "-" in tag:
             if tag == "br":
                 parts.append(" ")
             elif tag not in _VOID:
@@ -111,11 +152,11 @@ def leaf_blocks(page: str | None) -> list[Block]:
                     k = k.lower()
                     if k == "hidden" or k == "style" and "none" in v:
                         words.append("hidden")
-                    elif k != "style":
+                    elif k in _PLACE:
                         words += _NAME.findall(v.lower())
                 names += tuple(words)
             stack.append((tag, (*path, tag), names, link))
-    if at < len(page):
+    if at < len(page) and not hidden:
         parts.append(page[at:])
     flush()
     return out
@@ -299,7 +340,11 @@ def labelled_pages(count: int = 400, seed: int = 11) -> list[tuple[str, list[int
                 else:
                     add("p", words(3, 20) + ".", 1, '{} <a href="/y">' + words(1, 4) + "</a>")
                 if r.random() < 0.04:
-                    wrap(pick('div class="ad"', 'div class="advert"', 'aside'), lambda: add("p", words(2, 15), 0))
+                    wrap(pick('div class="ad"', 'div class="advert"', 'aside', 'form', 'div class="newsletter"', 'div class="share"'), lambda: add("p", words(2, 15), 0))
+            if r.random() < 0.1:
+                wrap(pick('div class="related"', 'div class="tags"', 'nav'), aside)
+            if r.random() < 0.15:
+                wrap(pick('div class="comments"', 'section id="comments"', 'div class="reader-comments"', 'div id="comment-list"', 'ol class="commentlist"'), comments)
 
         if r.random() < 0.5:
             wrap(pick("header", 'div class="header"', 'div id="top-header"'), lambda: add(pick("h1", "p", "div"), words(1, 4), 0))
@@ -349,17 +394,17 @@ def extract(pages: DataFrame, html_col: str = "html", chain: Chain | None = None
     """
     chain = chain or default_chain()
     keep = [c for c in pages.columns if c not in ("text", "n_chars")]
-    src = pages.select(*keep, F.col(html_col).alias("_html"))
-    schema = StructType([src.schema[c] for c in keep]).add("text", "string").add("n_chars", "long")
+    src = pages.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{html_col}`").alias("html"))
+    schema = StructType([src.schema["row"]]).add("text", "string").add("n_chars", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.slice(at, 500)
-                texts = [main_text(p, chain) for p in part.column("_html").to_pylist()]
+                texts = [main_text(p, chain) for p in part.column("html").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(c) for c in keep] + [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                    names=[*keep, "text", "n_chars"],
+                    [part.column("row"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                    names=["row", "text", "n_chars"],
                 )
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(run, schema).select(*[F.col(f"row.`{c}`") for c in keep], "text", "n_chars")
