@@ -62,7 +62,7 @@ def brute_components(n, edges):
 
 def test_components(spark):
     r = random.Random(3)
-    edges = [(i, i + 1) for i in range(9)] + [(r.randrange(40, 90), r.randrange(40, 90)) for _ in range(40)]
+    edges = [(i, i + 1) for i in range(30)] + [(r.randrange(40, 90), r.randrange(40, 90)) for _ in range(40)]
     df = spark.createDataFrame([*edges, (None, 3)], "a long, b long")
     got = {x["id"]: x["comp"] for x in linking.connected_components(df, Scratch(spark, "t")).collect()}
     want = brute_components(90, edges)
@@ -71,9 +71,10 @@ def test_components(spark):
 
 def test_link_compares_all_members_of_a_bucket(spark):
     """Members linked only along a path: every neighbour must be found though pivots come by salt."""
-    members = spark.createDataFrame([(1, i) for i in range(10)], "key long, id long")
-    labels, links = linking.link(members, lambda p: p.where("b - a = 1"), Scratch(spark, "t"))
-    assert links.select("a", "b").distinct().count() == 9 and {x["comp"] for x in labels.collect()} == {0}
+    members = spark.createDataFrame([(1, i) for i in range(40)], "key long, id long")
+    store = Scratch(spark, "t")
+    labels, links = linking.link(linking.shared_members(members, store), lambda p: p.where("b - a = 1"), store, fan=2)
+    assert links.select("a", "b").distinct().count() == 39 and {x["comp"] for x in labels.collect()} == {0}
 
 
 # ---- lines ----
@@ -103,7 +104,7 @@ def test_line_components_recall(spark):
         w[r.randrange(len(w))] = "edited"
         lines.append(" ".join(w))
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    comps = line_dedup.line_components(df, Scratch(spark, "t"))
+    comps, _ = line_dedup.line_components(df, Scratch(spark, "t"))
     ids = {x["id"]: x["i"] for x in df.select("doc_id", F.xxhash64("text").alias("id")).withColumnRenamed("doc_id", "i").collect()}
     got = {ids[x["id"]]: x["comp"] for x in comps.collect()}
     sets = [{t[i : i + 8] for i in range(max(1, len(t) - 7))} for t in lines]
@@ -119,11 +120,48 @@ def test_lines_of_any_length_meet(spark):
     once = "the committee will meet again on Thursday afternoon to settle the budget of the new library"
     lines = [once, f"{once} {once}", "-" * 60, "-" * 200, "=-" * 500, "=-" * 20]
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    comps = line_dedup.line_components(df, Scratch(spark, "t"))
-    got = {x["first_doc"]: x["comp"] for x in comps.collect()}
+    comps, known = line_dedup.line_components(df, Scratch(spark, "t"))
+    got = {x["first_doc"]: x["comp"] for x in comps.join(known, "id").collect()}
     assert len(got) == 6 and got[0] == got[1] and got[2] == got[3] and got[4] == got[5] and len(set(got.values())) == 3
 
 
+def test_lines_find_what_brute_force_finds(spark):
+    """Separators, other scripts, repeated characters and plain lines; in all, every link that brute force finds."""
+    r = random.Random(21)
+    han = [chr(c) for c in range(0x4E00, 0x4F00)]
+    lines = ["-" * n for n in (7, 8, 60, 130, 140, 900)] + ["=" * 60, "=" * 61, "* " * 30, "* " * 200, "\u3000".join("中文") * 30]
+    for alphabet, n in ((han, 60), ("abcdefghij ", 40), ("ab", 25), ("é😀xyz ", 25)):
+        for _ in range(n):
+            line = "x" + "".join(r.choice(alphabet) for _ in range(r.choice((5, 9, 40, 200, 700)))) + "x"
+            w = list(line)
+            w[r.randrange(len(w))] = "§"
+            lines += [line, "".join(w), line + "!"]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    comps, known = line_dedup.line_components(df, Scratch(spark, "t"))
+    got = {x["first_doc"]: x["comp"] for x in comps.join(known, "id").collect()}
+    sets = [{t[i : i + 8] for i in range(max(1, len(t) - 7))} for t in lines]
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if lines[a] != lines[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert len(pairs) > 200 and all(a in got and got[a] == got.get(b) for a, b in pairs)
+    want = brute_components(len(lines), pairs)
+    assert all(want[a] == want[b] for a in got for b in got if got[a] == got[b])
+
+
+def test_signatures_do_not_depend_on_the_order_of_work(spark, monkeypatch):
+    """Skipping large hashes leaves the values of every line as they are."""
+    r = random.Random(3)
+    lines = ["".join(r.choice("abcdef ") for _ in range(n)) for n in (100, 300, 900, 5000) for _ in range(6)] + ["ab" * 400, "q" * 3000]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+
+    def keys():
+        store = Scratch(spark, "t")
+        lines = line_dedup.distinct_lines(df, store, "doc_id", "text")
+        return {x["id"]: (x["keys"], x["q0"], x["q1"]) for x in line_dedup.signatures(lines, store, 8).collect()}
+
+    some = keys()
+    monkeypatch.setattr(line_dedup, "_ENOUGH", 10**6)
+    assert keys() == some and len(some) == len(lines)
+
+
 def test_line_recall_at_the_threshold(spark):
     """Isolated pairs whose similarity is 0.80 to 0.82: nothing else leads to them."""
     r = random.Random(8)
@@ -138,8 +176,8 @@ def test_line_recall_at_the_threshold(spark):
         if 0.8 <= len(x & y) / len(x | y) < 0.82 and a.strip() and b.strip():
             pairs.append(f"{a}\n{b}")
     df = spark.createDataFrame(list(enumerate(pairs)), "doc_id long, text string")
-    comps = line_dedup.line_components(df, Scratch(spark, "t"))
-    assert comps.select("first_doc").distinct().count() >= 0.99 * len(pairs)
+    comps, known = line_dedup.line_components(df, Scratch(spark, "t"))
+    assert comps.join(known, "id").select("first_doc").distinct().count() >= 0.99 * len(pairs)
 
 
 # ---- documents ----
@@ -213,15 +251,34 @@ def test_bands_find_pairs_at_the_threshold():
             half = (200 + 2 * percent) // 2
             left.append(np.sort(u[:half]))
             right.append(np.sort(np.concatenate([u[: 2 * percent], u[half:]])))
-        a, b = (near_dedup.band_keys(near_dedup.registers(x), percent) for x in (left, right))
+        a, b = (near_dedup.band_keys(near_dedup.registers(x)[0], percent) for x in (left, right))
         assert (a == b).any(axis=1).mean() >= 0.999
 
 
+def test_estimate_loses_no_pair_at_the_threshold(spark):
+    """The condition before verification holds for pairs at the threshold, whatever their size."""
+    r = np.random.default_rng(16)
+    rows = []
+    for percent, step in ((80, 20), (85, 1)):
+        for n in (25, 60, 120, 300, 900, 5000):
+            n = n // step * step
+            for _ in range(1500 if n < 1000 else 200):
+                common = -(-2 * n * percent // (100 + percent))  # of two sets of n
+                u = r.integers(0, 2**64, 2 * n - common, dtype=np.uint64)
+                reg = near_dedup.packed(near_dedup.registers([np.sort(u[:n]), np.sort(u[n - common :])])[1]).tolist()
+                rows.append((percent, n, n, *reg[0], *reg[1]))
+    quads = [f"q{i}" for i in range(16)]
+    df = spark.createDataFrame(rows, ["percent", "n", "m", *quads, *[f"r{q}" for q in quads]])
+    right = lambda c: F.col("m" if c == "n" else f"r{c}")
+    for percent in (80, 85):
+        assert df.where(df.percent == percent).where(~near_dedup._likely(percent)(F.col, right)).count() == 0
+
+
 def test_sketch_estimates_similarity():
     r = np.random.default_rng(2)
     a = np.unique(r.integers(0, 2**63, 3000, dtype=np.uint64) * np.uint64(2))
     b = np.unique(np.concatenate([a[: int(len(a) * 0.9)], r.integers(0, 2**63, 300, dtype=np.uint64)]))
-    x, y = near_dedup.registers([a, b])
+    x, y = near_dedup.registers([a, b])[0]
     true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
     assert abs((x == y).mean() - true) < 0.1 and (x > 0).all()
 

@@ -1,27 +1,39 @@
 """Fuzzy line dedup with DataFrame functions only.
 
-A line's set is its distinct character shingles.  Signatures are sixteen MinHash
-values, the minimum of ``hash XOR constant`` for sixteen constants whose first four bits
-differ, aggregated in generated code over exploded slices of the encoded line.  Every line is signed in the same
-way on all its slices, as the length of a line says nothing about how many distinct ones it
-has.  Banding reads the values along all twenty lines of the affine plane of order four, so
-that two bands share one value at most and seven of sixteen values must differ to miss all.  Lines
-that share a band are verified by exact Jaccard, links become components by
-distributed union-find, and one line of each component is kept.
+A line's set is its distinct character shingles.  Distinct lines come first, with their counts, in
+buckets of their hash.  A line is then exploded into its shingles, each one slice of the
+line's four-byte characters, and signed by sixteen MinHash values: value j is the smallest of
+``hash XOR j``, j in the hash's first four bits, so each value comes from another part of the hashes.  Every
+line is signed in the same way, as its length says nothing about how many distinct shingles it has; a
+long line skips hashes that are too large to be the smallest of their part, and a line that then has
+nothing in a part is signed once more on all its shingles, so the values are the same as without
+skipping.  Twelve bands of three values name the candidates.  A pair goes on if its values, compared
+on a byte each, are not far below the threshold, and if the bits set by the shingles of one line
+only are no more than the threshold allows, which no link fails.  Exact Jaccard decides.  Links become
+components by distributed union-find, and one line of each component is kept.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from math import comb
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .linking import link
+from .linking import link, shared_members
 from .scratch import Scratch
 
 SHINGLE = 8
 PERCENT = 80
-CLASSES = 5
+LOSS = 2e-3
 _MINS = 16
+_ENOUGH = 96
+_WORDS = 32
+#: Triples of the sixteen values of which two have one in common at most.
+BANDS = [
+    (8, 14, 15), (4, 13, 14), (0, 6, 9), (1, 10, 13), (0, 8, 13), (2, 4, 7),
+    (0, 2, 10), (3, 7, 12), (5, 9, 14), (1, 6, 11), (5, 12, 15), (3, 9, 11),
+]
 
 
 def _bytes(line: Column) -> Column:
@@ -29,8 +41,16 @@ def _bytes(line: Column) -> Column:
     return F.encode(line, "utf-32")
 
 
-def _starts(n_chars: Column, k: int) -> Column:
-    return F.sequence(F.lit(0), F.greatest(n_chars - k, F.lit(0)))
+def _last(data: Column, k: int) -> Column:
+    return F.greatest((F.length(data) / 4).cast("int") - k, F.lit(0))
+
+
+def _starts(data: Column, k: int) -> Column:
+    return F.sequence(F.lit(0), _last(data, k))
+
+
+def _hash_at(data: Column, i: Column, k: int) -> Column:
+    return F.xxhash64(F.substring(data, i * 4 + 1, F.lit(4 * k)))
 
 
 def _shingle_set(line: Column, k: int) -> Column:
@@ -38,23 +58,18 @@ def _shingle_set(line: Column, k: int) -> Column:
 
     The encoded line is a lambda's argument, so it is computed once for all slices.
     """
-    one = F.transform(
-        F.array(_bytes(line)),
-        lambda d: F.array_distinct(
-            F.transform(
-                _starts((F.length(d) / 4).cast("int"), k), lambda i: F.xxhash64(F.substring(d, i * 4 + 1, F.lit(4 * k)))
-            )
-        ),
-    )
+    one = F.transform(F.array(_bytes(line)), lambda d: F.array_distinct(F.transform(_starts(d, k), lambda i: _hash_at(d, i, k))))
     return F.element_at(one, 1)
 
 
-def bands(classes: int = CLASSES) -> list[list[int]]:
-    """Positions of the values in each band: parallel classes of lines over GF(4)."""
-    mul = [[0, 0, 0, 0], [0, 1, 2, 3], [0, 2, 3, 1], [0, 3, 1, 2]]
-    out = [[4 * c + y for y in range(4)] for c in range(4)]
-    out += [[4 * x + (mul[s][x] ^ c) for x in range(4)] for s in range(4) for c in range(4)]
-    return out[: 4 * classes]
+def least_equal(percent: int) -> int:
+    """Fewest equal values that pairs at the threshold have but for LOSS of cases."""
+    p, below = percent / 100, 0.0
+    for t in range(_MINS + 1):
+        below += comb(_MINS, t) * p**t * (1 - p) ** (_MINS - t)
+        if below > LOSS:
+            return t
+    return _MINS
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -69,6 +84,79 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def distinct_lines(docs: DataFrame, store: Scratch, id_col: str, text_col: str) -> DataFrame:
+    """Rows (id, line, c, first_doc) of every distinct line, in buckets of id.
+
+    id is the line's 64-bit hash, c its number of rows, first_doc the smallest document that
+    holds it.  Of two lines with one hash, neither is in.
+    """
+    check = F.xxhash64(F.lit(7), "line")
+    lines = lines_of(docs, id_col, text_col).select("doc", F.xxhash64("line").alias("id"), check.alias("check"), "line")
+    lines = lines.groupBy("id").agg(
+        F.min("line").alias("line"), F.count("*").alias("c"), F.min("doc").alias("first_doc"),
+        F.min("check").alias("c0"), F.max("check").alias("c1"),
+    )
+    return store.keep_by(lines.where("c0 = c1").drop("c0", "c1"), "id", "lines")
+
+
+def _hashes(lines: DataFrame, shingle: int) -> DataFrame:
+    """Rows (id, last, h) of every shingle; last is the place of the line's last one."""
+    # The encoded line is a generator's output: an expression would be computed again for each slice.
+    data = lines.select("id", F.explode(F.array(_bytes(F.col("line")))).alias("data"))
+    at = data.select("id", "data", _last(F.col("data"), shingle).alias("last"), F.explode(_starts(F.col("data"), shingle)).alias("i"))
+    return at.select("id", "last", _hash_at(F.col("data"), F.col("i"), shingle).alias("h"))
+
+
+def _signed(hashes: DataFrame) -> DataFrame:
+    """Rows (id, last, m0..): the MinHash values of each line."""
+    part = lambda j: (j << 60) - (1 << 64) * (j >= 8)
+    mins = [F.min(F.col("h").bitwiseXOR(F.lit(part(j)))).alias(f"m{j}") for j in range(_MINS)]
+    return hashes.groupBy("id").agg(F.max("last").alias("last"), *mins)
+
+
+def signatures(lines: DataFrame, store: Scratch, shingle: int) -> DataFrame:
+    """Rows (id, keys, q0, q1) of every distinct line: keys of its bands and the low bytes of its values."""
+    all_ = _hashes(lines, shingle)
+    small = F.shiftrightunsigned("h", 48).bitwiseAND(F.lit(4095)) * F.col("last") < _ENOUGH * 4096
+    some = store.keep_by(_signed(all_.where((F.col("last") < _ENOUGH) | small)), "id", "signatures")
+    # values are signed: the smallest of their own part begin with the bits 1000, others come from another part
+    bare = F.lit(False)
+    for j in range(_MINS):
+        bare |= F.shiftrightunsigned(f"m{j}", 60) != 8
+    # no hash at all may be left of a line that repeats a few large ones
+    good = (F.col("last") < _ENOUGH) | ~bare
+    again = lines.join(some.where(good).select("id").hint("shuffle_hash"), "id", "left_anti")
+    m = [F.col(f"m{j}") for j in range(_MINS)]
+    low = [F.shiftleft(x.bitwiseAND(F.lit(255)), 8 * (j % 8)) for j, x in enumerate(m)]
+    signed = some.where(good).unionByName(store.keep(_signed(_hashes(again, shingle)), "again"))
+    return signed.select(
+        "id",
+        F.array(*[F.xxhash64(F.lit(b), *[m[j] for j in js]) for b, js in enumerate(BANDS)]).alias("keys"),
+        *[sum(low[c + 1 : c + 8], low[c]).alias(f"q{c // 8}") for c in range(0, _MINS, 8)],
+    )
+
+
+def bit_sets(lines: DataFrame, shingle: int) -> DataFrame:
+    """Rows (id, n, bits): number of shingles of each line, repeats counted, and 2,048 bits set by their hashes."""
+    h = _hashes(lines, shingle).select("id", "last", F.col("h").bitwiseAND(F.lit(_WORDS - 1)).alias("w"), F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 5) & 63 AS int))").alias("bit"))
+    words = h.groupBy("id", "w").agg(F.max("last").alias("last"), F.bit_or("bit").alias("bits"))
+    of = F.array(*[F.coalesce(F.max(F.when(F.col("w") == w, F.col("bits"))), F.lit(0)) for w in range(_WORDS)])
+    return words.groupBy("id").agg((F.max("last") + 1).cast("long").alias("n"), of.alias("bits"))
+
+
+def _likely(percent: int):
+    def unlike(x: Column, y: Column) -> Column:
+        d = x.bitwiseXOR(y)
+        for n in (4, 2, 1):
+            d = d.bitwiseOR(F.shiftrightunsigned(d, n))
+        return F.bit_count(d.bitwiseAND(F.lit(0x0101010101010101)))
+
+    def cond(left, right) -> Column:
+        return sum((unlike(left(f"q{c}"), right(f"q{c}")) for c in range(_MINS // 8)), F.lit(0)) <= _MINS - least_equal(percent)
+
+    return cond
+
+
 def line_components(
     docs: DataFrame,
     store: Scratch,
@@ -76,43 +164,20 @@ def line_components(
     text_col: str = "text",
     shingle: int = SHINGLE,
     percent: int = PERCENT,
-    classes: int = CLASSES,
-) -> DataFrame:
-    """Rows (id, comp, first_doc) of every distinct line that has a link to another.
-
-    id is the line's 64-bit hash; comp the component; first_doc the smallest document
-    holding the line itself.
-    """
-    lines = lines_of(docs, id_col, text_col).select("doc", F.xxhash64("line").alias("id"), "line")
-    # The encoded line is a generator's output: an expression would be computed again for each slice.
-    encoded = F.transform(
-        F.filter(F.split(text_col, "\n", -1), lambda x: F.length(F.trim(x)) > 0),
-        lambda x: F.struct(F.xxhash64(x).alias("id"), F.encode(x, "utf-8").alias("data")),
-    )
-    rows = docs.select(F.col(id_col).alias("doc"), F.inline(encoded)).select(
-        "doc", "id", "data", F.explode(_starts(F.length("data"), shingle)).alias("i")
-    )
-    h = F.xxhash64(F.substring(F.col("data"), F.col("i") + 1, F.lit(shingle)))
-    # first four bits all different: each value is taken from another part of the hashes
-    salt = [F.shiftrightunsigned(F.xxhash64(F.lit(f"line {j}")), 4).bitwiseOR(F.lit((j - 8) << 60)) for j in range(_MINS)]
-    sigs = rows.select("doc", "id", h.alias("h")).groupBy("id").agg(
-        F.min("doc").alias("first_doc"),
-        *[F.min(F.col("h").bitwiseXOR(s)).alias(f"m{j}") for j, s in enumerate(salt)],
-    )
-    sigs = store.keep(sigs, "signatures")
-    band = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{j}") for j in js]) for b, js in enumerate(bands(classes))])
-    members = sigs.select(F.explode(band).alias("key"), "id")
-    size = F.count("*").over(Window.partitionBy("key"))
-    shared = store.keep(members.withColumn("c", size).where("c > 1").select("key", "id"), "shared")
-    wanted = shared.select("id").distinct().join(sigs.select("id", "first_doc"), "id")
-    texts = store.keep(
-        lines.join(
-            wanted.select("id", F.col("first_doc").alias("doc")).hint("shuffle_hash"), ["id", "doc"], "left_semi"
-        ).groupBy("id").agg(F.min("line").alias("line")),
-        "texts",
-    )
+) -> tuple[DataFrame, DataFrame]:
+    """Components and distinct lines: (id, comp) of every line with a link to another, and ``distinct_lines``."""
+    lines = distinct_lines(docs, store, id_col, text_col)
+    signed = signatures(lines, store, shingle)
+    shared = shared_members(signed.select(F.explode("keys").alias("key"), "id"), store)
+    store.release()
+    texts = store.keep_by(lines.join(shared.select("id").distinct().hint("shuffle_hash"), "id", "left_semi").select("id", "line"), "id", "texts")
+    bits = store.keep_by(bit_sets(texts, shingle), "id", "bits")
 
     def verify(pairs: DataFrame) -> DataFrame:
+        left, right = (bits.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")) for c in "ab")
+        apart = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+        pairs = pairs.join(left, "a").join(right, "b").where(apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
+        pairs = store.keep(pairs, "close")
         a = texts.select(F.col("id").alias("a"), F.col("line").alias("ta"))
         b = texts.select(F.col("id").alias("b"), F.col("line").alias("tb"))
         sets = (
@@ -123,10 +188,9 @@ def line_components(
         )
         return sets.where(F.col("inter") * 100 >= (F.col("total") - F.col("inter")) * percent)
 
-    labels, _ = link(shared, verify, store)
-    out = store.keep(labels.join(sigs.select("id", "first_doc"), "id"), "components")
-    store.drop(sigs, shared, texts, labels)
-    return out
+    labels, _ = link(shared, verify, store, facts=signed.drop("keys"), likely=_likely(percent))
+    store.drop(shared, texts, bits)
+    return labels, lines
 
 
 def dedup_lines(
@@ -154,16 +218,13 @@ def dedup_lines(
     store = Scratch(spark, "lines")
     key = F.coalesce(F.col(id_col), F.lit(2**63 - 1))
     own = docs.select(key.alias("doc_id"), F.col(text_col).alias("text"))
-    comps = line_components(own, store, shingle=shingle, percent=percent)
-    found = lines_of(own, "doc_id", "text").select("doc", "rid", "line_no", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(7), "line").alias("check"))
-    # exact repeats; two texts under one hash are never treated as repeats of each other
-    counts = found.groupBy("id").agg(
-        F.count("*").alias("c"), F.min("doc").alias("lo"), F.min("check").alias("c0"), F.max("check").alias("c1")
-    ).where("c0 = c1")
-    ids = counts.join(comps.select("id", "comp"), "id", "left").where("c > 1 OR comp IS NOT NULL")
-    ids = ids.select("id", F.coalesce("comp", "id").alias("comp"), "lo")
+    comps, lines = line_components(own, store, shingle=shingle, percent=percent)
+    ids = lines.select("id", "c", "first_doc").join(comps, "id", "left").where("c > 1 OR comp IS NOT NULL")
+    ids = ids.select("id", F.coalesce("comp", "id").alias("comp"), F.col("first_doc").alias("lo"))
     best = ids.groupBy("comp").agg(F.min("lo").alias("best"))
     ids = store.keep(ids.join(best, "comp").select("id", "comp", "best"), "repeats")
+    store.drop(lines)
+    found = lines_of(own, "doc_id", "text").select("doc", "rid", "line_no", F.xxhash64("line").alias("id"))
     hit = found.join(ids, "id").groupBy("doc", "rid", "comp", (F.col("doc") == F.col("best")).alias("mine")).agg(
         F.min("line_no").alias("lo"), F.collect_list("line_no").alias("at")
     )

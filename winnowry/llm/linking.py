@@ -1,14 +1,17 @@
 """Links inside candidate buckets and their components, without pairs of all members.
 
-``link`` takes bucket memberships (key, id) from a banding step and a ``verify``
-function, and returns the connected components of the verified links.  It never
-emits all pairs of a bucket.  In each round every bucket names a few pivots; each
-pivot is compared with those members that are still in another component; then the
-pivot leaves the bucket.  Buckets whose members are already connected are finished.
-The first round has one pivot a bucket, the member that shares most buckets: among near
-copies that is the text they were made from.  The number of pivots then grows by rounds, so
-a bucket of near copies is soon connected, and a bucket of members that are not alike still
-gets every comparison.
+``shared_members`` leaves those bucket memberships (key, id) of a banding step that can lead to
+a pair.  ``link`` takes them with a ``verify`` function and returns the connected components
+of the verified links.  It never emits all pairs of a bucket:
+
+1. Every bucket names one pivot, the member that shares most buckets: among near copies that
+   is the text they were made from.  Every member is compared with the best of its pivots,
+   so it makes one pair at most, and a group of near copies is mostly connected after it.
+2. What is left are buckets with members of two or more components.  A bucket names up to
+   ``fan`` pivots, none from its largest component, and each is compared with the members of other
+   components; then these pivots leave the bucket.  A bucket whose members are all connected
+   is finished.  No pair is verified twice.  The number of pivots grows by rounds, so members that
+   are not alike still get every comparison.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch, is_empty
 
+_FAN = 16
+
 
 def connected_components(edges: DataFrame, store: Scratch) -> DataFrame:
     """Components of the links (a, b): rows (id, comp) of every id in a link, comp the smallest id.
@@ -34,6 +39,11 @@ def connected_components(edges: DataFrame, store: Scratch) -> DataFrame:
         "links",
     )
     while True:
+        ends = cur.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+        ends = ends.unionByName(cur.select(F.col("b").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        # done when every id points to one root and no root points on
+        if not ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1").count():
+            break
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = store.keep(
@@ -50,74 +60,84 @@ def connected_components(edges: DataFrame, store: Scratch) -> DataFrame:
         new = store.keep(small, "links")
         store.drop(cur, large)
         cur = new
-        # done when every id points to one root and no root points on
-        n, ids = cur.agg(F.count("*"), F.count_distinct("a")).first()
-        if n == ids and is_empty(cur.join(cur.select(F.col("a").alias("b")), "b", "left_semi")):
-            break
     roots = cur.select(F.col("b").alias("id")).distinct().select("id", F.col("id").alias("comp"))
     return cur.select(F.col("a").alias("id"), F.col("b").alias("comp")).unionByName(roots)
 
 
 def _joined(labels: DataFrame, found: DataFrame, store: Scratch) -> DataFrame:
     """Labels after more links: components of the links between components, then of their ids."""
-    known = labels.unionByName(
-        found.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(labels, "id", "left_anti").withColumn("comp", F.col("id"))
-    )
-    of = lambda c: known.select(F.col("id").alias(c), F.col("comp").alias(f"c{c}"))
-    between = found.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    moved = connected_components(between, store).select(F.col("id").alias("comp"), F.col("comp").alias("_to"))
-    return known.join(moved, "comp", "left").select("id", F.coalesce("_to", "comp").alias("comp"))
+    of = lambda c: labels.select(F.col("id").alias(c), F.col("comp").alias(f"c{c}"))
+    between = found.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    between = between.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    moved = connected_components(between, store).select(F.col("id").alias("comp"), F.col("comp").alias("to"))
+    old = labels.join(moved, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
+    fresh = moved.select(F.col("comp").alias("id"), F.col("to").alias("comp")).join(labels.select("id"), "id", "left_anti")
+    return old.unionByName(fresh)
+
+
+def shared_members(members: DataFrame, store: Scratch) -> DataFrame:
+    """Rows (key, id, size) of the buckets that two ids or more have in common; ``members`` has each (key, id) once.
+
+    Sizes are summed before the shuffle, so a bucket with a large share of all rows is no load for one task.
+    """
+    size = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    return store.keep(members.join(size, "key"), "shared")
 
 
 def link(
-    members: DataFrame,
+    shared: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
     store: Scratch,
-    extra: tuple[str, ...] = (),
+    facts: DataFrame | None = None,
     likely: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None,
-    fan: int = 1,
+    fan: int = _FAN,
 ) -> tuple[DataFrame, DataFrame]:
-    """Components and links of (key, id, *extra) rows; see the module's text.
+    """Components and links of the rows of ``shared_members``; see the module's text.
 
-    ``likely(left, right)`` builds a cheap condition over the ``extra`` columns of both
-    sides that must hold for every true link.  ``verify`` gets distinct pairs (a, b),
-    a < b, and returns those that are links.  Returns (labels (id, comp), links (a, b)).
+    ``facts`` has columns beside id; ``likely(left, right)`` builds a cheap condition over them
+    that must hold for every true link.  ``verify`` gets distinct pairs (a, b), a < b, and
+    returns those that are links.  Returns (labels (id, comp), links (a, b)).
     """
-    size = members.groupBy("key").agg(F.count("*").alias("_size")).where("_size > 1")
-    live = store.keep(members.join(size, "key"), "members")
-    score = live.groupBy("id").agg(F.sum("_size").alias("score"))
-    first = live
-    live = live.join(score, "id").withColumn("comp", F.col("id"))
-    links, labels = None, None
+    extra = [] if facts is None else [c for c in facts.columns if c != "id"]
+    live = shared.join(shared.groupBy("id").agg(F.sum("size").alias("score")), "id")
+    if facts is not None:
+        live = live.join(facts, "id")
+    live = store.keep(live.select("key", "id", "score", *extra), "members")
+    first = F.struct("score", -F.col("id"))
+    hold = F.lit(True) if likely is None else likely(F.col, lambda c: F.col(f"p.{c}"))
+
+    pivots = live.groupBy("key").agg(F.max_by(F.struct("id", "score", *extra), first).alias("p"))
+    best = (
+        live.join(pivots, "key").where((F.col("id") != F.col("p.id")) & hold)
+        .groupBy("id").agg(F.max_by("p.id", F.struct("p.score", -F.col("p.id"))).alias("p"))
+    )
+    pairs = store.keep(best.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct(), "pairs")
+    links = store.keep(verify(pairs).select("a", "b"), "found")
+    tested, labels, stored = pairs, store.keep(connected_components(links, store), "labels"), live
+
     while True:
-        pick = F.when(F.col("_size") <= fan, F.col("id")).otherwise(F.pmod(F.xxhash64("id", "key"), F.lit(fan)))
-        pivots = live.groupBy("key", pick.alias("pick")).agg(
-            F.max_by(F.struct("id", "comp", *extra), F.struct("score", -F.col("id"))).alias("p")
-        )
+        now = live.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        parts = now.groupBy("key", "comp").agg(F.count("*").alias("n"))
+        most = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("most"))
+        most = most.where("parts > 1").select("key", F.col("most.comp").alias("main"), (F.col("n") - F.col("most.n")).alias("others"))
+        now, old = store.keep(now.join(most, "key"), "members"), stored
+        stored = now
+        store.drop(old)
+        if is_empty(now):
+            return labels, links
+        pick = F.when(F.col("others") <= fan, F.col("id")).otherwise(F.pmod(F.xxhash64("id", "key"), F.lit(fan)))
+        pivots = now.where("comp <> main").groupBy("key", pick.alias("pick")).agg(F.max_by(F.struct("id", "comp", *extra), first).alias("p"))
         pivots = store.keep(pivots.select("key", "p"), "pivots")
-        near = F.col("comp") != F.col("p.comp")
-        if likely is not None:
-            near &= likely(F.col, lambda c: F.col(f"p.{c}"))
-        pairs = (
-            live.join(pivots, "key")
-            .where(near)
-            .select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
-            .distinct()
-        )
-        found = store.keep(verify(pairs).select("a", "b"), "found")
+        pairs = now.join(pivots, "key").where((F.col("comp") != F.col("p.comp")) & hold)
+        pairs = pairs.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
+        pairs = store.keep(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        if not is_empty(pairs):
+            found = store.keep(verify(pairs).select("a", "b"), "found")
+            tested = tested.unionByName(pairs)
+            if not is_empty(found):
+                links = links.unionByName(found)
+                labels, old = store.keep(_joined(labels, found, store), "labels"), labels
+                store.drop(old)
         done = pivots.select("key", F.col("p.id").alias("id"))
-        rest = live.join(done, ["key", "id"], "left_anti").drop("comp")
-        links = found if links is None else links.unionByName(found)
-        if labels is None:
-            labels = store.keep(connected_components(found, store), "labels")
-        elif not is_empty(found):
-            labels, old = store.keep(_joined(labels, found, store), "labels"), labels
-            store.drop(old)
-        rest = rest.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        open_ = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-        rest = store.keep(rest.join(open_.select("key"), "key", "left_semi"), "members")
-        store.drop(pivots, first, live)
-        first, live = None, rest
-        if is_empty(live):
-            return labels, links
-        fan *= 4
+        live = now.select("key", "id", "score", *extra).join(done, ["key", "id"], "left_anti")
+        fan *= 16

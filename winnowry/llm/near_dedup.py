@@ -6,8 +6,8 @@ bits.  Empty registers are filled from others in a fixed order, so that short te
 compare as well.  Bands hash as many registers each as
 lose at most one in ten thousand pairs at the threshold; together they cover all registers.  Sets of at most twenty shingles meet
 by exact keys of their smallest shingles instead.  Pairs that share a band are kept if
-the sizes allow a link and if the share of equal four-bit registers, corrected for chance
-collisions, is not far below the threshold; then the full sets decide.
+the sizes allow a link and if the share of equal registers, on four bits each, among those that are filled in
+one of both, corrected for chance collisions, is not far below the threshold; then the full sets decide.
 """
 
 from __future__ import annotations
@@ -18,25 +18,26 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import wordhash as W
-from .linking import link
+from .linking import link, shared_members
 from .scratch import Scratch
 
 REGISTERS = 256
 LOSS = 1e-4
 MANTISSA = 10
 SHORT = 20
+MARGIN = 0.12
 _COMMON = 3
-_PACKED = 256
 _rng = np.random.default_rng(7)
+_SALTS = (np.uint64(0), np.uint64(0xA0761D6478BD642F))
 _DETOUR = np.array([_rng.permutation(REGISTERS) for _ in range(64)])
 
 
-def registers(sets: list[np.ndarray]) -> np.ndarray:
-    """Registers of each set, 0 where the set is empty: (leading zeros + 1) << 10 | mantissa."""
+def registers(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Registers of each set, (leading zeros + 1) << 10 | mantissa: with empty ones filled from others, and as they are (0: empty)."""
     low = np.zeros((len(sets), REGISTERS), np.uint64)
     have = np.zeros((len(sets), REGISTERS), bool)
     for d, u in enumerate(sets):
@@ -58,7 +59,7 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
         full[d[ok], j[ok]] = reg[d[ok], turn[ok]]
         d, j = d[~ok], j[~ok]
         step += 1
-    return full
+    return full, reg
 
 
 def rows_of_bands(percent: int) -> int:
@@ -113,8 +114,8 @@ def _keys(u: np.ndarray, bands: np.ndarray, percent: int) -> list[int]:
 
 
 def packed(reg: np.ndarray) -> np.ndarray:
-    """The registers' low four bits, sixteen to a signed 64-bit value."""
-    four = (reg[:, REGISTERS - _PACKED :] & np.uint16(15)).astype(np.uint64).reshape(len(reg), -1, 16)
+    """The registers on four bits, sixteen to a signed 64-bit value; 0 where a register is empty."""
+    four = np.where(reg > 0, reg % 15 + 1, 0).astype(np.uint64).reshape(len(reg), -1, 16)
     return (four << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64).view(np.int64)
 
 
@@ -124,20 +125,22 @@ def _sketch(k: int, percent: int):
             data, at = W.utf8(batch.column("text"))
             for i, j in W.slices(at):
                 sets = W.shingle_sets(data[at[i] : at[j]], at[i : j + 1] - at[i], k)
-                reg = registers(sets)
+                reg, own = registers(sets)
                 size = np.array([len(s) for s in sets], np.int64)
-                ident = [W.mix(s).sum(dtype=np.uint64) ^ np.uint64(len(s)) for s in sets]
-                keys, four = band_keys(reg, percent), packed(reg)
+                ident = [[W.mix(s + salt).sum(dtype=np.uint64) ^ np.uint64(len(s)) for s in sets] for salt in _SALTS]
+                one, two = (W.mix(np.array(x, np.uint64)).view(np.int64) for x in ident)
+                keys, four = band_keys(reg, percent), packed(own)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc").slice(i, j - i),
                         batch.column("check").slice(i, j - i),
                         pa.array(size),
-                        pa.array(W.mix(np.array(ident, np.uint64)).view(np.int64)),
+                        pa.array(one),
+                        pa.array(two),
                         pa.array([_keys(u, x, percent) for u, x in zip(sets, keys, strict=True)], pa.list_(pa.int64())),
-                        *[pa.array(np.ascontiguousarray(four[:, c])) for c in range(_PACKED // 16)],
+                        *[pa.array(np.ascontiguousarray(four[:, c])) for c in range(REGISTERS // 16)],
                     ],
-                    names=["doc", "check", "n", "cid", "keys", *[f"q{c}" for c in range(_PACKED // 16)]],
+                    names=["doc", "check", "n", "cid", "cid2", "keys", *[f"q{c}" for c in range(REGISTERS // 16)]],
                 )
 
     return run
@@ -161,22 +164,22 @@ def _verified(k: int, percent: int):
 
 
 def _likely(percent: int):
-    nibbles = 0x1111111111111111
+    def filled(x: Column) -> Column:
+        for n in (1, 2):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, n))
+        return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
 
-    def unlike(x: Column, y: Column) -> Column:
-        d = x.bitwiseXOR(y)
-        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
-        d = d.bitwiseOR(F.shiftrightunsigned(d, 2))
-        return F.bit_count(d.bitwiseAND(F.lit(nibbles)))
-
-    # equal by chance: 1/16; the margin is more than five standard deviations of the estimate
-    least = (percent / 100 - 0.14) * 15 / 16 + 1 / 16
+    # equal by chance: 1/15; MARGIN is five standard deviations of the estimate or more
+    apart = 1 - ((percent / 100 - MARGIN) * 14 / 15 + 1 / 15)
 
     def cond(left, right) -> Column:
         n, m = left("n"), right("n")
-        sizes = (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
-        off = sum((unlike(left(f"q{c}"), right(f"q{c}")) for c in range(_PACKED // 16)), F.lit(0))
-        return sizes & ((F.least(n, m) < 100) | (off <= int(_PACKED * (1 - least))))
+        quads = [(left(f"q{c}"), right(f"q{c}")) for c in range(REGISTERS // 16)]
+        unlike = sum((filled(x.bitwiseXOR(y)) for x, y in quads), F.lit(0))
+        either = sum((filled(x.bitwiseOR(y)) for x, y in quads), F.lit(0))
+        # short sets meet by exact keys and are not estimated
+        near = (F.least(n, m) <= SHORT) | (unlike <= either * F.lit(apart))
+        return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & near
 
     return cond
 
@@ -190,26 +193,32 @@ def near_groups(
     sets; a document with fewer words has the whole sequence as its one shingle; one without
     words has none and is linked with nothing.  Documents with equal sets form a class before
     banding, so exact copies never meet as pairs.  check is a hash of the text.
+
+    Defined cases: null, empty and wordless texts have n 0 and component their own id; a null id
+    is kept as null and is never a component's smallest id unless the group has no other (then
+    component is null); repeated rows come out as often as they went in; no rows give no rows.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("check"), F.col(text_col).alias("text"))
-    quads = [f"q{c}" for c in range(_PACKED // 16)]
-    schema = "doc long, check long, n long, cid long, keys array<long>, " + ", ".join(f"{q} long" for q in quads)
+    quads = [f"q{c}" for c in range(REGISTERS // 16)]
+    schema = "doc long, check long, n long, cid long, cid2 long, keys array<long>, " + ", ".join(f"{q} long" for q in quads)
     sigs = store.keep(own.mapInArrow(_sketch(k, percent), schema), "sketches")
     reps = (
-        sigs.where(F.size("keys") > 0)
-        .groupBy("cid")
-        .agg(F.min_by(F.struct("doc", "check", "n", "keys", *quads), F.struct("doc", "check")).alias("r"))
+        sigs.where("n > 0")
+        .groupBy("cid", "cid2")
+        .agg(F.min_by(F.struct("doc", "check", "n", "keys", *quads), F.struct("doc", "check")).alias("r"), F.min("doc").alias("lo"))
     )
-    reps = store.keep(reps.select(F.col("cid").alias("id"), "r.*"), "classes")
-    members = reps.select(F.explode("keys").alias("key"), "id")
-    size = members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    met = members.join(size.select("key"), "key", "left_semi")
-    shared = store.keep(met.join(reps.drop("keys"), "id"), "shared")
-    wanted = shared.select("id", "doc", "check").distinct()
-    texts = store.keep(
+    # different sets under one first hash get ids of both hashes
+    alone = F.count("*").over(Window.partitionBy("cid")) == 1
+    reps = store.keep(reps.select(F.when(alone, F.col("cid")).otherwise(F.xxhash64("cid", "cid2")).alias("id"), "cid", "cid2", "lo", "r.*"), "classes")
+    shared = shared_members(reps.select(F.explode("keys").alias("key"), "id"), store)
+    facts = reps.join(shared.select("id").distinct(), "id", "left_semi").select("id", "doc", "check", "n", *quads)
+    facts = store.keep(facts, "facts")
+    wanted = facts.select("id", "doc", "check")
+    texts = store.keep_by(
         own.join(wanted.hint("shuffle_hash"), [own["doc"].eqNullSafe(wanted["doc"]), own["check"] == wanted["check"]])
         .select("id", "text")
         .dropDuplicates(["id"]),
+        "id",
         "texts",
     )
 
@@ -218,19 +227,18 @@ def near_groups(
         b = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
         return pairs.join(a, "a").join(b, "b").mapInArrow(_verified(k, percent), "a long, b long")
 
-    labels, _ = link(shared, verify, store, extra=("n", *quads), likely=_likely(percent))
-    base = sigs.select("doc", "check", "n", "cid")
-    to = base.where("n > 0").groupBy("cid").agg(F.min("doc").alias("lo"))
-    to = to.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    labels, _ = link(shared, verify, store, facts=facts.drop("doc", "check"), likely=_likely(percent))
+    to = reps.select("id", "cid", "cid2", "lo").join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     best = to.groupBy("comp").agg(F.min("lo").alias("component"))
-    to = to.join(best, "comp").select("cid", "component")
+    to = to.join(best, "comp").select("cid", "cid2", "component")
+    base = sigs.select("doc", "check", "n", "cid", "cid2")
     out = store.keep(
-        base.join(to, "cid", "left").select(
+        base.join(to, ["cid", "cid2"], "left").select(
             "doc", "check", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc")).alias("component")
         ),
         "groups",
     )
-    store.drop(sigs, reps, shared, texts, labels)
+    store.drop(sigs, reps, shared, facts, texts, labels)
     return out
 
 

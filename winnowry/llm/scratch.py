@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 
@@ -19,9 +20,11 @@ _CONF = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder of the session; sets a temporary one if it has none."""
+    """The shared folder of the session; a local session that names none gets a temporary one, a cluster an error."""
     folder = spark.conf.get(_CONF, None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError(f"{_CONF} must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="winnowry-")
         spark.conf.set(_CONF, folder)
     return folder.rstrip("/")
@@ -30,7 +33,8 @@ def shared_folder(spark: SparkSession) -> str:
 class Scratch:
     """Tables of one operator call, in a folder of their own.
 
-    ``keep`` writes a table and returns it re-read; ``drop`` deletes one that no
+    ``keep`` writes a table and returns it re-read; ``keep_by`` writes it in buckets of a
+    column, so that later joins on that column leave it where it is; ``drop`` deletes one that no
     later step reads.  What is left is deleted when the driver ends.
     """
 
@@ -46,18 +50,27 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._scratch_path = path
-        del df
-        self.release()
+        return back
+
+    def keep_by(self, df: DataFrame, column: str, name: str = "t") -> DataFrame:
+        self._n += 1
+        path, table = f"{self.folder}/{self._n:03d}-{name}", f"winnowry_{uuid.uuid4().hex}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.bucketBy(buckets, column).options(path=path, compression="zstd").saveAsTable(table)
+        back = self.spark.table(table)
+        back._scratch_path, back._scratch_table = path, table
         return back
 
     def drop(self, *tables: DataFrame | None) -> None:
         for t in tables:
             path = getattr(t, "_scratch_path", None)
+            if getattr(t, "_scratch_table", None):
+                self.spark.sql(f"DROP TABLE IF EXISTS {t._scratch_table}")
             if path:
                 self._delete(path)
 
     def release(self) -> None:
-        """Let Spark's cleaner remove shuffle files of plans that nothing refers to any more."""
+        """Let Spark's cleaner remove shuffle files of plans that nothing refers to any more; worth it after large shuffles."""
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
