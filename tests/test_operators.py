@@ -2,12 +2,13 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from winnowry.engine import Config, Curation, ReplayJudge
 from winnowry.functions import geometry, ranks, text
-from winnowry.operators import pairsets, selection, similarity, statistics, tournament
+from winnowry.operators import ordering, pairsets, selection, similarity, statistics, taste, tournament
 from winnowry.sources import files
 from winnowry.streaming import progress
 
@@ -20,7 +21,7 @@ def test_ranks_of_ties_singletons_and_nulls(spark):
     df = spark.createDataFrame([(1, 5.0), (2, 5.0), (3, None)], "i int, v double")
     assert rows(ranks.sparse_rank(df, "v", "i", "r"), "i", "r") == [(1, 0.0), (2, 1.0), (3, 0.5)]
     one = spark.createDataFrame([(1, 2.0)], "i int, v double")
-    assert one.select(ranks.mid_rank("v")).first()[0] == 0.5
+    assert ranks.mid_rank(one, "v", "r").first()["r"] == 0.5 and ranks.distinct_rank(one, "v", "i", "r").first()["r"] == 0.0
     assert one.select(ranks.z_score("v")).first()[0] == 0.0
 
 
@@ -91,19 +92,23 @@ def test_verdicts_keep_the_cap_and_count_reasons(spark):
 
 def test_leaders_join_the_most_similar_smaller_leader(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.8, 0.6]), (3, [0.6, 0.8]), (4, [0.0, 1.0])], "i long, v array<double>")
-    near = similarity.pair_table(v, "i", "v").where("s >= 0.7")
+    near = similarity.near_pairs(v, "i", "v", 0.7)
     assert rows(similarity.leader_groups(v, near, "i"), "i", "leader") == [(1, 1), (2, 1), (3, 3), (4, 3)]
 
 
 def test_exact_statistics():
     assert statistics.mcnemar(0, 0) == 1.0 and math.isclose(statistics.mcnemar(1, 5), 0.21875)
     assert math.isclose(statistics.hypergeometric_tail(0, 10, 3, 4), 1.0)
+    exact = 2 * sum(math.comb(1400, i) for i in range(651)) / 2**1400
+    assert math.isclose(statistics.mcnemar(650, 750), exact, rel_tol=1e-9) and statistics.mcnemar(10**8, 10**8) == 1.0
     assert statistics.needed(0.75) is not None and statistics.power(10, 0.5) <= 0.05
 
 
 def test_auc_with_an_empty_class(spark):
     df = spark.createDataFrame([(1.0, True), (2.0, True)], "v double, g boolean")
-    assert statistics.auc(df, "v", "g").first()["auc"] is None
+    assert math.isnan(statistics.auc(df, "v", "g").first()["auc"])
+    low, high = spark.range(1).select(*statistics.wilson(F.lit(0), F.lit(0))).first()
+    assert math.isnan(low) and math.isnan(high)
 
 
 def test_small_plans():
@@ -114,10 +119,120 @@ def test_small_plans():
     assert picks == [("g", "x", 0.1)]
 
 
+def plain_codes(n, seed):
+    """The generator in 32-bit numpy arithmetic."""
+    a, out = np.uint32(seed), []
+    with np.errstate(over="ignore"):
+        while len(out) < n:
+            code = ""
+            for _ in range(4):
+                a = np.uint32(a + np.uint32(0x6D2B79F5))
+                t = np.uint32((a ^ (a >> np.uint32(15))) * (np.uint32(1) | a))
+                t = np.uint32(t + np.uint32((t ^ (t >> np.uint32(7))) * (np.uint32(61) | t))) ^ t
+                code += text.ALPHABET[int(int(t ^ (t >> np.uint32(14))) / 2**32 * len(text.ALPHABET))]
+            out.append(code)
+    return out
+
+
+def test_places_do_not_depend_on_ranges(spark):
+    """Global places, places in groups, running sums and counts below against sorted lists; one group holds most rows."""
+    r = np.random.default_rng(5)
+    data = [(int(i), "big" if r.random() < 0.7 else str(r.choice(["a", "b"])), int(r.integers(0, 9))) for i in r.permutation(300)] + [(900, None, 3), (901, None, 4)]
+    df = spark.createDataFrame(data, "i long, g string, v int").repartition(7)
+    spark.conf.set("spark.sql.shuffle.partitions", 5)
+    try:
+        order = sorted(data, key=lambda x: (-x[2], x[0]))
+        got = ordering.numbered(df, [F.desc("v"), F.col("i")], "at").orderBy("at").collect()
+        assert [(x["i"], x["at"]) for x in got] == [(x[0], k) for k, x in enumerate(order)]
+        total = ordering.running_sum(df, [F.desc("v"), F.col("i")], F.col("v"), "s").orderBy(F.desc("v"), "i").collect()
+        assert [x["s"] for x in total] == np.cumsum([x[2] for x in order]).tolist()
+        inside = {x["i"]: (x["at"], x["n"]) for x in ordering.numbered_in(df, ["g"], [F.col("v"), F.col("i")], "at", "n").collect()}
+        below = {(x["g"], x["v"]): (x["c"], x["below_c"]) for x in ordering.below_counts(df, "v", {"c": F.count("*")}, ["g"]).collect()}
+        for g in ("big", "a", "b", None):
+            mine = sorted((x for x in data if x[1] == g), key=lambda x: (x[2], x[0]))
+            assert [inside[x[0]] for x in mine] == [(k, len(mine)) for k in range(len(mine))]
+            for v in {x[2] for x in mine}:
+                assert below[g, v] == (sum(x[2] == v for x in mine), sum(x[2] < v for x in mine))
+        none = df.where("false")
+        assert ordering.numbered(none, [F.col("i")], "at").collect() == ordering.numbered_in(none, ["g"], [F.col("i")], "at").collect() == []
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 2)
+
+
+def test_blocked_pairs_and_quantiles(spark):
+    """Several blocks, against numpy: all pairs, quantiles, and quantiles of flagged items."""
+    r = np.random.default_rng(8)
+    x = r.normal(size=(1300, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    own = r.random(1300) < 0.1
+    items = spark.createDataFrame([(i, v.tolist(), bool(o)) for i, (v, o) in enumerate(zip(x, own, strict=True))], "i long, v array<double>, own boolean").cache()
+    a, b = np.triu_indices(1300, 1)
+    s = (x @ x.T)[a, b]
+    got = {(p["i"], p["j"]): p["s"] for p in similarity.near_pairs(items, "i", "v", 0.97).collect()}
+    want = {(int(i), int(j)): c for i, j, c in zip(a, b, s, strict=True) if c >= 0.97}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-12) for k in want)
+    assert np.allclose(similarity.quantiles(items, "i", "v", [0.5, 0.98]), np.quantile(s, [0.5, 0.98]), atol=1e-9)
+    assert np.allclose(similarity.quantiles(items, "i", "v", [0.5], 0.5, "own"), np.quantile(s[own[a] & own[b]] + 0.5, 0.5), atol=1e-9)
+    assert similarity.threshold(items.where("i = 0"), "i", "v", 0.9, 0.7) == 0.7
+
+
+def test_scenes(spark):
+    """Hashes with one differing bit in many places, a limit of light, of time, of contrast; the nearest, earliest representative."""
+    spread = sum(1 << (4 * k) for k in range(14))
+    data = [
+        (1, 0, 100, 50, 0), (2, spread, 100, 50, 60),  # 14 bits apart, close in time
+        (3, (1 << 63) - 1, 100, 50, 0), (4, (1 << 63) - 2, 145, 50, 10**6),  # one bit apart but too bright
+        (5, (1 << 63) - 8, 100, 50, 10**6),  # three bits from 3; two from 4, whose time is close
+        (6, 0, 100, 3, 0), (7, None, 100, 50, 0), (8, 3, 100, 50, 10**7), (9, -(1 << 63), 100, 50, None),
+    ]
+    df = spark.createDataFrame(data, "i long, bits long, light int, contrast int, t long")
+    got = rows(similarity.scene_groups(df, "i", "bits", "light", "contrast", F.timestamp_seconds("t")), "i", "group", "position", "count")
+    assert got == [(1, 1, 1, 4), (2, 1, 2, 4), (4, 2, 1, 2), (5, 2, 2, 2), (8, 1, 3, 4), (9, 1, 4, 4)]
+
+
+def test_probe_and_curve(spark):
+    """Scores and held-out curves against the same steps in numpy on all rows."""
+    r = np.random.default_rng(2)
+    x = r.normal(size=(120, 5))
+    y = (x[:, 0] + 0.3 * r.normal(size=120) > 0.8).astype(int)
+    items = spark.createDataFrame([(i, v.tolist(), int(t)) for i, (v, t) in enumerate(zip(x, y, strict=True))], "i long, v array<double>, y int")
+    z = (x - x.mean(0)) / x.std(0)
+    w, b = np.zeros(5), 0.0
+    share = np.where(y == 1, (y == 0).sum() / (y == 1).sum(), 1.0)
+    for _ in range(800):
+        g = share * (y - 1 / (1 + np.exp(-(z @ w + b))))
+        w, b = w + 0.5 * (z.T @ g / 120 - 3.0 * w / 120), b + 0.5 * g.mean()
+    got = {q["i"]: q["p"] for q in taste.probe_scores(items, "i", "v", "y", [0, 1]).where("target = 1").collect()}
+    assert np.allclose([got[i] for i in range(120)], 1 / (1 + np.exp(-(z @ w + b))), atol=1e-9)
+    curve = {(c["protocol"], c["m"]): c for c in taste.holdout_curve(items, "i", "v", F.col("y") == 1, [3, 500], splits=10).collect()}
+    assert set(curve) == {("production", 3), ("research", 3)}
+    for p in ("production", "research"):
+        auc = [taste.split_auc(z, y == 1, 3, s, p) for s in range(10)]
+        assert math.isclose(curve[p, 3]["probe_auc"], np.mean(auc), abs_tol=6e-5) and curve[p, 3]["probe_auc"] > 0.5
+    wins = np.mean([(p > q) + (p == q) / 2 for p in x[y == 1, 0] for q in x[y == 0, 0]])
+    assert math.isclose(statistics.rank_auc(x[:, 0], y == 1), wins)
+
+
+def test_capped_top_grows_the_cap(spark):
+    df = spark.createDataFrame([(i, "big" if i < 20 else f"s{i}") for i in range(25)], "i long, g string")
+    for k, cap, want in ((5, 1, [0, 20, 21, 22, 23]), (12, 2, [*range(7), 20, 21, 22, 23, 24]), (99, 1, list(range(25)))):
+        assert [r["i"] for r in selection.top_with_cap(df, "g", [F.col("i")], k, cap).orderBy("i").collect()] == want
+
+
+def test_large_groups_are_cut_before_the_tournament(spark):
+    df = spark.createDataFrame([("g", i, -float(i)) for i in range(50)], "g string, i long, s double")
+    t = tournament.tournaments(df, "g", "i", "s", None, 8)
+    assert t.first()["members"] == list(range(8))
+    p = tournament.places(df, t, "g", "i", "s")
+    assert rows(p, "within_rank", "i") == [(i, i) for i in range(50)]
+
+
 def test_text_helpers():
     assert text.last_json('<think>{"a":0}</think> x {"a": 1} tail') == {"a": 1} and text.last_json("none") is None
     assert text.translate_reason("1 beats 2, not 10 or 1.5", ["p", "q"]) == "p beats q, not 10 or 1.5"
-    assert len(set(text.codes(500))) == 500 and text.codes(5) == text.codes(5)
+    codes = text.codes(500)
+    assert len(set(codes)) == 500 and codes[:5] == text.codes(5) == plain_codes(5, 20260904)
+    assert set("".join(codes)) <= set(text.ALPHABET) and not set("0OIL1Z2S5B8") & set(text.ALPHABET)
 
 
 def test_files(spark, tmp_path):
@@ -147,14 +262,12 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_session(spark):
-    import numpy as np
-
     r = np.random.default_rng(1)
     base = r.normal(size=(6, 8))
     x = np.repeat(base, 3, axis=0) + r.normal(size=(18, 8)) * 0.05
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     items = spark.createDataFrame([(i, v.tolist(), float(i % 5)) for i, v in enumerate(x)], "item long, vector array<double>, score double")
-    c = Curation(spark, items, Config(target=6, segments=3, family_cap=1, percentile=0.5))
+    c = Curation(spark, items, Config(target=6, segments=3, family_cap=1, percentile=0.88))  # 18 of 153 pairs are inside groups
     ranked = c.rank().cache()
     assert ranked.count() == 18 and ranked.select("family").distinct().count() == 6
     assert c.select(ranked).count() == 6

@@ -12,7 +12,7 @@ DATA = "/root/testdata/sf0.001"
 SOME = [
     "entry_top20", "p2_mid_rank", "p5_stratified_rank", "p13_sharpness", "p22_offline_score", "j6_replay_lookup", "j9_scene_match", "w8_capped_top",
     "w11_match_budget", "a1_threshold", "a6_auc", "a9_hypergeometric", "a17_mcnemar", "a18_permutation", "a33_latency", "q1_leader_groups",
-    "q2_scene_pairs", "q3_tournament", "q4_rejected_groups", "q5_spread_selection", "q6_marginal_contests", "q8_invariants", "s3_strided_sample",
+    "q2_scene_groups", "q7_apply_verdicts", "a10_report", "p1_distinct_rank", "w1_champions_first", "a2_near_pairs", "a3_concentration", "q3_tournament", "q4_rejected_groups", "q5_spread_selection", "q6_marginal_contests", "q8_invariants", "s3_strided_sample",
 ]
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import ranks
 from .operators import selection, similarity, statistics, tournament
+from .operators.ordering import numbered_in
 from .operators.stored import stored
 
 
@@ -61,21 +62,18 @@ class Curation:
 
     def families(self) -> DataFrame:
         """(item, family) by leader groups at the data's own threshold."""
-        pairs = stored(similarity.pair_table(self.items, "item", "vector"))
-        t = similarity.threshold(pairs, self.config.percentile, self.config.floor)
-        near = stored(pairs.crossJoin(F.broadcast(t)).where("s >= t"))
+        t = similarity.threshold(self.items, "item", "vector", self.config.percentile, self.config.floor)
+        near = stored(similarity.near_pairs(self.items, "item", "vector", t))
         return similarity.leader_groups(self.items, near, "item").withColumnRenamed("leader", "family")
 
     def rank(self, judge: Judge | None = None) -> DataFrame:
         """(item, family, seg, score, within_rank, ord) and whether the family was rejected."""
         f = stored(self.items.select("item", "score").join(self.families(), "item"))
         said = (judge or LocalJudge()).table(f)
-        t = tournament.tournaments(f, "family", "item", "score", said, self.config.arena)
-        placed = t.select("family", "rejected", F.posexplode("ranked").alias("within_rank", "item"))
-        r = f.join(placed, ["family", "item"], "left").withColumns({"within_rank": F.coalesce("within_rank", F.lit(0)), "rejected": F.coalesce("rejected", F.lit(False))})
-        n = r.agg(F.count("*").alias("n"))
-        r = r.withColumn("seq", ranks.distinct_rank("item", "item")).crossJoin(F.broadcast(n))
-        r = r.withColumn("seg", ranks.segment(F.round(F.col("seq") * (F.col("n") - 1)), F.col("n"), self.config.segments))
+        t = stored(tournament.tournaments(f, "family", "item", "score", said, self.config.arena))
+        r = f.join(tournament.places(f, t, "family", "item", "score"), ["family", "item"])
+        r = numbered_in(r, [], [F.col("item")], "seq", "n")
+        r = r.withColumn("seg", ranks.segment(F.col("seq"), F.col("n"), self.config.segments))
         return selection.champions_first(r, "within_rank", "score", "item").drop("seq", "n")
 
     def select(self, ranked: DataFrame) -> DataFrame:
@@ -83,7 +81,7 @@ class Curation:
         c = self.config
         ok = ranked.where(~F.col("rejected"))
         if not c.segments:
-            return selection.top_with_cap(ok, "family", "ord", c.target, c.family_cap)
+            return selection.top_with_cap(ok, "family", [F.col("ord")], c.target, c.family_cap)
         return selection.spread_selection(ok, "item", "family", "seg", "ord", c.target, c.family_cap, c.segments)
 
     def contests(self, ranked: DataFrame, picked: DataFrame) -> DataFrame:

@@ -5,53 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordering import attach, below_counts, numbered_in
 
-def _over(part: list[str]):
-    return Window.partitionBy(*(part or [F.lit(0)]))
 
-
-def distinct_rank(value: str, item: str, part: list[str] | None = None) -> Column:
+def distinct_rank(df: DataFrame, value: str, item: str, out: str, part: list[str] | None = None) -> DataFrame:
     """0..1 by position in (value, item) order; equal values get different ranks. One row gives 0."""
-    w = _over(part or [])
-    n = F.count(F.lit(1)).over(w)
-    return (F.row_number().over(w.orderBy(value, item)) - 1) / F.greatest(n - 1, F.lit(1))
+    placed = numbered_in(df, part or [], [F.col(value), F.col(item)], "_at", "_of")
+    return placed.withColumn(out, F.col("_at") / F.greatest(F.col("_of") - 1, F.lit(1))).drop("_at", "_of")
 
 
-def mid_rank(value: str, part: list[str] | None = None) -> Column:
+def mid_rank(df: DataFrame, value: str, out: str, part: list[str] | None = None) -> DataFrame:
     """(rows below + rows not above) / 2n: equal values share a rank; one row gives 0.5."""
-    w = _over(part or [])
-    n = F.count(F.lit(1)).over(w)
-    below = F.rank().over(w.orderBy(value)) - 1
-    same = F.count(F.lit(1)).over(Window.partitionBy(*(part or [F.lit(0)]), value))
-    return (below + below + same) / 2 / n
+    part = part or []
+    below = below_counts(df, value, {"_rows": F.count("*")}, part)
+    share = attach(below, below.groupBy(*part).agg(F.sum("_rows").alias("_n")), part)
+    share = share.select(*part, value, ((F.col("below__rows") * 2 + F.col("_rows")) / 2 / F.col("_n")).alias(out))
+    return attach(df.drop(out), share, [*part, value])
 
 
 def z_score(value: str, part: list[str] | None = None) -> Column:
     """Population z-score; a standard deviation of 1e-9 or less counts as 1."""
-    w = _over(part or [])
+    w = Window.partitionBy(*(part or [F.lit(0)]))
     sd = F.stddev_pop(value).over(w)
     return (F.col(value) - F.avg(value).over(w)) / F.when(sd > 1e-9, sd).otherwise(1.0)
 
 
 def sparse_rank(df: DataFrame, value: str, item: str, out: str, missing: float = 0.5) -> DataFrame:
     """Distinct rank among the rows that have a value; the others get ``missing``."""
-    r = distinct_rank(value, item, ["_has"])
-    return (
-        df.withColumn("_has", F.col(value).isNotNull())
-        .withColumn(out, F.when(F.col("_has"), r).otherwise(missing))
-        .drop("_has")
-    )
+    has = distinct_rank(df.where(F.col(value).isNotNull()), value, item, out)
+    return has.unionByName(df.where(F.col(value).isNull()).withColumn(out, F.lit(missing)))
 
 
 def stratified_rank(df: DataFrame, value: str, item: str, stratum: str, out: str) -> DataFrame:
     """Distinct rank inside each stratum; alone in a stratum 0.5; without a value -1."""
-    w = Window.partitionBy("_has", stratum)
-    r = distinct_rank(value, item, ["_has", stratum])
-    return (
-        df.withColumn("_has", F.col(value).isNotNull())
-        .withColumn(out, F.when(~F.col("_has"), -1.0).when(F.count(F.lit(1)).over(w) == 1, 0.5).otherwise(r))
-        .drop("_has")
-    )
+    placed = numbered_in(df.where(F.col(value).isNotNull()), [stratum], [F.col(value), F.col(item)], "_at", "_of")
+    rank = F.when(F.col("_of") == 1, 0.5).otherwise(F.col("_at") / F.greatest(F.col("_of") - 1, F.lit(1)))
+    return placed.withColumn(out, rank).drop("_at", "_of").unionByName(df.where(F.col(value).isNull()).withColumn(out, F.lit(-1.0)))
 
 
 def fusion_weight(n: Column, least: int, full: int, low: float, high: float) -> Column:
@@ -63,7 +52,8 @@ def fusion_weight(n: Column, least: int, full: int, low: float, high: float) ->
 def offline_score(sharp: Column, spread: Column, clean: Column, low_sharp: Column, clipped: Column, flat: Column, top: Column) -> Column:
     """Mix 55/25/20 of mid-ranks less risk penalties, rounded half away from zero, clamped to 0..100."""
     pen = F.when(low_sharp, 30).otherwise(0) + F.when(clipped, 20).otherwise(0) + F.when(flat, 10).otherwise(0)
-    raw = sharp * 55 + spread * 25 + clean * 20 - pen + F.when(top, 5).otherwise(0)
+    mix = F.round(sharp * 55 + spread * 25 + clean * 20, 6)  # sums of shares, so halves are halves
+    raw = mix - pen + F.when(top, 5).otherwise(0)
     return F.greatest(F.lit(0), F.least(F.lit(100), F.round(raw))).cast("int")
 
 

@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordering import numbered_in
+
+
+#: Fixed value: letters and digits without those that look alike.
+ALPHABET = "ACDEFGHJKMNPQRTUVWXY34679"
+
 
 def natural_key(name: Column) -> Column:
     """Sort key in which runs of digits compare as numbers (up to 20 digits); letters by lower case."""
@@ -16,10 +22,11 @@ def natural_key(name: Column) -> Column:
 
 def anonymous_ids(df: DataFrame, item: str, out: str = "anon") -> DataFrame:
     """p001, p002, ... in item order; as wide as the count needs, three digits at least."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
-    width = F.greatest(F.lit(3), F.length(n.cast("string")))
-    row = F.row_number().over(Window.orderBy(item)).cast("string")
-    return df.withColumn(out, F.concat(F.lit("p"), F.lpad(row, 20, "0").substr(F.lit(21) - F.greatest(width, F.length(row)), F.lit(20))))
+    placed = numbered_in(df, [], [F.col(item)], "_at", "_of")
+    row = (F.col("_at") + 1).cast("string")
+    width = F.greatest(F.lit(3), F.length(F.col("_of").cast("string")))
+    anon = F.concat(F.lit("p"), F.lpad(row, 20, "0").substr(F.lit(21) - F.greatest(width, F.length(row)), F.lit(20)))
+    return placed.withColumn(out, anon).drop("_at", "_of")
 
 
 def fingerprint(rows: Column) -> Column:
@@ -84,7 +91,7 @@ def last_json(text: str) -> dict | None:
     return best
 
 
-def codes(n: int, seed: int = 20260904, alphabet: str = "ABCDEFGHJKLMNPQRSTUVWXYZ3", size: int = 4) -> list[str]:
+def codes(n: int, seed: int = 20260904, alphabet: str = ALPHABET, size: int = 4) -> list[str]:
     """n different codes from a 32-bit generator, drawn again on a collision."""
     out: list[str] = []
     seen: set[str] = set()

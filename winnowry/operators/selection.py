@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import numbered
+
 
 def within_group_rank(df: DataFrame, group: str, score: str, item: str, out: str = "within_rank") -> DataFrame:
     """0 for the best of each group, then by score."""
@@ -14,23 +16,29 @@ def within_group_rank(df: DataFrame, group: str, score: str, item: str, out: str
 
 def champions_first(df: DataFrame, rank: str, score: str, item: str, out: str = "ord") -> DataFrame:
     """0-based global order: best of each group before any second, then by score."""
-    return df.withColumn(out, F.row_number().over(Window.orderBy(rank, F.desc(score), item)) - 1)
+    return numbered(df, [F.col(rank), F.desc(score), F.col(item)], out)
 
 
-def top_with_cap(df: DataFrame, group: str, ord_: str, k: int, cap: int) -> DataFrame:
-    """First k rows with at most c of a group; c starts at ``cap`` and grows until k rows fit.
+def top_with_cap(df: DataFrame, group: str, order: list[Column], k: int, cap: int) -> DataFrame:
+    """First k rows in ``order`` with at most c of a group; c starts at ``cap`` and grows until k rows fit.
 
-    The smallest sufficient c comes from the distribution of group sizes, so rows are
+    The smallest sufficient c comes from the group sizes: how many rows fit is linear in c between
+    two sizes that occur, and these are few (1 + 2 + ... + m rows for m sizes).  Rows are
     filtered by one window over groups; the final cut is a top-k.
     """
     sizes = df.groupBy(group).agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("groups"))
-    total = sizes.agg(F.coalesce(F.sum(F.col("n") * F.col("groups")), F.lit(0)).alias("rows"), F.coalesce(F.max("n"), F.lit(cap)).alias("top"))
-    caps = total.select("rows", F.explode(F.sequence(F.lit(cap), F.greatest("top", F.lit(cap)))).alias("c"))
-    room = caps.crossJoin(F.broadcast(sizes)).groupBy("c", "rows").agg(F.sum(F.least("n", "c") * F.col("groups")).alias("fits"))
-    need = room.where(F.col("fits") >= F.least(F.lit(k), F.col("rows"))).agg(F.coalesce(F.min("c"), F.lit(cap)).alias("cap_used"))
-    g = F.row_number().over(Window.partitionBy(group).orderBy(ord_))
+    up = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    all_ = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = F.col("n") * F.col("groups")
+    steps = sizes.select(
+        "n", F.coalesce(F.max("n").over(up), F.lit(0)).alias("below"), F.coalesce(F.sum(rows).over(up), F.lit(0)).alias("whole"),
+        (F.sum("groups").over(all_) - F.coalesce(F.sum("groups").over(up), F.lit(0))).alias("larger"), F.least(F.lit(k), F.sum(rows).over(all_)).alias("want"),
+    )
+    c = F.greatest(F.lit(cap), F.col("below") + 1, F.ceil((F.col("want") - F.col("whole")) / F.col("larger")))
+    need = steps.withColumn("c", c).agg(F.coalesce(F.min(F.when(F.col("c") <= F.col("n"), F.col("c"))), F.lit(cap)).alias("cap_used"))
+    g = F.row_number().over(Window.partitionBy(group).orderBy(*order))
     kept = df.withColumn("_g", g).crossJoin(F.broadcast(need)).where(F.col("_g") <= F.col("cap_used")).drop("_g")
-    return kept.orderBy(ord_).limit(k)
+    return kept.orderBy(*order).limit(k)
 
 
 def spread_selection(df: DataFrame, item: str, group: str, seg: str, ord_: str, k: int, group_cap: int, segments: int) -> DataFrame:
@@ -133,12 +141,15 @@ def apply_verdicts(picked: DataFrame, duels: DataFrame, item: str, group: str, g
     )
 
 
-def broken_invariants(final: DataFrame, item: str, group: str, seg: str, target: int, group_cap: int) -> DataFrame:
-    """Rows (problem, key, n) for wrong length, repeated items and groups beyond the cap; empty if all is well."""
+def broken_invariants(final: DataFrame, before: DataFrame, item: str, group: str, seg: str, target: int, group_cap: int) -> DataFrame:
+    """Rows (problem, key, n) for wrong length, repeated items, groups beyond the cap, and segments that have not
+    as many items as ``before`` the change; empty if all is well."""
     n = final.agg(F.count("*").alias("n")).where(F.col("n") != target).select(F.lit("length").alias("problem"), F.lit("").alias("key"), "n")
     twice = final.groupBy(item).agg(F.count("*").alias("n")).where("n > 1").select(F.lit("repeated").alias("problem"), F.col(item).cast("string").alias("key"), "n")
     over = final.groupBy(group).agg(F.count("*").alias("n")).where(F.col("n") > group_cap).select(F.lit("group cap").alias("problem"), F.col(group).cast("string").alias("key"), "n")
-    return n.unionByName(twice).unionByName(over)
+    each = final.select(seg, F.lit(1).alias("d")).unionByName(before.select(seg, F.lit(-1).alias("d"))).groupBy(seg).agg(F.sum("d").alias("n"))
+    moved = each.where("n <> 0").select(F.lit("segment").alias("problem"), F.col(seg).cast("string").alias("key"), "n")
+    return n.unionByName(twice).unionByName(over).unionByName(moved)
 
 
 def cut_line_gap(df: DataFrame, value: str, item: str, n: int) -> DataFrame:
@@ -160,5 +171,5 @@ def strided_sample(df: DataFrame, order: str, n: int) -> DataFrame:
     want = total.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_i"), "_total").select(
         F.least(F.col("_total") - 1, F.floor(F.col("_i") * F.col("_total") / n)).alias("_at")
     )
-    placed = df.withColumn("_at", F.row_number().over(Window.orderBy(order)) - 1)
+    placed = numbered(df, [F.col(order)], "_at")
     return placed.join(F.broadcast(want.distinct()), "_at").drop("_at")

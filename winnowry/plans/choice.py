@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ranks as R
 from ..functions import text as T
+from ..operators import ordering as O
 from ..operators import selection as S
 from ..operators import similarity as M
 from ..operators import tournament as C
@@ -18,20 +19,25 @@ w AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice
 ord AS (SELECT *, row_number() OVER (ORDER BY wr, o_totalprice DESC, o_orderkey) - 1 AS ord FROM w) """
 
 
+def _orders(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", "o_orderdate")
+    return S.within_group_rank(o, "o_custkey", "o_totalprice", "o_orderkey", "wr")
+
+
 def _ordered(spark, d):
     """Orders with segment, rank inside the customer's group and global order."""
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", "o_orderdate")
-    o = o.withColumn("seq", F.row_number().over(Window.orderBy("o_orderdate", "o_orderkey")) - 1)
-    n = o.agg(F.count("*").alias("n"))
-    o = o.crossJoin(F.broadcast(n)).withColumn("seg", R.segment(F.col("seq"), F.col("n"), 10))
-    o = S.within_group_rank(o, "o_custkey", "o_totalprice", "o_orderkey", "wr")
+    o = O.numbered_in(_orders(spark, d), [], [F.col("o_orderdate"), F.col("o_orderkey")], "seq", "n")
+    o = o.withColumn("seg", R.segment(F.col("seq"), F.col("n"), 10))
     return S.champions_first(o, "wr", "o_totalprice", "o_orderkey", "ord")
 
 
 @query("entry_top20", _ORD + """, g AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY ord) AS g FROM ord)
 SELECT o_orderkey, o_custkey, o_totalprice, ord FROM g WHERE g <= 2 ORDER BY ord LIMIT 20""")
 def entry_top20(spark, d):
-    return S.top_with_cap(_ordered(spark, d), "o_custkey", "ord", 20, 2).select("o_orderkey", "o_custkey", "o_totalprice", "ord")
+    """Rows before a kept one in the order are kept too, so places among the twenty are places among all."""
+    order = [F.col("wr"), F.desc("o_totalprice"), F.col("o_orderkey")]
+    top = S.top_with_cap(_orders(spark, d), "o_custkey", order, 20, 2)
+    return top.select("o_orderkey", "o_custkey", "o_totalprice", (F.row_number().over(Window.orderBy(*order)) - 1).alias("ord"))
 
 
 # ---- predicates ----
@@ -77,9 +83,10 @@ c AS (SELECT a.vec_id AS i, b.vec_id AS j, list_dot_product(a.e, b.e) AS s FROM
 @query("f7_calibration_candidates", _COS + """SELECT v.vec_id FROM v WHERE label <> 0 AND label <> 9 AND NOT EXISTS (SELECT 1 FROM c JOIN v g ON g.label = 0 AND ((c.i = g.vec_id AND c.j = v.vec_id) OR (c.j = g.vec_id AND c.i = v.vec_id)) WHERE c.s > 0.2)""")
 def f7(spark, d):
     e = table(spark, d, "embeddings")
-    gold = e.where("label = 0").select(F.col("vec_id").alias("g"), F.col("embedding").alias("ge"))
-    near = e.join(F.broadcast(gold), F.col("vec_id") != F.col("g")).where(M.dot(F.col("embedding"), F.col("ge")) > 0.2).select("vec_id")
-    return e.where("label NOT IN (0, 9)").select("vec_id").join(near.distinct(), "vec_id", "left_anti")
+    p = M.near_pairs(e, "vec_id", "embedding", 0.2).where("s > 0.2")
+    p = p.select(F.col("i").alias("g"), F.col("j").alias("vec_id")).unionByName(p.select(F.col("j").alias("g"), F.col("i").alias("vec_id")))
+    near = p.join(e.where("label = 0").select(F.col("vec_id").alias("g")), "g", "left_semi").select("vec_id").distinct()
+    return e.where("label NOT IN (0, 9)").select("vec_id").join(near, "vec_id", "left_anti")
 
 
 @query("f8_answered", "SELECT event_type, count(*) FILTER (value > 100) AS sent, count(*) FILTER (value <= 100) AS skipped FROM events GROUP BY event_type")
@@ -132,7 +139,7 @@ def j6(spark, d):
 
 @query("j7_pair_similarity", _COS + "SELECT i, j, round(s, 6) AS s FROM c WHERE s >= 0.3")
 def j7(spark, d):
-    return M.pair_table(table(spark, d, "embeddings"), "vec_id", "embedding").where("s >= 0.3").select("i", "j", F.round("s", 6).alias("s"))
+    return M.near_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", 0.3).select("i", "j", F.round("s", 6).alias("s"))
 
 
 @query("j8_group_pairs", "SELECT a.o_orderkey AS gold, b.o_orderkey AS other FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey WHERE a.o_orderstatus = 'F' AND b.o_orderstatus = 'P'")
@@ -156,7 +163,7 @@ def j9(spark, d):
 @query("j10_cross_scene", _COS + "SELECT c.i, c.j FROM c JOIN v a ON a.vec_id = c.i JOIN v b ON b.vec_id = c.j WHERE a.label <> b.label AND c.i // 50 <> c.j // 50 AND c.s > 0.32")
 def j10(spark, d):
     e = table(spark, d, "embeddings")
-    p = M.pair_table(e, "vec_id", "embedding").where("s > 0.32 AND i div 50 <> j div 50")
+    p = M.near_pairs(e, "vec_id", "embedding", 0.32).where("s > 0.32 AND i div 50 <> j div 50")
     lab = e.select("vec_id", "label")
     p = p.join(lab.withColumnsRenamed({"vec_id": "i", "label": "li"}), "i").join(lab.withColumnsRenamed({"vec_id": "j", "label": "lj"}), "j")
     return p.where("li <> lj").select("i", "j")
@@ -213,7 +220,7 @@ def w2(spark, d):
 def w3(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
     first = o.groupBy("o_custkey").agg(F.min("o_orderkey").alias("f"), F.count("*").alias("n"))
-    first = first.withColumn("g", F.row_number().over(Window.orderBy("f")).cast("long"))
+    first = O.numbered(first, [F.col("f")], "g", 1)
     return o.join(first, "o_custkey").select("o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long").alias("place"), "n", "g")
 
 
@@ -251,8 +258,8 @@ need AS (SELECT min(c) AS c FROM (SELECT c FROM range(1, 3000) t(c) JOIN (SELECT
 SELECT p_partkey, p_brand, ord FROM g, need WHERE g.g <= need.c ORDER BY ord LIMIT 100""")
 def w8(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_brand", "p_retailprice")
-    p = p.withColumn("ord", F.row_number().over(Window.orderBy(F.desc("p_retailprice"), "p_partkey")) - 1)
-    return S.top_with_cap(p, "p_brand", "ord", 100, 1).select("p_partkey", "p_brand", "ord")
+    p = O.numbered(p, [F.desc("p_retailprice"), F.col("p_partkey")], "ord")
+    return S.top_with_cap(p, "p_brand", [F.col("ord")], 100, 1).select("p_partkey", "p_brand", "ord")
 
 
 @query("w9_boundary", "SELECT p_partkey, r FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS r FROM part) WHERE r BETWEEN 18 AND 23")
@@ -291,7 +298,8 @@ def w13(spark, d):
 
 @query("w14_chunks", "SELECT s_suppkey, (row_number() OVER (ORDER BY s_suppkey) - 1) // 20 AS part FROM supplier")
 def w14(spark, d):
-    return table(spark, d, "supplier").select("s_suppkey", F.floor((F.row_number().over(Window.orderBy("s_suppkey")) - 1) / 20).alias("part"))
+    s = O.numbered(table(spark, d, "supplier").select("s_suppkey"), [F.col("s_suppkey")], "at")
+    return s.select("s_suppkey", F.floor(F.col("at") / 20).alias("part"))
 
 
 @query("w15_best_upsert", "SELECT user_id, arg_max(event_id, (CASE event_type WHEN 'purchase' THEN 3 WHEN 'signup' THEN 2 ELSE 1 END, epoch_us(ts), event_id)) AS event_id FROM events GROUP BY user_id")
@@ -308,7 +316,7 @@ def w16(spark, d):
 
 @query("w17_pinned_first", _ORD + "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey % 97 <> 0, ord) - 1 AS place FROM ord")
 def w17(spark, d):
-    return _ordered(spark, d).select("o_orderkey", (F.row_number().over(Window.orderBy(F.col("o_orderkey") % 97 != 0, "ord")) - 1).alias("place"))
+    return O.numbered(_ordered(spark, d), [F.col("o_orderkey") % 97 != 0, F.col("ord")], "place").select("o_orderkey", "place")
 
 
 # ---- set operations ----
@@ -354,21 +362,22 @@ def u7(spark, d):
 # ---- similarity ----
 @query("a1_threshold", _COS + "SELECT round(greatest(quantile_cont(s, 0.98), 0.2), 9) AS t FROM c")
 def a1(spark, d):
-    return M.threshold(M.pair_table(table(spark, d, "embeddings"), "vec_id", "embedding"), 0.98, 0.2).select(F.round("t", 9).alias("t"))
+    t = M.threshold(table(spark, d, "embeddings"), "vec_id", "embedding", 0.98, 0.2)
+    return spark.range(1).select(F.round(F.lit(t), 9).alias("t"))
 
 
 @query("a2_near_pairs", _COS + ", t AS (SELECT quantile_cont(s, 0.995) AS t FROM c) SELECT count(*) AS n FROM c, t WHERE s >= t - 1e-12")
 def a2(spark, d):
-    p = M.pair_table(table(spark, d, "embeddings"), "vec_id", "embedding")
-    return p.crossJoin(F.broadcast(M.threshold(p, 0.995, -1.0))).agg(F.count_if(F.col("s") >= F.col("t") - 1e-12).alias("n"))
+    e = table(spark, d, "embeddings")
+    t = M.threshold(e, "vec_id", "embedding", 0.995, -1.0)
+    return M.near_pairs(e, "vec_id", "embedding", t - 1e-12).agg(F.count("*").alias("n"))
 
 
 @query("a3_concentration", _COS + ", m AS (SELECT (SELECT quantile_cont(s + 0.5, 0.5) FROM c JOIN v a ON a.vec_id = i JOIN v b ON b.vec_id = j WHERE a.label = 0 AND b.label = 0) AS own, (SELECT quantile_cont(s + 0.5, 0.5) FROM c) AS pool) SELECT round(own / pool, 6) AS concentration FROM m")
 def a3(spark, d):
     """Similarities are shifted by 0.5, as the test vectors have none on average."""
-    e = table(spark, d, "embeddings")
-    p = M.pair_table(e, "vec_id", "embedding").withColumn("s", F.col("s") + 0.5)
-    return M.concentration(p, e.where("label = 0").select(F.col("vec_id").alias("item"))).select(F.round("concentration", 6).alias("concentration"))
+    e = table(spark, d, "embeddings").withColumn("own", F.col("label") == 0)
+    return spark.range(1).select(F.round(F.lit(M.concentration(e, "vec_id", "embedding", "own", 0.5)), 6).alias("concentration"))
 
 
 _LEAD = """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
@@ -382,18 +391,31 @@ l AS (SELECT unnest(lead) AS id FROM (SELECT lead FROM walk ORDER BY r DESC LIMI
 @query("q1_leader_groups", _LEAD + "SELECT v.vec_id, CASE WHEN v.vec_id IN (SELECT id FROM l) THEN v.vec_id ELSE (SELECT arg_max(c.i, (c.s, -c.i)) FROM c WHERE c.j = v.vec_id AND c.i IN (SELECT id FROM l)) END AS leader FROM v")
 def q1(spark, d):
     e = table(spark, d, "embeddings")
-    near = M.stored(M.pair_table(e, "vec_id", "embedding").where("s >= 0.25"))
+    near = M.stored(M.near_pairs(e, "vec_id", "embedding", 0.25))
     return M.leader_groups(e, near, "vec_id")
 
 
-@query("q2_scene_pairs", _PX + """, h AS (SELECT vec_id, list_transform(p, lambda x: (x >= floor(list_sum(p) / 64))::INT) AS b, vec_id * 45 AS t FROM px),
-d AS (SELECT a.vec_id AS i, b.vec_id AS j, abs(a.t - b.t) AS dt, list_sum(list_transform(range(1, 65), lambda k: abs(a.b[k] - b.b[k])))::INT AS h FROM h a JOIN h b ON a.vec_id < b.vec_id)
-SELECT i, j, h FROM d WHERE h <= 14 OR (dt <= 120 AND h <= 24)""")
+_SCENE = "WITH RECURSIVE " + _PX.removeprefix("WITH ") + """, h AS (SELECT vec_id, list_transform(p, lambda x: (x >= floor(list_sum(p) / 64))::INT) AS b, vec_id * 45 AS t, floor(list_sum(p) / 64) AS l FROM px WHERE list_max(p) - list_min(p) >= 12),
+d AS MATERIALIZED (SELECT a.vec_id AS i, b.vec_id AS j, abs(a.t - b.t) AS dt, abs(a.l - b.l) AS dl, list_sum(list_transform(range(1, 65), lambda k: abs(a.b[k] - b.b[k])))::INT AS h FROM h a JOIN h b ON a.vec_id < b.vec_id),
+c AS MATERIALIZED (SELECT i, j, h FROM d WHERE (h <= 18 AND dl <= 5) OR (dt <= 900 AND h <= 26 AND dl <= 8)),
+nb AS MATERIALIZED (SELECT v.vec_id AS id, row_number() OVER (ORDER BY v.vec_id) AS r, coalesce(list(c.i) FILTER (c.i IS NOT NULL), []) AS ns FROM h v LEFT JOIN c ON c.j = v.vec_id GROUP BY v.vec_id),
+walk AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS lead UNION ALL
+ SELECT nb.r, CASE WHEN len(list_intersect(walk.lead, nb.ns)) = 0 THEN list_append(walk.lead, nb.id) ELSE walk.lead END FROM walk JOIN nb ON nb.r = walk.r + 1),
+l AS (SELECT unnest(lead) AS id FROM (SELECT lead FROM walk ORDER BY r DESC LIMIT 1)),
+g AS (SELECT v.vec_id, CASE WHEN v.vec_id IN (SELECT id FROM l) THEN v.vec_id ELSE (SELECT arg_min(c.i, (c.h, c.i)) FROM c WHERE c.j = v.vec_id AND c.i IN (SELECT id FROM l)) END AS leader FROM h v),
+n AS (SELECT *, count(*) OVER (PARTITION BY leader) AS n FROM g)
+SELECT vec_id, dense_rank() OVER (ORDER BY leader) AS "group", row_number() OVER (PARTITION BY leader ORDER BY vec_id) AS position, n AS count FROM n WHERE n > 1"""
+
+
+@query("q2_scene_groups", _SCENE)
 def q2(spark, d):
+    """Limits are wider than the defaults, as the test rasters are noise."""
     from ..functions.geometry import block_hash
 
-    h = _px(spark, d).select("vec_id", block_hash(F.col("p")).alias("bits"))
-    return M.scene_pairs(M.stored(h), "vec_id", "bits", F.timestamp_seconds(F.col("vec_id") * 45), 14, 24, 120)
+    mean = F.floor(F.aggregate("p", F.lit(0), lambda s, v: s + v) / 64)
+    h = _px(spark, d).select("vec_id", block_hash(F.col("p")).alias("bits"), mean.alias("light"), (F.array_max("p") - F.array_min("p")).alias("contrast"))
+    ts = F.timestamp_seconds(F.col("vec_id") * 45)
+    return M.scene_groups(M.stored(h), "vec_id", "bits", "light", "contrast", ts, strict=(18, 5), loose=(26, 8), seconds=900)
 
 
 # ---- tournaments ----
@@ -514,15 +536,34 @@ def _applied(spark, d):
     return S.apply_verdicts(picked, duels.drop("depth").withColumn("verdict", verdict), "o_orderkey", "o_custkey", 2)
 
 
-@query("q7_apply_verdicts")
+_APPLIED = _DUEL + """, du AS (SELECT *, row_number() OVER (ORDER BY round(ds - cs, 6), seg) AS rn, CASE WHEN seg % 4 = 3 THEN NULL WHEN seg % 4 = 2 THEN 'neither' ELSE 'b' END AS v FROM ch WHERE depth = 1),
+s0 AS (SELECT list(o_orderkey ORDER BY pick) AS seats, list(o_custkey ORDER BY pick) AS fams FROM sel),
+ap AS (SELECT 0::BIGINT AS rn, seats, fams, []::VARCHAR[] AS log FROM s0 UNION ALL
+ SELECT x.rn, CASE WHEN what = 'swapped' THEN list_transform(seats, lambda q, i: CASE WHEN q = x.dk THEN x.ck ELSE q END) ELSE seats END,
+  CASE WHEN what = 'swapped' THEN list_transform(fams, lambda q, i: CASE WHEN seats[i] = x.dk THEN x.cg ELSE q END) ELSE fams END, list_append(log, what)
+ FROM (SELECT ap.seats, ap.fams, ap.log, du.*, CASE WHEN v IS NULL THEN 'missing' WHEN v <> 'b' THEN 'kept_' || v WHEN dg = cg OR len(list_filter(ap.fams, lambda q: q = du.cg)) + 1 <= 2 THEN 'swapped' ELSE 'refused_family_cap' END AS what
+  FROM ap JOIN du ON du.rn = ap.rn + 1) x),
+done AS (SELECT * FROM ap ORDER BY rn DESC LIMIT 1) """
+
+
+@query("q7_apply_verdicts", _APPLIED + "SELECT seats AS final, len(log)::INT AS contests, " + ", ".join(f"len(list_filter(log, lambda q: q = '{k}'))::INT AS {k}" for k in ("swapped", "missing", "refused_family_cap", "kept_a", "kept_tie", "kept_neither", "kept_inconsistent")) + ", len(list_filter(log, lambda q: starts_with(q, 'kept_')))::INT AS kept FROM done")
 def q7(spark, d):
     return _applied(spark, d)
 
 
-@query("q8_invariants", "SELECT 'x' AS problem, 'x' AS key, 1::BIGINT AS n WHERE false")
+@query("q8_invariants", _APPLIED + """, f AS (SELECT unnest(seats) AS o_orderkey FROM done), bad AS (SELECT o_orderkey FROM f UNION ALL SELECT max(o_orderkey) FROM f UNION ALL SELECT arg_min(o_orderkey, ord) FROM ord WHERE o_orderkey NOT IN (SELECT o_orderkey FROM f)),
+br AS (SELECT ord.* FROM bad JOIN ord USING (o_orderkey))
+SELECT 'length' AS problem, '' AS key, count(*) AS n FROM br HAVING count(*) <> 40 UNION ALL SELECT 'repeated', o_orderkey::VARCHAR, count(*) FROM br GROUP BY o_orderkey HAVING count(*) > 1
+UNION ALL SELECT 'group cap', o_custkey::VARCHAR, count(*) FROM br GROUP BY o_custkey HAVING count(*) > 2
+UNION ALL SELECT 'segment', seg::VARCHAR, sum(d)::BIGINT FROM (SELECT seg, 1 AS d FROM br UNION ALL SELECT seg, -1 FROM sel) GROUP BY seg HAVING sum(d) <> 0""")
 def q8(spark, d):
-    final = _applied(spark, d).select(F.explode("final").alias("o_orderkey")).join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
-    return S.broken_invariants(final.withColumn("seg", F.lit(0)), "o_orderkey", "o_custkey", "seg", 40, 2)
+    """The list after the duels with one item twice and one item more: what is broken must be found."""
+    o, picked = _picked(spark, d)
+    final = _applied(spark, d).select(F.explode("final").alias("o_orderkey"))
+    twice = final.agg(F.max("o_orderkey").alias("o_orderkey"))
+    more = o.join(final, "o_orderkey", "left_anti").orderBy("ord").limit(1).select("o_orderkey")
+    broken = final.unionByName(twice).unionByName(more).join(o.select("o_orderkey", "o_custkey", "seg"), "o_orderkey")
+    return S.broken_invariants(broken, picked, "o_orderkey", "o_custkey", "seg", 40, 2)
 
 
 @query("s3_strided_sample", "WITH b AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS pos, count(*) OVER () AS n FROM part) SELECT p_partkey FROM b WHERE pos IN (SELECT least(b2.n - 1, floor(i * b2.n / 37.0)::BIGINT) FROM range(37) t(i), (SELECT max(n) AS n FROM b) b2)")

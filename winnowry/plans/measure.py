@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
+from ..operators import ordering as O
+from ..operators import selection as S
+from ..operators import similarity as M
 from ..operators import statistics as X
+from ..operators import taste as P
 from .registry import query, table
 
 _GOLD = "WITH r AS (SELECT p_partkey, p_retailprice AS v, p_size <= 5 AS g, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS ord, count(*) OVER () AS n FROM part) "
@@ -15,7 +19,7 @@ _GOLD = "WITH r AS (SELECT p_partkey, p_retailprice AS v, p_size <= 5 AS g, row_
 
 def _gold(spark, d):
     p = table(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("v"), (F.col("p_size") <= 5).alias("g"))
-    return p.withColumn("ord", F.row_number().over(Window.orderBy(F.desc("v"), "p_partkey")) - 1)
+    return O.numbered(p, [F.desc("v"), F.col("p_partkey")], "ord")
 
 
 @query("a4_group_counts", "SELECT count(*) AS groups, max(n) AS largest, sum(n)::BIGINT AS items FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey)")
@@ -28,7 +32,7 @@ def a5(spark, d):
     return table(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("members")).where(F.size("members") >= 2)
 
 
-@query("a6_auc", "WITH x AS (SELECT p_size AS v, p_retailprice > 1500 AS g FROM part) SELECT round(sum(CASE WHEN a.v > b.v THEN 1.0 WHEN a.v = b.v THEN 0.5 ELSE 0 END) / count(*), 9) AS auc FROM x a, x b WHERE a.g AND NOT b.g")
+@query("a6_auc", "WITH x AS (SELECT p_size AS v, p_retailprice > 1500 AS g FROM part) SELECT coalesce(round(sum(CASE WHEN a.v > b.v THEN 1.0 WHEN a.v = b.v THEN 0.5 ELSE 0 END) / count(*), 9), 'nan'::DOUBLE) AS auc FROM x a, x b WHERE a.g AND NOT b.g")
 def a6(spark, d):
     p = table(spark, d, "part").select(F.col("p_size").alias("v"), (F.col("p_retailprice") > 1500).alias("g"))
     return X.auc(p, "v", "g").select(F.round("auc", 9).alias("auc"))
@@ -56,40 +60,31 @@ def a9(spark, d):
     return c.select(F.round(_tail_udf("h", "n", "gold", F.lit(20)), 6).alias("p"))
 
 
-@query("a10_report", _GOLD + "SELECT count(*) AS n, count(*) FILTER (g) AS gold, count(*) FILTER (g AND ord < 20) AS hits20, round(avg(ord) FILTER (g), 6) AS mean_place FROM r")
+_TAIL = "(SELECT round(sum(exp(lgamma({g} + 1) - lgamma(x + 1) - lgamma({g} - x + 1) + lgamma({n} - {g} + 1) - lgamma({k} - x + 1) - lgamma({n} - {g} - {k} + x + 1) - lgamma({n} + 1) + lgamma({k} + 1) + lgamma({n} - {k} + 1))), 4) FROM range(0, {k} + 1) t(x) WHERE x >= {h} AND x <= {g})"
+
+
+@query("a10_report", _GOLD.replace("p_retailprice AS v,", "p_retailprice AS v, p_brand,") + """, top AS (SELECT g FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY ord) AS c FROM r) WHERE c <= 2 ORDER BY ord LIMIT 20),
+c AS (SELECT count(*) AS n, count(*) FILTER (g) AS gold, count(*) FILTER (g AND ord < 20) AS h, (SELECT count(*) FILTER (g) FROM top) AS dh, (SELECT count(*) FROM top) AS dn FROM r),
+u AS (SELECT sum(CASE WHEN a.v > b.v THEN 1.0 WHEN a.v = b.v THEN 0.5 ELSE 0 END) / count(*) AS auc FROM r a, r b WHERE a.g AND NOT b.g),
+l AS (SELECT avg(hits / (gold * k / n)) AS lift FROM (SELECT k, count(*) FILTER (r.g AND ord < k) AS hits FROM r, (SELECT unnest([10, 20, 30, 40, 50]) AS k) GROUP BY k), c)
+SELECT round(auc, 4) AS auc, h AS hits, 20 AS k, n AS n_total, gold AS n_gold, round(gold * 20 / n, 2) AS random_expected, """ + _TAIL.format(g="gold", n="n", k="20", h="h") + " AS p_value, round(lift, 3) AS lift_mean, dh AS delivered_hits, dn AS delivered_n, " + _TAIL.format(g="gold", n="n", k="20", h="dh") + " AS delivered_p_value FROM c, u, l")
 def a10(spark, d):
-    return _gold(spark, d).agg(F.count("*").alias("n"), F.count_if("g").alias("gold"), F.count_if(F.col("g") & (F.col("ord") < 20)).alias("hits20"), F.round(F.avg(F.when(F.col("g"), F.col("ord"))), 6).alias("mean_place"))
+    r = _gold(spark, d).join(table(spark, d, "part").select("p_partkey", "p_brand"), "p_partkey")
+    return X.report(M.stored(r), "ord", "v", "g", 20, S.top_with_cap(r, "p_brand", [F.col("ord")], 20, 2))
 
 
 @query("a11_holdout_curve")
 def a11(spark, d):
-    """Accuracy of a nearest-centre rule by number of training labels: 20 hashed splits for each size."""
-    e = table(spark, d, "embeddings").where("label < 2").select("vec_id", "label", "embedding")
-    grid = spark.createDataFrame([(m, s) for m in (2, 5, 10) for s in range(20)], "m int, split int")
-    rows = e.crossJoin(F.broadcast(grid))
-
-    def run(pdf):
-        import numpy as np
-        import pandas as pd
-
-        m, s = int(pdf["m"].iloc[0]), int(pdf["split"].iloc[0])
-        pdf = pdf.sort_values("vec_id")
-        rng = np.random.default_rng(1000 * m + s)
-        x, y = np.stack(pdf["embedding"].to_numpy()).astype(float), pdf["label"].to_numpy()
-        train = np.concatenate([rng.permutation(np.flatnonzero(y == k))[:m] for k in (0, 1)])
-        test = np.setdiff1d(np.arange(len(y)), train)
-        centre = [x[train][y[train] == k].mean(axis=0) for k in (0, 1)]
-        ok = ((x[test] @ centre[1] > x[test] @ centre[0]).astype(int) == y[test]).mean()
-        return pd.DataFrame({"m": [m], "split": [s], "accuracy": [float(ok)]})
-
-    runs = rows.groupBy("m", "split").applyInPandas(run, "m int, split int, accuracy double")
-    return runs.groupBy("m").agg(F.avg("accuracy").alias("mean"), F.stddev_pop("accuracy").alias("sd"), F.avg((F.col("accuracy") > 0.5).cast("int")).alias("win_share"))
+    """Label 0 of the embeddings as the positives, all others as negatives: 200 splits for each size and protocol."""
+    return P.holdout_curve(table(spark, d, "embeddings"), "vec_id", "embedding", F.col("label") == 0, [2, 5, 10])
 
 
 @query("a12_spearman", "WITH r AS (SELECT row_number() OVER (ORDER BY p_retailprice, p_partkey) AS a, row_number() OVER (ORDER BY p_size, p_partkey) AS b FROM part) SELECT round(corr(a, b), 9) AS rho FROM r")
 def a12(spark, d):
-    w = lambda c: F.row_number().over(Window.orderBy(c, "p_partkey")).cast("double")
-    return table(spark, d, "part").select(w("p_retailprice").alias("a"), w("p_size").alias("b")).agg(F.round(F.corr("a", "b"), 9).alias("rho"))
+    p = table(spark, d, "part").select("p_partkey", "p_retailprice", "p_size")
+    p = O.numbered(p, [F.col("p_retailprice"), F.col("p_partkey")], "a")
+    p = O.numbered(p, [F.col("p_size"), F.col("p_partkey")], "b")
+    return p.agg(F.round(F.corr("a", "b"), 9).alias("rho"))
 
 
 @query("a13_median_reference", "WITH m AS (SELECT p_brand, median(p_retailprice) AS m FROM part GROUP BY 1) SELECT p_partkey, p_retailprice < coalesce(m, 0) * 0.85 AS flagged FROM part JOIN m USING (p_brand)")
@@ -132,11 +127,11 @@ def a17(spark, d):
 
 
 @query("a18_permutation", """WITH g AS (SELECT o_custkey, sum((o_totalprice > 150000)::INT - (o_orderstatus = 'F')::INT) AS d FROM orders GROUP BY 1),
-o AS (SELECT sum(d) AS obs FROM g), s AS (SELECT r, sum(CASE WHEN substr(md5(o_custkey || '#' || r), 1, 1) < '8' THEN -d ELSE d END) AS s FROM g, range(200) t(r) WHERE d <> 0 GROUP BY r)
-SELECT max(obs)::BIGINT AS observed, round((count(*) FILTER (abs(s) >= abs(obs)) + 1) / 201.0, 9) AS p_value FROM s, o""")
+o AS (SELECT sum(d) AS obs FROM g), s AS (SELECT r, sum(CASE WHEN substr(md5(o_custkey || '#' || r), 1, 1) < '8' THEN -d ELSE d END) AS s FROM g, range(2000) t(r) WHERE d <> 0 GROUP BY r)
+SELECT max(obs)::BIGINT AS observed, round((count(*) FILTER (abs(s) >= abs(obs)) + 1) / 2001.0, 9) AS p_value FROM s, o""")
 def a18(spark, d):
     o = table(spark, d, "orders").select("o_custkey", (F.col("o_totalprice") > 150000).alias("a"), (F.col("o_orderstatus") == "F").alias("b"))
-    return X.permutation(o, "o_custkey", "a", "b", 200).select("observed", F.round("p_value", 9).alias("p_value"))
+    return X.permutation(o, "o_custkey", "a", "b", 2000).select("observed", F.round("p_value", 9).alias("p_value"))
 
 
 @query("a19_tie_report", "WITH c AS (SELECT avg((event_type = 'view')::INT) AS tie, avg((value > 100)::INT) FILTER (event_type <> 'view') AS acc FROM events) SELECT round(tie, 6) AS tie_rate, round(acc, 6) AS accuracy, CASE WHEN acc > 0.55 THEN 'better' WHEN acc < 0.45 THEN 'worse' ELSE 'no difference' END AS verdict FROM c")
@@ -374,20 +369,8 @@ def q9(spark, d):
 
 @query("q18_probe")
 def q18(spark, d):
-    """A fixed-step probe on a bounded set (two labels of the embeddings), fitted in one task."""
-    e = table(spark, d, "embeddings").where("label < 2").select("vec_id", "label", "embedding")
-
-    def run(pdf):
-        import numpy as np
-        import pandas as pd
-
-        pdf = pdf.sort_values("vec_id")
-        x, y = np.stack(pdf["embedding"].to_numpy()).astype(float), pdf["label"].to_numpy() == 1
-        w, b, mu, sd = X.probe(x, y)
-        p = 1 / (1 + np.exp(-(((x - mu) / sd) @ w + b)))
-        return pd.DataFrame({"vec_id": pdf["vec_id"], "p": p})
-
-    return e.groupBy(F.lit(1).alias("one")).applyInPandas(run, "vec_id long, p double")
+    """A probe for each of the ten labels against all others, and its probability for every vector."""
+    return P.probe_scores(table(spark, d, "embeddings"), "vec_id", "embedding", "label", list(range(10)))
 
 
 @query("q19_proposal", "WITH p AS (SELECT o_custkey, list(o_orderkey) AS l, count(*) AS n, count(DISTINCT o_orderstatus) AS k, bool_or(o_totalprice < 1000) AS low FROM orders GROUP BY 1) SELECT o_custkey, CASE WHEN n = 0 THEN 'empty' WHEN low THEN 'not active' WHEN k < n THEN 'one per family' WHEN n > 20 THEN 'over target' ELSE 'ok' END AS verdict FROM p")

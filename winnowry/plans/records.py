@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..sources import files as S
 from ..streaming import progress as P
+from ..operators import ordering as O
 from .registry import query, table
 
 
@@ -19,10 +20,9 @@ def s1(spark, d):
 
 @query("s2_natural_order", "SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS r FROM part")
 def s2(spark, d):
-    from pyspark.sql import Window
-
     name = F.concat(F.lit("img"), F.col("p_partkey").cast("string"), F.lit(".jpg"))
-    return table(spark, d, "part").select("p_partkey", F.row_number().over(Window.orderBy(T.natural_key(name))).cast("long").alias("r"))
+    p = table(spark, d, "part").select("p_partkey", T.natural_key(name).alias("k"))
+    return O.numbered(p, [F.col("k")], "r", 1).select("p_partkey", "r")
 
 
 @query("s4_fingerprint", "SELECT n_regionkey, substr(sha256(string_agg(n_name || '|' || n_nationkey, chr(10) ORDER BY n_name || '|' || n_nationkey) || chr(10)), 1, 16) AS fp FROM nation GROUP BY 1")

@@ -13,12 +13,14 @@ from .registry import query, table
 
 @query("p1_distinct_rank", """SELECT o_orderkey, round((row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1) / greatest(count(*) OVER () - 1, 1), 9) AS r FROM orders""")
 def p1(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", F.round(R.distinct_rank("o_totalprice", "o_orderkey"), 9).alias("r"))
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    return R.distinct_rank(o, "o_totalprice", "o_orderkey", "r").select("o_orderkey", F.round("r", 9).alias("r"))
 
 
 @query("p2_mid_rank", """SELECT p_partkey, round((2 * (rank() OVER (PARTITION BY p_brand ORDER BY p_size) - 1) + count(*) OVER (PARTITION BY p_brand, p_size)) / 2.0 / count(*) OVER (PARTITION BY p_brand), 9) AS r FROM part""")
 def p2(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.round(R.mid_rank("p_size", ["p_brand"]), 9).alias("r"))
+    p = table(spark, d, "part").select("p_partkey", "p_size", "p_brand")
+    return R.mid_rank(p, "p_size", "r", ["p_brand"]).select("p_partkey", F.round("r", 9).alias("r"))
 
 
 @query("p3_z_score", """SELECT c_custkey, round((c_acctbal - avg(c_acctbal) OVER w) / CASE WHEN stddev_pop(c_acctbal) OVER w > 1e-9 THEN stddev_pop(c_acctbal) OVER w ELSE 1 END, 6) AS z FROM customer WINDOW w AS (PARTITION BY c_mktsegment)""")
@@ -49,7 +51,8 @@ def p6(spark, d):
 
 @query("p7_inverted_rank", """SELECT s_suppkey, round(1 - (row_number() OVER (ORDER BY s_acctbal, s_suppkey) - 1) / greatest(count(*) OVER () - 1, 1), 9) AS r FROM supplier""")
 def p7(spark, d):
-    return table(spark, d, "supplier").select("s_suppkey", F.round(1 - R.distinct_rank("s_acctbal", "s_suppkey"), 9).alias("r"))
+    r = R.distinct_rank(table(spark, d, "supplier").select("s_suppkey", "s_acctbal"), "s_acctbal", "s_suppkey", "r")
+    return r.select("s_suppkey", F.round(1 - F.col("r"), 9).alias("r"))
 
 
 @query("p8_composite_score", """WITH x AS (SELECT p_partkey, p_retailprice AS v, CASE WHEN p_size > 25 THEN p_size END AS f, p_brand FROM part),
@@ -58,7 +61,7 @@ r AS (SELECT *, (row_number() OVER (ORDER BY v, p_partkey) - 1) / greatest(count
 SELECT p_partkey, round(CASE WHEN f IS NOT NULL THEN 0.5 * g + 0.5 * fr ELSE -1 END, 9) AS score FROM r""")
 def p8(spark, d):
     p = table(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("v"), F.when(F.col("p_size") > 25, F.col("p_size")).alias("f"))
-    p = R.sparse_rank(p.withColumn("g", R.distinct_rank("v", "p_partkey")), "f", "p_partkey", "fr")
+    p = R.sparse_rank(R.distinct_rank(p, "v", "p_partkey", "g"), "f", "p_partkey", "fr")
     return p.select("p_partkey", F.round(F.when(F.col("f").isNotNull(), F.col("g") * 0.5 + F.col("fr") * 0.5).otherwise(-1.0), 9).alias("score"))
 
 
@@ -189,10 +192,9 @@ r AS (SELECT *, (2 * (rank() OVER (PARTITION BY g ORDER BY a) - 1) + count(*) OV
 SELECT l_orderkey, l_linenumber, greatest(0, least(100, round(round(ra * 55 + rb * 25 + rc * 20, 6) - CASE WHEN a < 3 THEN 30 ELSE 0 END - CASE WHEN c < -0.09 THEN 20 ELSE 0 END - CASE WHEN b < 0.01 THEN 10 ELSE 0 END + CASE WHEN a > 45 THEN 5 ELSE 0 END)))::INT AS score FROM r""")
 def p22(spark, d):
     x = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("a"), F.col("l_tax").alias("b"), (-F.col("l_discount")).alias("c"), F.col("l_returnflag").alias("g"))
-    x = x.withColumns({f"r{k}": R.mid_rank(k, ["g"]) for k in "abc"})
-    mix = F.round(F.col("ra") * 55 + F.col("rb") * 25 + F.col("rc") * 20, 6) / 55
-    zero = F.lit(0.0)
-    return x.select("l_orderkey", "l_linenumber", R.offline_score(mix, zero, zero, F.col("a") < 3, F.col("c") < -0.09, F.col("b") < 0.01, F.col("a") > 45).alias("score"))
+    for k in "abc":
+        x = R.mid_rank(x, k, f"r{k}", ["g"])
+    return x.select("l_orderkey", "l_linenumber", R.offline_score(F.col("ra"), F.col("rb"), F.col("rc"), F.col("a") < 3, F.col("c") < -0.09, F.col("b") < 0.01, F.col("a") > 45).alias("score"))
 
 
 @query("p23_weighted_total", "SELECT p_partkey, ((2 * (p_size * 3 + (p_partkey % 100) * 2 + 50 * 1) + 6) // 12)::BIGINT AS total FROM part")
