@@ -9,7 +9,7 @@ long line skips hashes that are too large to be the smallest of their part, and
 nothing in a part is signed once more on all its shingles, so the values are the same as without
 skipping.  Twelve bands of three values name the candidates.  A pair goes on if its values, compared
 on a byte each, are not far below the threshold, and if the bits set by the shingles of one line
-only are no more than the threshold allows, which no link fails.  Exact Jaccard decides.  Links become
+only are no more than the threshold allows, with four standard deviations for chance.  Exact Jaccard decides.  Links become
 components by distributed union-find, and one line of each component is kept.
 """
 
@@ -20,7 +20,7 @@ from math import comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .linking import link, shared_members
+from .linking import few_bits_apart, link, shared_members
 from .scratch import Scratch
 
 SHINGLE = 8
@@ -29,6 +29,7 @@ LOSS = 2e-3
 _MINS = 16
 _ENOUGH = 96
 _WORDS = 32
+_DEVIATIONS = 4
 #: Triples of the sixteen values of which two have one in common at most.
 BANDS = [
     (8, 14, 15), (4, 13, 14), (0, 6, 9), (1, 10, 13), (0, 8, 13), (2, 4, 7),
@@ -100,11 +101,11 @@ def distinct_lines(docs: DataFrame, store: Scratch, id_col: str, text_col: str)
 
 
 def _hashes(lines: DataFrame, shingle: int) -> DataFrame:
-    """Rows (id, last, h) of every shingle; last is the place of the line's last one."""
+    """Rows (id, last, i, h) of every shingle; last is the place of the line's last one, i its own."""
     # The encoded line is a generator's output: an expression would be computed again for each slice.
     data = lines.select("id", F.explode(F.array(_bytes(F.col("line")))).alias("data"))
     at = data.select("id", "data", _last(F.col("data"), shingle).alias("last"), F.explode(_starts(F.col("data"), shingle)).alias("i"))
-    return at.select("id", "last", _hash_at(F.col("data"), F.col("i"), shingle).alias("h"))
+    return at.select("id", "last", "i", _hash_at(F.col("data"), F.col("i"), shingle).alias("h"))
 
 
 def _signed(hashes: DataFrame) -> DataFrame:
@@ -117,18 +118,19 @@ def _signed(hashes: DataFrame) -> DataFrame:
 def signatures(lines: DataFrame, store: Scratch, shingle: int) -> DataFrame:
     """Rows (id, keys, q0, q1) of every distinct line: keys of its bands and the low bytes of its values."""
     all_ = _hashes(lines, shingle)
-    small = F.shiftrightunsigned("h", 48).bitwiseAND(F.lit(4095)) * F.col("last") < _ENOUGH * 4096
-    some = store.keep_by(_signed(all_.where((F.col("last") < _ENOUGH) | small)), "id", "signatures")
+    small = (F.col("last") < _ENOUGH) | (F.shiftrightunsigned("h", 48).bitwiseAND(F.lit(4095)) * F.col("last") < _ENOUGH * 4096)
+    # the first shingle of every line stays as a row, so that a line that keeps no hash is known
+    some = all_.where(small | (F.col("i") == 0)).withColumn("h", F.when(small, F.col("h")))
+    some = store.keep_by(_signed(some), "id", "signatures")
     # values are signed: the smallest of their own part begin with the bits 1000, others come from another part
     bare = F.lit(False)
     for j in range(_MINS):
-        bare |= F.shiftrightunsigned(f"m{j}", 60) != 8
-    # no hash at all may be left of a line that repeats a few large ones
-    good = (F.col("last") < _ENOUGH) | ~bare
-    again = lines.join(some.where(good).select("id").hint("shuffle_hash"), "id", "left_anti")
+        bare |= F.shiftrightunsigned(F.coalesce(f"m{j}", F.lit(0)), 60) != 8
+    bare &= F.col("last") >= _ENOUGH
+    again = lines.join(some.where(bare).select("id").hint("shuffle_hash"), "id", "left_semi")
     m = [F.col(f"m{j}") for j in range(_MINS)]
     low = [F.shiftleft(x.bitwiseAND(F.lit(255)), 8 * (j % 8)) for j, x in enumerate(m)]
-    signed = some.where(good).unionByName(store.keep(_signed(_hashes(again, shingle)), "again"))
+    signed = some.where(~bare).unionByName(store.keep(_signed(_hashes(again, shingle)), "again"))
     return signed.select(
         "id",
         F.array(*[F.xxhash64(F.lit(b), *[m[j] for j in js]) for b, js in enumerate(BANDS)]).alias("keys"),
@@ -137,11 +139,11 @@ def signatures(lines: DataFrame, store: Scratch, shingle: int) -> DataFrame:
 
 
 def bit_sets(lines: DataFrame, shingle: int) -> DataFrame:
-    """Rows (id, n, bits): number of shingles of each line, repeats counted, and 2,048 bits set by their hashes."""
+    """Rows (id, n, ones, w0..): number of shingles of each line, repeats counted, and 2,048 bits set by their hashes, with their count."""
     h = _hashes(lines, shingle).select("id", "last", F.col("h").bitwiseAND(F.lit(_WORDS - 1)).alias("w"), F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 5) & 63 AS int))").alias("bit"))
     words = h.groupBy("id", "w").agg(F.max("last").alias("last"), F.bit_or("bit").alias("bits"))
-    of = F.array(*[F.coalesce(F.max(F.when(F.col("w") == w, F.col("bits"))), F.lit(0)) for w in range(_WORDS)])
-    return words.groupBy("id").agg((F.max("last") + 1).cast("long").alias("n"), of.alias("bits"))
+    of = [F.coalesce(F.max(F.when(F.col("w") == w, F.col("bits"))), F.lit(0)).alias(f"w{w}") for w in range(_WORDS)]
+    return words.groupBy("id").agg((F.max("last") + 1).cast("long").alias("n"), F.sum(F.bit_count("bits")).alias("ones"), *of)
 
 
 def _likely(percent: int):
@@ -167,17 +169,20 @@ def line_components(
 ) -> tuple[DataFrame, DataFrame]:
     """Components and distinct lines: (id, comp) of every line with a link to another, and ``distinct_lines``."""
     lines = distinct_lines(docs, store, id_col, text_col)
+    store.release()
     signed = signatures(lines, store, shingle)
     shared = shared_members(signed.select(F.explode("keys").alias("key"), "id"), store)
     store.release()
     texts = store.keep_by(lines.join(shared.select("id").distinct().hint("shuffle_hash"), "id", "left_semi").select("id", "line"), "id", "texts")
     bits = store.keep_by(bit_sets(texts, shingle), "id", "bits")
 
+    close_ = few_bits_apart(_WORDS, percent, _DEVIATIONS)
+
     def verify(pairs: DataFrame) -> DataFrame:
-        left, right = (bits.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")) for c in "ab")
-        apart = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-        pairs = pairs.join(left, "a").join(right, "b").where(apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
-        pairs = store.keep(pairs, "close")
+        packed = bits.select("id", F.struct("n", "ones", *[f"w{w}" for w in range(_WORDS)]).alias("bits"))
+        left, right = (packed.select(F.col("id").alias(c), F.col("bits").alias(f"bits{c}")) for c in "ab")
+        close = close_(lambda x: F.col(f"bitsa.{x}"), lambda x: F.col(f"bitsb.{x}"))
+        pairs = pairs.join(left, "a").join(right, "b").where(close).select("a", "b")
         a = texts.select(F.col("id").alias("a"), F.col("line").alias("ta"))
         b = texts.select(F.col("id").alias("b"), F.col("line").alias("tb"))
         sets = (
@@ -188,7 +193,7 @@ def line_components(
         )
         return sets.where(F.col("inter") * 100 >= (F.col("total") - F.col("inter")) * percent)
 
-    labels, _ = link(shared, verify, store, facts=signed.drop("keys"), likely=_likely(percent))
+    labels, _ = link(shared, verify, store, facts=signed.drop("keys"), likely=_likely(percent), more=bits, sharp=close_)
     store.drop(shared, texts, bits)
     return labels, lines
 

@@ -12,6 +12,11 @@ of the verified links.  It never emits all pairs of a bucket:
    components; then these pivots leave the bucket.  A bucket whose members are all connected
    is finished.  No pair is verified twice.  The number of pivots grows by rounds, so members that
    are not alike still get every comparison.
+3. In a bucket of at most ``wide`` members a cheap condition picks the pairs, so a member makes ``wide``
+   pairs at most.  Members of wider buckets are compared by a sharp condition on larger facts as well, which are
+   joined to these members only, and a pair that shares several such buckets is left to one of
+   them; so few pairs besides the links leave a wide bucket.  Its first pivots may come from the largest
+   component too, as most members that can join it are linked with one of these.
 """
 
 from __future__ import annotations
@@ -23,7 +28,11 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch, is_empty
 
+Condition = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
+
 _FAN = 16
+_FIRST = 8
+_WIDE = 32
 
 
 def connected_components(edges: DataFrame, store: Scratch) -> DataFrame:
@@ -75,6 +84,23 @@ def _joined(labels: DataFrame, found: DataFrame, store: Scratch) -> DataFrame:
     return old.unionByName(fresh)
 
 
+def few_bits_apart(words: int, percent: int, deviations: float) -> Condition:
+    """Condition on columns n, ones and w0..: whether two sets may be a link by the bits that only one of them has.
+
+    Sets of na and nb members at the threshold differ in d = (na + nb) (100 - percent) / (100 + percent) members.  Each
+    of these has a bit of its own unless the other set has that bit as well, so the bits apart are d at most, and
+    but for chance, ``deviations`` standard deviations, d times the share of bits that are free.
+    """
+
+    def cond(left: Callable[[str], Column], right: Callable[[str], Column]) -> Column:
+        apart = sum((F.bit_count(left(f"w{w}").bitwiseXOR(right(f"w{w}"))) for w in range(words)), F.lit(0))
+        d = (left("n") + right("n")) * (100 - percent) / (100 + percent)
+        free = 1 - (left("ones") + right("ones")) / (128 * words)
+        return apart <= F.least(d, d * free + F.sqrt(d * free * (1 - free)) * deviations)
+
+    return cond
+
+
 def shared_members(members: DataFrame, store: Scratch) -> DataFrame:
     """Rows (key, id, size) of the buckets that two ids or more have in common; ``members`` has each (key, id) once.
 
@@ -89,48 +115,74 @@ def link(
     verify: Callable[[DataFrame], DataFrame],
     store: Scratch,
     facts: DataFrame | None = None,
-    likely: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None,
+    likely: Condition | None = None,
+    more: DataFrame | None = None,
+    sharp: Condition | None = None,
     fan: int = _FAN,
+    wide: int = _WIDE,
 ) -> tuple[DataFrame, DataFrame]:
     """Components and links of the rows of ``shared_members``; see the module's text.
 
-    ``facts`` has columns beside id; ``likely(left, right)`` builds a cheap condition over them
-    that must hold for every true link.  ``verify`` gets distinct pairs (a, b), a < b, and
+    ``facts`` has columns beside id, of other names than key, score, comp, main, of, others, pick, keys and p; ``likely(left, right)`` builds a cheap condition over them
+    that must hold for every true link; ``more`` and ``sharp`` are the larger facts and the condition
+    for wide buckets.  ``verify`` gets distinct pairs (a, b), a < b, and
     returns those that are links.  Returns (labels (id, comp), links (a, b)).
     """
-    extra = [] if facts is None else [c for c in facts.columns if c != "id"]
+    names = [] if facts is None else [c for c in facts.columns if c != "id"]
     live = shared.join(shared.groupBy("id").agg(F.sum("size").alias("score")), "id")
     if facts is not None:
         live = live.join(facts, "id")
-    live = store.keep(live.select("key", "id", "score", *extra), "members")
+    live = store.keep(live.select("key", "id", "score", *names), "members")
     first = F.struct("score", -F.col("id"))
-    hold = F.lit(True) if likely is None else likely(F.col, lambda c: F.col(f"p.{c}"))
+    holds = lambda c: F.lit(True) if c is None else c(F.col, lambda x: F.col(f"p.{x}"))
 
-    pivots = live.groupBy("key").agg(F.max_by(F.struct("id", "score", *extra), first).alias("p"))
+    pivots = live.groupBy("key").agg(F.max_by(F.struct("id", "score", *names), first).alias("p"))
     best = (
-        live.join(pivots, "key").where((F.col("id") != F.col("p.id")) & hold)
+        live.join(pivots, "key").where((F.col("id") != F.col("p.id")) & holds(likely))
         .groupBy("id").agg(F.max_by("p.id", F.struct("p.score", -F.col("p.id"))).alias("p"))
     )
     pairs = store.keep(best.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct(), "pairs")
     links = store.keep(verify(pairs).select("a", "b"), "found")
+    first_round = True
     tested, labels, stored = pairs, store.keep(connected_components(links, store), "labels"), live
 
+    def met(now: DataFrame, pivots: DataFrame, names: list[str], holding: Column) -> DataFrame:
+        """Pairs of each bucket's pivots with its members in other components."""
+        chosen = pivots.groupBy("key", "pick").agg(F.max_by(F.struct("id", "comp", *names), first).alias("p"))
+        both = now.join(chosen, "key").where((F.col("comp") != F.col("p.comp")) & holding)
+        return both.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
+
     while True:
         now = live.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        parts = now.groupBy("key", "comp").agg(F.count("*").alias("n"))
-        most = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("most"))
-        most = most.where("parts > 1").select("key", F.col("most.comp").alias("main"), (F.col("n") - F.col("most.n")).alias("others"))
-        now, old = store.keep(now.join(most, "key"), "members"), stored
+        parts = now.groupBy("key", "comp").agg(F.count("*").alias("c"))
+        most = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("c").alias("of"), F.max(F.struct("c", "comp")).alias("most"))
+        most = most.where("parts > 1").select("key", "of", F.col("most.comp").alias("main"), (F.col("of") - F.col("most.c")).alias("others"))
+        broad_pick = F.pmod(F.xxhash64("id", "key"), F.lit(_FIRST if first_round else fan))
+        pick = F.when(F.col("others") <= fan, F.col("id")).otherwise(F.pmod(F.xxhash64("id", "key"), F.lit(fan)))
+        pick = F.when(F.col("of") > wide, broad_pick).otherwise(pick)
+        chosen = F.col("comp") != F.col("main")
+        if first_round:
+            chosen |= F.col("of") > wide
+        # of the members of a bucket with one number the one of the best score is the pivot
+        now = now.join(most, "key").withColumn("pick", F.when(chosen, pick))
+        now, old = store.keep(now, "members"), stored
         stored = now
         store.drop(old)
         if is_empty(now):
             return labels, links
-        pick = F.when(F.col("others") <= fan, F.col("id")).otherwise(F.pmod(F.xxhash64("id", "key"), F.lit(fan)))
-        pivots = now.where("comp <> main").groupBy("key", pick.alias("pick")).agg(F.max_by(F.struct("id", "comp", *extra), first).alias("p"))
-        pivots = store.keep(pivots.select("key", "p"), "pivots")
-        pairs = now.join(pivots, "key").where((F.col("comp") != F.col("p.comp")) & hold)
-        pairs = pairs.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
-        pairs = store.keep(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        narrow, broad = now.where(F.col("of") <= wide), now.where(F.col("of") > wide)
+        pairs = met(narrow, narrow.where("pick IS NOT NULL"), names, holds(likely))
+        if not is_empty(broad):
+            # a pair is left to the smallest key of the wide buckets that both are in
+            big, all_names = broad.join(broad.groupBy("id").agg(F.collect_set("key").alias("keys")), "id"), [*names, "keys"]
+            holding = holds(likely)
+            if more is not None:
+                big, all_names = big.join(more, "id"), [*all_names, *[c for c in more.columns if c != "id"]]
+                holding &= holds(sharp)
+            holding &= F.array_min(F.array_intersect("keys", "p.keys")) == F.col("key")
+            big = store.keep(big, "wide")
+            pairs = pairs.unionByName(met(big, big.where("pick IS NOT NULL"), all_names, holding))
+        pairs = store.keep(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         if not is_empty(pairs):
             found = store.keep(verify(pairs).select("a", "b"), "found")
             tested = tested.unionByName(pairs)
@@ -138,6 +190,6 @@ def link(
                 links = links.unionByName(found)
                 labels, old = store.keep(_joined(labels, found, store), "labels"), labels
                 store.drop(old)
-        done = pivots.select("key", F.col("p.id").alias("id"))
-        live = now.select("key", "id", "score", *extra).join(done, ["key", "id"], "left_anti")
-        fan *= 16
+        done = now.where("pick IS NOT NULL").groupBy("key", "pick").agg(F.max_by("id", first).alias("id")).select("key", "id")
+        live = now.select("key", "id", "score", *names).join(done, ["key", "id"], "left_anti")
+        fan, first_round = (fan * 16 if first_round else fan * 256), False

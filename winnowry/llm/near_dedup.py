@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import wordhash as W
-from .linking import link, shared_members
+from .linking import few_bits_apart, link, shared_members
 from .scratch import Scratch
 
 REGISTERS = 256
@@ -31,6 +31,8 @@ MANTISSA = 10
 SHORT = 20
 MARGIN = 0.12
 _COMMON = 3
+_WORDS = 32
+_DEVIATIONS = 5
 _rng = np.random.default_rng(7)
 _SALTS = (np.uint64(0), np.uint64(0xA0761D6478BD642F))
 _DETOUR = np.array([_rng.permutation(REGISTERS) for _ in range(64)])
@@ -146,6 +148,24 @@ def _sketch(k: int, percent: int):
     return run
 
 
+def _bit_sets(k: int):
+    """2,048 bits set by the shingles of each text, as _WORDS columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = W.utf8(batch.column("text"))
+            for i, j in W.slices(at):
+                bits = np.zeros((j - i, 64 * _WORDS), bool)
+                for d, u in enumerate(W.shingle_sets(data[at[i] : at[j]], at[i : j + 1] - at[i], k)):
+                    bits[d, (u & np.uint64(64 * _WORDS - 1)).astype(np.int64)] = True
+                words = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+                columns = [pa.array(np.ascontiguousarray(words[:, w])) for w in range(_WORDS)]
+                ones = pa.array(bits.sum(axis=1).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), ones, *columns], names=["id", "ones", *[f"w{w}" for w in range(_WORDS)]])
+
+    return run
+
+
 def _verified(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,7 +247,8 @@ def near_groups(
         b = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
         return pairs.join(a, "a").join(b, "b").mapInArrow(_verified(k, percent), "a long, b long")
 
-    labels, _ = link(shared, verify, store, facts=facts.drop("doc", "check"), likely=_likely(percent))
+    bits = store.keep_by(texts.mapInArrow(_bit_sets(k), "id long, ones long, " + ", ".join(f"w{w} long" for w in range(_WORDS))), "id", "bits")
+    labels, _ = link(shared, verify, store, facts=facts.drop("doc", "check"), likely=_likely(percent), more=bits, sharp=few_bits_apart(_WORDS, percent, _DEVIATIONS))
     to = reps.select("id", "cid", "cid2", "lo").join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     best = to.groupBy("comp").agg(F.min("lo").alias("component"))
     to = to.join(best, "comp").select("cid", "cid2", "component")
@@ -238,7 +259,7 @@ def near_groups(
         ),
         "groups",
     )
-    store.drop(sigs, reps, shared, facts, texts, labels)
+    store.drop(sigs, reps, shared, facts, texts, bits, labels)
     return out
 
 

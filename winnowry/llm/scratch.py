@@ -56,7 +56,7 @@ class Scratch:
         self._n += 1
         path, table = f"{self.folder}/{self._n:03d}-{name}", f"winnowry_{uuid.uuid4().hex}"
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        df.write.bucketBy(buckets, column).options(path=path, compression="zstd").saveAsTable(table)
+        df.write.bucketBy(buckets, column).options(path=path, compression="lz4").saveAsTable(table)
         back = self.spark.table(table)
         back._scratch_path, back._scratch_table = path, table
         return back
