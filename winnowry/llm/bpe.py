@@ -14,13 +14,17 @@ import json
 import re
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+
+from . import wordhash as W
+from .packed import with_columns
 
 _PIECE = re.compile(r"[^ \t\n\r\x0b\x0c]+")
-_KEPT = 400_000
+_KEPT_BYTES = 48 << 20
+_KEPT_PAIRS = 300_000
+_STEP = 1 << 20
 # Printable ASCII and Latin letters: composed already, and lower case has the same letters everywhere.
 _LATIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
@@ -106,7 +110,7 @@ class TrieBpe:
         """Whether merging the joined symbols of two tokens gives back these tokens."""
         got = self._follows.get((a, b))
         if got is None:
-            if len(self._follows) > 2_000_000:
+            if len(self._follows) > _KEPT_PAIRS:
                 self._follows.clear()
             got = self._follows[(a, b)] = self.merged(self.symbols(a) + self.symbols(b)) == [a, b]
         return got
@@ -186,73 +190,71 @@ class TrieBpe:
         return " ".join(self.text[i] for i in ids)
 
 
-_loaded: dict[str, tuple[TrieBpe, dict[str, tuple[str, str]]]] = {}
+class Pieces:
+    """Encodings of pieces met before: decimal ids and token texts, each joined by one space; bounded in bytes."""
 
+    def __init__(self, path: str) -> None:
+        self.bpe, self._known, self._size = TrieBpe(path), {}, 0
+
+    def encoded(self, texts: list[list[str]]) -> Iterator[tuple[str, str]]:
+        """For each text, given as its pieces, ids and token texts."""
+        if self._size > _KEPT_BYTES:
+            self._known.clear()
+            self._size = 0
+        known = self._known
+        new = {p for ps in texts for p in ps if p not in known}
+        once = {}
+        for p, ids in self.bpe.encode_pieces(new).items():
+            value = (" ".join(map(str, ids)), self.bpe.decode(ids))
+            if len(p) <= _LONG:
+                known[p] = value
+                self._size += 200 + len(p) + len(value[0]) + len(value[1])
+            else:
+                once[p] = value
+        for ps in texts:
+            pairs = [known.get(p) or once[p] for p in ps]
+            yield " ".join(x[0] for x in pairs if x[0]), " ".join(x[1] for x in pairs if x[0])
 
-def _loaded_for(path: str) -> tuple[TrieBpe, dict[str, tuple[str, str]]]:
-    if path not in _loaded:
-        _loaded[path] = (TrieBpe(path), {})
-    return _loaded[path]
+
+_loaded: dict[str, Pieces] = {}
 
 
 def encoded_texts(texts: list[str | None], path: str) -> Iterator[tuple[str, str]]:
     """For each text the decimal ids and the token texts, each joined by one space."""
-    bpe, known = _loaded_for(path)
-    step, at = 1 << 20, 0
-    while at < len(texts):
-        stop, size = at, 0
-        while stop < len(texts) and (stop == at or size < step):
-            size += len(texts[stop] or "")
-            stop += 1
-        cut = [_PIECE.findall(t or "") for t in texts[at:stop]]
-        if len(known) > _KEPT:
-            known.clear()
-        new = {p for ps in cut for p in ps if p not in known}
-        got = {p: (" ".join(map(str, ids)), bpe.decode(ids)) for p, ids in bpe.encode_pieces(new).items()}
-        once = {p: v for p, v in got.items() if len(p) > _LONG}
-        known.update((p, v) for p, v in got.items() if len(p) <= _LONG)
-        for ps in cut:
-            pairs = [known.get(p) or once[p] for p in ps]
-            yield " ".join(x[0] for x in pairs if x[0]), " ".join(x[1] for x in pairs if x[0])
-        at = stop
+    if path not in _loaded:
+        _loaded[path] = Pieces(path)
+    yield from _loaded[path].encoded([_PIECE.findall(t or "") for t in texts])
 
 
 def encode(
-    docs: DataFrame, path: str | Callable[[], str], text_col: str = "text", ids: bool = True
+    docs: DataFrame, path: str | Callable[[], str], text_col: str = "text", ids: bool = True, decoded: bool = True
 ) -> DataFrame:
-    """Adds n_tokens, ids_sha256 and decoded_sha256, and with ``ids`` the token ids and their decoded text.
+    """Adds n_tokens, ids_sha256 and decoded_sha256; with ``ids`` the token ids, with ``decoded`` their text.
 
     ``path`` names a tokenizer file that every executor can open (a function is called there).
     Special tokens written out in a text become their ids, as the library does by default.
     Defined cases: null and empty texts have no tokens; other columns pass through, and
     input columns named like the added ones are replaced; no rows give no rows.
     """
-    added = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
-    if ids:
-        added |= {"ids": "array<int>", "decoded": "string"}
-    keep = [c for c in docs.columns if c not in added]
-    src = docs.select(*keep, F.col(text_col).alias("_text"))
-    types = {"long": LongType(), "string": StringType(), "array<int>": ArrayType(IntegerType())}
-    schema = StructType([src.schema[c] for c in keep] + [StructField(n, types[t]) for n, t in added.items()])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    adds = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded string" * decoded
+
+    def fill(column: pa.Array) -> Iterator[tuple[int, list[pa.Array]]]:
         where = path() if callable(path) else path
-        for batch in batches:
-            rows = range(0, len(batch), 500)
-            for at in rows:
-                part = batch.slice(at, 500)
-                cols: dict[str, list] = {n: [] for n in added}
-                for a, b in encoded_texts(part.column("_text").to_pylist(), where):
-                    cols["n_tokens"].append(a.count(" ") + 1 if a else 0)
-                    cols["ids_sha256"].append(hashlib.sha256(a.encode()).hexdigest())
-                    cols["decoded_sha256"].append(hashlib.sha256(b.encode()).hexdigest())
-                    if ids:
-                        cols["ids"].append([int(x) for x in a.split()])
-                        cols["decoded"].append(b)
-                kinds = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(c) for c in keep] + [pa.array(cols[n], kinds[t]) for n, t in added.items()],
-                    names=[*keep, *added],
-                )
-
-    return src.mapInArrow(run, schema)
+        _, at = W.utf8(column)
+        for i, j in W.slices(at, _STEP):
+            n, one, two, flat, texts = [], [], [], [], []
+            for a, b in encoded_texts(column.slice(i, j - i).to_pylist(), where):
+                n.append(a.count(" ") + 1 if a else 0)
+                one.append(hashlib.sha256(a.encode()).hexdigest())
+                two.append(hashlib.sha256(b.encode()).hexdigest())
+                if ids:
+                    flat.append(np.fromstring(a, np.int32, sep=" ") if a else np.zeros(0, np.int32))
+                if decoded:
+                    texts.append(b)
+            out = [pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())]
+            if ids:
+                ends = np.cumsum([0, *map(len, flat)]).astype(np.int32)
+                out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat))))
+            yield j - i, out + [pa.array(texts, pa.string())] * decoded
+
+    return with_columns(docs, text_col, adds, fill)

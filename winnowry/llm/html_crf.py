@@ -16,8 +16,8 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+
+from .packed import with_columns
 
 # HTML element classes.
 _RAW = "script style noscript template textarea iframe title xmp noembed noframes"
@@ -393,18 +393,10 @@ def extract(pages: DataFrame, html_col: str = "html", chain: Chain | None = None
     named like the added ones are replaced; no rows give no rows.
     """
     chain = chain or default_chain()
-    keep = [c for c in pages.columns if c not in ("text", "n_chars")]
-    src = pages.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{html_col}`").alias("html"))
-    schema = StructType([src.schema["row"]]).add("text", "string").add("n_chars", "long")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.slice(at, 500)
-                texts = [main_text(p, chain) for p in part.column("html").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                    names=["row", "text", "n_chars"],
-                )
-
-    return src.mapInArrow(run, schema).select(*[F.col(f"row.`{c}`") for c in keep], "text", "n_chars")
+
+    def fill(column: pa.Array) -> Iterator[tuple[int, list[pa.Array]]]:
+        for at in range(0, len(column), 200):
+            texts = [main_text(p, chain) for p in column.slice(at, 200).to_pylist()]
+            yield len(texts), [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+
+    return with_columns(pages, html_col, "text string, n_chars long", fill)

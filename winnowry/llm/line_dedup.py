@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .linking import few_bits_apart, link, shared_members
+from .packed import column
 from .scratch import Scratch
 
 SHINGLE = 8
@@ -240,7 +241,7 @@ def dedup_lines(
     gone = store.keep(gone, "gone").select(F.col("doc").alias("_doc"), F.col("rid").alias("_rid"), F.col("gone").alias("_gone"))
     full = lambda xs: F.size(F.filter(xs, lambda x: F.length(F.trim(x)) > 0)).cast("long")
     added = ("n_lines", "n_kept")
-    whole = docs.select(F.struct(*docs.columns).alias("_row"), key.alias("_doc"), F.xxhash64(key, F.col(text_col)).alias("_rid"))
+    whole = docs.select(F.struct(*[column(c).alias(c) for c in docs.columns]).alias("_row"), key.alias("_doc"), F.xxhash64(key, F.col(text_col)).alias("_rid"))
     joined = whole.join(gone.hint("shuffle_hash"), ["_doc", "_rid"], "left")
     cut = (
         joined.withColumn("_text", F.col(f"_row.`{text_col}`"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,16 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import jpeg
+from .packed import with_columns
 from .wordhash import slices, utf8
 
 UNIT = 64
 _SHIFT = 64  # bytes of text are small positive coefficients
-_FIELDS = (
-    "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, "
-    "media_bytes long, media_sha256 string, feature string"
-)
-
-
 def to_media(payloads: list[bytes]) -> list[bytes]:
     """Files holding payloads (a positive multiple of 64 bytes each), one byte as one coefficient."""
     blocks = [np.frombuffer(p, np.uint8).astype(np.int64).reshape(-1, UNIT) - _SHIFT for p in payloads]
@@ -48,57 +41,46 @@ def feature(tensor: np.ndarray) -> str:
     return f"{w}x{h}:" + ",".join(map(str, sums.tolist())) + ":" + ",".join(map(str, hist.tolist()))
 
 
-def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    for batch in batches:
-        data, at = utf8(batch.column("text"))
-        ids = batch.column("doc_id").to_pylist()
+def text_media(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Adds media (a progressive JPEG file that holds the text), payload (read back from it), height, width, rgb and feature.
+
+    payload is the text's UTF-8 with bytes 0 up to a positive multiple of 64; rgb is the file's
+    full-resolution tensor, bytes row by row; feature sums it up.
+    Defined cases: null and empty texts store 64 zero bytes; equal texts give equal values; a
+    text of any length is one file (rows of 4,000 units); other columns pass through and input columns
+    named like the added ones are replaced; no rows give no rows.
+    """
+
+    def fill(column: pa.Array) -> Iterator[tuple[int, list[pa.Array]]]:
+        data, at = utf8(column)
         for i, j in slices(at, 1 << 20):
             raw = [data[at[k] : at[k + 1]].tobytes() for k in range(i, j)]
-            payloads = [t + bytes(-len(t) % UNIT if t else UNIT) for t in raw]
-            files = to_media(payloads)
+            files = to_media([t + bytes(-len(t) % UNIT if t else UNIT) for t in raw])
             rows = []
-            for k, (got, f, coef) in enumerate(from_media(files)):
-                rows.append((
-                    ids[i + k], len(raw[k]), len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-UNIT:]),
-                    len(files[k]), hashlib.sha256(files[k]).hexdigest(), feature(jpeg.rgb(f, coef)),
-                ))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in _FIELDS.split(", ")])
+            for file, (payload, f, coef) in zip(files, from_media(files), strict=True):
+                tensor = jpeg.rgb(f, coef)
+                rows.append((file, payload, f.height, f.width, tensor.tobytes(), feature(tensor)))
+            kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.string())
+            yield j - i, [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
 
+    return with_columns(docs, text_col, "media binary, payload binary, height int, width int, rgb binary, feature string", fill)
 
-def text_media(docs: DataFrame) -> DataFrame:
-    """Digests of every text stored as a progressive JPEG file and read back; see ``_FIELDS``.
 
-    Defined cases: null and empty texts store 64 zero bytes; equal texts give equal values; a
-    text of any length is one file (rows of 4,000 units); rows with equal or null ids each get a
-    row; columns other than doc_id and text are not read; no rows give no rows.
+def tensors(media: DataFrame, media_col: str = "media") -> DataFrame:
+    """Adds height, width and rgb (bytes, row by row) of progressive JPEG files; null where a file can't be read.
+
+    Defined cases: null and empty files and files that are no progressive JPEG give nulls; repeated rows
+    get equal tensors; other columns pass through and input columns named like the added ones are
+    replaced; no rows give no rows.
     """
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_run, _FIELDS)
 
+    def fill(column: pa.Array) -> Iterator[tuple[int, list[pa.Array]]]:
+        for value in column:
+            try:
+                f = jpeg.parse(value.as_py() or b"")
+                row = (f.height, f.width, jpeg.rgb(f, jpeg.decode([f])[0]).tobytes())
+            except (ValueError, IndexError):
+                row = (None, None, None)
+            yield 1, [pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.binary()), strict=True)]
 
-def tensors(media: DataFrame, media_col: str = "media") -> DataFrame:
-    """Adds height, width and rgb (bytes, row by row) of progressive JPEG files; null where a file can't be read."""
-    from pyspark.sql import functions as F
-    from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
-
-    keep = [c for c in media.columns if c not in ("height", "width", "rgb")]
-    src = media.select(*keep, F.col(media_col).alias("_media"))
-    schema = StructType([src.schema[c] for c in keep] + [StructField("height", IntegerType()), StructField("width", IntegerType()), StructField("rgb", BinaryType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(len(batch)):
-                part = batch.slice(at, 1)
-                blob = part.column("_media")[0].as_py()
-                try:
-                    f = jpeg.parse(blob or b"")
-                    t = jpeg.rgb(f, jpeg.decode([f])[0])
-                    row = [f.height, f.width, t.tobytes()]
-                except (ValueError, IndexError):
-                    row = [None, None, None]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(c) for c in keep] + [pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.binary()), strict=True)],
-                    names=[*keep, "height", "width", "rgb"],
-                )
-
-    return src.mapInArrow(run, schema)
+    return with_columns(media, media_col, "height int, width int, rgb binary", fill)

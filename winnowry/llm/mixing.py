@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .packed import column
 from .scratch import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -102,7 +103,7 @@ def mix_sources(
     store = Scratch(spark, "mix")
     parts = parts or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     base = docs.select(
-        F.struct(*([id_col] if slim else docs.columns)).alias("row"),
+        F.struct(*[column(c).alias(c) for c in ([id_col] if slim else docs.columns)]).alias("row"),
         F.coalesce(F.col(source_col), F.lit("")).alias("src"),
         F.col(source_col).isNull().alias("none"),
         word_count(F.col(text_col)).alias("size"),

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from . import wordhash as W
 from .linking import few_bits_apart, link, shared_members
+from .packed import column
 from .scratch import Scratch
 
 REGISTERS = 256
@@ -274,7 +275,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = near_groups(docs, store, id_col, text_col, k, percent)
     gone = groups.where("n > 0 AND component IS NOT NULL AND (doc IS NULL OR doc <> component)").select("doc", "check").distinct()
     gone = store.keep(gone, "gone")
-    whole = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_check"))
+    whole = docs.select(F.struct(*[column(c).alias(c) for c in docs.columns]).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_check"))
     left = whole.join(
         gone.hint("shuffle_hash"), whole["_id"].eqNullSafe(gone["doc"]) & (whole["_check"] == gone["check"]), "left_anti"
     )

@@ -48,11 +48,21 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
-    return bpe.encode(docs, vocabulary, ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.encode(docs, vocabulary, ids=False, decoded=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.text_media(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    made = media.text_media(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return made.select(
+        "doc_id",
+        F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
 
 
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

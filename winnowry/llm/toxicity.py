@@ -13,9 +13,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import wordhash as W
+from .packed import with_columns
 from .quality import held_out, labelled
 
 SAMPLE = 12_000
@@ -127,20 +127,14 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
     score is 0.5; repeated rows get equal scores; an input column named like the added one is
     replaced; no rows give no rows.
     """
-    from pyspark.sql.types import StructType
 
-    keep = [c for c in docs.columns if c != name]
-    src = docs.select(*keep, F.col(text_col).alias("_text"))
-    schema = StructType([src.schema[c] for c in keep]).add(name, "double")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, at = W.utf8(batch.column("_text"))
-            for i, j in W.slices(at):
-                p = 1 / (1 + np.exp(-np.clip(model.logits(data[at[i] : at[j]], at[i : j + 1] - at[i]), -35, 35)))
-                yield pa.RecordBatch.from_arrays([batch.column(c).slice(i, j - i) for c in keep] + [pa.array(p)], names=[*keep, name])
+    def fill(column: pa.Array) -> Iterator[tuple[int, list[pa.Array]]]:
+        data, at = W.utf8(column)
+        for i, j in W.slices(at):
+            p = 1 / (1 + np.exp(-np.clip(model.logits(data[at[i] : at[j]], at[i : j + 1] - at[i]), -35, 35)))
+            yield j - i, [pa.array(p)]
 
-    return src.mapInArrow(run, schema)
+    return with_columns(docs, text_col, f"`{name.replace('`', '``')}` double", fill)
 
 
 __all__ = ["IDENTITY", "Model", "fit", "held_out", "score", "train"]

@@ -103,7 +103,7 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
     out = np.zeros(len(h), np.uint64)
     for j in range(k):
         part = np.zeros(len(h), np.uint64)
-        part[: len(h) - j] = h[j:]
+        part[: max(0, len(h) - j)] = h[j:]
         out = mix(out * np.uint64(0x9FB21C651E98DF25) + part)
     return out
 
