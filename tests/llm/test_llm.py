@@ -419,6 +419,14 @@ def test_packs_share_turns_and_read_back(spark):
     for p in packs.collect():
         assert p["text"].count("same start") <= 1
         for n in p["nodes"]:
+            seen, at = set(), n
+            while True:
+                seen |= set(range(at["start"], at["end"]))
+                if at["parent"] < 0:
+                    break
+                at = p["nodes"][at["parent"]]
+            spans = [(x["start"], x["end"]) for x in n["attends"]]
+            assert seen == {i for a, b in spans for i in range(a, b)} and all(b < c for (_, b), (c, _) in zip(spans, spans[1:], strict=False))
             if n["parent"] >= 0:
                 up = p["nodes"][n["parent"]]
                 assert n["position"] == up["position"] + up["end"] - up["start"]

@@ -2,10 +2,11 @@
 
 Sorted by their turns, conversations come in the depth-first order of their tree: the turns a
 conversation shares with the one before are already written.  A pack is one written text with
-its nodes (one for each turn), the position id each node starts at, the spans of its ancestors
-that it may attend to, its loss span, and the conversations that end in it.  A pack is closed
-before it would pass ``PACK_CHARS`` characters or ``PACK_LEAVES`` conversations; the next one
-writes the shared turns again, once.
+its nodes (one for each turn), the position id each node starts at (those inside it follow by one), the
+intervals of the text that it may attend to, which are its ancestors' and its own, its loss span, and the
+conversations that end in it.  All are counted in characters of the text.  A pack is closed
+before it would pass ``PACK_CHARS`` characters or ``PACK_LEAVES`` conversations, as it is one training
+sequence; the next one writes the turns that its first conversation shares with the one before again, once.
 """
 
 from __future__ import annotations
@@ -47,10 +48,11 @@ def render(role: str, text: str) -> tuple[str, int, int]:
 
 _TURNS = "conv_id long, keys array<binary>, roles array<string>, texts array<string>"
 _PACK = (
-    "text string, nodes array<struct<start:int,end:int,position:int,parent:int,loss_start:int,loss_end:int>>, "
+    "text string, nodes array<struct<start:int,end:int,position:int,parent:int,loss_start:int,loss_end:int,attends:array<struct<start:int,end:int>>>>, "
     "leaves array<struct<conv_id:bigint,node:int>>"
 )
-_node = pa.struct([(n, pa.int32()) for n in ("start", "end", "position", "parent", "loss_start", "loss_end")])
+_span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+_node = pa.struct([*((n, pa.int32()) for n in ("start", "end", "position", "parent", "loss_start", "loss_end")), ("attends", pa.list_(_span))])
 _leaf = pa.struct([("conv_id", pa.int64()), ("node", pa.int32())])
 
 
@@ -83,11 +85,18 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows()
 
 
+def attending(before: list[dict[str, int]], start: int, end: int) -> list[dict[str, int]]:
+    """Intervals that a node may attend to: its parent's and its own, joined where they touch."""
+    if before and before[-1]["end"] == start:
+        return [*before[:-1], {"start": before[-1]["start"], "end": end}]
+    return [*before, {"start": start, "end": end}]
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Packs from conversations sorted by their turns: a depth-first walk with a stack of nodes."""
     path: list[tuple[bytes, int]] = []  # key and node of each turn of the conversation before
     parts: list[str] = []
-    nodes: list[dict[str, int]] = []
+    nodes: list[dict] = []
     leaves: list[dict[str, int]] = []
     size = 0
 
@@ -111,7 +120,11 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parent = path[-1][1] if path else -1
                 position = nodes[parent]["position"] + nodes[parent]["end"] - nodes[parent]["start"] if path else 0
                 loss = (size + a, size + b) if role == "assistant" else (size, size)
-                nodes.append({"start": size, "end": size + len(written), "position": position, "parent": parent, "loss_start": loss[0], "loss_end": loss[1]})
+                attends = attending(nodes[parent]["attends"] if path else [], size, size + len(written))
+                nodes.append({
+                    "start": size, "end": size + len(written), "position": position, "parent": parent,
+                    "loss_start": loss[0], "loss_end": loss[1], "attends": attends,
+                })
                 path.append((key, len(nodes) - 1))
                 parts.append(written)
                 size += len(written)
@@ -120,22 +133,6 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pack()
 
 
-def attention(nodes: list[dict[str, int]], node: int) -> list[tuple[int, int]]:
-    """Spans of the pack's text that a node may attend to: its ancestors' and its own, joined where they touch."""
-    chain = []
-    while node >= 0:
-        chain.append(node)
-        node = nodes[node]["parent"]
-    out: list[tuple[int, int]] = []
-    for i in reversed(chain):
-        a, b = nodes[i]["start"], nodes[i]["end"]
-        if out and out[-1][1] == a:
-            out[-1] = (out[-1][0], b)
-        else:
-            out.append((a, b))
-    return out
-
-
 def format_conversations(rows: DataFrame) -> DataFrame:
     """Packs (text, nodes, leaves) of all conversations (conv_id, turn, role, text).
 
@@ -168,8 +165,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for leaf in leaves:
                 node = leaf["node"]
                 if node not in known:
-                    spans = attention(nodes, node)
-                    whole = "".join(text[a:b] for a, b in spans)
+                    whole = "".join(text[x["start"] : x["end"]] for x in nodes[node]["attends"])
                     turns = [t.split(SEP, 1) for t in whole.removeprefix(START).removesuffix(END).split(END + START)]
                     said = "".join(f"{unescape(r)}\n{unescape(t)}\n" for r, t in turns)
                     masked, at = [], node
