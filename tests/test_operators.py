@@ -227,6 +227,25 @@ def test_large_groups_are_cut_before_the_tournament(spark):
     assert rows(p, "within_rank", "i") == [(i, i) for i in range(50)]
 
 
+def test_handshake_refuses_other_plans_and_unknown_items(spark):
+    plan = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
+    said = spark.createDataFrame([(2, 1, "a"), (1, 3, "b")], "a long, b long, winner string")
+    right = tournament.plan_hash(plan).first()["hash"]
+    assert tuple(tournament.handshake(plan, right, said).first()) == (1, 1, 1)
+    with pytest.raises(ValueError, match="another plan"):
+        tournament.handshake(plan, "0" * 32, said)
+    with pytest.raises(ValueError, match="unknown item"):
+        tournament.handshake(plan, right, said.unionByName(spark.createDataFrame([(9, 1, "a")], said.schema)))
+
+
+def test_strategies_fall_back(spark):
+    df = spark.createDataFrame([(1, 0.3, None), (2, 0.1, 0.9), (3, 0.2, 0.5)], "i long, g double, f double").withColumn("v", F.lit(None).cast("double"))
+    assert ranks.composite_score(df, "g", "f", "i", "s", "vision_face", "v")[1] == "face" == ranks.composite_score(df, "g", "f", "i", "s")[1]
+    assert rows(ranks.composite_score(df, "g", "f", "i", "s", "vision_face", "f")[0], "i", "s") == [(1, -1.0), (2, 1.0), (3, 0.0)]
+    with pytest.raises(ValueError, match="unknown strategy"):
+        ranks.composite_score(df, "g", "f", "i", "s", "?")
+
+
 def test_text_helpers():
     assert text.last_json('<think>{"a":0}</think> x {"a": 1} tail') == {"a": 1} and text.last_json("none") is None
     assert text.translate_reason("1 beats 2, not 10 or 1.5", ["p", "q"]) == "p beats q, not 10 or 1.5"

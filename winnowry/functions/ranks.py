@@ -43,6 +43,42 @@ def stratified_rank(df: DataFrame, value: str, item: str, stratum: str, out: str
     return placed.withColumn(out, rank).drop("_at", "_of").unionByName(df.where(F.col(value).isNull()).withColumn(out, F.lit(-1.0)))
 
 
+def metric_route(coverage: Column, least: float = 0.6) -> Column:
+    """'face' where enough of a set has the face metric, else 'general'."""
+    return F.when(coverage < least, "general").otherwise("face")
+
+
+def composite_score(df: DataFrame, general: str, face: str, item: str, out: str, strategy: str = "auto", vision: str | None = None) -> tuple[DataFrame, str]:
+    """Score by one of four strategies, and the one that was used.
+
+    'general' ranks the general metric; 'face' the face metric, 0.5 where it is missing; 'vision_face' the vision
+    metric, -1 where it is missing, and falls back to 'face' if no row has it; 'blend' is half general,
+    half face.  'auto' takes 'face' if 60 % of the rows have the face metric, else 'general'.
+    """
+    if strategy == "auto":
+        strategy = df.agg(metric_route(F.avg(F.col(face).isNotNull().cast("int"))).alias("s")).first()["s"]
+    if strategy == "vision_face" and (vision is None or not df.where(F.col(vision).isNotNull()).take(1)):
+        strategy = "face"
+    if strategy == "general":
+        return distinct_rank(df, general, item, out), strategy
+    if strategy == "face":
+        return sparse_rank(df, face, item, out), strategy
+    if strategy == "vision_face":
+        return sparse_rank(df, vision, item, out, -1.0), strategy
+    if strategy != "blend":
+        raise ValueError(f"unknown strategy {strategy}")
+    both = sparse_rank(distinct_rank(df, general, item, "_general"), face, item, "_face")
+    return both.withColumn(out, F.col("_general") * 0.5 + F.col("_face") * 0.5).drop("_general", "_face"), strategy
+
+
+def mode(labels: Column, concentration: Column, use_probe: Column, least: int = 5, most: float = 1.05) -> Column:
+    """Whether personal labels are used, by the first guard that holds: none, probe off, too few, too concentrated; else fused."""
+    return (
+        F.when(labels == 0, "cold").when(~use_probe, "probe off").when(labels < least, "too few")
+        .when(concentration > most, "too concentrated").otherwise("fused")
+    )
+
+
 def fusion_weight(n: Column, least: int, full: int, low: float, high: float) -> Column:
     """Weight of personal labels: linear from ``low`` at ``least`` labels to ``high`` at ``full``, clamped."""
     t = F.least(F.greatest((n - least) / (full - least), F.lit(0.0)), F.lit(1.0))

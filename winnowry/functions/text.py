@@ -34,6 +34,11 @@ def fingerprint(rows: Column) -> Column:
     return F.substring(F.sha2(F.concat(F.array_join(F.array_sort(rows), "\n"), F.lit("\n")), 256), 1, 16)
 
 
+def content_fingerprint(parts: Column) -> Column:
+    """md5 over the md5 of each part in sorted order: the order of the parts does not count."""
+    return F.md5(F.array_join(F.array_sort(F.transform(parts, lambda p: F.md5(p.cast("binary")))), "|"))
+
+
 def first_shown(a: Column, b: Column) -> Column:
     """Whether a is shown first: the leading byte of sha256(a NUL b) is below 128."""
     return F.substring(F.sha2(F.concat(a, F.lit("\0"), b), 256), 1, 1) < "8"

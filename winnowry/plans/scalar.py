@@ -46,7 +46,7 @@ def p5(spark, d):
 @query("p6_metric_routing", """SELECT CASE WHEN avg((quality = 1)::INT) < 0.6 THEN 'general' ELSE 'face' END AS strategy, round(avg((quality = 1)::INT), 6) AS coverage FROM labels""")
 def p6(spark, d):
     c = table(spark, d, "labels").agg(F.avg((F.col("quality") == 1).cast("int")).alias("coverage"))
-    return c.select(F.when(F.col("coverage") < 0.6, "general").otherwise("face").alias("strategy"), F.round("coverage", 6).alias("coverage"))
+    return c.select(R.metric_route(F.col("coverage")).alias("strategy"), F.round("coverage", 6).alias("coverage"))
 
 
 @query("p7_inverted_rank", """SELECT s_suppkey, round(1 - (row_number() OVER (ORDER BY s_acctbal, s_suppkey) - 1) / greatest(count(*) OVER () - 1, 1), 9) AS r FROM supplier""")
@@ -55,14 +55,21 @@ def p7(spark, d):
     return r.select("s_suppkey", F.round(1 - F.col("r"), 9).alias("r"))
 
 
-@query("p8_composite_score", """WITH x AS (SELECT p_partkey, p_retailprice AS v, CASE WHEN p_size > 25 THEN p_size END AS f, p_brand FROM part),
-r AS (SELECT *, (row_number() OVER (ORDER BY v, p_partkey) - 1) / greatest(count(*) OVER () - 1, 1) AS g,
- CASE WHEN f IS NULL THEN 0.5 ELSE (row_number() OVER (PARTITION BY f IS NULL ORDER BY f, p_partkey) - 1) / greatest(count(*) OVER (PARTITION BY f IS NULL) - 1, 1) END AS fr FROM x)
-SELECT p_partkey, round(CASE WHEN f IS NOT NULL THEN 0.5 * g + 0.5 * fr ELSE -1 END, 9) AS score FROM r""")
+@query("p8_composite_score", """WITH x AS (SELECT p_partkey, p_retailprice AS v, CASE WHEN p_size > 25 THEN p_size END AS f FROM part),
+r AS (SELECT *, (row_number() OVER (ORDER BY v, p_partkey) - 1) / greatest(count(*) OVER () - 1, 1) AS g, avg((f IS NOT NULL)::INT) OVER () AS cover,
+ (row_number() OVER (PARTITION BY f IS NULL ORDER BY f, p_partkey) - 1) / greatest(count(*) OVER (PARTITION BY f IS NULL) - 1, 1) AS fr FROM x),
+c AS (SELECT *, CASE WHEN f IS NULL THEN 0.5 ELSE fr END AS face FROM r)
+SELECT p_partkey, 'general' AS strategy, 'general' AS used, round(g, 9) AS score FROM c UNION ALL SELECT p_partkey, 'face', 'face', round(face, 9) FROM c UNION ALL SELECT p_partkey, 'blend', 'blend', round(0.5 * g + 0.5 * face, 9) FROM c
+UNION ALL SELECT p_partkey, 'vision_face', 'vision_face', round(CASE WHEN f IS NULL THEN -1 ELSE fr END, 9) FROM c
+UNION ALL SELECT p_partkey, 'auto', CASE WHEN cover < 0.6 THEN 'general' ELSE 'face' END, round(CASE WHEN cover < 0.6 THEN g ELSE face END, 9) FROM c""")
 def p8(spark, d):
     p = table(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("v"), F.when(F.col("p_size") > 25, F.col("p_size")).alias("f"))
-    p = R.sparse_rank(R.distinct_rank(p, "v", "p_partkey", "g"), "f", "p_partkey", "fr")
-    return p.select("p_partkey", F.round(F.when(F.col("f").isNotNull(), F.col("g") * 0.5 + F.col("fr") * 0.5).otherwise(-1.0), 9).alias("score"))
+    out = None
+    for s in ("general", "face", "blend", "vision_face", "auto"):
+        scored, used = R.composite_score(p, "v", "f", "p_partkey", "score", s, "f")
+        one = scored.select("p_partkey", F.lit(s).alias("strategy"), F.lit(used).alias("used"), F.round("score", 9).alias("score"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("p9_fusion_weight", """SELECT o_custkey, count(*) AS n, round(0.2 + least(greatest((count(*) - 5) / 15.0, 0), 1) * 0.5, 9) AS w FROM orders GROUP BY o_custkey""")
@@ -71,10 +78,11 @@ def p9(spark, d):
     return g.select("o_custkey", "n", F.round(R.fusion_weight(F.col("n"), 5, 20, 0.2, 0.7), 9).alias("w"))
 
 
-@query("p10_mode_ladder", """SELECT lang, CASE WHEN count(*) < 20 THEN 'too few' WHEN max(n_chars) > 40 * avg(n_chars) THEN 'too concentrated' ELSE 'fused' END AS mode FROM documents GROUP BY lang""")
+@query("p10_mode_ladder", """WITH g AS (SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS n, max(o_totalprice) / avg(o_totalprice) / 2 AS c FROM orders GROUP BY 1)
+SELECT o_custkey, CASE WHEN n = 0 THEN 'cold' WHEN o_custkey % 7 = 0 THEN 'probe off' WHEN n < 5 THEN 'too few' WHEN c > 1.05 THEN 'too concentrated' ELSE 'fused' END AS mode FROM g""")
 def p10(spark, d):
-    g = table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.max("n_chars").alias("top"), F.avg("n_chars").alias("mean"))
-    return g.select("lang", F.when(F.col("n") < 20, "too few").when(F.col("top") > 40 * F.col("mean"), "too concentrated").otherwise("fused").alias("mode"))
+    g = table(spark, d, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "F").alias("n"), (F.max("o_totalprice") / F.avg("o_totalprice") / 2).alias("c"))
+    return g.select("o_custkey", R.mode(F.col("n"), F.col("c"), F.col("o_custkey") % 7 != 0).alias("mode"))
 
 
 _PX = """WITH v AS (SELECT vec_id, embedding::FLOAT[]::DOUBLE[] AS e FROM embeddings),
