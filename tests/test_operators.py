@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from winnowry import cli
 from winnowry.engine import Config, Curation, ReplayJudge
 from winnowry.functions import geometry, ranks, text
 from winnowry.operators import ordering, pairsets, selection, similarity, statistics, taste, tournament
@@ -280,7 +281,7 @@ def test_stream_equals_batch(spark, tmp_path):
     assert rows(spark.table("seen"), "cell", "done", "ok") == rows(batch, "cell", "done", "ok") == [("x", 2, 1)]
 
 
-def test_session(spark):
+def test_session(spark, tmp_path):
     r = np.random.default_rng(1)
     base = r.normal(size=(6, 8))
     x = np.repeat(base, 3, axis=0) + r.normal(size=(18, 8)) * 0.05
@@ -290,5 +291,11 @@ def test_session(spark):
     ranked = c.rank().cache()
     assert ranked.count() == 18 and ranked.select("family").distinct().count() == 6
     assert c.select(ranked).count() == 6
+    items.write.parquet(f"{tmp_path}/items")
+    items.where("item < 6").write.parquet(f"{tmp_path}/gold")
+    for verb in ("preview", "curve"):
+        cli.main([verb, f"{tmp_path}/items", "--gold", f"{tmp_path}/gold", "--out", f"{tmp_path}/{verb}", "--target", "4"])
+    assert spark.read.parquet(f"{tmp_path}/preview").where("selected").count() == 3
+    assert spark.read.parquet(f"{tmp_path}/curve").select("protocol").distinct().count() == 2
     said = spark.createDataFrame([], "a long, b long, winner string")
     assert rows(c.rank(ReplayJudge(said)), "item", "ord") == rows(ranked, "item", "ord")

@@ -1,4 +1,4 @@
-"""spark-submit entry: scan, pick, pairs, eval over Parquet tables of items."""
+"""spark-submit entry: scan, pick, preview, pairs, eval, curve over Parquet tables of items."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from .sources.files import dataset_fingerprint, guard_sink, list_items, read_ver
 
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="winnowry")
-    p.add_argument("verb", choices=["scan", "pick", "pairs", "eval"])
+    p.add_argument("verb", choices=["scan", "pick", "preview", "pairs", "eval", "curve"])
     p.add_argument("source", help="a folder of files for scan, a Parquet table (item, vector, score) for the others")
     p.add_argument("--out")
     p.add_argument("--gold", help="Parquet table of gold items")
@@ -28,9 +28,15 @@ def main(argv: list[str] | None = None) -> None:
         out = items.crossJoin(dataset_fingerprint(items))
     else:
         c = Curation(spark, spark.read.parquet(a.source), Config(target=a.target, floor=a.floor))
-        ranked = c.rank(ReplayJudge(read_verdicts(spark, a.verdicts)) if a.verdicts else None)
-        if a.verb == "pick":
+        if a.verb in ("eval", "curve") and not a.gold:
+            p.error(f"{a.verb} needs --gold")
+        ranked = None if a.verb == "curve" else c.rank(ReplayJudge(read_verdicts(spark, a.verdicts)) if a.verdicts else None)
+        if a.verb == "curve":
+            out = c.curve(spark.read.parquet(a.gold))
+        elif a.verb == "pick":
             out = c.select(ranked)
+        elif a.verb == "preview":
+            out = c.explain(ranked, c.select(ranked))
         elif a.verb == "pairs":
             sizes = ranked.groupBy("family").agg({"item": "count"}).withColumnRenamed("count(item)", "n").where("n > 1")
             out = match_budget(sizes, "family", "n", "family", c.config.match_budget)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import ranks
-from .operators import selection, similarity, statistics, tournament
+from .operators import selection, similarity, statistics, taste, tournament
 from .operators.ordering import numbered_in
 from .operators.stored import stored
 
@@ -99,6 +99,11 @@ class Curation:
         g = ranked.join(gold.select("item", F.lit(True).alias("gold")), "item", "left").withColumn("gold", F.coalesce("gold", F.lit(False)))
         return statistics.hits(g, "ord", "gold", list(ks))
 
+    def curve(self, gold: DataFrame, sizes: tuple[int, ...] = (3, 5, 10), splits: int = 200) -> DataFrame:
+        """How well a probe finds the other gold items once some are labelled; see ``taste.holdout_curve``."""
+        g = self.items.join(gold.select("item", F.lit(True).alias("gold")), "item", "left")
+        return taste.holdout_curve(g, "item", "vector", F.coalesce("gold", F.lit(False)), list(sizes), splits)
+
     def fuse(self, base: Column, personal: Column, labels: int) -> Column:
         """Blend of a base score and a personal one, by the number of labels."""
         c = self.config
