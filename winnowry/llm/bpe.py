@@ -22,9 +22,9 @@ from . import wordhash as W
 from .packed import with_columns
 
 _PIECE = re.compile(r"[^ \t\n\r\x0b\x0c]+")
-_KEPT_BYTES = 48 << 20
-_KEPT_PAIRS = 300_000
-_STEP = 1 << 20
+_KEPT_BYTES = 32 << 20
+_KEPT_PAIRS = 200_000
+_STEP = 1 << 19
 # Printable ASCII and Latin letters: composed already, and lower case has the same letters everywhere.
 _LATIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
@@ -208,7 +208,7 @@ class Pieces:
             value = (" ".join(map(str, ids)), self.bpe.decode(ids))
             if len(p) <= _LONG:
                 known[p] = value
-                self._size += 200 + len(p) + len(value[0]) + len(value[1])
+                self._size += 320 + len(p) + len(value[0]) + len(value[1])
             else:
                 once[p] = value
         for ps in texts:
