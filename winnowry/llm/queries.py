@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, html_crf, media, mixing, quality, toxicity
+from . import bpe, chat, fingerprint, html_crf, media, mixing, quality, recompression, resampling, toxicity, variants
 from .line_dedup import dedup_lines
 from .near_dedup import near_groups
 from .scratch import Scratch
@@ -95,15 +95,39 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows.unionByName(extra)))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    out = recompression.dedup_substrings(docs, window=35, digest=True)
+    return out.select("doc_id", "n_words", "n_removed", F.col("text").alias("kept_sha256"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = _table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "benchmark", "text")
+    out = resampling.importance_resample(docs, target, longest=1, buckets=10_000, seed=2024, percent=10, least_words=20, slim=True)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    out = variants.spelling_variants(docs, least_letters=6, least_count=5, ratio=5, typo_every=199)
+    return out.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_html_extraction, op2_line_dedup, op3_minhash_near_dedup, op4_bpe, op5_media_columns,
             op6_document_fingerprints, op7_toxicity, op8_quality_classifier, op9_source_mixing, op10_chat_formatting,
+            op11_substring_dedup, op12_importance_resampling, op13_spelling_variants,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_source_mixing": mixing.ORACLE}
+    return {
+        "op9_source_mixing": mixing.ORACLE,
+        "op11_substring_dedup": recompression.ORACLE,
+        "op12_importance_resampling": resampling.ORACLE,
+        "op13_spelling_variants": variants.ORACLE,
+    }

@@ -73,16 +73,16 @@ def slices(at: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]
         i = min(j, n)
 
 
-def words(data: np.ndarray, at: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, at: np.ndarray, space: np.ndarray = _SPACE, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all words, where each text's words begin (one more entry), and the words' byte ranges.
 
-    ``space`` marks the bytes that are no part of a word.
+    ``space`` marks the bytes that are no part of a word; ``lower`` False keeps capitals apart.
     """
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), np.zeros(len(at), np.int64), z, z
-    low = _LOWER[data]
+    low = _LOWER[data] if lower else data
     word = ~space[low]
     edge = np.zeros(n + 1, bool)
     edge[at] = True
