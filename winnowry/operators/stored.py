@@ -34,10 +34,19 @@ def _delete(spark: SparkSession, path: str) -> None:
 def stored(df: DataFrame) -> DataFrame:
     """The rows as a Parquet table in the shared folder, read again: a lost executor costs a re-read.
 
-    The table is deleted when the driver ends.
+    The table is deleted by ``dropped``, or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/winnowry/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._stored_path = path
+    return back
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes stored tables that no later step reads."""
+    for t in tables:
+        if path := getattr(t, "_stored_path", None):
+            _delete(t.sparkSession, path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ranks as R
 from ..functions import text as T
+from ..operators import components as G
 from ..operators import ordering as O
 from ..operators import selection as S
 from ..operators import similarity as M
@@ -348,10 +349,21 @@ def u5(spark, d):
     return g.agg(F.count_distinct("l").alias("n"))
 
 
-@query("u6_families", "SELECT o_orderkey, min(o_orderkey) OVER (PARTITION BY o_custkey) AS family FROM orders")
+@query("u6_families", """WITH RECURSIVE k AS (
+  SELECT o_orderkey AS i, 'a' || o_custkey || ':' || (epoch_us(o_orderdate) // 15768000000000) AS key FROM orders
+  UNION ALL SELECT o_orderkey, 'b' || (epoch_us(o_orderdate) // 86400000000) || o_orderstatus || (o_custkey % 40) FROM orders),
+e AS (SELECT DISTINCT x.i AS a, y.i AS b FROM k x JOIN k y ON x.key = y.key AND x.i <> y.i),
+r AS (SELECT a AS i, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON r.i = e.a WHERE r.root < e.b),
+f AS (SELECT i, min(root) AS family FROM r GROUP BY i)
+SELECT i AS o_orderkey, family, count(*) OVER (PARTITION BY family) AS size FROM f""")
 def u6(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    return o.join(o.groupBy("o_custkey").agg(F.min("o_orderkey").alias("family")), "o_custkey").select("o_orderkey", "family")
+    """Orders of one customer in half a year, or of one day, status and class of customers, are one family, and so on."""
+    t = F.unix_micros(F.col("o_orderdate").cast("timestamp"))
+    half, day = F.floor(t / 15_768_000_000_000), F.floor(t / 86_400_000_000)
+    o = table(spark, d, "orders").select(
+        "o_orderkey", F.concat_ws(":", "o_custkey", half).alias("own"), F.concat_ws(":", day, "o_orderstatus", F.col("o_custkey") % 40).alias("day")
+    )
+    return G.families(o, "o_orderkey", ["own", "day"])
 
 
 @query("u7_conflicts", "SELECT o_custkey, count(*) AS n FROM orders WHERE o_totalprice > 300000 GROUP BY 1 HAVING count(*) > 1")
