@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources import files as S
+from ..streaming import live as L
+from ..streaming import ordered as W
 from ..streaming import progress as P
 from ..operators import ordering as O
 from .registry import query, table
@@ -65,3 +67,33 @@ b AS (SELECT *, sum(CASE WHEN l IS NULL OR t - l > 7200000000 THEN 1 ELSE 0 END)
 SELECT user_id, min(t) AS start, max(t) AS "end", count(*) AS n FROM b GROUP BY user_id, b""")
 def st5(spark, d):
     return P.bursts(table(spark, d, "events"), "user_id", "ts", 7200)
+
+
+@query("st1_status", """WITH c AS (SELECT user_id AS run, count(*) AS done, max(ts) AS last FROM events GROUP BY 1), p AS (SELECT c_custkey AS run, 1 + c_custkey % 15 AS total FROM customer WHERE c_custkey % 4 <> 0),
+n AS (SELECT max(ts) AS now FROM events)
+SELECT coalesce(p.run, c.run)::VARCHAR AS run, coalesce(done, 0) AS done, total, epoch_us(last) AS last,
+       CASE WHEN total > 0 AND coalesce(done, 0) >= total THEN 'done' WHEN coalesce(done, 0) = 0 THEN 'waiting' WHEN epoch_us(now) - epoch_us(last) > 7200000000 THEN 'idle' ELSE 'running' END AS status
+FROM p FULL JOIN c ON p.run = c.run, n""")
+def st1(spark, d):
+    """Users as runs with planned numbers of events, at the time of the last event; two hours without one are idle."""
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("run"), "ts")
+    plan = table(spark, d, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").cast("string").alias("run"), (F.col("c_custkey") % 15 + 1).alias("total"))
+    now = F.lit(e.agg(F.max("ts").cast("timestamp")).first()[0])
+    return L.statuses(e.withColumn("ts", F.col("ts").cast("timestamp")), plan, now, 7_200).withColumn("last", F.unix_micros("last"))
+
+
+@query("st4_sequence_report", """WITH l AS (SELECT l_orderkey AS k, l_linenumber::BIGINT - 1 AS i, l_partkey AS p, l_suppkey AS s FROM lineitem),
+d AS (SELECT k, i, p, s, 0 AS n FROM l WHERE p % 7 <> 0 UNION ALL SELECT k, i, p, s, 1 FROM l WHERE p % 7 <> 0 AND p % 11 = 0 UNION ALL SELECT k, i, p, s + 1, -1 FROM l WHERE p % 13 = 5),
+w AS (SELECT k, i, min(s) AS s FROM l GROUP BY ALL),
+r AS (SELECT d.k, d.i, row_number() OVER (PARTITION BY d.k, d.i ORDER BY d.n, d.p, d.s) AS turn, d.s IS DISTINCT FROM w.s AS bad FROM d LEFT JOIN w ON d.k = w.k AND d.i = w.i),
+g AS (SELECT k, i, coalesce(lag(i) OVER (PARTITION BY k ORDER BY i), -1) AS before FROM r WHERE turn = 1)
+SELECT k, i, i AS until, CASE WHEN turn > 1 THEN 'repeat' ELSE 'mismatch' END AS status FROM r WHERE turn > 1 OR bad
+UNION ALL SELECT k, before + 1, i - 1, 'gap' FROM g WHERE before + 1 < i""")
+def st4(spark, d):
+    """Order lines as a log of numbered calls: some are lost, some come twice, and some answer another question than the plan's."""
+    l = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), (F.col("l_linenumber").cast("long") - 1).alias("i"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"))
+    kept = l.where("p % 7 <> 0")
+    log = kept.withColumn("n", F.lit(0)).unionByName(kept.where("p % 11 = 0").withColumn("n", F.lit(1)))
+    log = log.unionByName(l.where("p % 13 = 5").withColumn("s", F.col("s") + 1).withColumn("n", F.lit(-1)))
+    plan = l.groupBy("k", "i").agg(F.min("s").alias("s"))
+    return W.sequence_report(log, "k", "i", F.struct("n", "p", "s"), plan, ["s"])
