@@ -191,8 +191,8 @@ def test_scenes(spark):
     assert got == [(1, 1, 1, 4), (2, 1, 2, 4), (4, 2, 1, 2), (5, 2, 2, 2), (8, 1, 3, 4), (9, 1, 4, 4)]
 
 
-def test_probe_and_curve(spark):
-    """Scores and held-out curves against the same steps in numpy on all rows."""
+def test_probe(spark):
+    """Scores against the same steps in numpy on all rows."""
     r = np.random.default_rng(2)
     x = r.normal(size=(120, 5))
     y = (x[:, 0] + 0.3 * r.normal(size=120) > 0.8).astype(int)
@@ -205,11 +205,6 @@ def test_probe_and_curve(spark):
         w, b = w + 0.5 * (z.T @ g / 120 - 3.0 * w / 120), b + 0.5 * g.mean()
     got = {q["i"]: q["p"] for q in taste.probe_scores(items, "i", "v", "y", [0, 1]).where("target = 1").collect()}
     assert np.allclose([got[i] for i in range(120)], 1 / (1 + np.exp(-(z @ w + b))), atol=1e-9)
-    curve = {(c["protocol"], c["m"]): c for c in taste.holdout_curve(items, "i", "v", F.col("y") == 1, [3, 500], splits=10).collect()}
-    assert set(curve) == {("production", 3), ("research", 3)}
-    for p in ("production", "research"):
-        auc = [taste.split_auc(z, y == 1, 3, s, p) for s in range(10)]
-        assert math.isclose(curve[p, 3]["probe_auc"], np.mean(auc), abs_tol=6e-5) and curve[p, 3]["probe_auc"] > 0.5
     wins = np.mean([(p > q) + (p == q) / 2 for p in x[y == 1, 0] for q in x[y == 0, 0]])
     assert math.isclose(statistics.rank_auc(x[:, 0], y == 1), wins)
 

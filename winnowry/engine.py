@@ -102,7 +102,7 @@ class Curation:
     def curve(self, gold: DataFrame, sizes: tuple[int, ...] = (3, 5, 10), splits: int = 200) -> DataFrame:
         """How well a probe finds the other gold items once some are labelled; see ``taste.holdout_curve``."""
         g = self.items.join(gold.select("item", F.lit(True).alias("gold")), "item", "left")
-        return taste.holdout_curve(g, "item", "vector", F.coalesce("gold", F.lit(False)), list(sizes), splits)
+        return taste.holdout_curve(g, "item", "vector", F.coalesce("gold", F.lit(False)), list(sizes), splits, baseline="score")
 
     def fuse(self, base: Column, personal: Column, labels: int) -> Column:
         """Blend of a base score and a personal one, by the number of labels."""
