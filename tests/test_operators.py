@@ -23,7 +23,7 @@ def test_ranks_of_ties_singletons_and_nulls(spark):
     assert rows(ranks.sparse_rank(df, "v", "i", "r"), "i", "r") == [(1, 0.0), (2, 1.0), (3, 0.5)]
     one = spark.createDataFrame([(1, 2.0)], "i int, v double")
     assert ranks.mid_rank(one, "v", "r").first()["r"] == 0.5 and ranks.distinct_rank(one, "v", "i", "r").first()["r"] == 0.0
-    assert one.select(ranks.z_score("v")).first()[0] == 0.0
+    assert ranks.z_score(one, "v", "z").first()["z"] == 0.0
 
 
 def test_clamp_raises_on_infinite(spark):

@@ -23,11 +23,15 @@ def mid_rank(df: DataFrame, value: str, out: str, part: list[str] | None = None)
     return attach(df.drop(out), share, [*part, value])
 
 
-def z_score(value: str, part: list[str] | None = None) -> Column:
-    """Population z-score; a standard deviation of 1e-9 or less counts as 1."""
-    w = Window.partitionBy(*(part or [F.lit(0)]))
-    sd = F.stddev_pop(value).over(w)
-    return (F.col(value) - F.avg(value).over(w)) / F.when(sd > 1e-9, sd).otherwise(1.0)
+def z_score(df: DataFrame, value: str, out: str, part: list[str] | None = None) -> DataFrame:
+    """Adds the population z-score in each part; a standard deviation of 1e-9 or less counts as 1.
+
+    Mean and deviation are aggregates that are joined back, so a few large parts, or a single one, are no load for one task.
+    """
+    part = part or []
+    facts = df.groupBy(*part).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_sd"))
+    z = (F.col(value) - F.col("_mean")) / F.when(F.col("_sd") > 1e-9, F.col("_sd")).otherwise(1.0)
+    return attach(df, facts, part).withColumn(out, z).drop("_mean", "_sd")
 
 
 def sparse_rank(df: DataFrame, value: str, item: str, out: str, missing: float = 0.5) -> DataFrame:

@@ -7,6 +7,8 @@ one row for each range.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,14 +22,8 @@ def _ranged(df: DataFrame, order: list[Column]) -> DataFrame:
 def _before(ranges: DataFrame, sums: dict[str, Column]) -> DataFrame:
     """For each range the sums over the ranges before it; ranges are as many as shuffle partitions at most."""
     per = ranges.groupBy("_range").agg(*[v.alias(k) for k, v in sums.items()])
-    packed = per.agg(F.array_sort(F.collect_list(F.struct("_range", *sums))).alias("all"))
-    low = F.filter("all", lambda x: x["_range"] < F.col("r._range"))
-    each = packed.select("all", F.explode("all").alias("r"))
-
-    def total(k: str) -> Column:
-        return F.aggregate(low, F.lit(0).cast(per.schema[k].dataType), lambda a, x: a + x[k]).alias(f"_{k}")
-
-    return each.select("r._range", *[total(k) for k in sums])
+    low = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each range
+    return per.select("_range", *[F.coalesce(F.sum(k).over(low), F.lit(0).cast(per.schema[k].dataType)).alias(f"_{k}") for k in sums])
 
 
 def numbered(df: DataFrame, order: list[Column], out: str, start: int = 0) -> DataFrame:
@@ -88,3 +84,27 @@ def below_counts(df: DataFrame, value: str, parts: dict[str, Column], groups: li
     out = ranges.join(F.broadcast(before), "_range").select(*groups, value, *parts, *below)
     start = out.groupBy(*groups).agg(*[F.min(f"below_{k}").alias(f"_from_{k}") for k in parts])
     return attach(out, start, groups).select(*groups, value, *parts, *[(F.col(f"below_{k}") - F.col(f"_from_{k}")).alias(f"below_{k}") for k in parts])
+
+
+def at_ranks(df: DataFrame, value: str, groups: list[str], picks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """One row (groups, n, picks) for each group: the values at 0-based ranks, each a function of the group's number of values.
+
+    Values are counted first, and places come from one global order of distinct values, so no task and no state holds a
+    group.  Null values are left out; a group without any has no row.  Null is a group of its own.
+    """
+    below = below_counts(df.where(F.col(value).isNotNull()), value, {"_rows": F.count("*")}, groups)
+    at = attach(below, below.groupBy(*groups).agg(F.sum("_rows").alias("n")), groups)
+    here = lambda rank: (rank >= F.col("below__rows")) & (rank < F.col("below__rows") + F.col("_rows"))
+    chosen = [F.max(F.when(here(rank(F.col("n"))), F.col(value))).alias(name) for name, rank in picks.items()]
+    return at.groupBy(*groups).agg(F.max("n").alias("n"), *chosen)
+
+
+def medians(df: DataFrame, value: str, groups: list[str], out: str = "median") -> DataFrame:
+    """(groups, n, out): exact medians, the mean of the two middle values of an even number."""
+    middle = at_ranks(df, value, groups, {"_low": lambda n: F.floor((n - 1) / 2), "_high": lambda n: F.floor(n / 2)})
+    return middle.withColumn(out, (F.col("_low") + F.col("_high")) / 2).drop("_low", "_high")
+
+
+def nearest(q: float) -> Callable[[Column], Column]:
+    """Rank of a quantile by the nearest row: the q n-th from 0 on, the last at most."""
+    return lambda n: F.least(F.floor(n * q), n - 1)

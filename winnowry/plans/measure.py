@@ -8,6 +8,7 @@ from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
 from ..operators import ordering as O
+from ..operators import quality as U
 from ..operators import selection as S
 from ..operators import similarity as M
 from ..operators import statistics as X
@@ -88,11 +89,20 @@ def a12(spark, d):
     return p.agg(F.round(F.corr("a", "b"), 9).alias("rho"))
 
 
-@query("a13_median_reference", "WITH m AS (SELECT p_brand, median(p_retailprice) AS m FROM part GROUP BY 1) SELECT p_partkey, p_retailprice < coalesce(m, 0) * 0.85 AS flagged FROM part JOIN m USING (p_brand)")
+@query("a13_median_reference", """WITH x AS (SELECT p_partkey, CASE WHEN p_partkey % 5 > 0 THEN p_brand || CASE WHEN p_partkey % 50 = 1 THEN 'x' || p_partkey ELSE '' END END AS f,
+    CASE WHEN p_partkey % 13 > 0 AND NOT (p_partkey % 50 = 1) THEN (p_partkey * 7919 % 1000) / 10.0::DOUBLE END AS s,
+    CASE WHEN p_size <= 5 THEN ['low_contrast', 'noise'] WHEN p_size > 40 THEN ['noise', 'low_sharpness'] ELSE [] END AS r FROM part),
+m AS (SELECT f, median(s) AS m FROM x WHERE f IS NOT NULL GROUP BY f), a AS (SELECT median(s) AS a FROM x),
+y AS (SELECT x.*, coalesce(m, a) AS ref, CASE WHEN m IS NULL THEN 0.35 ELSE 0.55 END AS share, list_filter(r, lambda v: v <> 'low_sharpness') AS rest FROM x LEFT JOIN m ON x.f = m.f, a)
+SELECT p_partkey, CASE WHEN s IS NULL THEN array_to_string(r, ',') WHEN ref > 0 AND NOT list_contains(rest, 'low_contrast') AND s < ref * share THEN array_to_string(list_prepend('low_sharpness', rest), ',') ELSE array_to_string(rest, ',') END AS risks FROM y""")
 def a13(spark, d):
-    p = table(spark, d, "part").select("p_partkey", "p_brand", "p_retailprice")
-    m = p.groupBy("p_brand").agg(F.median("p_retailprice").alias("m"))
-    return p.join(m, "p_brand").select("p_partkey", (F.col("p_retailprice") < F.coalesce("m", F.lit(0.0)) * 0.85).alias("flagged"))
+    """Brands are families; every fifth part has none, some are alone in theirs and have no sharpness."""
+    k, none = F.col("p_partkey"), F.array().cast("array<string>")
+    family = F.when(k % 5 > 0, F.concat("p_brand", F.when(k % 50 == 1, F.concat(F.lit("x"), k.cast("string"))).otherwise("")))
+    sharp = F.when((k % 13 > 0) & (k % 50 != 1), k * 7919 % 1000 / F.lit(10.0))
+    risks = F.when(F.col("p_size") <= 5, F.array(F.lit("low_contrast"), F.lit("noise"))).when(F.col("p_size") > 40, F.array(F.lit("noise"), F.lit("low_sharpness"))).otherwise(none)
+    p = table(spark, d, "part").select("p_partkey", family.alias("f"), sharp.alias("s"), risks.alias("r"))
+    return U.sharpness_risks(p, "f", "s", "r").select("p_partkey", F.array_join("r", ",").alias("risks"))
 
 
 _RULE = "WITH x AS (SELECT l.quality = 1 AS t, d.n_chars >= 500 AS p, d.lang FROM labels l JOIN documents d USING (doc_id)) "
@@ -235,20 +245,24 @@ def a32(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("s")).select("user_id", F.size(F.array_intersect("s", want)).cast("long").alias("overlap"))
 
 
-@query("a33_latency", "SELECT event_type, round(median(value), 6) AS p50, round(list_sort(list(value))[least(floor(count(*) * 0.9)::INT, count(*)::INT - 1) + 1], 6) AS p90, max(value) AS worst, count(*) FILTER (value > 300) AS slow FROM events GROUP BY event_type")
+@query("a33_latency", """WITH c AS (SELECT *, event_id % 3 + 2 AS images FROM events WHERE event_type <> 'error'),
+g AS (SELECT event_type, median(value) AS p50, list_sort(list(value))[least(floor(count(*) * 0.9)::INT, count(*)::INT - 1) + 1] AS p90, max(value) AS worst, count(*) FILTER (value > 300) AS slow, count(*) AS sent FROM c GROUP BY event_type),
+h AS (SELECT event_type, string_agg(images || ':' || n, ' ' ORDER BY images) AS images FROM (SELECT event_type, images, count(*) AS n FROM c GROUP BY ALL) GROUP BY event_type)
+SELECT event_type, round(p50, 6) AS p50, round(p90, 6) AS p90, worst, slow, sent, images FROM g JOIN h USING (event_type)""")
 def a33(spark, d):
-    """p90 is a nearest rank: counted over ordered rows, no array of a whole group is built."""
-    e = table(spark, d, "events").select("event_type", "value", "event_id")
-    w = Window.partitionBy("event_type").orderBy("value", "event_id")
-    n = F.count("*").over(Window.partitionBy("event_type"))
-    at = e.withColumn("r", F.row_number().over(w)).withColumn("n", n)
-    p90 = F.max(F.when(F.col("r") == F.least(F.floor(F.col("n") * 0.9), F.col("n") - 1) + 1, F.col("value")))
-    return at.groupBy("event_type").agg(F.round(F.median("value"), 6).alias("p50"), F.round(p90, 6).alias("p90"), F.max("value").alias("worst"), F.count_if(F.col("value") > 300).alias("slow"))
+    """Times of calls that did not fail, by kind, with how many images they had."""
+    e = table(spark, d, "events").where("event_type <> 'error'").select("event_type", "value", (F.col("event_id") % 3 + 2).alias("images"))
+    return X.latency(e, "event_type", "value", "images", 300).withColumns({"p50": F.round("p50", 6), "p90": F.round("p90", 6)})
 
 
-@query("a34_group_summary", _RUN + "SELECT strftime(t0, '%m-%d') AS day, min(calls) AS lo, median(calls) AS mid, max(calls) AS hi, round(avg(calls), 6) AS mean FROM r GROUP BY 1")
+@query("a34_group_summary", _RUN + """, x AS (SELECT CASE WHEN user_id % 3 = 0 THEN 'A' WHEN user_id % 3 = 1 THEN 'B' ELSE 'C' END AS g, strftime(t0, '%m-%d') AS day, calls, errors - 1 AS net FROM r),
+s AS (SELECT g, day, min(calls) AS lo, median(calls) AS mid, max(calls) AS hi, round(avg(calls), 6) AS mean, count(*) FILTER (net < 0) AS down, count(*) FILTER (net = 0) AS same, count(*) FILTER (net > 0) AS up, count(*) AS runs FROM x GROUP BY GROUPING SETS ((g), (g, day)))
+SELECT *, CASE WHEN down = 0 THEN 'never worse' WHEN down <= 2 THEN 'sometimes worse' ELSE 'not advised' END AS bucket FROM s""")
 def a34(spark, d):
-    return _runs(spark, d).groupBy(F.date_format("t0", "MM-dd").alias("day")).agg(F.min("calls").alias("lo"), F.median("calls").alias("mid"), F.max("calls").alias("hi"), F.round(F.avg("calls"), 6).alias("mean"))
+    """Runs of three groups, each as a whole (day null) and by day."""
+    u = F.col("user_id") % 3
+    r = _runs(spark, d).select(F.when(u == 0, "A").when(u == 1, "B").otherwise("C").alias("g"), F.date_format("t0", "MM-dd").alias("day"), "calls", (F.col("errors") - 1).alias("net"))
+    return X.group_summary(r, "g", "day", "calls", "net").withColumn("mean", F.round("mean", 6))
 
 
 @query("a35_list_overlap", "WITH l AS (SELECT c_nationkey AS g, c_custkey % 7 AS run, list(DISTINCT c_mktsegment) AS s FROM customer GROUP BY ALL) SELECT a.g, a.run AS i, b.run AS j, len(list_intersect(a.s, b.s)) AS n FROM l a JOIN l b ON a.g = b.g AND a.run < b.run")

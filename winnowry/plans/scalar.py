@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import ranks as R
+from ..functions import rules as K
 from ..functions import text as T
+from ..operators import ordering as O
 from .registry import query, table
 
 
@@ -25,7 +27,8 @@ def p2(spark, d):
 
 @query("p3_z_score", """SELECT c_custkey, round((c_acctbal - avg(c_acctbal) OVER w) / CASE WHEN stddev_pop(c_acctbal) OVER w > 1e-9 THEN stddev_pop(c_acctbal) OVER w ELSE 1 END, 6) AS z FROM customer WINDOW w AS (PARTITION BY c_mktsegment)""")
 def p3(spark, d):
-    return table(spark, d, "customer").select("c_custkey", F.round(R.z_score("c_acctbal", ["c_mktsegment"]), 6).alias("z"))
+    c = table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    return R.z_score(c, "c_acctbal", "z", ["c_mktsegment"]).select("c_custkey", F.round("z", 6).alias("z"))
 
 
 @query("p4_sparse_rank", """WITH x AS (SELECT event_id, CASE WHEN event_type = 'click' THEN value END AS v FROM events)
@@ -133,10 +136,14 @@ def p15(spark, d):
     return e.select("vec_id", F.round(G.eye_openness(eyes), 6).alias("openness"))
 
 
-@query("p16_eligibility", """SELECT l_orderkey, l_linenumber, coalesce(l_tax < 0.02 AND NOT (l_discount > 0.05), false) AS closed, l_discount > 0.05 AS head_down, l_quantity >= 16 AS big FROM lineitem""")
+@query("p16_eligibility", """WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_returnflag <> 'R' THEN l_discount * 4 END AS o, CASE WHEN l_linestatus = 'F' THEN l_tax * 5 END AS p, CASE WHEN l_quantity > 2 THEN l_quantity * 9 END AS px FROM lineitem),
+y AS (SELECT *, coalesce(px >= 160, false) AND o IS NOT NULL AS m, coalesce(p > radians(12.0), false) AS down FROM x)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, m AS eyes_measured, down AS head_down, m AND coalesce(o < 0.22, false) AND NOT down AS closed FROM y""")
 def p16(spark, d):
-    down = F.col("l_discount") > 0.05
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.coalesce((F.col("l_tax") < 0.02) & ~down, F.lit(False)).alias("closed"), down.alias("head_down"), (F.col("l_quantity") >= 16).alias("big"))
+    """Eyes are not measured on returned lines, and pitch is known of closed lines only."""
+    l = table(spark, d, "lineitem")
+    e = K.eligibility(F.when(F.col("l_returnflag") != "R", F.col("l_discount") * 4), F.when(F.col("l_linestatus") == "F", F.col("l_tax") * 5), F.when(F.col("l_quantity") > 2, F.col("l_quantity") * 9))
+    return l.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", e.alias("e")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "e.*")
 
 
 _RECT = """WITH r AS (SELECT vec_id, [abs(e[1]), abs(e[2]), abs(e[3]) + 0.1, abs(e[4]) + 0.1] AS a, [abs(e[5]), abs(e[6]), abs(e[7]) + 0.1, abs(e[8]) + 0.1] AS b FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)),
@@ -155,24 +162,66 @@ def p17(spark, d):
     return _rects(spark, d).select("vec_id", F.round(G.overlap(a, b), 9).alias("inter"), F.round(G.overlap_share(a, b), 6).alias("share"), (G.overlap_share(a, b) >= 0.2).alias("same"))
 
 
-@query("p18_best_support", _RECT + "SELECT vec_id, round(greatest(x / (a[3] * a[4]) * x / (b[3] * b[4]), 0), 6) AS support FROM o")
-def p18(spark, d):
-    a, b = F.col("a"), F.col("b")
-    pairs = F.array(F.struct((G.overlap(a, b) / G.area(a)).alias("p"), (G.overlap(a, b) / G.area(b)).alias("q")))
-    best = F.aggregate(pairs, F.lit(0.0), lambda s, v: F.when(v["p"] * v["q"] > s, v["p"] * v["q"]).otherwise(s))
-    return _rects(spark, d).select("vec_id", F.round(best, 6).alias("support"))
+_SEEN = """WITH b AS (
+  SELECT l_orderkey AS o, l_linenumber % 3 AS kind, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos,
+         l_partkey % 60 / 100.0::DOUBLE AS x, l_suppkey % 50 / 100.0::DOUBLE AS y, (4 + l_partkey % 5 * 9) / 100.0::DOUBLE AS w, (5 + l_suppkey % 4 * 15) / 100.0::DOUBLE AS h,
+         0.5::DOUBLE + l_discount * 2 AS conf, CASE WHEN l_returnflag <> 'N' THEN l_tax * 30 END AS yaw, CASE WHEN l_linestatus = 'F' THEN l_discount * 8 END AS q FROM lineitem),
+r AS (SELECT *, greatest(w, 0) * greatest(h, 0) AS area FROM b),
+m AS (SELECT o_orderkey AS o, CASE WHEN o_custkey % 7 > 0 THEN o_custkey % 50 / 100.0::DOUBLE END AS mx, o_custkey % 40 / 100.0::DOUBLE AS my, (o_custkey % 6 * 9) / 100.0::DOUBLE AS mw, (o_custkey % 5 * 14) / 100.0::DOUBLE AS mh, o_orderkey % 20 / 1000.0::DOUBLE AS cover, o_orderkey % 4 + 1 AS inst FROM orders WHERE o_orderkey IN (SELECT o FROM b)),
+"""
 
 
-@query("p19_rule_classifier", """SELECT doc_id, CASE WHEN n_chars >= 2000 AND lang = 'en' THEN 'long_english' WHEN n_chars >= 2000 THEN 'long_other' WHEN n_chars < 100 THEN 'short' ELSE 'plain' END AS reason,
- CASE WHEN n_chars >= 2000 THEN 'main' ELSE 'rest' END AS category, round(CASE WHEN n_chars >= 2000 THEN least(0.96, 0.68 + n_chars / 100000.0) WHEN n_chars < 100 THEN 0.92 ELSE 0.72 END, 6) AS confidence FROM documents""")
-def p19(spark, d):
-    n = F.col("n_chars")
-    return table(spark, d, "documents").select(
-        "doc_id",
-        F.when((n >= 2000) & (F.col("lang") == "en"), "long_english").when(n >= 2000, "long_other").when(n < 100, "short").otherwise("plain").alias("reason"),
-        F.when(n >= 2000, "main").otherwise("rest").alias("category"),
-        F.round(F.when(n >= 2000, F.least(F.lit(0.96), F.lit(0.68) + n / 100000.0)).when(n < 100, 0.92).otherwise(0.72), 6).alias("confidence"),
+def _seen(spark, d):
+    """Orders as pictures: every third line is a human, a face or a salient box, and the order has a mask."""
+    l, hundred = table(spark, d, "lineitem"), lambda c: c / F.lit(100.0)
+    box = F.array(hundred(F.col("l_partkey") % 60), hundred(F.col("l_suppkey") % 50), hundred(F.col("l_partkey") % 5 * 9 + 4), hundred(F.col("l_suppkey") % 4 * 15 + 5))
+    row = F.struct(
+        "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", (F.col("l_linenumber") % 3).alias("kind"), box.alias("box"), (F.col("l_discount") * 2 + 0.5).alias("confidence"),
+        F.when(F.col("l_returnflag") != "N", F.col("l_tax") * 30).alias("yaw"), F.when(F.col("l_linestatus") == "F", F.col("l_discount") * 8).alias("quality"),
+    )
+    rows = l.groupBy(F.col("l_orderkey").alias("o")).agg(F.array_sort(F.collect_list(row)).alias("rows"))  # the lines of one order
+    of = lambda k, use: F.transform(F.filter("rows", lambda r: r["kind"] == k), use)
+    mask = F.array(hundred(F.col("o_custkey") % 50), hundred(F.col("o_custkey") % 40), hundred(F.col("o_custkey") % 6 * 9), hundred(F.col("o_custkey") % 5 * 14))
+    orders = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("o"), F.when(F.col("o_custkey") % 7 > 0, mask).alias("mask"), (F.col("o_orderkey") % 20 / F.lit(1000.0)).alias("coverage"), (F.col("o_orderkey") % 4 + 1).cast("int").alias("instances")
     )
+    humans = of(0, lambda r: F.struct(r["box"].alias("box"), r["confidence"].alias("confidence"))).alias("humans")
+    faces = of(1, lambda r: F.struct(r["box"].alias("box"), r["yaw"].alias("yaw"), r["quality"].alias("quality"))).alias("faces")
+    return rows.select("o", humans, faces, of(2, lambda r: r["box"]).alias("salient")).join(orders, "o")
+
+
+@query("p18_best_support", _SEEN + """h AS (SELECT * FROM r WHERE kind = 0 QUALIFY row_number() OVER (PARTITION BY o ORDER BY area DESC, pos) = 1),
+c AS (SELECT s.o, s.pos, greatest(least(h.x + h.w, s.x + s.w) - greatest(h.x, s.x), 0) * greatest(least(h.y + h.h, s.y + s.h) - greatest(h.y, s.y), 0) AS i, h.w * h.h AS ha, s.w * s.h AS sa FROM h JOIN r s ON h.o = s.o AND s.kind = 2),
+g AS (SELECT o, i / ha AS p, i / sa AS s FROM c WHERE i > 0 QUALIFY row_number() OVER (PARTITION BY o ORDER BY (i / ha) * (i / sa) DESC, pos) = 1)
+SELECT h.o, round(coalesce(p, 0), 9) AS person, round(coalesce(s, 0), 9) AS salient FROM h LEFT JOIN g ON h.o = g.o""")
+def p18(spark, d):
+    """The largest human of each order against all its salient boxes."""
+    s = _seen(spark, d).where(F.size("humans") > 0).select("o", "salient", K.largest(F.col("humans"))["box"].alias("h"))
+    s = s.select("o", K.saliency_support(F.col("h"), F.col("salient")).alias("s"))
+    return s.select("o", F.round("s.person", 9).alias("person"), F.round("s.salient", 9).alias("salient"))
+
+
+@query("p19_rule_classifier", _SEEN + """su AS (SELECT *, area / sum(area) OVER (PARTITION BY o) AS share, count(*) OVER (PARTITION BY o) AS n, row_number() OVER (PARTITION BY o ORDER BY area DESC, pos) AS k FROM r WHERE kind = 0 AND conf >= 0.55),
+fa AS (SELECT *, area / sum(area) OVER (PARTITION BY o) AS share, row_number() OVER (PARTITION BY o ORDER BY area DESC, pos) AS k FROM r WHERE kind = 1),
+f AS (SELECT *, EXISTS (SELECT 1 FROM su WHERE su.o = fa.o AND su.area >= 0.05 AND least(su.x - 0.03 + (su.w + 0.06), fa.x + fa.w) > greatest(su.x - 0.03, fa.x) AND least(su.y - 0.03 + (su.h + 0.06), fa.y + fa.h) > greatest(su.y - 0.03, fa.y)) AS held FROM fa WHERE k = 1),
+cp AS (SELECT o, least(0.98, 0.72 + least(0.16, area * 2) + coalesce(q, 0) * 0.10) AS c FROM f WHERE area >= 0.008 AND abs(coalesce(yaw, 0)) <= 1.45 AND share >= 0.42 AND coalesce(q >= 0.25, true) AND (area >= 0.018 OR held)),
+e AS (SELECT m.*, su.o IS NOT NULL AS real, coalesce(su.x, mx) AS x, CASE WHEN su.o IS NULL THEN my ELSE su.y END AS y, CASE WHEN su.o IS NULL THEN mw ELSE su.w END AS w, CASE WHEN su.o IS NULL THEN mh ELSE su.h END AS h,
+        coalesce(su.share, 1) AS share, coalesce(su.n, 1) AS n FROM m LEFT JOIN su ON m.o = su.o AND su.k = 1 WHERE su.o IS NOT NULL OR (mx IS NOT NULL AND mw > 0 AND mh > 0)),
+t AS (SELECT *, w * h AS area, cover >= 0.006 AND mx IS NOT NULL AND mw * mh > 0 AND greatest(least(x + w, mx + mw) - greatest(x, mx), 0) * greatest(least(y + h, my + mh) - greatest(y, my), 0) / CASE WHEN least(w * h, mw * mh) > 0 THEN least(w * h, mw * mh) END >= 0.20 AS masked FROM e),
+dp AS (SELECT o, least(0.96, 0.68 + area) AS c FROM t WHERE real AND area >= 0.10 AND share >= 0.52 AND masked),
+i AS (SELECT t.o, s.pos, greatest(least(t.x + t.w, s.x + s.w) - greatest(t.x, s.x), 0) * greatest(least(t.y + t.h, s.y + s.h) - greatest(t.y, s.y), 0) AS i, t.area AS ta, s.w * s.h AS sa FROM t JOIN r s ON t.o = s.o AND s.kind = 2),
+g AS (SELECT o, i / ta AS p, i / sa AS s FROM i WHERE i > 0 QUALIFY row_number() OVER (PARTITION BY o ORDER BY (i / ta) * (i / sa) DESC, pos) = 1),
+pl AS (SELECT t.o, least(0.90, 0.60 + cover + p * 0.20) AS c FROM t JOIN g ON t.o = g.o WHERE area >= 0.018 AND share >= 0.52 AND greatest(n, inst) <= 3 AND masked AND p >= 0.5 AND s >= 0.1
+        AND (EXISTS (SELECT 1 FROM r WHERE r.o = t.o AND r.kind = 0) OR (inst BETWEEN 1 AND 3 AND h / w >= 1.35 AND x >= 0.04 AND x + w <= 0.96)) AND x + w / 2 BETWEEN 0.06 AND 0.94 AND y + h / 2 BETWEEN 0.05 AND 0.95),
+z AS (SELECT m.o, EXISTS (SELECT 1 FROM su WHERE su.o = m.o) OR EXISTS (SELECT 1 FROM fa WHERE fa.o = m.o) OR cover >= 0.006 AS seen FROM m)
+SELECT z.o, CASE WHEN cp.o IS NOT NULL OR dp.o IS NOT NULL OR pl.o IS NOT NULL THEN 'people' ELSE 'scenery' END AS category,
+  CASE WHEN cp.o IS NOT NULL THEN 'clear_portrait' WHEN dp.o IS NOT NULL THEN 'dominant_person' WHEN pl.o IS NOT NULL THEN 'person_in_landscape' WHEN seen THEN 'incidental_people' ELSE 'no_person' END AS reason,
+  round(coalesce(cp.c, dp.c, pl.c, CASE WHEN seen THEN 0.72 ELSE 0.92 END), 9) AS confidence
+FROM z LEFT JOIN cp ON z.o = cp.o LEFT JOIN dp ON z.o = dp.o LEFT JOIN pl ON z.o = pl.o""")
+def p19(spark, d):
+    s = _seen(spark, d)
+    c = s.select("o", K.classify(*[F.col(c) for c in ("humans", "faces", "salient", "mask", "coverage", "instances")]).alias("c"))
+    return c.select("o", "c.category", "c.reason", F.round("c.confidence", 9).alias("confidence"))
 
 
 @query("p20_mask_statistics", _PX + """, c AS (SELECT vec_id, unnest(p) AS v, generate_subscripts(p, 1) - 1 AS i FROM px)
@@ -186,11 +235,15 @@ def p20(spark, d):
     )
 
 
-@query("p21_group_score", """SELECT p_partkey, round(0.4 * p_retailprice / max(p_retailprice) OVER (PARTITION BY p_brand) + 0.25 * p_size / 50 + 0.25 * (1 - p_partkey % 10 / 10.0) + CASE WHEN p_size > 10 THEN 0.1 ELSE 0 END, 9) AS s FROM part""")
+@query("p21_group_score", """WITH x AS (SELECT p_partkey, p_brand, CASE WHEN p_partkey % 11 > 0 THEN p_retailprice - 900 END AS sharp, p_size * 5 AS range, p_partkey % 10 / 10.0::DOUBLE AS dark, p_partkey % 3 / 10.0::DOUBLE AS bright, p_size > 10 AS clean FROM part)
+SELECT p_partkey, round(CASE WHEN sharp IS NULL THEN 0 ELSE CASE WHEN max(sharp) OVER w > 0 THEN least(sharp / max(sharp) OVER w, 1) * 0.40 ELSE 0 END + range / 255.0::DOUBLE * 0.25 + greatest(0, 1 - least(1, dark + bright)) * 0.25 + CASE WHEN clean THEN 0.10 ELSE 0 END END, 9) AS s FROM x WINDOW w AS (PARTITION BY p_brand)""")
 def p21(spark, d):
-    ref = F.max("p_retailprice").over(Window.partitionBy("p_brand"))
-    s = F.col("p_retailprice") * 0.4 / ref + F.col("p_size") * 0.25 / 50 + (1 - F.col("p_partkey") % 10 / 10) * 0.25 + F.when(F.col("p_size") > 10, 0.1).otherwise(0.0)
-    return table(spark, d, "part").select("p_partkey", F.round(s, 9).alias("s"))
+    p = table(spark, d, "part").select(
+        "p_partkey", "p_brand", F.when(F.col("p_partkey") % 11 > 0, F.col("p_retailprice") - 900).alias("sharp"), (F.col("p_size") * 5).alias("range"), (F.col("p_partkey") % 10 / F.lit(10.0)).alias("dark"),
+        (F.col("p_partkey") % 3 / F.lit(10.0)).alias("bright"), F.when(F.col("p_size") > 10, F.array().cast("array<string>")).otherwise(F.array(F.lit("small"))).alias("risks"),
+    )
+    p = O.attach(p, p.groupBy("p_brand").agg(F.max("sharp").alias("top")), ["p_brand"])
+    return p.select("p_partkey", F.round(K.technical_score(*[F.col(c) for c in ("sharp", "top", "range", "dark", "bright", "risks")]), 9).alias("s"))
 
 
 @query("p22_offline_score", """WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity AS a, l_tax AS b, -l_discount AS c, l_returnflag AS g FROM lineitem),
