@@ -1,6 +1,9 @@
 """Small hand-made cases."""
 
+import hashlib
+import json
 import math
+import random
 
 import numpy as np
 import pytest
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 from winnowry import cli
 from winnowry.engine import Config, Curation, ReplayJudge
 from winnowry.functions import geometry, ranks, text
-from winnowry.operators import ordering, pairsets, selection, similarity, statistics, taste, tournament
+from winnowry.operators import nearest, ordering, pairsets, selection, similarity, statistics, taste, tournament
 from winnowry.sources import files
 from winnowry.streaming import progress
 
@@ -224,16 +227,89 @@ def test_large_groups_are_cut_before_the_tournament(spark):
 
 
 def test_handshake_refuses_other_plans_and_unknown_items(spark):
-    plan = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
+    plan = spark.createDataFrame([(1, 2, 0), (2, 3, 1)], "a long, b long, pos int")
     said = spark.createDataFrame([(2, 1, "a"), (1, 3, "b")], "a long, b long, winner string")
     right = tournament.plan_hash(plan).first()["hash"]
     assert tuple(tournament.handshake(plan, right, said).first()) == (1, 1, 1)
     with pytest.raises(ValueError, match="another plan"):
         tournament.handshake(plan, "0" * 32, said)
+    with pytest.raises(ValueError, match="another plan"):
+        tournament.handshake(plan.withColumn("pos", 1 - F.col("pos")), right, said)
     with pytest.raises(ValueError, match="unknown item"):
         tournament.handshake(plan, right, said.unionByName(spark.createDataFrame([(9, 1, "a")], said.schema)))
 
 
+def test_plan_hash_is_md5_of_compact_ascii_json(spark):
+    pairs = [["b 1.jpg", 'q"x\\.jpg'], ["照片.jpg", "é😀~.jpg"], ["a.jpg", "c/d.jpg"]]
+    plan = spark.createDataFrame([(a, b, i * 3) for i, (a, b) in enumerate(pairs)], "a string, b string, pos int").orderBy("a")
+    assert tournament.plan_hash(plan).first()["hash"] == hashlib.md5(json.dumps(pairs, separators=(",", ":")).encode()).hexdigest()
+    assert tournament.plan_hash(plan.where("false")).first()["hash"] == hashlib.md5(b"[]").hexdigest()
+
+
+def test_fold_directions(spark):
+    calls = [
+        (1, "AB", "1"), (1, "BA", "2"), (2, "AB", "1"), (2, "BA", "1"), (3, "AB", "tie"), (3, "BA", "tie"), (4, "AB", "neither"), (4, "BA", "neither"),
+        (5, "AB", "tie"), (5, "BA", "neither"), (6, "AB", "2"), (7, "BA", "1"),
+    ]
+    df = spark.createDataFrame(calls, "k int, dir string, pick string")
+    got = rows(tournament.fold_directions(df, ["k"]), "k", "verdict", "missing")
+    assert got == [(1, "a", None), (2, "inconsistent", None), (3, "tie", None), (4, "neither", None), (5, "inconsistent", None), (6, None, "BA"), (7, None, "AB")]
+    coded = [
+        (1, "AB", "2", "A", "B", "A"), (1, "BA", "2", "B", "A", "A"),  # the code beats the place
+        (2, "AB", "1", "A", "B", "A"), (2, "BA", "2", "B", "A", "X"),  # a code of nobody
+        (3, "AB", "tie", "A", "B", "NONE"), (3, "BA", "tie", "B", "A", None), (4, "AB", "1", None, "B", "B"), (4, "BA", "2", "", "A", "B"),  # no codes shown
+    ]
+    df = spark.createDataFrame(coded, "k int, dir string, pick string, first_code string, second_code string, winner_code string")
+    got = rows(tournament.fold_directions(df, ["k"]), "k", "verdict", "contradiction")
+    assert got == [(1, "a", True), (2, "inconsistent", False), (3, "tie", False), (4, "a", False)]
+
+
+def test_both_ways_of_contradictory_rows(spark):
+    df = spark.createDataFrame([(1, 2, "tie"), (1, 2, "b"), (2, 1, "b"), (3, 4, "a")], "a long, b long, winner string")
+    assert rows(tournament.both_ways(df), "a", "b", "winner") == [(1, 2, "b"), (2, 1, "b"), (3, 4, "a"), (4, 3, "b")]
+
+
+def test_replay_waste(spark):
+    """The first seed loses its second match, so the rest of its plan is never read."""
+    df = spark.createDataFrame([("g", i, -float(i)) for i in range(5)] + [("h", 10, 2.0), ("h", 11, 1.0)], "g string, i long, s double")
+    said = spark.createDataFrame([(0, 1, "a"), (2, 0, "a"), (0, 3, "b"), (0, 4, "a"), (2, 3, "tie")], "a long, b long, winner string")
+    played = tournament.tournaments(df, "g", "i", "s", said)
+    plan = spark.createDataFrame([("g", 0, 0, 1), ("g", 1, 0, 2), ("g", 5, 0, 3), ("g", 7, 0, 4), ("h", 9, 10, 11)], "g string, pos int, a long, b long")
+    got = rows(tournament.replay_waste(plan, played, said, "g"), "g", "planned", "consulted", "never", "answered", "by_score", "first_switch", "changed")
+    assert got == [("g", 4, 2, 2, 3, 1, 1, True), ("h", 1, 1, 0, 0, 1, None, False)]
+
+
+def test_anchor_kinds_that_run_short(spark):
+    items = spark.createDataFrame(
+        [("a", 1, 0.9, True), ("a", 2, 0.5, False), ("b", 1, 0.9, False), ("b", 2, 0.5, True), ("c", 1, 0.1, True), ("d", 1, 0.3, False), ("e", 1, None, False), ("e", 2, 0.2, False), ("e", 3, 0.1, True)],
+        "g string, i int, r double, c boolean",
+    )
+    reasons = spark.createDataFrame([("a", "short"), ("c", "much longer"), ("d", "none"), ("b", "the longest reason of all")], "g string, reason string")
+    got = rows(selection.choose_anchors(items, "g", "i", "r", "c", reasons, 4), "g", "kind", "typical", "place")
+    assert got[:4] == [("a", "win", 2, got[0][3]), ("b", "win", 1, got[1][3]), ("c", "win", 2, 0), ("d", "reject", 0, 1)]
+    assert sorted(x[3] for x in got if x[3] is not None) == [0, 1, 2, 3] and got[4][2] == 1  # nobody chose several
+    assert rows(selection.choose_anchors(items, "g", "i", None, "c", reasons, 1), "g", "place")[1] == ("b", 0)
+    assert selection.choose_anchors(items.where("false"), "g", "i", "r", "c", reasons, 3).count() == 0
+
+
+def test_nearest_points_equal_brute_force(spark):
+    """Clusters of different density, equal distances, one far point, and targets at one place."""
+    r = random.Random(12)
+    spots = [(i, round(r.gauss(0, 0.01), 4), round(r.gauss(5, 0.01), 4)) for i in range(300)] + [(1000 + i, r.uniform(-500, 500), r.uniform(-500, 500)) for i in range(60)]
+    spots += [(2000, 7.0, 7.0), (1999, 7.0, 7.0), (2001, 7.0, 9.0), (3000, None, 1.0), (3001, float("nan"), 1.0)]
+    points = [(i, r.gauss(0, 0.02), r.gauss(5, 0.02)) for i in range(200)] + [(500 + i, r.uniform(-700, 700), r.uniform(-700, 700)) for i in range(80)]
+    points += [(900, 7.0, 8.0), (901, 1e6, -1e6), (902, None, 0.0), (900, 7.0, 8.0)]
+    p, t = spark.createDataFrame(points, "i long, x double, y double"), spark.createDataFrame(spots, "k long, x double, y double")
+    want = []
+    for i, x, y in {q for q in points if q[1] is not None}:
+        d, k = min(((a - x) * (a - x) + (b - y) * (b - y), k) for k, a, b in spots[:-2])
+        want.append((i, k, d))
+    assert rows(nearest.nearest_points(p, "i", t, "k"), "i", "k", "distance2") == sorted(want)
+    one = spark.createDataFrame([(5, 3.0, 3.0)], "k long, x double, y double")
+    assert rows(nearest.nearest_points(p.where("i < 3"), "i", one, "k"), "i", "k") == [(0, 5), (1, 5), (2, 5)]
+    assert nearest.nearest_points(p, "i", t.where("false"), "k").count() == 0 == nearest.nearest_points(p.where("false"), "i", t, "k").count()
+
+
 def test_strategies_fall_back(spark):
     df = spark.createDataFrame([(1, 0.3, None), (2, 0.1, 0.9), (3, 0.2, 0.5)], "i long, g double, f double").withColumn("v", F.lit(None).cast("double"))
     assert ranks.composite_score(df, "g", "f", "i", "s", "vision_face", "v")[1] == "face" == ranks.composite_score(df, "g", "f", "i", "s")[1]

@@ -173,3 +173,27 @@ def strided_sample(df: DataFrame, order: str, n: int) -> DataFrame:
     )
     placed = numbered(df, [F.col(order)], "_at")
     return placed.join(F.broadcast(want.distinct()), "_at").drop("_at")
+
+
+def choose_anchors(items: DataFrame, group: str, item: str, rank: str | None, chosen: str, reasons: DataFrame, n: int, seed: int = 20260901) -> DataFrame:
+    """(group, kind, typical, place) of every group: ``n`` of them are anchors with a place from 0 on, the others have none.
+
+    A group's kind is win, reject or multi by the number of its items that are ``chosen``.  Each kind gives its most typical group, in
+    this order: 2 if its best chosen item is the first by ``rank``, 1 if the second, else 0, then the longer reason (``reasons`` has group and reason), then the smaller
+    group.  A kind without groups leaves its seat, and seats that are left are filled by a hash of seed and group.  Without a rank nothing is typical.
+    """
+    order = [F.coalesce(F.col(rank), F.lit(0.0)).desc(), F.col(item)] if rank else [F.col(item)]
+    placed = items.withColumn("_at", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    facts = placed.groupBy(group).agg(F.count_if(F.col(chosen)).alias("c"), F.min(F.when(F.col(chosen), F.col("_at"))).alias("best"))
+    typical = F.when(F.col("best") == 1, 2).when(F.col("best") == 2, 1).otherwise(0) if rank else F.lit(0)
+    kind = F.when(F.col("c") == 0, "reject").when(F.col("c") == 1, "win").otherwise("multi")
+    said = reasons.select(group, F.char_length("reason").alias("said"))
+    known = facts.join(said, group, "left").select(group, kind.alias("kind"), typical.alias("typical"), F.coalesce("said", F.lit(0)).alias("said"))
+    first = known.groupBy("kind").agg(F.min(F.struct((-F.col("typical")).alias("t"), (-F.col("said")).alias("s"), group))[group].alias(group))
+    seat = F.when(F.col("kind") == "win", 0).when(F.col("kind") == "reject", 1).otherwise(2)
+    seats = first.select(group, F.struct(seat.alias("turn"), F.lit("").alias("h")).alias("turn"))  # three rows at most
+    hashed = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(group).cast("string")))
+    fill = known.join(seats, group, "left_anti").select(group, F.struct(F.lit(3).alias("turn"), hashed.alias("h")).alias("turn"))
+    picked = seats.unionByName(fill).orderBy("turn", group).limit(n)
+    places = picked.select(group, (F.row_number().over(Window.orderBy("turn", group)) - 1).alias("place"))  # n rows
+    return known.join(places, group, "left").select(group, "kind", "typical", "place")

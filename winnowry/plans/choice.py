@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import ranks as R
 from ..functions import text as T
 from ..operators import components as G
+from ..operators import nearest as N
 from ..operators import ordering as O
 from ..operators import selection as S
 from ..operators import similarity as M
@@ -190,12 +191,14 @@ def j13(spark, d):
     return table(spark, d, "lineitem").select(F.least("l_partkey", "l_suppkey").alias("a"), F.greatest("l_partkey", "l_suppkey").alias("b")).distinct()
 
 
-@query("j14_nearest", "SELECT s.s_suppkey, (SELECT arg_min(n_nationkey, (abs(n_nationkey * 400.0 - s.s_acctbal), n_nationkey)) FROM nation) AS nation FROM supplier s")
+@query("j14_nearest", """WITH p AS (SELECT c_custkey AS i, c_acctbal AS x, (c_custkey * 7919 % 10007)::DOUBLE AS y FROM customer), t AS (SELECT p_partkey AS k, (p_partkey * 331 % 9001)::DOUBLE AS x, p_retailprice * 4 AS y FROM part),
+d AS (SELECT p.i, t.k, (t.x - p.x) * (t.x - p.x) + (t.y - p.y) * (t.y - p.y) AS d FROM p, t)
+SELECT i AS c_custkey, arg_min(k, (d, k)) AS p_partkey, round(min(d), 6) AS distance2 FROM d GROUP BY i""")
 def j14(spark, d):
-    spots = table(spark, d, "nation").select("n_nationkey", (F.col("n_nationkey") * 400.0).alias("at"))
-    near = F.array_min(F.transform("spots", lambda x: F.struct(F.abs(x["at"] - F.col("s_acctbal")).alias("dist"), x["n_nationkey"].alias("k"))))
-    packed = spots.agg(F.collect_list(F.struct("n_nationkey", "at")).alias("spots"))  # 25 nations
-    return table(spark, d, "supplier").crossJoin(F.broadcast(packed)).select("s_suppkey", near["k"].alias("nation"))
+    """Customers and parts as points of a plane."""
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("x"), (F.col("c_custkey") * 7919 % 10007).cast("double").alias("y"))
+    p = table(spark, d, "part").select("p_partkey", (F.col("p_partkey") * 331 % 9001).cast("double").alias("x"), (F.col("p_retailprice") * 4).alias("y"))
+    return N.nearest_points(c, "c_custkey", p, "p_partkey").withColumn("distance2", F.round("distance2", 6))
 
 
 @query("j15_unknown_ids", "SELECT l_partkey % 250 AS id, bool_or(s_suppkey IS NULL) AS unknown FROM lineitem LEFT JOIN supplier ON s_suppkey = l_partkey % 250 GROUP BY 1")
@@ -291,10 +294,18 @@ def w12(spark, d):
     return g.where("s > 0 AND u > 0").orderBy("o_custkey").limit(40).select("o_custkey", "weakest", "strongest")
 
 
-@query("w13_anchor_choice", "SELECT p_partkey, p_type FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY abs(p_retailprice - 1500), md5(p_partkey::VARCHAR)) AS r FROM part) WHERE r <= 3")
+@query("w13_anchor_choice", """WITH x AS (SELECT o_custkey AS g, o_orderkey AS i, o_totalprice AS r, o_orderstatus = 'F' AND o_custkey % 3 > 0 AND o_orderkey % 3 <= o_custkey % 3 AS c, row_number() OVER (PARTITION BY o_custkey ORDER BY coalesce(o_totalprice, 0) DESC, o_orderkey) AS p FROM orders),
+f AS (SELECT g, count(*) FILTER (c) AS n, min(p) FILTER (c) AS b FROM x GROUP BY g),
+k AS (SELECT g, CASE WHEN n = 0 THEN 'reject' WHEN n = 1 THEN 'win' ELSE 'multi' END AS kind, CASE b WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS typical, coalesce(CASE WHEN g % 4 > 0 THEN length(c_mktsegment) + g % 9 END, 0) AS said FROM f JOIN customer ON c_custkey = g),
+q AS (SELECT g, row_number() OVER (PARTITION BY kind ORDER BY typical DESC, said DESC, g) AS t, CASE kind WHEN 'win' THEN 0 WHEN 'reject' THEN 1 ELSE 2 END AS seat FROM k),
+s AS (SELECT g, row_number() OVER (ORDER BY CASE WHEN t = 1 THEN seat ELSE 3 END, CASE WHEN t = 1 THEN '' ELSE md5('20260901|' || g) END, g) - 1 AS place FROM q)
+SELECT k.g AS o_custkey, kind, typical, CASE WHEN place < 8 THEN place END AS place FROM k JOIN s USING (g)""")
 def w13(spark, d):
-    w = Window.partitionBy("p_type").orderBy(F.abs(F.col("p_retailprice") - 1500), F.md5(F.col("p_partkey").cast("string")))
-    return table(spark, d, "part").withColumn("r", F.row_number().over(w)).where("r <= 3").select("p_partkey", "p_type")
+    """Customers as groups of orders: those chosen by a rule, with reasons of some length for most of them; eight anchors."""
+    o, k = table(spark, d, "orders"), F.col("o_custkey") % 3
+    o = o.select("o_custkey", "o_orderkey", "o_totalprice", ((F.col("o_orderstatus") == "F") & (k > 0) & (F.col("o_orderkey") % 3 <= k)).alias("c"))
+    why = F.when(F.col("c_custkey") % 4 > 0, F.concat("c_mktsegment", F.repeat(F.lit("."), (F.col("c_custkey") % 9).cast("int"))))
+    return S.choose_anchors(o, "o_custkey", "o_orderkey", "o_totalprice", "c", table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), why.alias("reason")), 8)
 
 
 @query("w14_chunks", "SELECT s_suppkey, (row_number() OVER (ORDER BY s_suppkey) - 1) // 20 AS part FROM supplier")
@@ -467,15 +478,45 @@ def q4(spark, d):
     return t.where("rejected").select("o_custkey")
 
 
-@query("q10_fold_directions", """WITH x AS (SELECT event_id // 2 AS k, event_id % 2 AS d, CASE event_type WHEN 'click' THEN '1' WHEN 'view' THEN '2' WHEN 'error' THEN 'tie' WHEN 'signup' THEN 'neither' ELSE '1' END AS p FROM events)
-SELECT a.k, CASE WHEN (CASE a.p WHEN '1' THEN 'a' WHEN '2' THEN 'b' ELSE a.p END) = (CASE b.p WHEN '1' THEN 'b' WHEN '2' THEN 'a' ELSE b.p END) THEN (CASE a.p WHEN '1' THEN 'a' WHEN '2' THEN 'b' ELSE a.p END) ELSE 'inconsistent' END AS verdict FROM x a JOIN x b ON a.k = b.k AND a.d = 0 AND b.d = 1""")
+@query("q10_fold_directions", """WITH x AS (SELECT event_id // 2 AS k, event_id % 2 AS d, CASE event_type WHEN 'click' THEN '1' WHEN 'view' THEN '2' WHEN 'error' THEN 'tie' WHEN 'signup' THEN 'neither' ELSE '1' END AS p,
+    CASE WHEN event_id // 2 % 3 > 0 THEN 'c' || (event_id % 4)::VARCHAR END AS f, CASE WHEN event_id // 2 % 3 > 0 THEN 'd' || (event_id % 4)::VARCHAR END AS s, CASE WHEN user_id % 5 < 2 THEN 'c' || (event_id % 4)::VARCHAR WHEN user_id % 5 < 4 THEN 'd' || (event_id % 4)::VARCHAR ELSE 'zz' END AS w
+    FROM events WHERE event_id % 11 > 0),
+y AS (SELECT k, d, CASE WHEN f IS NULL OR p NOT IN ('1', '2') THEN p WHEN w = f THEN '1' WHEN w = s THEN '2' ELSE 'bad' END AS q, p FROM x),
+z AS (SELECT k, d, CASE WHEN q IN ('1', '2') THEN CASE WHEN (q = '1') = (d = 0) THEN 'a' ELSE 'b' END ELSE q END AS v, q <> p AND q <> 'bad' AS turned FROM y)
+SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL OR b.k IS NULL THEN NULL WHEN a.v = b.v AND a.v <> 'bad' THEN a.v ELSE 'inconsistent' END AS verdict,
+       CASE WHEN a.k IS NOT NULL AND b.k IS NOT NULL THEN a.v <> 'bad' AND b.v <> 'bad' AND (a.turned OR b.turned) END AS contradiction, CASE WHEN a.k IS NULL THEN 'AB' WHEN b.k IS NULL THEN 'BA' END AS missing
+FROM (SELECT * FROM z WHERE d = 0) a FULL JOIN (SELECT * FROM z WHERE d = 1) b ON a.k = b.k""")
 def q10(spark, d):
-    kind = F.col("event_type")
+    """Two events are the two directions of a pair; two thirds of the pairs show codes, some of which are made up; some calls are lost."""
+    kind, pair, e = F.col("event_type"), F.floor(F.col("event_id") / 2), table(spark, d, "events").where("event_id % 11 > 0")
     pick = F.when(kind == "click", "1").when(kind == "view", "2").when(kind == "error", "tie").when(kind == "signup", "neither").otherwise("1")
-    calls = table(spark, d, "events").select(F.floor(F.col("event_id") / 2).alias("k"), F.when(F.col("event_id") % 2 == 0, "AB").otherwise("BA").alias("dir"), pick.alias("pick"))
+    code = lambda c: F.concat(F.lit(c), (F.col("event_id") % 4).cast("string"))
+    read = F.when(F.col("user_id") % 5 < 2, code("c")).when(F.col("user_id") % 5 < 4, code("d")).otherwise("zz")
+    calls = e.select(pair.alias("k"), F.when(F.col("event_id") % 2 == 0, "AB").otherwise("BA").alias("dir"), pick.alias("pick"), F.when(pair % 3 > 0, code("c")).alias("first_code"), F.when(pair % 3 > 0, code("d")).alias("second_code"), read.alias("winner_code"))
     return C.fold_directions(calls, ["k"])
 
 
+@query("a41_wasted", "WITH RECURSIVE " + _VERD + """, u AS (SELECT * FROM v WHERE (a + b) % 5 > 0),
+s AS (SELECT o_custkey AS g, o_orderkey AS x, o_totalprice AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n, count(*) OVER (PARTITION BY o_custkey) AS m FROM orders),
+t AS (SELECT g, x AS champ, p, 1::BIGINT AS n, m, 0::BIGINT AS opp, 0::BIGINT AS was, '' AS said, false AS rec FROM s WHERE n = 1 AND m > 1
+ UNION ALL SELECT t.g, CASE WHEN j.w = 'b' THEN s.x ELSE t.champ END, CASE WHEN j.w = 'b' THEN s.p ELSE t.p END, s.n, t.m, s.x, t.champ, j.w, j.r
+ FROM t JOIN s ON s.g = t.g AND s.n = t.n + 1 AND s.n <= 8 LEFT JOIN u ON u.a = least(t.champ, s.x) AND u.b = greatest(t.champ, s.x),
+ LATERAL (SELECT CASE WHEN u.w IS NULL THEN CASE WHEN t.p > s.p THEN 'a' WHEN s.p > t.p THEN 'b' ELSE 'tie' END WHEN t.champ < s.x THEN u.w WHEN u.w = 'a' THEN 'b' WHEN u.w = 'b' THEN 'a' ELSE u.w END AS w, u.w IS NOT NULL AS r) j),
+pl AS (SELECT f.g, f.x AS a, s.x AS b, s.n - 2 AS pos FROM s f JOIN s ON f.g = s.g AND f.n = 1 AND s.n BETWEEN 2 AND 8),
+pv AS (SELECT pl.*, CASE WHEN u.w IS NULL OR pl.a < pl.b THEN u.w WHEN u.w = 'a' THEN 'b' WHEN u.w = 'b' THEN 'a' ELSE u.w END AS w, EXISTS (SELECT 1 FROM t WHERE t.g = pl.g AND t.n > 1 AND least(t.was, t.opp) = least(pl.a, pl.b) AND greatest(t.was, t.opp) = greatest(pl.a, pl.b)) AS met
+ FROM pl LEFT JOIN u ON u.a = least(pl.a, pl.b) AND u.b = greatest(pl.a, pl.b)),
+c AS (SELECT g, count(*) AS planned, count(*) FILTER (met) AS consulted, count(*) FILTER (NOT met) AS never, min(pos) FILTER (w = 'b') AS first_switch FROM pv GROUP BY g),
+k AS (SELECT g, count(*) FILTER (rec) AS answered, count(*) FILTER (NOT rec) AS by_score FROM t WHERE n > 1 GROUP BY g), e AS (SELECT t.g, t.champ <> s.x AS changed FROM t JOIN s ON s.g = t.g AND s.n = 1 WHERE t.n = least(t.m, 8))
+SELECT c.g AS o_custkey, planned, consulted, never, answered, by_score, first_switch, changed FROM c JOIN k ON c.g = k.g JOIN e ON c.g = e.g""")
+def a41(spark, d):
+    """The plan lets the first seed meet every other one; a fifth of the verdicts never came back."""
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    verdicts = _verdicts(spark, d).where("(a + b) % 5 > 0")
+    played = C.tournaments(o, "o_custkey", "o_orderkey", "o_totalprice", verdicts)
+    plan = played.select("o_custkey", F.element_at("members", 1).alias("a"), F.posexplode(F.slice("members", 2, 7)).alias("pos", "b"))
+    return C.replay_waste(plan, played, verdicts, "o_custkey")
+
+
 @query("q11_judges", """SELECT a.s_suppkey, CASE WHEN a.s_acctbal > b.s_acctbal THEN 'a' WHEN b.s_acctbal > a.s_acctbal THEN 'b' ELSE 'tie' END AS local,
 CASE WHEN a.s_nationkey < 5 AND b.s_nationkey < 5 THEN 'tie' WHEN a.s_nationkey < 5 THEN 'a' WHEN b.s_nationkey < 5 THEN 'b' ELSE 'neither' END AS oracle FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey + 1""")
 def q11(spark, d):

@@ -304,13 +304,6 @@ def a40(spark, d):
     return x.agg(F.count_if(F.col("hit").isNotNull()).alias("used"), F.count_if(F.col("hit").isNull()).alias("missing"), F.lit(None).cast("long").alias("unused"))
 
 
-@query("a41_wasted", "SELECT user_id, count(*) AS planned, coalesce(min(r) FILTER (event_type = 'error'), count(*)) AS consulted FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) GROUP BY 1")
-def a41(spark, d):
-    r = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long")
-    g = table(spark, d, "events").withColumn("r", r).groupBy("user_id")
-    return g.agg(F.count("*").alias("planned"), F.coalesce(F.min(F.when(F.col("event_type") == "error", F.col("r"))), F.count("*")).alias("consulted"))
-
-
 @query("a42_coverage", "SELECT n.n_nationkey, s.seg, count(c_custkey) AS n FROM nation n CROSS JOIN (SELECT DISTINCT c_mktsegment AS seg FROM customer) s LEFT JOIN customer ON c_nationkey = n_nationkey AND c_mktsegment = seg GROUP BY ALL")
 def a42(spark, d):
     c = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey"), F.col("c_mktsegment").alias("seg")).agg(F.count("*").alias("n"))
@@ -377,15 +370,22 @@ def a51(spark, d):
     return table(spark, d, "labels").agg((F.avg((F.col("quality") == F.col("toxic")).cast("int")) < 1).alias("differ"), F.count("*").alias("n"))
 
 
-@query("q9_plan_handshake", """WITH plan AS (SELECT n_nationkey AS a, n_nationkey + 1 AS b FROM nation WHERE n_nationkey < 20),
-v AS (SELECT n_nationkey + 1 AS a, n_nationkey AS b FROM nation WHERE n_nationkey < 20 AND n_nationkey % 4 <> 0 UNION ALL SELECT 0, 5)
-SELECT count(*) FILTER (v.a IS NOT NULL) AS used, count(*) FILTER (v.a IS NULL) AS missing, 1::BIGINT AS unused FROM plan LEFT JOIN v ON v.a = plan.b AND v.b = plan.a""")
+@query("q9_plan_handshake", """WITH o AS (SELECT o_custkey AS g, o_orderkey AS x, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n, count(*) OVER (PARTITION BY o_custkey) AS m FROM orders),
+plan AS (SELECT a.x AS a, b.x AS b, row_number() OVER (ORDER BY a.m DESC, a.g) AS pos FROM o a JOIN o b ON a.g = b.g AND a.n = 1 AND b.n = 2 ORDER BY a.m DESC, a.g LIMIT 24),
+v AS (SELECT b AS a, a AS b FROM plan WHERE pos % 4 > 0 UNION ALL SELECT (SELECT a FROM plan WHERE pos = 1), (SELECT b FROM plan WHERE pos = 2))
+SELECT count(*) FILTER (v.a IS NOT NULL) AS used, count(*) FILTER (v.a IS NULL) AS missing, 1::BIGINT AS unused, (SELECT md5('[' || string_agg('["' || a || '","' || b || '"]', ',' ORDER BY pos) || ']') FROM plan) AS hash
+FROM plan LEFT JOIN v ON v.a = plan.b AND v.b = plan.a""")
 def q9(spark, d):
-    """Verdicts given in the other order count; one of them was not planned; a wrong hash is refused (see the tests)."""
-    n = table(spark, d, "nation").where("n_nationkey < 20")
-    plan = n.select(F.col("n_nationkey").alias("a"), (F.col("n_nationkey") + 1).alias("b"))
-    said = n.where("n_nationkey % 4 <> 0").selectExpr("n_nationkey + 1 AS a", "n_nationkey AS b", "'a' AS winner").unionByName(spark.sql("SELECT 0 AS a, 5 AS b, 'tie' AS winner"))
-    return C.handshake(plan, C.plan_hash(plan).first()["hash"], said)
+    """A budget of 24 matches, one for each of the largest groups; verdicts come in the other order, and one of them was not planned."""
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("n"))
+    top = o.groupBy("o_custkey").agg(F.count("*").alias("m"), F.max(F.when(F.col("n") == 1, F.col("o_orderkey"))).alias("a"), F.max(F.when(F.col("n") == 2, F.col("o_orderkey"))).alias("b")).where("m > 1")
+    few = top.orderBy(F.desc("m"), "o_custkey").limit(24)
+    plan = M.stored(few.select("a", "b", F.row_number().over(Window.orderBy(F.desc("m"), "o_custkey")).alias("pos")))
+    said = plan.where("pos % 4 > 0").selectExpr("b AS a", "a AS b", "'a' AS winner")
+    other = plan.where("pos <= 2").agg(F.max(F.when(F.col("pos") == 1, F.col("a"))).alias("a"), F.max(F.when(F.col("pos") == 2, F.col("b"))).alias("b")).withColumn("winner", F.lit("tie"))
+    hashed = C.plan_hash(plan)
+    return C.handshake(plan, hashed.first()["hash"], said.unionByName(other)).crossJoin(F.broadcast(hashed))
 
 
 @query("q18_probe")

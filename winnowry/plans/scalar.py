@@ -10,6 +10,7 @@ from ..functions import ranks as R
 from ..functions import rules as K
 from ..functions import text as T
 from ..operators import ordering as O
+from ..operators.tournament import plan_json
 from .registry import query, table
 
 
@@ -312,7 +313,7 @@ def p34(spark, d):
 @query("p35_plan_hash", """SELECT n_regionkey, md5('[' || string_agg('["' || n_nationkey || '","' || n_name || '"]', ',' ORDER BY n_nationkey) || ']') AS h FROM nation GROUP BY n_regionkey""")
 def p35(spark, d):
     rows = F.array_sort(F.collect_list(F.struct("n_nationkey", F.array(F.col("n_nationkey").cast("string"), F.col("n_name")).alias("p"))))
-    return table(spark, d, "nation").groupBy("n_regionkey").agg(F.md5(F.to_json(F.transform(rows, lambda r: r["p"]))).alias("h"))
+    return table(spark, d, "nation").groupBy("n_regionkey").agg(F.md5(plan_json(F.transform(rows, lambda r: r["p"]))).alias("h"))
 
 
 @query("p36_text_tags", r"""SELECT doc_id, regexp_matches(text, '\b(the|and)\b') AS has_word, len(regexp_extract_all(text, '\d+')) AS n_numbers, contains(lower(text), 'license') AS leak FROM documents""")
