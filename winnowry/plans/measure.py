@@ -232,19 +232,6 @@ def _runs(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("calls"), F.count_if(F.col("event_type") == "error").alias("errors"), F.min("ts").alias("t0"), F.sum("value").alias("cost"))
 
 
-@query("a31_valid_runs", _RUN + "SELECT CASE WHEN errors > 12 THEN 'errors' WHEN calls < 5 THEN 'short' ELSE 'valid' END AS state, count(*) AS n, round(sum(cost), 2) AS cost FROM r GROUP BY 1")
-def a31(spark, d):
-    why = F.filter(F.array(F.when(F.col("errors") > 12, F.lit("errors")), F.when(F.col("calls") < 5, F.lit("short"))), lambda x: x.isNotNull())
-    r = _runs(spark, d).withColumn("why", why).withColumn("state", F.when(F.size("why") > 0, F.col("why")[0]).otherwise("valid"))
-    return r.groupBy("state").agg(F.count("*").alias("n"), F.round(F.sum("cost"), 2).alias("cost"))
-
-
-@query("a32_run_scores", "SELECT user_id, len(list_intersect(list(DISTINCT event_type), ['click', 'view', 'error'])) AS overlap FROM events GROUP BY user_id")
-def a32(spark, d):
-    want = F.array(F.lit("click"), F.lit("view"), F.lit("error"))
-    return table(spark, d, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("s")).select("user_id", F.size(F.array_intersect("s", want)).cast("long").alias("overlap"))
-
-
 @query("a33_latency", """WITH c AS (SELECT *, event_id % 3 + 2 AS images FROM events WHERE event_type <> 'error'),
 g AS (SELECT event_type, median(value) AS p50, list_sort(list(value))[least(floor(count(*) * 0.9)::INT, count(*)::INT - 1) + 1] AS p90, max(value) AS worst, count(*) FILTER (value > 300) AS slow, count(*) AS sent FROM c GROUP BY event_type),
 h AS (SELECT event_type, string_agg(images || ':' || n, ' ' ORDER BY images) AS images FROM (SELECT event_type, images, count(*) AS n FROM c GROUP BY ALL) GROUP BY event_type)
@@ -289,14 +276,6 @@ def a38(spark, d):
     return table(spark, d, "events").select(s.alias("state"), "value").groupBy("state").agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("state") == "judged", (F.col("value") > 50).cast("int"))), 6).alias("rate"))
 
 
-@query("a39_record_consistency", "SELECT 'orders' AS what, count(*) AS bad FROM (SELECT l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)) UNION ALL SELECT 'numbers', count(*) FROM (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_linenumber) AS m FROM lineitem GROUP BY 1 HAVING count(*) <> count(DISTINCT l_linenumber))")
-def a39(spark, d):
-    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
-    lost = lines.join(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", "left_anti").agg(F.count("*").alias("bad")).select(F.lit("orders").alias("what"), "bad")
-    twice = lines.groupBy("o_orderkey").agg(F.count("*").alias("n"), F.count_distinct("l_linenumber").alias("m")).where("n <> m").agg(F.count("*").alias("bad"))
-    return lost.unionByName(twice.select(F.lit("numbers").alias("what"), "bad"))
-
-
 @query("a40_verdict_accounting", "SELECT count(*) FILTER (l.doc_id IS NOT NULL) AS used, count(*) FILTER (l.doc_id IS NULL) AS missing, NULL::BIGINT AS unused FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def a40(spark, d):
     labels = table(spark, d, "labels").select("doc_id", F.lit(True).alias("hit"))
