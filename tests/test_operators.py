@@ -364,9 +364,14 @@ def test_session(spark, tmp_path):
     assert c.select(ranked).count() == 6
     items.write.parquet(f"{tmp_path}/items")
     items.where("item < 6").write.parquet(f"{tmp_path}/gold")
-    for verb in ("preview", "curve"):
-        cli.main([verb, f"{tmp_path}/items", "--gold", f"{tmp_path}/gold", "--out", f"{tmp_path}/{verb}", "--target", "4"])
-    assert spark.read.parquet(f"{tmp_path}/preview").where("selected").count() == 3
+    for verb in ("cut", "preview", "curve", "eval", "export"):
+        cli.main([verb, f"{tmp_path}/items", "--gold", f"{tmp_path}/gold", "--out", f"{tmp_path}/{verb}", "--target", "4", "--names", "3", "5", "99"])
+    assert spark.read.parquet(f"{tmp_path}/cut").where("selected").count() == 3
+    assert rows(spark.read.parquet(f"{tmp_path}/preview"), "item") == [(3,), (5,)]
+    report = spark.read.parquet(f"{tmp_path}/eval").first()
+    assert report["k"] == report["delivered_n"] == 4 and report["n_gold"] == 6 and "delivered_hits" not in c.evaluate(ranked, items.where("item < 6")).columns
+    kinds = spark.read.parquet(f"{tmp_path}/export").groupBy("kind").count().collect()
+    assert {k["kind"]: k["count"] for k in kinds}["selected"] == 4
     assert spark.read.parquet(f"{tmp_path}/curve").select("protocol").distinct().count() == 2
     said = spark.createDataFrame([], "a long, b long, winner string")
     assert rows(c.rank(ReplayJudge(said)), "item", "ord") == rows(ranked, "item", "ord")
