@@ -128,3 +128,106 @@ def _said(third: DataFrame) -> DataFrame:
     rows = third.select("run", "a", "b", F.struct(F.lit(0).alias("turned"), F.col("winner").alias("w")).alias("x"))
     rows = rows.unionByName(third.select("run", F.col("b").alias("a"), F.col("a").alias("b"), F.struct(F.lit(1).alias("turned"), flip.alias("w")).alias("x")))
     return rows.groupBy("run", "a", "b").agg(F.min("x")["w"].alias("winner"))
+
+
+def calibration(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """One row of how verdicts meet known answers, with ``problems`` that make it void.
+
+    rows are (a, b, winner, skipped, consistent, code_a, code_b, code_read_ok, contradiction), plan (a, b, answer).  gold, other, neither, tie and
+    inconsistent are the five answers; pairs that were skipped are in none.  hit_rate is gold over gold and other only; stated_rate counts
+    neither as well, over all rows.  code_ok and contradictions are null unless every row has its codes.  problems, in order: the number of
+    rows, pairs that are not the plan's, skipped pairs, unknown winners, and codes that are missing in all rows or in some.
+    """
+    names = [F.struct("a", "b").alias("pair"), F.lit(1).alias("c")]
+    balance = rows.select(*names).unionByName(plan.select(names[0], F.lit(-1).alias("c"))).groupBy("pair").agg(F.sum("c").alias("c"))
+    strange = balance.agg(F.count_if(F.col("c") != 0).alias("strange"))
+    known = rows.join(plan.groupBy("a", "b").agg(F.min("answer").alias("answer")), ["a", "b"], "left")
+    asked, w = ~F.coalesce("skipped", F.lit(False)), F.col("winner")
+    count = lambda c, name: F.count_if(F.coalesce(c, F.lit(False))).alias(name)
+    whole = F.col("code_a").isNotNull() & F.col("code_b").isNotNull() & F.col("code_read_ok").isNotNull() & F.col("contradiction").isNotNull() & (F.length("code_a") > 0) & (F.length("code_b") > 0)
+    hit = F.coalesce(w == F.col("answer"), F.lit(False))
+    facts = known.agg(
+        F.count("*").alias("n"), count(asked & w.isin("a", "b") & hit, "gold"), count(asked & w.isin("a", "b") & ~hit, "other"), *[count(asked & (w == k), k) for k in ("neither", "tie", "inconsistent")],
+        count(~asked, "skipped"), count(F.col("consistent"), "consistent"), count(asked & ~F.coalesce(w.isin("a", "b", "neither", "tie", "inconsistent"), F.lit(False)), "unknown"),
+        count(whole, "coded"), count(F.col("code_a").isNotNull(), "shown"), count(F.col("code_read_ok"), "read"), count(F.col("contradiction"), "against"),
+    )
+    one = facts.crossJoin(F.broadcast(strange)).crossJoin(F.broadcast(plan.agg(F.count("*").alias("planned"))))  # one row each
+    all_coded = (F.col("n") > 0) & (F.col("coded") == F.col("n"))
+    why = [
+        (F.col("n") != F.col("planned"), "number of rows"), (F.col("strange") > 0, "other pairs"), (F.col("skipped") > 0, "skipped pairs"), (F.col("unknown") > 0, "unknown winners"),
+        (~all_coded & (F.col("shown") == 0), "no codes shown"), (~all_coded & (F.col("shown") > 0), "codes missing in some rows"),
+    ]
+    directional = F.col("gold") + F.col("other")
+    return one.select(
+        "n", "gold", "other", "neither", "tie", "inconsistent", "skipped", "consistent", F.try_divide("gold", directional).alias("hit_rate"), F.try_divide(directional + F.col("neither"), "n").alias("stated_rate"),
+        F.when(all_coded, F.col("read")).alias("code_ok"), F.when(all_coded, F.col("against")).alias("contradictions"), F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in why])).alias("problems"),
+    )
+
+
+def retest(first: DataFrame, second: DataFrame, group: str, item: str, kept: str) -> DataFrame:
+    """(group, n, same, both_ties, one_tie, same_way, opposite) of two rounds of keep or reject over the same items.
+
+    n items were judged in both rounds, ``same`` of them alike.  A pair of a group's items says a direction in a round if one is kept and the other is not, else it
+    is a tie.  Pairs are counted from the numbers of items by both answers, and never made.
+    """
+    two = first.select(group, item, F.col(kept).alias("x")).join(second.select(group, item, F.col(kept).alias("y")), [group, item]).where("x IS NOT NULL AND y IS NOT NULL")
+    cell = lambda x, y, name: F.count_if((F.col("x") == x) & (F.col("y") == y)).alias(name)
+    c = two.groupBy(group).agg(cell(True, True, "yy"), cell(True, False, "yn"), cell(False, True, "ny"), cell(False, False, "nn"))
+    yy, yn, ny, nn = (F.col(k) for k in ("yy", "yn", "ny", "nn"))
+    pairs = sum((k * (k - 1) for k in (yn, ny, nn)), yy * (yy - 1)) / 2
+    return c.select(
+        group, (yy + yn + ny + nn).alias("n"), (yy + nn).alias("same"), pairs.cast("long").alias("both_ties"), ((yy + nn) * (yn + ny)).alias("one_tie"), (yy * nn).alias("same_way"), (yn * ny).alias("opposite")
+    )
+
+
+def accounting(asked: DataFrame, verdicts: DataFrame | None) -> DataFrame:
+    """One row (used, missing, unused) of matches asked (a, b) and recorded verdicts (a, b, winner); all null without a record.
+
+    used counts matches that a verdict answered, in either order, missing those without one, and unused the verdicts beyond the used ones.  Null is
+    not 0: nothing was bought.
+    """
+    if verdicts is None:
+        return asked.agg(*[F.max(F.lit(None).cast("long")).alias(c) for c in ("used", "missing", "unused")])
+    said = verdicts.select("a", "b").unionByName(verdicts.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().withColumn("said", F.lit(1))
+    counts = asked.join(said, ["a", "b"], "left").agg(F.count("said").alias("used"), F.count_if(F.col("said").isNull()).alias("missing"))
+    return counts.crossJoin(F.broadcast(verdicts.agg(F.count("*").alias("n")))).select("used", "missing", (F.col("n") - F.col("used")).alias("unused"))
+
+
+def coverage(rows: DataFrame, expected: DataFrame, arms: list[str]) -> DataFrame:
+    """(tag, arm, check, n, ok) for every cell of expected tags (tag, n) and arms, whether it has rows or not.
+
+    rows are (tag, arm, ab, ba, consistent).  pairs: as many rows as expected; directions: rows that lack an answer in one order, none allowed;
+    consistent: rows with one answer in both orders, which is told and always ok.
+    """
+    grid = expected.select("tag", F.col("n").alias("want"), F.explode(F.array(*map(F.lit, arms))).alias("arm"))
+    lacks = (F.length(F.coalesce("ab", F.lit(""))) == 0) | (F.length(F.coalesce("ba", F.lit(""))) == 0)
+    got = rows.groupBy("tag", "arm").agg(F.count("*").alias("n"), F.count_if(lacks).alias("lacks"), F.count_if("consistent").alias("firm"))
+    cells = grid.join(got, ["tag", "arm"], "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    told = [("pairs", zero("n"), zero("n") == F.col("want")), ("directions", zero("lacks"), zero("lacks") == 0), ("consistent", zero("firm"), F.lit(True))]
+    each = F.array(*[F.struct(F.lit(k).alias("check"), n.cast("long").alias("n"), ok.alias("ok")) for k, n, ok in told])
+    return cells.select("tag", "arm", F.explode(each).alias("c")).select("tag", "arm", "c.check", "c.n", "c.ok")
+
+
+def arms_differ(rows: DataFrame, arms: list[str]) -> DataFrame:
+    """(tag, one, two, same, common, differ) for every two arms: rows are (tag, arm, a, b, winner), one for each arm and pair.
+
+    Answers that are the same on every common pair mean that an arm's input was not applied.  Arms without a common pair differ.
+    """
+    wide = rows.groupBy("tag", "a", "b").agg(F.map_from_entries(F.collect_list(F.struct("arm", F.struct("winner")))).alias("said"))  # arms are few
+    two = F.array(*[F.struct(F.lit(x).alias("one"), F.lit(y).alias("two")) for i, x in enumerate(arms) for y in arms[i + 1 :]])
+    met = wide.select("tag", "said", F.explode(two).alias("p"))
+    x, y = F.try_element_at("said", F.col("p.one")), F.try_element_at("said", F.col("p.two"))
+    both = x.isNotNull() & y.isNotNull()
+    out = met.groupBy("tag", "p.one", "p.two").agg(F.count_if(both & x["winner"].eqNullSafe(y["winner"])).alias("same"), F.count_if(both).alias("common"))
+    return out.withColumn("differ", (F.col("common") == 0) | (F.col("same") < F.col("common")))
+
+
+def complete_shards(plan: DataFrame, found: DataFrame, shard: str, keys: list[str], truth: str) -> DataFrame:
+    """(shard) of shards that may be carried over: every planned row (shard, keys, truth) is found (keys, truth), and with the same truth.
+
+    Found rows that contradict each other agree with nothing.
+    """
+    seen = found.groupBy(*keys).agg(F.min(truth).alias("_low"), F.max(truth).alias("_high"))
+    both = plan.join(seen, keys, "left").select(shard, F.coalesce((F.col("_low") == F.col(truth)) & (F.col("_high") == F.col(truth)), F.lit(False)).alias("ok"))
+    return both.groupBy(shard).agg(F.bool_and("ok").alias("ok")).where("ok").select(shard)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ranks as R
 from ..functions import text as T
+from ..operators import audits as A
 from ..operators import components as G
 from ..operators import nearest as N
 from ..operators import ordering as O
@@ -179,11 +180,16 @@ def j11(spark, d):
     return x.agg(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("both"), F.count_if(F.col("b").isNull()).alias("only_a"), F.count_if(F.col("a").isNull()).alias("only_b"))
 
 
-@query("j12_complete_shards", "SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) = count(*) FILTER (o_orderkey IN (SELECT l_orderkey FROM lineitem))")
+@query("j12_complete_shards", """WITH f AS (SELECT l_orderkey AS k, min(l_returnflag) AS lo, max(l_returnflag) AS hi FROM lineitem WHERE l_orderkey % 23 > 0 GROUP BY 1),
+p AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN (SELECT lo FROM f WHERE k = o_orderkey) ELSE 'N' END AS truth FROM orders WHERE o_orderkey % 5 = 0)
+SELECT o_custkey FROM p LEFT JOIN f ON k = o_orderkey GROUP BY 1 HAVING bool_and(coalesce(lo = truth AND hi = truth, false))""")
 def j12(spark, d):
-    have = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("hit", F.lit(1))
-    g = table(spark, d, "orders").select("o_custkey", "o_orderkey").join(have, "o_orderkey", "left").groupBy("o_custkey").agg(F.count("*").alias("n"), F.count("hit").alias("h"))
-    return g.where("n = h").select("o_custkey")
+    """Customers all of whose planned orders were found with one and the right answer; half of the plan knows the answer, and some orders were lost."""
+    found = table(spark, d, "lineitem").where("l_orderkey % 23 > 0").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_returnflag").alias("truth"))
+    least = found.groupBy("o_orderkey").agg(F.min("truth").alias("least"))
+    plan = table(spark, d, "orders").where("o_orderkey % 5 = 0").select("o_custkey", "o_orderkey").join(least, "o_orderkey", "left")
+    plan = plan.withColumn("truth", F.when(F.col("o_orderkey") % 2 == 0, F.col("least")).otherwise("N"))
+    return A.complete_shards(plan.select("o_custkey", "o_orderkey", "truth"), found, "o_custkey", ["o_orderkey"], "truth")
 
 
 @query("j13_unordered_pairs", "SELECT DISTINCT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b FROM lineitem")

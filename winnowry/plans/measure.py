@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
+from ..operators import audits as A
 from ..operators import ordering as O
 from ..operators import quality as U
 from ..operators import selection as S
@@ -205,16 +206,31 @@ def a27(spark, d):
     return table(spark, d, "events").groupBy("event_type", F.round(F.col("value") / 100).cast("int").alias("answer")).agg(F.count("*").alias("n"))
 
 
-@query("a28_calibration", "SELECT count(*) FILTER (event_type = 'click') AS right, count(*) FILTER (event_type = 'view') AS wrong, count(*) FILTER (event_type = 'error') AS skipped, round(count(*) FILTER (event_type = 'click') / count(*) FILTER (event_type IN ('click', 'view')), 9) AS accuracy FROM events")
+@query("a28_calibration", """WITH x AS (SELECT event_id AS a, user_id AS b, CASE event_type WHEN 'click' THEN 'a' WHEN 'view' THEN 'b' WHEN 'error' THEN 'tie' WHEN 'signup' THEN 'neither' WHEN 'purchase' THEN 'inconsistent' ELSE 'odd' END AS w, event_id % 17 = 3 AS sk, event_id % 3 > 0 AS firm, event_id % 5 > 0 AS ok, event_id % 41 = 0 AS con, CASE WHEN event_id % 4 = 3 AND event_id < 0 THEN NULL ELSE 'c' END AS code,
+    CASE WHEN value > 100 THEN 'a' ELSE 'b' END AS ans FROM events)
+SELECT count(*) AS n, count(*) FILTER (NOT sk AND w IN ('a', 'b') AND w = ans) AS gold, count(*) FILTER (NOT sk AND w IN ('a', 'b') AND w <> ans) AS other, count(*) FILTER (NOT sk AND w = 'neither') AS neither, count(*) FILTER (NOT sk AND w = 'tie') AS tie,
+  count(*) FILTER (NOT sk AND w = 'inconsistent') AS inconsistent, count(*) FILTER (sk) AS skipped, count(*) FILTER (firm) AS consistent, round(count(*) FILTER (NOT sk AND w IN ('a', 'b') AND w = ans) / count(*) FILTER (NOT sk AND w IN ('a', 'b')), 9) AS hit_rate,
+  round(count(*) FILTER (NOT sk AND w IN ('a', 'b', 'neither')) / count(*), 9) AS stated_rate, count(*) FILTER (ok) AS code_ok, count(*) FILTER (con) AS contradictions, 'other pairs,skipped pairs' || CASE WHEN count(*) FILTER (NOT sk AND w = 'odd') > 0 THEN ',unknown winners' ELSE '' END AS problems FROM x""")
 def a28(spark, d):
-    is_ = lambda k: F.count_if(F.col("event_type") == k)
-    return table(spark, d, "events").agg(is_("click").alias("right"), is_("view").alias("wrong"), is_("error").alias("skipped"), F.round(F.try_divide(is_("click"), is_("click") + is_("view")), 9).alias("accuracy"))
-
-
-@query("a29_retest", "WITH x AS (SELECT quality AS a, toxic AS b FROM labels) SELECT CASE WHEN a = b THEN 'same' WHEN a = 1 THEN 'only first' ELSE 'only second' END AS kind, count(*) AS n FROM x GROUP BY 1")
+    """The plan has one pair that never came, and one row is of a pair that was not planned."""
+    e, k = table(spark, d, "events"), F.col("event_type")
+    w = F.when(k == "click", "a").when(k == "view", "b").when(k == "error", "tie").when(k == "signup", "neither").when(k == "purchase", "inconsistent").otherwise("odd")
+    i = F.col("event_id")
+    rows = e.select(i.alias("a"), F.col("user_id").alias("b"), w.alias("winner"), (i % 17 == 3).alias("skipped"), (i % 3 > 0).alias("consistent"), F.lit("c").alias("code_a"), F.lit("d").alias("code_b"), (i % 5 > 0).alias("code_read_ok"), (i % 41 == 0).alias("contradiction"))
+    plan = e.select(i.alias("a"), F.col("user_id").alias("b"), F.when(F.col("value") > 100, "a").otherwise("b").alias("answer"))
+    plan = plan.where("a > 3").unionByName(plan.where("a <= 3").withColumn("b", F.when((F.col("a") == 3), F.lit(-1)).otherwise(F.col("b"))))
+    c = A.calibration(rows, plan)
+    return c.withColumns({"hit_rate": F.round("hit_rate", 9), "stated_rate": F.round("stated_rate", 9), "problems": F.array_join("problems", ",")})
+
+
+@query("a29_retest", """WITH x AS (SELECT l_suppkey AS g, l_orderkey * 10 + l_linenumber AS i, bool_or(l_quantity > 25) AS x, bool_or(l_extendedprice > 30000) AS y FROM lineitem WHERE l_orderkey % 3 > 0 GROUP BY ALL),
+p AS (SELECT a.g, a.x::INT - b.x::INT AS p, a.y::INT - b.y::INT AS q FROM x a JOIN x b ON a.g = b.g AND a.i < b.i),
+c AS (SELECT g, count(*) FILTER (p = 0 AND q = 0) AS both_ties, count(*) FILTER ((p = 0) <> (q = 0)) AS one_tie, count(*) FILTER (p * q = 1) AS same_way, count(*) FILTER (p * q = -1) AS opposite FROM p GROUP BY g)
+SELECT n.g AS l_suppkey, n, same, both_ties, one_tie, same_way, opposite FROM (SELECT g, count(*) AS n, count(*) FILTER (x = y) AS same FROM x GROUP BY g) n JOIN c ON n.g = c.g""")
 def a29(spark, d):
-    k = F.when(F.col("quality") == F.col("toxic"), "same").when(F.col("quality") == 1, "only first").otherwise("only second")
-    return table(spark, d, "labels").groupBy(k.alias("kind")).agg(F.count("*").alias("n"))
+    """Two rounds over the lines of each supplier; a third of them was judged in the first round only."""
+    l = table(spark, d, "lineitem").groupBy("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("i"), "l_orderkey").agg(F.max(F.col("l_quantity") > 25).alias("x"), F.max(F.col("l_extendedprice") > 30000).alias("y"))
+    return A.retest(l.withColumn("kept", F.col("x")), l.where("l_orderkey % 3 > 0").withColumn("kept", F.col("y")), "l_suppkey", "i", "kept")
 
 
 @query("a30_local_baseline", "SELECT count(*) FILTER (a.o_orderpriority = '5-LOW' OR b.o_orderpriority = '5-LOW') AS gated, count(*) FILTER (a.o_totalprice > b.o_totalprice) AS first_better, count(*) AS n FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey")
@@ -276,18 +292,34 @@ def a38(spark, d):
     return table(spark, d, "events").select(s.alias("state"), "value").groupBy("state").agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("state") == "judged", (F.col("value") > 50).cast("int"))), 6).alias("rate"))
 
 
-@query("a40_verdict_accounting", "SELECT count(*) FILTER (l.doc_id IS NOT NULL) AS used, count(*) FILTER (l.doc_id IS NULL) AS missing, NULL::BIGINT AS unused FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+@query("a40_verdict_accounting", """WITH asked AS (SELECT l_orderkey AS a, l_partkey AS b FROM lineitem), v AS (SELECT l_partkey AS a, l_orderkey AS b FROM lineitem WHERE l_suppkey % 3 = 0 UNION SELECT o_orderkey, -1 FROM orders),
+s AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM v UNION ALL SELECT b, a FROM v)), c AS (SELECT count(s.a) AS used, count(*) - count(s.a) AS missing FROM asked LEFT JOIN s USING (a, b))
+SELECT 'replay' AS judge, used, missing, (SELECT count(*) FROM v) - used AS unused FROM c UNION ALL SELECT 'local', NULL, NULL, NULL""")
 def a40(spark, d):
-    labels = table(spark, d, "labels").select("doc_id", F.lit(True).alias("hit"))
-    x = table(spark, d, "documents").select("doc_id").join(labels, "doc_id", "left")
-    return x.agg(F.count_if(F.col("hit").isNotNull()).alias("used"), F.count_if(F.col("hit").isNull()).alias("missing"), F.lit(None).cast("long").alias("unused"))
+    """Verdicts of a third of the pairs, in the other order, and some of pairs that nobody asked about; a local judge has no account."""
+    l = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("a"), F.col("l_partkey").alias("b"), "l_suppkey")
+    paid = l.where("l_suppkey % 3 = 0").selectExpr("b AS a", "a AS b").unionByName(table(spark, d, "orders").selectExpr("o_orderkey AS a", "CAST(-1 AS BIGINT) AS b")).distinct()
+    one = A.accounting(l, paid).withColumn("judge", F.lit("replay"))
+    return one.unionByName(A.accounting(l, None).withColumn("judge", F.lit("local")))
+
+
+_CELLS = """WITH x AS (SELECT CASE WHEN event_id % 5 < 3 THEN 'primary' ELSE 'equal' END AS tag, CASE user_id % 7 WHEN 0 THEN 'bare' WHEN 1 THEN 'rules' ELSE 'examples' END AS arm, event_id, user_id, event_type, value FROM events WHERE event_type <> 'error') """
+_ARMS = ["bare", "rules", "examples", "none"]
+
+
+def _cells(spark, d):
+    arm = F.when(F.col("user_id") % 7 == 0, "bare").when(F.col("user_id") % 7 == 1, "rules").otherwise("examples")
+    return table(spark, d, "events").where("event_type <> 'error'").withColumns({"tag": F.when(F.col("event_id") % 5 < 3, "primary").otherwise("equal"), "arm": arm})
 
 
-@query("a42_coverage", "SELECT n.n_nationkey, s.seg, count(c_custkey) AS n FROM nation n CROSS JOIN (SELECT DISTINCT c_mktsegment AS seg FROM customer) s LEFT JOIN customer ON c_nationkey = n_nationkey AND c_mktsegment = seg GROUP BY ALL")
+@query("a42_coverage", _CELLS + """, g AS (SELECT * FROM (VALUES ('primary', 900), ('equal', 0)) t(tag, want), (VALUES ('bare'), ('rules'), ('examples'), ('none')) a(arm)),
+c AS (SELECT g.tag, g.arm, want, count(x.tag) AS n, count(*) FILTER (event_type = 'signup') AS lacks, count(*) FILTER (event_id % 3 = 0) AS firm FROM g LEFT JOIN x ON g.tag = x.tag AND g.arm = x.arm GROUP BY ALL)
+SELECT tag, arm, 'pairs' AS "check", n, n = want AS ok FROM c UNION ALL SELECT tag, arm, 'directions', lacks, lacks = 0 FROM c UNION ALL SELECT tag, arm, 'consistent', firm, true FROM c""")
 def a42(spark, d):
-    c = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey"), F.col("c_mktsegment").alias("seg")).agg(F.count("*").alias("n"))
-    grid = table(spark, d, "nation").select("n_nationkey").crossJoin(F.broadcast(table(spark, d, "customer").select(F.col("c_mktsegment").alias("seg")).distinct()))
-    return grid.join(c, ["n_nationkey", "seg"], "left").select("n_nationkey", "seg", F.coalesce("n", F.lit(0)).alias("n"))
+    """Signups lack an answer in one order; one arm has no rows at all."""
+    r = _cells(spark, d).select("tag", "arm", F.col("event_type").alias("ab"), F.when(F.col("event_type") != "signup", "x").alias("ba"), (F.col("event_id") % 3 == 0).alias("consistent"))
+    want = r.select("tag").distinct().withColumn("n", F.when(F.col("tag") == "primary", 900).otherwise(0))
+    return A.coverage(r, want, _ARMS)
 
 
 @query("a43_duplicate_texts", "WITH f AS (SELECT doc_id, md5(list_aggregate(list_sort(list_transform(string_split(text, chr(10)), lambda p: md5(p))), 'string_agg', '|')) AS h FROM documents WHERE text IS NOT NULL) SELECT h, count(*) AS n, min(doc_id) AS first FROM f GROUP BY 1 HAVING count(*) > 1")
@@ -344,9 +376,17 @@ def a50(spark, d):
     return x.groupBy("lang").agg(F.when(r >= 0.9, "stable").when(r >= 0.8, "watch").otherwise("drift").alias("tier"))
 
 
-@query("a51_arms_differ", "SELECT avg((quality = toxic)::INT) < 1 AS differ, count(*) AS n FROM labels")
+@query("a51_arms_differ", """WITH x AS (SELECT l_returnflag AS tag, l_orderkey AS a, l_partkey AS b, min(l_suppkey % 4) AS s, min(l_linenumber) AS ln FROM lineitem GROUP BY ALL),
+r AS (SELECT tag, a, b, 'bare' AS arm, s AS w FROM x UNION ALL SELECT tag, a, b, 'rules', s FROM x WHERE ln < 6 UNION ALL SELECT tag, a, b, 'examples', CASE WHEN ln = 1 THEN 9 ELSE s END FROM x),
+p AS (SELECT * FROM (VALUES ('bare', 'rules'), ('bare', 'examples'), ('bare', 'none'), ('rules', 'examples'), ('rules', 'none'), ('examples', 'none')) t(one, two)), t AS (SELECT DISTINCT tag FROM x),
+c AS (SELECT t.tag, p.one, p.two, count(y.w) AS common, count(*) FILTER (x.w = y.w) AS same FROM t CROSS JOIN p LEFT JOIN r x ON x.tag = t.tag AND x.arm = p.one LEFT JOIN r y ON y.tag = x.tag AND y.a = x.a AND y.b = x.b AND y.arm = p.two GROUP BY ALL)
+SELECT tag, one, two, same, common, common = 0 OR same < common AS differ FROM c""")
 def a51(spark, d):
-    return table(spark, d, "labels").agg((F.avg((F.col("quality") == F.col("toxic")).cast("int")) < 1).alias("differ"), F.count("*").alias("n"))
+    """The second arm answers what the first one does on all pairs that it has; the third differs on first lines; a fourth has no rows."""
+    x = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("tag"), F.col("l_orderkey").alias("a"), F.col("l_partkey").alias("b")).agg(F.min(F.col("l_suppkey") % 4).alias("s"), F.min("l_linenumber").alias("n"))
+    arm = lambda name, rows, w: rows.select("tag", "a", "b", F.lit(name).alias("arm"), w.cast("string").alias("winner"))
+    r = arm("bare", x, F.col("s")).unionByName(arm("rules", x.where("n < 6"), F.col("s"))).unionByName(arm("examples", x, F.when(F.col("n") == 1, 9).otherwise(F.col("s"))))
+    return A.arms_differ(r, _ARMS)
 
 
 @query("q9_plan_handshake", """WITH o AS (SELECT o_custkey AS g, o_orderkey AS x, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n, count(*) OVER (PARTITION BY o_custkey) AS m FROM orders),

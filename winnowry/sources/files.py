@@ -6,7 +6,7 @@ Items are keyed by relative path, never by bare name, so equal names in two fold
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +61,34 @@ def cache_valid(wanted: DataFrame, cached: DataFrame, key: str) -> bool:
     return not a.exceptAll(b).take(1) and not b.exceptAll(a).take(1)
 
 
+def _table_at(spark: SparkSession, path: str) -> DataFrame | None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        return None
+    return spark.read.parquet(path)
+
+
+def build_cache(wanted: DataFrame, path: str, key: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The cache's entries for ``wanted`` (one row for each key); only keys that it lacks are made, and added to it.
+
+    ``make`` turns wanted rows into entries with the key.  Keys come from content, so a changed item has another key and
+    old entries stay for whoever still wants them.
+    """
+    spark, cached = wanted.sparkSession, _table_at(wanted.sparkSession, path)
+    lacking = wanted if cached is None else missing_entries(wanted, cached, key)
+    if cached is None or lacking.take(1):
+        make(lacking).write.mode("append").parquet(path)
+    return spark.read.parquet(path).join(wanted.select(key).distinct(), key, "left_semi")
+
+
+def whole_cache(wanted: DataFrame, path: str, key: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A cache that is good only as a whole: with exactly the wanted keys it is read, otherwise made anew."""
+    cached = _table_at(wanted.sparkSession, path)
+    if cached is None or not cache_valid(wanted, cached, key):
+        make(wanted).write.mode("overwrite").parquet(path)
+    return wanted.sparkSession.read.parquet(path)
+
+
 def read_lines(spark: SparkSession, path: str, known: DataFrame, item: str) -> DataFrame:
     """Trimmed lines of a list file that are known items."""
     lines = spark.read.text(path).select(F.trim("value").alias(item)).where(F.length(item) > 0).distinct()
