@@ -34,6 +34,40 @@ def test_layouts(name):
     assert html_crf.main_text(page, html_crf.default_chain()) == "\n\n".join(want)
 
 
+#: Parts of a page that are no main text, wherever they stand.
+PARTS = [
+    *(f'<div class="{c}"><p>%s</p></div>' for c in (
+        "ad", "ads", "advert", "advertisement", "sponsored", "sidebar", "comments", "reader-comments", "comment-thread", "responses", "widget", "popup", "modal", "breadcrumb", "pagination",
+        "social", "login", "ad-container", "newsletter-signup", "related-articles", "cookie-notice", "inline-promo",
+    )),
+    '<section id="comments"><p>%s</p></section>', '<aside><p>%s</p></aside>', '<form><p>%s</p></form>', '<nav><p>%s</p></nav>', '<div class="ad">%s</div>', '<article class="comment"><p>%s</p></article>',
+    "<div hidden><p>%s</p></div>", '<div style="display:none"><p>%s</p></div>', "<p style='color:red; display: none'>%s</p>", "<dialog><p>%s</p></dialog>", '<div role="dialog"><p>%s</p></div>', '<div role="alertdialog"><p>%s</p></div>',
+    '<span hidden>%s</span>', "<DIV HIDDEN>%s</DIV>",
+]
+SHORT, LONG = "Some more words stand here now.", "I have read this twice and I must say that I can not follow the writer at all here, for the dog was never lazy."
+
+
+@pytest.mark.parametrize("part", PARTS)
+def test_parts_inside_and_after_the_article(part):
+    """One paragraph or several, short or long, between the article's paragraphs, at its end, or behind it."""
+    for text in (SHORT, LONG):
+        for many in (1, 3):
+            made = (part % text) if many == 1 or "<p>" not in part else part.replace("<p>%s</p>", f"<p>{text}</p>" * many)
+            for page in (f"<p>{T}</p>{made}<p>{T}</p></article>", f"<p>{T}</p><p>{T}</p>{made}</article>", f"<p>{T}</p><p>{T}</p></article>{made}"):
+                page = f"<body class='has-sidebar comments-open'><article class='post'><h1>Fish</h1>{page}<footer>Me</footer>"
+                assert html_crf.main_text(page, html_crf.default_chain()) == "\n\n".join(["Fish", T, T]), page
+
+
+def test_text_stays_in_neutral_containers_and_open_elements():
+    for c in ("text", "body-copy", "lead", "chapter", "section-2", "figure-text"):
+        page = f'<body><article><h1>Fish</h1><div class="{c}"><p>{T}</p></div><p>{T}</p></article>'
+        assert html_crf.main_text(page, html_crf.default_chain()) == "\n\n".join(["Fish", T, T]), c
+    # an open dialog is shown, a hidden element without an end hides nothing, and pages themselves are never hidden
+    page = f"<body style='display:none'><article hidden><h1>Fish</h1><section hidden><p>{T}</p><p>{T}</p></article>"
+    assert html_crf.main_text(page, html_crf.default_chain()) == "\n\n".join(["Fish", T, T])
+    assert [b.text for b in html_crf.leaf_blocks("<dialog open><p>a</p></dialog><p hidden>b<p>c<dialog>d</dialog>e")] == ["a", "c", "e"]
+
+
 class Reader(HTMLParser):
     """The article's blocks of the generated pages, by the standard library's parser."""
 

@@ -53,6 +53,24 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?""")
 _PLACE = frozenset({"class", "id", "role", "aria-label"})
+#: Elements that hold the main text; a first one of them tells which class words lie around the text and which inside it.
+_CONTENT = frozenset({"article", "main"})
+#: Attributes that take an element off the page, but not the page itself.
+_OFF = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_PAGE = frozenset({"html", "body", "main", "article"})
+# Kinds of class words that name something else than the text.
+_KINDS = {
+    "ad": "ad ads advert adverts advertisement advertisements advertising advertorial adsense adslot sponsor sponsored sponsors promo promoted promotion banner taboola outbrain",
+    "comments": "comment comments commentlist commenters respond response responses reply replies disqus",
+    "social": "share sharing social follow followers",
+    "nav": "nav navigation navbar menu breadcrumb breadcrumbs pagination pager",
+    "side": "sidebar aside rail related recommended recommendations trending popular widget widgets teaser teasers",
+    "notice": "cookie cookies consent gdpr notice popup modal overlay dialog alertdialog lightbox toast paywall",
+    "form": "form newsletter subscribe subscription signup login signin register search searchform",
+    "foot": "footer copyright legal",
+}
+_KIND = {w: k for k, v in _KINDS.items() for w in v.split()}
+_TAG_KIND = {"nav": "nav", "aside": "side", "footer": "foot", "form": "form"}
 _NAME = re.compile(r"[a-z]+")
 
 
@@ -61,10 +79,11 @@ class Block(NamedTuple):
     path: tuple[str, ...]  # ancestors' tags
     names: tuple[str, ...]  # words of ancestors' class, id and role
     linked: int  # characters inside links
+    inside: int = 0  # how many of names come from above the text's own element
 
 
 def leaf_blocks(page: str | None) -> list[Block]:
-    """Leaf blocks with text, in page order; scripts, styles, comments and the head are left out.
+    """Leaf blocks with text, in page order; scripts, styles, comments, the head, dialogs and hidden elements are left out.
 
     An end tag may be missing: an unclosed script or style holds the rest of the page, any other raw or skipped
     element without an end tag is taken as empty, and a head ends where the first element of a body begins.
@@ -72,8 +91,8 @@ def leaf_blocks(page: str | None) -> list[Block]:
     out: list[Block] = []
     closers: dict[str, int] = {}
     hidden = 0  # open skipped elements
-    # each entry: tag, block-level tags down to here, class words down to here, inside a link
-    stack: list[tuple[str, tuple[str, ...], tuple[str, ...], bool]] = [("", (), (), False)]
+    # each entry: tag, block-level tags down to here, class words down to here, inside a link, words above the text's own element, left out
+    stack: list[tuple[str, tuple[str, ...], tuple[str, ...], bool, int, bool]] = [("", (), (), False, 0, False)]
     parts: list[str] = []
     linked = 0
 
@@ -83,7 +102,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
             raw = "".join(parts)
             text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
             if text:
-                out.append(Block(text, stack[-1][1], stack[-1][2], linked))
+                out.append(Block(text, stack[-1][1], stack[-1][2], linked, stack[-1][4]))
             parts.clear()
             linked = 0
 
@@ -94,7 +113,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
                 if stack[-1][1] is not stack[i - 1][1]:
                     flush()
                 if hidden:
-                    hidden -= sum(x[0] in _SKIPPED for x in stack[i:])
+                    hidden -= sum(x[5] for x in stack[i:])
                 del stack[i:]
                 return
 
@@ -105,6 +124,17 @@ def leaf_blocks(page: str | None) -> list[Block]:
             closers[tag] = m.start() if m else len(page)
         return closers[tag] < len(page)
 
+    def gone(tag: str, rest: str) -> bool:
+        """Whether an element is not shown: a dialog that is not open, or one with an attribute that hides it."""
+        if tag == "dialog":
+            away = not any(k.lower() == "open" for k, _ in _ATTR.findall(rest))
+        elif tag in _PAGE or "hidden" not in rest and "display" not in rest and "dialog" not in rest and "HIDDEN" not in rest:
+            return False
+        else:
+            found = {k.lower(): v.strip("\"'").lower() for k, v in _ATTR.findall(rest)}
+            away = "hidden" in found or bool(_OFF.search(found.get("style", ""))) or found.get("role") in ("dialog", "alertdialog")
+        return away and (tag in _CLOSES or closes(tag))
+
     at, page = 0, page or ""
     for m in _TOKEN.finditer(page):
         if m.start() > at and not hidden:
@@ -126,8 +156,8 @@ def leaf_blocks(page: str | None) -> list[Block]:
             pop_to(tag)
         elif tag in _SKIPPED:
             if tag in _ENDED or rest[-1:] != "/" and closes(tag):
-                _, path, names, link = stack[-1]
-                stack.append((tag, path, names, link))
+                _, path, names, link, inside, _ = stack[-1]
+                stack.append((tag, path, names, link, inside, True))
                 hidden += 1
         elif tag in _RAW_SET or hidden and rest[-1:] == "/":
             continue  # no end tag
@@ -135,8 +165,10 @@ def leaf_blocks(page: str | None) -> list[Block]:
             if tag == "br":
                 parts.append(" ")
             elif tag not in _VOID:
-                _, path, names, link = stack[-1]
-                stack.append((tag, path, names, link or tag == "a"))
+                _, path, names, link, inside, _ = stack[-1]
+                off = gone(tag, rest)
+                stack.append((tag, path, names, link or tag == "a", inside, off))
+                hidden += off
         else:
             flush()
             if tag in _VOID:
@@ -145,26 +177,32 @@ def leaf_blocks(page: str | None) -> list[Block]:
                 path = stack[-1][1]
                 if t in path and not _SCOPE.get(t, _NONE) & set(path[len(path) - path[::-1].index(t) :]):
                     pop_to(t)
-            _, path, names, link = stack[-1]
-            if "=" in rest or "hidden" in rest:
+            _, path, names, link, inside, _ = stack[-1]
+            if "=" in rest:
                 words: list[str] = []
                 for k, v in _ATTR.findall(rest):
-                    k = k.lower()
-                    if k == "hidden" or k == "style" and "none" in v:
-                        words.append("hidden")
-                    elif k in _PLACE:
+                    if k.lower() in _PLACE:
                         words += _NAME.findall(v.lower())
                 names += tuple(words)
-            stack.append((tag, (*path, tag), names, link))
+            if tag in ("html", "body") or tag in _CONTENT and not _CONTENT & set(path):
+                inside = len(names)
+            off = gone(tag, rest)
+            stack.append((tag, (*path, tag), names, link, inside, off))
+            hidden += off
     if at < len(page) and not hidden:
         parts.append(page[at:])
     flush()
     return out
 
 
-def place_features(path: tuple[str, ...], names: tuple[str, ...]) -> list[str]:
-    """Features of where a block is: its own tag, its ancestors' tags and class words."""
-    return [f"own={path[-1] if path else ''}", *(f"tag={t}" for t in sorted(set(path))), *(f"name={t}" for t in sorted(set(names)))]
+def place_features(path: tuple[str, ...], names: tuple[str, ...], inside: int = 0) -> list[str]:
+    """Features of where a block is: its own tag, its ancestors' tags and class words, and the kinds of class words inside the text's own element."""
+    at = next((i for i, x in enumerate(path) if x in _CONTENT), None)
+    # a form around a whole page says nothing about its blocks
+    below = path[at:] if at is not None else tuple(x for x in path if x != "form")
+    kinds = {_KIND[w] for w in names[inside:] if w in _KIND} | {_TAG_KIND[x] for x in below if x in _TAG_KIND}
+    out = [f"own={path[-1] if path else ''}", *(f"tag={t}" for t in sorted(set(path))), *(f"name={t}" for t in sorted(set(names)))]
+    return out + [f"kind={k}" for k in sorted(kinds)] + (["named"] if kinds else [])
 
 
 def text_features(b: Block, first: bool, last: bool) -> list[str]:
@@ -187,7 +225,7 @@ def text_features(b: Block, first: bool, last: bool) -> list[str]:
 def features(blocks: list[Block]) -> list[list[str]]:
     """Ancestor-tag and text features of each block."""
     n = len(blocks) - 1
-    return [place_features(b.path, b.names) + text_features(b, i == 0, i == n) for i, b in enumerate(blocks)]
+    return [place_features(b.path, b.names, b.inside) + text_features(b, i == 0, i == n) for i, b in enumerate(blocks)]
 
 
 class Chain:
@@ -208,9 +246,10 @@ class Chain:
         if len(known) > 50_000:
             known.clear()
         for i, b in enumerate(blocks):
-            place = known.get((b.path, b.names))
+            where = (b.path, b.names, b.inside)
+            place = known.get(where)
             if place is None:
-                place = known[(b.path, b.names)] = self._sum(place_features(b.path, b.names))
+                place = known[where] = self._sum(place_features(*where))
             kind = tuple(text_features(b, i == 0, i == n))
             text = known.get(kind)
             if text is None:
@@ -321,6 +360,18 @@ def labelled_pages(count: int = 400, seed: int = 11) -> list[tuple[str, list[int
             for _ in range(int(r.integers(1, 6))):
                 add(pick("p", 'div class="comment-body"', "li"), words(3, 40) + pick(".", "!", ""), 0)
 
+        def junk(text: str) -> None:
+            kind = pick(*_KINDS)
+            attr = pick("class", "class", "id") + '="' + pick("", "", "", "main-", "inline-", "article-") + pick(*_KINDS[kind].split()) + pick("", "", "", "-box", "-inner", "-1") + '"'
+            tag = pick(f"div {attr}", f"div {attr}", f"section {attr}", f"ul {attr}", f"article {attr}", f"aside {attr}", "aside", "form", "nav", 'div role="navigation"', 'div role="complementary"')
+            form = r.random()
+            if form < 0.2 and " " in tag:
+                add(tag, text, 0)
+            elif form < 0.3:
+                wrap(tag, lambda: wrap("div", lambda: add("p", text, 0)))
+            else:
+                wrap(tag, lambda: [add(pick("p", "p", "p", "div", "li", "h3"), text if i == 0 else words(2, 30) + pick(".", ""), 0) for i in range(pick(1, 1, 1, 2, 3))])
+
         def article() -> None:
             if r.random() < 0.8:
                 add(pick("h1", "h1", "h2"), words(1, 12) + pick("", "", "."), 1)
@@ -340,11 +391,15 @@ def labelled_pages(count: int = 400, seed: int = 11) -> list[tuple[str, list[int
                 else:
                     add("p", words(3, 20) + ".", 1, '{} <a href="/y">' + words(1, 4) + "</a>")
                 if r.random() < 0.04:
-                    wrap(pick('div class="ad"', 'div class="advert"', 'aside', 'form', 'div class="newsletter"', 'div class="share"'), lambda: add("p", words(2, 15), 0))
+                    wrap(pick("div", 'div class="text"', 'div class="paragraph"', 'section class="part"', 'div class="lead"', 'div id="intro"'), lambda: add("p", words(3, 40) + pick(".", ".", ""), 1))
+                if r.random() < 0.08:
+                    junk(words(2, pick(8, 15, 50)) + pick(".", ".", "", "!"))
             if r.random() < 0.1:
                 wrap(pick('div class="related"', 'div class="tags"', 'nav'), aside)
             if r.random() < 0.15:
                 wrap(pick('div class="comments"', 'section id="comments"', 'div class="reader-comments"', 'div id="comment-list"', 'ol class="commentlist"'), comments)
+            if r.random() < 0.15:
+                junk(words(8, 60) + ".")
 
         if r.random() < 0.5:
             wrap(pick("header", 'div class="header"', 'div id="top-header"'), lambda: add(pick("h1", "p", "div"), words(1, 4), 0))
