@@ -273,7 +273,7 @@ class Chain:
         return path[::-1]
 
 
-def train(pages: list[tuple[str, list[int]]], rounds: int = 80, rate: float = 0.5, l2: float = 1e-3) -> Chain:
+def train(pages: list[tuple[str, list[int]]], rounds: int = 200, rate: float = 0.5, l2: float = 1e-3) -> Chain:
     """Fits the chain to pages and the labels of their leaf blocks by the gradient of the log-likelihood."""
     data = [(features(leaf_blocks(p)), y) for p, y in pages]
     index = {f: i for i, f in enumerate(sorted({f for fs, _ in data for x in fs for f in x}))}
@@ -360,10 +360,11 @@ def labelled_pages(count: int = 400, seed: int = 11) -> list[tuple[str, list[int
             for _ in range(int(r.integers(1, 6))):
                 add(pick("p", 'div class="comment-body"', "li"), words(3, 40) + pick(".", "!", ""), 0)
 
-        def junk(text: str) -> None:
+        def junk(text: str, own: str) -> None:
             kind = pick(*_KINDS)
             attr = pick("class", "class", "id") + '="' + pick("", "", "", "main-", "inline-", "article-") + pick(*_KINDS[kind].split()) + pick("", "", "", "-box", "-inner", "-1") + '"'
-            tag = pick(f"div {attr}", f"div {attr}", f"section {attr}", f"ul {attr}", f"article {attr}", f"aside {attr}", "aside", "form", "nav", 'div role="navigation"', 'div role="complementary"')
+            # an article in an article is a comment or the like; the first one of a page is the text's own element
+            tag = pick(f"div {attr}", f"div {attr}", f"section {attr}", f"ul {attr}", f"article {attr}" if own in _CONTENT else f"div {attr}", f"aside {attr}", "aside", "form", "nav", 'div role="navigation"', 'div role="complementary"')
             form = r.random()
             if form < 0.2 and " " in tag:
                 add(tag, text, 0)
@@ -372,7 +373,7 @@ def labelled_pages(count: int = 400, seed: int = 11) -> list[tuple[str, list[int
             else:
                 wrap(tag, lambda: [add(pick("p", "p", "p", "div", "li", "h3"), text if i == 0 else words(2, 30) + pick(".", ""), 0) for i in range(pick(1, 1, 1, 2, 3))])
 
-        def article() -> None:
+        def article(own: str) -> None:
             if r.random() < 0.8:
                 add(pick("h1", "h1", "h2"), words(1, 12) + pick("", "", "."), 1)
             for _ in range(int(r.integers(1, 14))):
@@ -393,13 +394,13 @@ def labelled_pages(count: int = 400, seed: int = 11) -> list[tuple[str, list[int
                 if r.random() < 0.04:
                     wrap(pick("div", 'div class="text"', 'div class="paragraph"', 'section class="part"', 'div class="lead"', 'div id="intro"'), lambda: add("p", words(3, 40) + pick(".", ".", ""), 1))
                 if r.random() < 0.08:
-                    junk(words(2, pick(8, 15, 50)) + pick(".", ".", "", "!"))
+                    junk(words(2, pick(8, 15, 50)) + pick(".", ".", "", "!"), own)
             if r.random() < 0.1:
                 wrap(pick('div class="related"', 'div class="tags"', 'nav'), aside)
             if r.random() < 0.15:
                 wrap(pick('div class="comments"', 'section id="comments"', 'div class="reader-comments"', 'div id="comment-list"', 'ol class="commentlist"'), comments)
             if r.random() < 0.15:
-                junk(words(8, 60) + ".")
+                junk(words(8, 60) + ".", own)
 
         if r.random() < 0.5:
             wrap(pick("header", 'div class="header"', 'div id="top-header"'), lambda: add(pick("h1", "p", "div"), words(1, 4), 0))
@@ -411,7 +412,8 @@ def labelled_pages(count: int = 400, seed: int = 11) -> list[tuple[str, list[int
             add(pick('div class="ad"', 'div class="advert"', 'div class="ads"', 'div class="sponsored"', 'div class="promo"'), words(2, 20) + pick(".", ""), 0)
         if r.random() < 0.2:
             wrap(pick("aside", 'div class="sidebar"'), aside)
-        wrap(pick("article", "article", "article", "main", 'div class="content"', 'div class="article-body"', 'div id="main"', 'div class="post"'), article)
+        own = pick("article", "article", "article", "main", 'div class="content"', 'div class="article-body"', 'div id="main"', 'div class="post"')
+        wrap(own, lambda own=own: article(own))
         if r.random() < 0.35:
             wrap(pick("aside", 'div class="sidebar"', 'div class="related"', 'div id="sidebar"'), aside)
         if r.random() < 0.3:
