@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from winnowry.llm import bpe, chat, fingerprint, line_dedup, media, mixing, near_dedup, quality, queries, toxicity
+from winnowry.llm import bpe, chat, fingerprint, line_dedup, media, mixing, near_dedup, packed, quality, queries, toxicity
 from winnowry.llm.queries import vocabulary
 from winnowry.llm.scratch import Scratch
 
@@ -197,3 +197,34 @@ def test_documents_against_brute_force(spark):
     for k, (i, _) in enumerate(texts):
         top = texts[find(k)][0]
         assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) == (len(sets[k]), top, i == top)
+
+
+def test_forgotten_words_are_encoded_again(monkeypatch):
+    """Results are the library's whatever room the words have, in any order of texts."""
+    import tokenizers
+
+    monkeypatch.setattr(bpe, "_KEPT_BYTES", 2_000)
+    library = tokenizers.Tokenizer.from_file(vocabulary())
+    library.no_truncation()
+    library.no_padding()
+    texts = ["the cat's hat", "", "Ünïcode wörds, the cat", " ".join(f"w{i}x the" for i in range(300)), "<|endoftext|>the cat 12", "ã© é naïve THE Cat", "the cat's hat", "a\nb \tc"]
+    words = bpe.Words(vocabulary())
+    for _ in range(2):
+        for t, (ids, said) in zip(texts, words.encoded([bpe._PIECE.findall(t) for t in texts]), strict=True):
+            want = library.encode(t, add_special_tokens=False).ids
+            assert ids == " ".join(map(str, want)) and said == library.decode(want, skip_special_tokens=False)
+        assert words._size <= 2_000 and words._old
+
+
+def test_small_inputs_are_spread_and_others_are_not(spark, tmp_path, monkeypatch):
+    """One small file is dealt over the cores; enough files, enough bytes or rows from no file stay where they are."""
+    docs = spark.range(100).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/one")
+    docs.repartition(5).write.parquet(f"{tmp_path}/five")
+    one, five = spark.read.parquet(f"{tmp_path}/one"), spark.read.parquet(f"{tmp_path}/five")
+    assert packed.spread(five) is five and packed.spread(docs) is docs
+    dealt = packed.spread(one)
+    assert sorted(dealt.collect()) == sorted(one.collect())
+    assert {r[0] for r in dealt.select(F.spark_partition_id()).collect()} == set(range(spark.sparkContext.defaultParallelism))
+    monkeypatch.setattr(packed, "ROW_GROUP", 1)
+    assert packed.spread(one) is one

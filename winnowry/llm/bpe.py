@@ -169,6 +169,8 @@ class TrieBpe:
 
     def pieces(self, piece: str) -> list[str | int]:
         """The words of a text without blanks; special tokens as ids."""
+        if self._short and piece.isascii() and piece.isalpha():
+            return [piece.lower()]
         if self._short and _LATIN.fullmatch(piece) and "<|" not in piece:
             words = _WORD.findall(piece.lower())
             return words if piece.isascii() else [w.translate(self._bytes) for w in words]
@@ -180,49 +182,69 @@ class TrieBpe:
                 out += [w for w, _ in self._split.pre_tokenize_str(self._normal.normalize_str(part))]
         return out
 
-    def encode_pieces(self, pieces: Iterable[str]) -> dict[str, list[int]]:
-        cut = {p: self.pieces(p) for p in pieces}
-        words = self.encode_words(w for ws in cut.values() for w in ws if isinstance(w, str))
-        return {p: [t for w in ws for t in (words[w] if isinstance(w, str) else (w,))] for p, ws in cut.items()}
-
     def decode(self, ids: Iterable[int]) -> str:
         """Token texts joined by a space, as a tokenizer file without a decoder has them."""
         return " ".join(self.text[i] for i in ids)
 
 
-class Pieces:
-    """Encodings of pieces met before: decimal ids and token texts, each joined by one space; bounded in bytes."""
+class Words:
+    """Encodings of words met before, bounded in bytes: decimal ids and token texts, each joined by one space.
+
+    New words fill one half of the room; when it is full the other half, which holds what has not been met since, is forgotten.
+    """
 
     def __init__(self, path: str) -> None:
-        self.bpe, self._known, self._size = TrieBpe(path), {}, 0
+        self.bpe, self._new, self._old, self._size = TrieBpe(path), {}, {}, 0
+
+    def _keep(self, word: str, value: str) -> None:
+        self._new[word] = value
+        self._size += 220 + len(word) + len(value)
+        if self._size > _KEPT_BYTES // 2:
+            self._old, self._new, self._size = self._new, {}, 0
+
+    def values(self, words: set[str]) -> dict[str, str]:
+        """Ids and token texts of words, with a line feed between; words not met before are encoded in one walk."""
+        out, missing = {}, []
+        new, old = self._new, self._old
+        for w in words:
+            value = new.get(w)
+            if value is None:
+                value = old.get(w)
+                if value is None:
+                    missing.append(w)
+                    continue
+                self._keep(w, value)
+                new = self._new
+            out[w] = value
+        decode = self.bpe.decode
+        for w, ids in self.bpe.encode_words(missing).items():
+            value = out[w] = f"{' '.join(map(str, ids))}\n{decode(ids)}"
+            if len(w) <= _LONG:
+                self._keep(w, value)
+        return out
 
     def encoded(self, texts: list[list[str]]) -> Iterator[tuple[str, str]]:
         """For each text, given as its pieces, ids and token texts."""
-        if self._size > _KEPT_BYTES:
-            self._known.clear()
-            self._size = 0
-        known = self._known
-        new = {p for ps in texts for p in ps if p not in known}
-        once = {}
-        for p, ids in self.bpe.encode_pieces(new).items():
-            value = (" ".join(map(str, ids)), self.bpe.decode(ids))
-            if len(p) <= _LONG:
-                known[p] = value
-                self._size += 320 + len(p) + len(value[0]) + len(value[1])
-            else:
-                once[p] = value
+        bpe = self.bpe
+        cut = {p: bpe.pieces(p) for p in set().union(*texts)}
+        values = self.values({w for ws in cut.values() for w in ws if isinstance(w, str)})
+        pairs: dict[str, tuple[str, ...]] = {}
+        halves = {w: tuple(v.split("\n")) for w, v in values.items() if w}
+        for p, ws in cut.items():
+            of = [halves.get(w, ("", "")) if isinstance(w, str) else (str(w), bpe.text[w]) for w in ws]
+            pairs[p] = of[0] if len(of) == 1 else (" ".join(x[0] for x in of if x[0]), " ".join(x[1] for x in of if x[0]))
         for ps in texts:
-            pairs = [known.get(p) or once[p] for p in ps]
-            yield " ".join(x[0] for x in pairs if x[0]), " ".join(x[1] for x in pairs if x[0])
+            got = [x for x in map(pairs.__getitem__, ps) if x[0]]
+            yield " ".join([x[0] for x in got]), " ".join([x[1] for x in got])
 
 
-_loaded: dict[str, Pieces] = {}
+_loaded: dict[str, Words] = {}
 
 
 def encoded_texts(texts: list[str | None], path: str) -> Iterator[tuple[str, str]]:
     """For each text the decimal ids and the token texts, each joined by one space."""
     if path not in _loaded:
-        _loaded[path] = Pieces(path)
+        _loaded[path] = Words(path)
     yield from _loaded[path].encoded([_PIECE.findall(t or "") for t in texts])
 
 

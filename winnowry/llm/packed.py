@@ -15,6 +15,24 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+#: The default size of a row group, which is what one task reads at least.
+ROW_GROUP = 128 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a small input dealt over all cores; others as they are.
+
+    A table of fewer files than cores and less than a row group a core may be read by fewer tasks than there are cores, and
+    Python work is worth the shuffle of so little.  A larger one is read by all cores, and is never shuffled.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) >= cores * ROW_GROUP:
+        return rows
+    files = len(rows.inputFiles())
+    return rows.repartition(cores) if 0 < files < cores else rows
+
+
 def with_columns(
     rows: DataFrame, reads: str, adds: str, fill: Callable[[pa.Array], Iterator[tuple[int, list[pa.Array]]]]
 ) -> DataFrame:
@@ -40,6 +58,6 @@ def with_columns(
                 yield pa.RecordBatch.from_arrays([*same, *columns], names=schema.names)
                 at += n
 
-    out = src.mapInArrow(run, schema)
+    out = spread(src).mapInArrow(run, schema)
     of = {c: F.col(f"row.c{i}") for i, c in enumerate(others)} | {reads: F.col("value")}
     return out.select(*[of[c].alias(c) for c in keep], *[F.col(f"a{i}").alias(n) for i, n in enumerate(new.names)])

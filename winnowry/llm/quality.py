@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as W
+from .packed import spread
 
 BITS = 20
 SAMPLE = 12_000
@@ -144,7 +145,7 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, threshold: float =
                 p = 1 / (1 + np.exp(-np.clip(logit, -35, 35)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(p)], names=["doc_id", "score"])
 
-    out = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    out = spread(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, score double")
     return out.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted")
     )
