@@ -22,9 +22,9 @@ from . import wordhash as W
 from .packed import with_columns
 
 _PIECE = re.compile(r"[^ \t\n\r\x0b\x0c]+")
-_KEPT_BYTES = 32 << 20
+_KEPT_BYTES = 128 << 20
 _KEPT_PAIRS = 200_000
-_STEP = 1 << 19
+_STEP = 1 << 20
 # Printable ASCII and Latin letters: composed already, and lower case has the same letters everywhere.
 _LATIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
