@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from winnowry.operators import nearest, similarity
+from winnowry.operators import audits, nearest, similarity
 
 
 def rows(df, *cols):
@@ -69,3 +69,12 @@ def test_vector_groups_need_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(similarity, "near_pairs", None)
     assert rows(similarity.vector_groups(items, "i", "v", 0.9), "i", "leader") == want
     assert similarity.vector_groups(items.where("false"), "i", "v", 0.9).count() == 0
+
+
+def test_accounting_joins_nothing(spark):
+    """Repeated matches, verdicts in both orders, nulls and equal items."""
+    asked = spark.createDataFrame([(1, 2), (1, 2), (2, 1), (3, 4), (None, 5), (5, None), (6, 6)], "a long, b long")
+    paid = spark.createDataFrame([(2, 1), (1, 2), (9, 9), (None, 5), (6, 6), (5, 5)], "a long, b long")
+    out = audits.accounting(asked, paid)
+    assert tuple(out.first()) == (4, 3, 2)
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString() and tuple(audits.accounting(asked.where("false"), paid).first()) == (0, 0, 6)

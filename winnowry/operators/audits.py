@@ -188,8 +188,13 @@ def accounting(asked: DataFrame, verdicts: DataFrame | None) -> DataFrame:
     """
     if verdicts is None:
         return asked.agg(*[F.max(F.lit(None).cast("long")).alias(c) for c in ("used", "missing", "unused")])
-    said = verdicts.select("a", "b").unionByName(verdicts.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().withColumn("said", F.lit(1))
-    counts = asked.join(said, ["a", "b"], "left").agg(F.count("said").alias("used"), F.count_if(F.col("said").isNull()).alias("missing"))
+    # one aggregate by unordered pair: no join, and verdicts are not doubled; a pair with a null is asked and never answered
+    both = F.col("a").isNotNull() & F.col("b").isNotNull()
+    pair = [F.when(both, F.least("a", "b")).alias("x"), F.when(both, F.greatest("a", "b")).alias("y")]
+    rows = asked.select(*pair, F.lit(1).alias("asked"), F.lit(0).alias("said")).unionByName(verdicts.select(*pair, F.lit(0).alias("asked"), both.cast("int").alias("said")))
+    each = rows.groupBy("x", "y").agg(F.sum("asked").alias("asked"), F.max("said").alias("said"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    counts = each.agg(zero(F.sum(F.when(F.col("said") == 1, F.col("asked")))).alias("used"), zero(F.sum(F.when(F.col("said") == 0, F.col("asked")))).alias("missing"))
     return counts.crossJoin(F.broadcast(verdicts.agg(F.count("*").alias("n")))).select("used", "missing", (F.col("n") - F.col("used")).alias("unused"))
 
 
