@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from winnowry.operators import audits, nearest, similarity
+from winnowry.operators import audits, nearest, similarity, tournament
 
 
 def rows(df, *cols):
@@ -71,6 +71,21 @@ def test_vector_groups_need_no_pairs(spark, monkeypatch):
     assert similarity.vector_groups(items.where("false"), "i", "v", 0.9).count() == 0
 
 
+def test_verdicts_are_read_in_both_orders_without_doubling(spark):
+    """Rows of one pair in both orders, several of one order, nulls: as ``both_ways`` reads them."""
+    r = random.Random(9)
+    data = [(a, b, r.choice(["a", "b", "tie", "neither", "inconsistent"])) for a in range(6) for b in range(6) for _ in range(r.randrange(3))] + [(None, 1, "a"), (2, None, "b")]
+    v = spark.createDataFrame(data, "a long, b long, winner string")
+    want = {(x["a"], x["b"]): x["winner"] for x in tournament.both_ways(v).where("a IS NOT NULL AND b IS NOT NULL").collect()}
+    got = {}
+    for x in tournament._one_way(v).groupBy("x", "y").agg(*tournament._read_both()).collect():
+        got[x["y"], x["x"]] = x["yx"]
+        got[x["x"], x["y"]] = x["xy"]
+    assert got == want
+    plan = tournament.tournaments(spark.createDataFrame([(1, 1, 1.0), (1, 2, 2.0)], "g long, i long, s double"), "g", "i", "s", v)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Union") == 0
+
+
 def test_accounting_joins_nothing(spark):
     """Repeated matches, verdicts in both orders, nulls and equal items."""
     asked = spark.createDataFrame([(1, 2), (1, 2), (2, 1), (3, 4), (None, 5), (5, None), (6, 6)], "a long, b long")
