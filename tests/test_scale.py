@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from winnowry.operators import audits, nearest, similarity, tournament
+from winnowry.operators import audits, nearest, similarity, taste, tournament
 
 
 def rows(df, *cols):
@@ -93,3 +93,12 @@ def test_accounting_joins_nothing(spark):
     out = audits.accounting(asked, paid)
     assert tuple(out.first()) == (4, 3, 2)
     assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString() and tuple(audits.accounting(asked.where("false"), paid).first()) == (0, 0, 6)
+
+
+def test_held_out_scores_are_sorted_once(spark):
+    """Sorted columns serve many batches; ties count half."""
+    r = np.random.default_rng(3)
+    scores, mask, other = r.integers(0, 9, (40, 3)).astype(float), r.random((40, 3)) < 0.6, r.integers(0, 9, (70, 3)).astype(float)
+    held = taste._held(scores, mask)
+    want = [sum((h > o) + (h == o) / 2 for h in scores[mask[:, k], k] for o in other[:, k]) for k in range(3)]
+    assert np.allclose(taste._wins(held, other[:30]) + taste._wins(held, other[30:]), want)
