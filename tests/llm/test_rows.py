@@ -216,6 +216,18 @@ def test_forgotten_words_are_encoded_again(monkeypatch):
         assert words._size <= 2_000 and words._old
 
 
+def test_pieces_met_before_are_not_cut_again(monkeypatch):
+    """A piece is cut into words once as long as it is remembered; long pieces are not."""
+    words = bpe.Words(vocabulary())
+    cut, plain = [], bpe.TrieBpe.pieces
+    monkeypatch.setattr(bpe.TrieBpe, "pieces", lambda self, piece: cut.append(piece) or plain(self, piece))
+    texts = [bpe._PIECE.findall(t) for t in ("the cat's hat, Déjà-vu! \u6f22\u5b57 \u00a0", "The cat's <|endoftext|> " + "x" * 90)]
+    first = list(words.encoded(texts))
+    assert sorted(cut) == sorted(set().union(*texts))
+    cut.clear()
+    assert list(words.encoded(texts)) == first and set(cut) <= {"\u00a0", "x" * 90}
+
+
 def test_small_inputs_are_spread_and_others_are_not(spark, tmp_path, monkeypatch):
     """One small file is dealt over the cores; enough files, enough bytes or rows from no file stay where they are."""
     docs = spark.range(100).selectExpr("id AS doc_id", "concat('text ', id) AS text")

@@ -72,7 +72,7 @@ class TrieBpe:
         steps = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         # the short way below holds for this cut and this normalisation only
         self._short = steps == ["NFC", "Replace", "Lowercase"] and split in json.dumps(spec.get("pre_tokenizer"))
-        self._bytes = str.maketrans({chr(c): "".join(_byte_char(b) for b in chr(c).encode()) for c in range(0xC0, 0x100)})
+        self.bytes = str.maketrans({chr(c): "".join(_byte_char(b) for b in chr(c).encode()) for c in range(0xC0, 0x100)})
         self._follows: dict[tuple[int, int], bool] = {}
         self._symbols: dict[int, list[int]] = {}
         self._whole: dict[int, bool] = {}
@@ -168,18 +168,15 @@ class TrieBpe:
         return out
 
     def pieces(self, piece: str) -> list[str | int]:
-        """The words of a text without blanks; special tokens as ids."""
-        if self._short and piece.isascii() and piece.isalpha():
-            return [piece.lower()]
+        """The words of a text without blanks: lower-case words of the short way, others in the byte alphabet after a line feed; special tokens as ids."""
         if self._short and _LATIN.fullmatch(piece) and "<|" not in piece:
-            words = _WORD.findall(piece.lower())
-            return words if piece.isascii() else [w.translate(self._bytes) for w in words]
+            return [piece.lower()] if piece.isalpha() else _WORD.findall(piece.lower())
         out: list[str | int] = []
         for part in self._special.split(piece) if self._special and "<|" in piece else [piece]:
             if part in self.special:
                 out.append(self.special[part])
             elif part:
-                out += [w for w, _ in self._split.pre_tokenize_str(self._normal.normalize_str(part))]
+                out += ["\n" + w for w, _ in self._split.pre_tokenize_str(self._normal.normalize_str(part)) if w]
         return out
 
     def decode(self, ids: Iterable[int]) -> str:
@@ -188,54 +185,75 @@ class TrieBpe:
 
 
 class Words:
-    """Encodings of words met before, bounded in bytes: decimal ids and token texts, each joined by one space.
+    """Encodings of pieces and words met before, bounded in bytes: decimal ids and token texts, each joined by one space, with a line feed between.
 
-    New words fill one half of the room; when it is full the other half, which holds what has not been met since, is forgotten.
+    A word of the short way is a piece that has itself as its only word, so both share the table; a word of the library's
+    splitter has a line feed before it.  New entries fill one half of the room; when it is full the other half, which
+    holds what has not been met since, is forgotten.
     """
 
     def __init__(self, path: str) -> None:
         self.bpe, self._new, self._old, self._size = TrieBpe(path), {}, {}, 0
-
-    def _keep(self, word: str, value: str) -> None:
-        self._new[word] = value
-        self._size += 220 + len(word) + len(value)
+        self._long: set[str] = set()
+
+    def _keep(self, key: str, value: str) -> None:
+        self._new[key] = value
+        self._size += 220 + len(key) + len(value)
+        if len(key) > _LONG:
+            self._long.add(key)
+
+    def _missing(self, keys: set[str]) -> set[str]:
+        """Those of ``keys`` that have no entry; entries of the older half move to the newer one."""
+        rest, old = keys - self._new.keys(), self._old
+        moved = rest & old.keys()
+        for k in moved:
+            self._keep(k, old.pop(k))
+        return rest - moved
+
+    def _forget(self) -> None:
+        """After a slice: long entries go, and the older half if the newer one is full."""
+        for k in self._long:
+            self._size -= 220 + len(k) + len(self._new.pop(k))
+        self._long.clear()
         if self._size > _KEPT_BYTES // 2:
             self._old, self._new, self._size = self._new, {}, 0
 
-    def values(self, words: set[str]) -> dict[str, str]:
-        """Ids and token texts of words, with a line feed between; words not met before are encoded in one walk."""
-        out, missing = {}, []
-        new, old = self._new, self._old
-        for w in words:
-            value = new.get(w)
-            if value is None:
-                value = old.get(w)
-                if value is None:
-                    missing.append(w)
-                    continue
-                self._keep(w, value)
-                new = self._new
-            out[w] = value
-        decode = self.bpe.decode
-        for w, ids in self.bpe.encode_words(missing).items():
-            value = out[w] = f"{' '.join(map(str, ids))}\n{decode(ids)}"
-            if len(w) <= _LONG:
-                self._keep(w, value)
-        return out
+    def _learn(self, pieces: set[str]) -> None:
+        """Entries of pieces not met before; their new words are encoded in one walk."""
+        bpe, keep = self.bpe, self._keep
+        cut = {p: bpe.pieces(p) for p in pieces}
+        new = self._missing({w for ws in cut.values() for w in ws if isinstance(w, str)})
+        spelt = {w: w[1:] if w[0] == "\n" else w if w.isascii() else w.translate(bpe.bytes) for w in new}
+        encoded, text = bpe.encode_words(spelt.values()), bpe.text
+        for w, letters in spelt.items():
+            ids = encoded[letters]
+            keep(w, f"{ids[0]}\n{text[ids[0]]}" if len(ids) == 1 else f"{' '.join(map(str, ids))}\n{' '.join([text[i] for i in ids])}")
+        known = self._new
+        for p, ws in cut.items():
+            if p not in known:
+                of = [(known[w] if isinstance(w, str) else f"{w}\n{text[w]}") for w in ws]
+                if len(of) == 1:
+                    keep(p, of[0])
+                else:
+                    halves = "\n".join(of).split("\n")
+                    keep(p, f"{' '.join(halves[::2])}\n{' '.join(halves[1::2])}")
 
     def encoded(self, texts: list[list[str]]) -> Iterator[tuple[str, str]]:
         """For each text, given as its pieces, ids and token texts."""
-        bpe = self.bpe
-        cut = {p: bpe.pieces(p) for p in set().union(*texts)}
-        values = self.values({w for ws in cut.values() for w in ws if isinstance(w, str)})
-        pairs: dict[str, tuple[str, ...]] = {}
-        halves = {w: tuple(v.split("\n")) for w, v in values.items() if w}
-        for p, ws in cut.items():
-            of = [halves.get(w, ("", "")) if isinstance(w, str) else (str(w), bpe.text[w]) for w in ws]
-            pairs[p] = of[0] if len(of) == 1 else (" ".join(x[0] for x in of if x[0]), " ".join(x[1] for x in of if x[0]))
+        pieces = set().union(*texts)
+        missing = self._missing(pieces)
+        if missing:
+            self._learn(missing)
+        known = self._new
+        none = {p for p in missing if known[p] == "\n"}  # white space that ASCII does not have, never kept
         for ps in texts:
-            got = [x for x in map(pairs.__getitem__, ps) if x[0]]
-            yield " ".join([x[0] for x in got]), " ".join([x[1] for x in got])
+            if none:
+                ps = [p for p in ps if p not in none]
+            halves = "\n".join(map(known.__getitem__, ps)).split("\n")
+            yield " ".join(halves[::2]), " ".join(halves[1::2])
+        for p in none:
+            self._long.add(p)
+        self._forget()
 
 
 _loaded: dict[str, Words] = {}
