@@ -240,3 +240,27 @@ def test_small_inputs_are_spread_and_others_are_not(spark, tmp_path, monkeypatch
     assert {r[0] for r in dealt.select(F.spark_partition_id()).collect()} == set(range(spark.sparkContext.defaultParallelism))
     monkeypatch.setattr(packed, "ROW_GROUP", 1)
     assert packed.spread(one) is one
+
+
+def test_a_fit_gives_its_memory_back(tmp_path):
+    """After the fit of many words the process holds little more than before; the most is a few copies of the word sets."""
+    import subprocess
+    import sys
+
+    code = """
+import re
+import numpy as np
+import pyarrow as pa
+from winnowry.llm import packed, toxicity
+held = lambda: sum(map(int, re.findall(r"\\nAnonymous:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) >> 10
+r = np.random.default_rng(1)
+rows = lambda: pa.table({"id": range(6000), "y": [int(i % 9 == 0) for i in range(6000)], "set": [np.unique(r.integers(0, 90_000, 400)) for _ in range(6000)]})
+toxicity._trained(rows().slice(0, 50))
+packed.give_back()
+before = held()
+toxicity._trained(rows())
+packed.give_back()
+print(held() - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=300)
+    assert int(out.stdout) < 40

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,6 +17,15 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def give_back() -> None:
+    """Returns memory that the driver's Python no longer uses, as after a fit; an allocator may keep it, and the steps that follow need it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # glibc only
+        trim(0)
+
+
 #: The default size of a row group, which is what one task reads at least.
 ROW_GROUP = 128 << 20
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import wordhash as W
-from .packed import with_columns
+from .packed import give_back, with_columns
 from .quality import held_out, labelled
 
 SAMPLE = 12_000
@@ -73,20 +73,22 @@ def train(sets: list[np.ndarray], ys: np.ndarray, l1: float = 8e-4, swap: float
         return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0)
     ident = np.unique(word_hashes(list(IDENTITY)))
     neutral = [np.unique(word_hashes(t.format(w).split())) for t in NEUTRAL for w in IDENTITY]
-    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    vocab, count = np.unique(flat, return_counts=True)
-    vocab = np.union1d(vocab[count >= least], ident)
     rows = [*sets, *neutral]
+    lens = np.array([len(r) for r in rows])
+    flat = np.concatenate(rows)
+    vocab, count = np.unique(flat[: lens[: len(sets)].sum()], return_counts=True)
+    vocab = np.union1d(vocab[count >= least], ident)
+    del sets, count
     y = np.concatenate([ys, np.zeros(len(neutral))])
     share = np.concatenate([np.full(len(ys), 1 / len(ys)), np.full(len(neutral), 0.1 / len(neutral))])
     # both classes count alike up to a factor of three, as positives are rare
     share[: len(ys)] *= np.where(ys == 1, min(3.0, (ys == 0).sum() / max(1, (ys == 1).sum())), 1.0)
-    lens = np.array([len(r) for r in rows])
-    doc = np.repeat(np.arange(len(rows)), lens)
-    flat = np.concatenate(rows)
-    k = np.searchsorted(vocab, flat).clip(0, len(vocab) - 1)
+    k = np.searchsorted(vocab, flat)
+    np.minimum(k, len(vocab) - 1, out=k)
     ok = vocab[k] == flat
-    doc, k = doc[ok], k[ok]
+    del flat
+    k = k[ok]
+    doc = np.repeat(np.arange(len(rows)), lens)[ok]
     group = np.flatnonzero(np.isin(vocab, ident))
     in_group = np.isin(k, group)
     # a swap replaces one term of a sentence by each other term: the mean change over all terms is w - mean(w)
@@ -116,6 +118,14 @@ def train(sets: list[np.ndarray], ys: np.ndarray, l1: float = 8e-4, swap: float
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Model:
     """The model of at most ``sample`` labelled documents outside the held-out fifth; reruns agree."""
     rows = labelled(docs, labels, label, sample).mapInArrow(_sets, "id long, y int, set array<long>").toArrow().sort_by([("id", "ascending")])
+    model = _trained(rows)
+    del rows
+    give_back()
+    return model
+
+
+def _trained(rows: pa.Table) -> Model:
+    """The model of rows (id, y, set) in order."""
     sets = [np.asarray(x.values).view(np.uint64) for x in rows.column("set")]
     return train(sets, np.array(rows.column("y").to_pylist(), float))
 
