@@ -117,7 +117,10 @@ def _signed(hashes: DataFrame) -> DataFrame:
 
 
 def signatures(lines: DataFrame, store: Scratch, shingle: int) -> DataFrame:
-    """Rows (id, keys, q0, q1) of every distinct line: keys of its bands and the low bytes of its values."""
+    """Rows (id, keys, q0, q1) of every distinct line: keys of its bands and the low bytes of its values.
+
+    ``_scratch_parts`` are the stored tables that the rows are read from.
+    """
     all_ = _hashes(lines, shingle)
     small = (F.col("last") < _ENOUGH) | (F.shiftrightunsigned("h", 48).bitwiseAND(F.lit(4095)) * F.col("last") < _ENOUGH * 4096)
     # the first shingle of every line stays as a row, so that a line that keeps no hash is known
@@ -131,12 +134,14 @@ def signatures(lines: DataFrame, store: Scratch, shingle: int) -> DataFrame:
     again = lines.join(some.where(bare).select("id").hint("shuffle_hash"), "id", "left_semi")
     m = [F.col(f"m{j}") for j in range(_MINS)]
     low = [F.shiftleft(x.bitwiseAND(F.lit(255)), 8 * (j % 8)) for j, x in enumerate(m)]
-    signed = some.where(~bare).unionByName(store.keep(_signed(_hashes(again, shingle)), "again"))
-    return signed.select(
+    rest = store.keep(_signed(_hashes(again, shingle)), "again")
+    signed = some.where(~bare).unionByName(rest).select(
         "id",
         F.array(*[F.xxhash64(F.lit(b), *[m[j] for j in js]) for b, js in enumerate(BANDS)]).alias("keys"),
         *[sum(low[c + 1 : c + 8], low[c]).alias(f"q{c // 8}") for c in range(0, _MINS, 8)],
     )
+    signed._scratch_parts = (some, rest)
+    return signed
 
 
 def bit_sets(lines: DataFrame, shingle: int) -> DataFrame:
@@ -168,14 +173,20 @@ def line_components(
     shingle: int = SHINGLE,
     percent: int = PERCENT,
 ) -> tuple[DataFrame, DataFrame]:
-    """Components and distinct lines: (id, comp) of every line with a link to another, and ``distinct_lines``."""
+    """Components and distinct lines: (id, comp) of every line with a link to another, and ``distinct_lines`` without the texts."""
     lines = distinct_lines(docs, store, id_col, text_col)
     store.release()
     signed = signatures(lines, store, shingle)
     shared = shared_members(signed.select(F.explode("keys").alias("key"), "id"), store)
+    # from here on only lines of shared buckets need their text and values
+    held = store.keep_by(shared.select("id").distinct(), "id", "held")
     store.release()
-    texts = store.keep_by(lines.join(shared.select("id").distinct().hint("shuffle_hash"), "id", "left_semi").select("id", "line"), "id", "texts")
+    facts = store.keep_by(signed.drop("keys").join(held.hint("shuffle_hash"), "id", "left_semi"), "id", "facts")
+    texts = store.keep_by(lines.join(held.hint("shuffle_hash"), "id", "left_semi").select("id", "line"), "id", "texts")
+    known = store.keep_by(lines.drop("line"), "id", "known")
+    store.drop(lines, *signed._scratch_parts, held)
     bits = store.keep_by(bit_sets(texts, shingle), "id", "bits")
+    store.release()
 
     close_ = few_bits_apart(_WORDS, percent, _DEVIATIONS)
 
@@ -194,9 +205,9 @@ def line_components(
         )
         return sets.where(F.col("inter") * 100 >= (F.col("total") - F.col("inter")) * percent)
 
-    labels, _ = link(shared, verify, store, facts=signed.drop("keys"), likely=_likely(percent), more=bits, sharp=close_)
-    store.drop(shared, texts, bits)
-    return labels, lines
+    labels, _ = link(shared, verify, store, facts=facts, likely=_likely(percent), more=bits, sharp=close_)
+    store.drop(shared, facts, texts, bits)
+    return labels, known
 
 
 def dedup_lines(

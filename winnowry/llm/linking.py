@@ -104,10 +104,14 @@ def few_bits_apart(words: int, percent: int, deviations: float) -> Condition:
 def shared_members(members: DataFrame, store: Scratch) -> DataFrame:
     """Rows (key, id, size) of the buckets that two ids or more have in common; ``members`` has each (key, id) once.
 
-    Sizes are summed before the shuffle, so a bucket with a large share of all rows is no load for one task.
+    Sizes are summed before the shuffle, so a bucket with a large share of all rows is no load for one task.  Sizes are stored, so
+    their shuffle is gone before the members are dealt.
     """
-    size = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    return store.keep(members.join(size, "key"), "shared")
+    size = store.keep(members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    store.release()
+    shared = store.keep(members.join(size, "key"), "shared")
+    store.drop(size)
+    return shared
 
 
 def link(
