@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
 
 import duckdb
 import numpy as np
@@ -462,3 +464,19 @@ def test_pipeline(spark):
     assert abs(words(out[4]) - 1.5 * words(out[3])) < 0.2 * words(out[3]) and out[5].count() == out[4].count()
 
 
+
+
+def test_a_worker_gives_back_what_loading_took():
+    """Executors have little room beside a grown heap: after the first texts a worker holds the tables, not the parsed file."""
+    code = """
+import re
+import numpy, pyarrow, tokenizers
+from winnowry.llm import bpe
+from winnowry.llm.queries import vocabulary
+own = lambda: int(re.search(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()).group(1)) / 1024
+before = own()
+list(bpe.encoded_texts(["some words"], vocabulary()))
+print(own() - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=120)
+    assert float(out.stdout) < 55

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import wordhash as W
-from .packed import with_columns
+from .packed import give_back, trim, with_columns
 
 _PIECE = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 _KEPT_BYTES = 128 << 20
@@ -263,6 +263,7 @@ def encoded_texts(texts: list[str | None], path: str) -> Iterator[tuple[str, str
     """For each text the decimal ids and the token texts, each joined by one space."""
     if path not in _loaded:
         _loaded[path] = Words(path)
+        give_back()  # the parsed file, and what an earlier step left in this worker
     yield from _loaded[path].encoded([_PIECE.findall(t or "") for t in texts])
 
 
@@ -296,5 +297,7 @@ def encode(
                 ends = np.cumsum([0, *map(len, flat)]).astype(np.int32)
                 out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat))))
             yield j - i, out + [pa.array(texts, pa.string())] * decoded
+            del n, one, two, flat, texts, out
+            trim()
 
     return with_columns(docs, text_col, adds, fill)

@@ -20,10 +20,15 @@ def column(name: str) -> Column:
 def give_back() -> None:
     """Returns memory that the driver's Python no longer uses, as after a fit; an allocator may keep it, and the steps that follow need it."""
     gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Free memory goes from the allocators back to the system; a worker's peak is then that of one slice, not of all before."""
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:  # glibc only
-        trim(0)
+    malloc_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if malloc_trim is not None:  # glibc only
+        malloc_trim(0)
 
 
 #: The default size of a row group, which is what one task reads at least.
