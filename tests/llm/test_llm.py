@@ -164,6 +164,16 @@ def test_signatures_do_not_depend_on_the_order_of_work(spark, monkeypatch):
     assert keys() == some and len(some) == len(lines)
 
 
+def test_signatures_are_stored_as_they_are_read(spark):
+    """Keys are made once: the stored tables hold them in place of the sixteen values, which no later step reads."""
+    df = spark.createDataFrame([(1, "a line that two documents hold, more or less\n" + "xy" * 200)], "doc_id long, text string")
+    store = Scratch(spark, "t")
+    signed = line_dedup.signatures(line_dedup.distinct_lines(df, store, "doc_id", "text"), store, 8)
+    some, rest = signed._scratch_parts
+    assert some.columns == ["id", "bare", "keys", "q0", "q1"] and rest.columns == signed.columns == ["id", "keys", "q0", "q1"]
+    assert [len(x["keys"]) for x in signed.collect()] == [len(line_dedup.BANDS)] * 2 and some.where("bare").count() == 1
+
+
 def test_line_recall_at_the_threshold(spark):
     """Isolated pairs whose similarity is 0.80 to 0.82: nothing else leads to them."""
     r = random.Random(8)

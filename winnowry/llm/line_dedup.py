@@ -116,6 +116,18 @@ def _signed(hashes: DataFrame) -> DataFrame:
     return hashes.groupBy("id").agg(F.max("last").alias("last"), *mins)
 
 
+def _keyed(signed: DataFrame, *more: Column) -> DataFrame:
+    """Rows (id, keys, q0, q1): what later steps read of the values, so that each reads only its part and none makes the keys again."""
+    m = [F.col(f"m{j}") for j in range(_MINS)]
+    low = [F.shiftleft(x.bitwiseAND(F.lit(255)), 8 * (j % 8)) for j, x in enumerate(m)]
+    return signed.select(
+        "id",
+        *more,
+        F.array(*[F.xxhash64(F.lit(b), *[m[j] for j in js]) for b, js in enumerate(BANDS)]).alias("keys"),
+        *[sum(low[c + 1 : c + 8], low[c]).alias(f"q{c // 8}") for c in range(0, _MINS, 8)],
+    )
+
+
 def signatures(lines: DataFrame, store: Scratch, shingle: int) -> DataFrame:
     """Rows (id, keys, q0, q1) of every distinct line: keys of its bands and the low bytes of its values.
 
@@ -125,21 +137,15 @@ def signatures(lines: DataFrame, store: Scratch, shingle: int) -> DataFrame:
     small = (F.col("last") < _ENOUGH) | (F.shiftrightunsigned("h", 48).bitwiseAND(F.lit(4095)) * F.col("last") < _ENOUGH * 4096)
     # the first shingle of every line stays as a row, so that a line that keeps no hash is known
     some = all_.where(small | (F.col("i") == 0)).withColumn("h", F.when(small, F.col("h")))
-    some = store.keep_by(_signed(some), "id", "signatures")
     # values are signed: the smallest of their own part begin with the bits 1000, others come from another part
     bare = F.lit(False)
     for j in range(_MINS):
         bare |= F.shiftrightunsigned(F.coalesce(f"m{j}", F.lit(0)), 60) != 8
     bare &= F.col("last") >= _ENOUGH
-    again = lines.join(some.where(bare).select("id").hint("shuffle_hash"), "id", "left_semi")
-    m = [F.col(f"m{j}") for j in range(_MINS)]
-    low = [F.shiftleft(x.bitwiseAND(F.lit(255)), 8 * (j % 8)) for j, x in enumerate(m)]
-    rest = store.keep(_signed(_hashes(again, shingle)), "again")
-    signed = some.where(~bare).unionByName(rest).select(
-        "id",
-        F.array(*[F.xxhash64(F.lit(b), *[m[j] for j in js]) for b, js in enumerate(BANDS)]).alias("keys"),
-        *[sum(low[c + 1 : c + 8], low[c]).alias(f"q{c // 8}") for c in range(0, _MINS, 8)],
-    )
+    some = store.keep_by(_keyed(_signed(some), bare.alias("bare")), "id", "signatures")
+    again = lines.join(some.where("bare").select("id").hint("shuffle_hash"), "id", "left_semi")
+    rest = store.keep(_keyed(_signed(_hashes(again, shingle))), "again")
+    signed = some.where("NOT bare").drop("bare").unionByName(rest)
     signed._scratch_parts = (some, rest)
     return signed
 

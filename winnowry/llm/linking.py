@@ -109,7 +109,8 @@ def shared_members(members: DataFrame, store: Scratch) -> DataFrame:
     """
     size = store.keep(members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     store.release()
-    shared = store.keep(members.join(size, "key"), "shared")
+    # keys of one member are most, so the sizes make small tables and the members need no sort
+    shared = store.keep(members.join(size.hint("shuffle_hash"), "key"), "shared")
     store.drop(size)
     return shared
 
