@@ -213,6 +213,17 @@ def test_anagrams_do_not_meet_in_masses(spark):
     assert keyed.select("key").distinct().count() == 1 and variants.near_words(keyed).count() == 0
 
 
+def test_exploded_words_are_not_broadcast(spark):
+    """A stored table of words is small, but its rows of a letter each are not; Spark sizes them by the file."""
+    words = spark.createDataFrame([("abcdef", 9), ("abcdeg", 50), ("abcde", 60)], "word string, n long")
+    near = variants.near_words(Scratch(spark, "t").keep(variants.with_keys(words)))
+    whole = variants.group_variants(words, Scratch(spark, "t"))
+    assert near.count() == 6 and whole.where("root = 'abcde'").count() == 2
+    for out in (near, whole):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_roots_of_long_chains(spark):
     forms = spark.createDataFrame([(f"w{i}", f"w{i + 1}") for i in range(21)] + [("a", "b")], "word string, form string")
     got = dict(map(tuple, variants.roots(forms, Scratch(spark, "t")).collect()))

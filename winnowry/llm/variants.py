@@ -67,6 +67,9 @@ def near_words(keyed: DataFrame) -> DataFrame:
     """Rows (word, near, near_n) for every two words one letter apart, both ways; ``keyed`` has word, n, size, letters, key.
 
     A side is 0 where the beginnings have to be equal, 1 where the ends have.
+
+    The joins are told to sort: Spark sizes a table before its rows are exploded, a row a letter here, so it would send
+    rows of many times its limit to the driver.
     """
     size = F.col("size")
     left = lambda n: F.substring("word", F.lit(1), n)
@@ -87,7 +90,7 @@ def near_words(keyed: DataFrame) -> DataFrame:
     shorter = rows([(left(m), F.array("key")), (right(size - m), F.array("key"))], size)
 
     on = ["key", "size", "side", "half"]
-    other = lambda t: t.select(*on, F.col("word").alias("near"), F.col("n").alias("near_n"))
+    other = lambda t: t.select(*on, F.col("word").alias("near"), F.col("n").alias("near_n")).hint("merge")
     one_apart = F.levenshtein("word", "near", 1) == 1
     exchanged = lost.join(other(lost), on).where((F.col("word") != F.col("near")) & one_apart).select("word", "near", "near_n")
     # a letter added in the middle leaves both halves equal; such a pair is taken from the first side
@@ -101,11 +104,12 @@ def near_words(keyed: DataFrame) -> DataFrame:
 def roots(forms: DataFrame, store: Scratch) -> DataFrame:
     """Rows (word, root): the last of word, form, the form's form and so on; ``forms`` has rows (word, form) without circles.
 
-    Each round doubles the steps that are taken at once.
+    Each round doubles the steps that are taken at once.  Words compress well, so the size of a stored table says too
+    little about what a broadcast of it would need.
     """
     cur = store.keep(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
-        ahead = cur.select(F.col("word").alias("root"), F.col("root").alias("next"))
+        ahead = cur.select(F.col("word").alias("root"), F.col("root").alias("next")).hint("merge")
         if is_empty(cur.join(ahead, "root", "left_semi")):
             return cur
         step = cur.join(ahead, "root", "left").select("word", F.coalesce("next", "root").alias("root"))
@@ -130,7 +134,7 @@ def group_variants(words: DataFrame, store: Scratch, least_count: int = 5, ratio
     )
     out = store.keep(out, "forms")
     ends = roots(out.where("form IS NOT NULL"), store)
-    return out.join(ends, "word", "left").withColumn("root", F.coalesce("root", "word"))
+    return out.join(ends.hint("merge"), "word", "left").withColumn("root", F.coalesce("root", "word"))
 
 
 def spelling_variants(
