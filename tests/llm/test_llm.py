@@ -192,6 +192,58 @@ def test_line_recall_at_the_threshold(spark):
     assert comps.join(known, "id").select("first_doc").distinct().count() >= 0.99 * len(pairs)
 
 
+def test_wide_buckets_are_dealt_and_compared_whole(spark, monkeypatch):
+    """Every pivot meets every member of its bucket in another component, also over slices, in as many tasks as asked for."""
+    monkeypatch.setattr(linking, "SLICE", 5)
+    r = random.Random(3)
+    buckets = [[(key, 100 * key + i, r.randrange(4), i % 3, size, r.randrange(6) if i % 3 else None) for i in range(size)] for key, size in enumerate((1, 5, 6, 40))]
+    rows = [x for b in buckets for x in b]
+    df = spark.createDataFrame(rows, "key long, id long, score long, comp long, of long, pick long")
+    pivots = {}
+    for x in sorted(x for x in rows if x[5] is not None):
+        best = pivots.get((x[0], x[5]))
+        pivots[x[0], x[5]] = x if best is None or (x[2], -x[1]) > (best[2], -best[1]) else best
+    want = {(min(x[1], p[1]), max(x[1], p[1])) for (key, _), p in pivots.items() for x in buckets[key] if x[3] != p[3]}
+    out = linking._met_wide(df, [], F.lit(True), 7)
+    assert {tuple(x) for x in out.collect()} == want and len(want) > 50
+    assert out.rdd.getNumPartitions() == 7
+
+
+def test_condition_of_wide_buckets_is_small_code(spark):
+    """Methods of more than 8,000 bytes are not compiled by the JVM; packed words give the same answers."""
+    r = random.Random(4)
+    n, names = 32, [f"w{i}" for i in range(32)]
+    rows = []
+    for i in range(60):
+        w = [r.getrandbits(63) for _ in range(n)] if not i % 6 else [x ^ (r.getrandbits(6) if r.random() < 0.1 * (i % 6) else 0) for x in rows[-1][-n:]]
+        rows.append((i % 3, i, r.randrange(900, 1000), sum(bin(x).count("1") for x in w), r.getrandbits(60), r.getrandbits(60), [i, i % 7], *w))
+    df = spark.createDataFrame(rows, "key long, id long, n long, ones long, q0 long, q1 long, keys array<long>, " + ", ".join(f"{x} long" for x in names))
+    of = lambda c: c(F.col, lambda x: F.col(f"p.{x}"))
+    same = F.array_min(F.array_intersect("keys", "p.keys")) == F.col("key")
+
+    def met(packed, *more):
+        t = df.withColumn("words", F.array(*names)).drop(*names) if packed else df
+        t = Scratch(spark, "t").keep(t)
+        pivots = t.select("key", F.struct(*[c for c in t.columns if c != "key"]).alias("p"))
+        holding = of(linking.few_bits_apart(n, 80, 4, packed=True) if packed else linking.few_bits_apart(n, 80, 4))
+        for c in more:
+            holding = c & holding
+        return t.join(pivots.hint("merge"), "key").where(holding).select("id", "p.id")
+
+    got = sorted(map(tuple, met(True).collect()))
+    assert got == sorted(map(tuple, met(False).collect())) and 60 < len(got) < 1200
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = met(True, of(line_dedup._likely(80)), same)._jdf.queryExecution().executedPlan()
+        wide = met(False, of(line_dedup._likely(80)), same)._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    code = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    longest = lambda p: max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", code.codegenString(p))), default=0)
+    assert longest(plan) < 8000 < longest(wide)
+
+
 # ---- documents ----
 def brute_near(texts, k, percent):
     lower = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})

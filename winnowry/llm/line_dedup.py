@@ -151,11 +151,11 @@ def signatures(lines: DataFrame, store: Scratch, shingle: int) -> DataFrame:
 
 
 def bit_sets(lines: DataFrame, shingle: int) -> DataFrame:
-    """Rows (id, n, ones, w0..): number of shingles of each line, repeats counted, and 2,048 bits set by their hashes, with their count."""
+    """Rows (id, n, ones, words): number of shingles of each line, repeats counted, and 2,048 bits set by their hashes, with their count."""
     h = _hashes(lines, shingle).select("id", "last", F.col("h").bitwiseAND(F.lit(_WORDS - 1)).alias("w"), F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 5) & 63 AS int))").alias("bit"))
     words = h.groupBy("id", "w").agg(F.max("last").alias("last"), F.bit_or("bit").alias("bits"))
-    of = [F.coalesce(F.max(F.when(F.col("w") == w, F.col("bits"))), F.lit(0)).alias(f"w{w}") for w in range(_WORDS)]
-    return words.groupBy("id").agg((F.max("last") + 1).cast("long").alias("n"), F.sum(F.bit_count("bits")).alias("ones"), *of)
+    of = [F.coalesce(F.max(F.when(F.col("w") == w, F.col("bits"))), F.lit(0)) for w in range(_WORDS)]
+    return words.groupBy("id").agg((F.max("last") + 1).cast("long").alias("n"), F.sum(F.bit_count("bits")).alias("ones"), F.array(*of).alias("words"))
 
 
 def _likely(percent: int):
@@ -194,10 +194,10 @@ def line_components(
     bits = store.keep_by(bit_sets(texts, shingle), "id", "bits")
     store.release()
 
-    close_ = few_bits_apart(_WORDS, percent, _DEVIATIONS)
+    close_ = few_bits_apart(_WORDS, percent, _DEVIATIONS, packed=True)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        packed = bits.select("id", F.struct("n", "ones", *[f"w{w}" for w in range(_WORDS)]).alias("bits"))
+        packed = bits.select("id", F.struct("n", "ones", "words").alias("bits"))
         left, right = (packed.select(F.col("id").alias(c), F.col("bits").alias(f"bits{c}")) for c in "ab")
         close = close_(lambda x: F.col(f"bitsa.{x}"), lambda x: F.col(f"bitsb.{x}"))
         pairs = pairs.join(left, "a").join(right, "b").where(close).select("a", "b")

@@ -33,6 +33,8 @@ Condition = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
 _FAN = 16
 _FIRST = 8
 _WIDE = 32
+#: Members of a bucket that one task compares with the bucket's pivots.
+SLICE = 4096
 
 
 def connected_components(edges: DataFrame, store: Scratch) -> DataFrame:
@@ -84,16 +86,23 @@ def _joined(labels: DataFrame, found: DataFrame, store: Scratch) -> DataFrame:
     return old.unionByName(fresh)
 
 
-def few_bits_apart(words: int, percent: int, deviations: float) -> Condition:
+def few_bits_apart(words: int, percent: int, deviations: float, packed: bool = False) -> Condition:
     """Condition on columns n, ones and w0..: whether two sets may be a link by the bits that only one of them has.
 
+    With ``packed`` the words are one array, named words.  A condition over single columns is so much generated code that
+    together with others it is more than the JVM compiles, and each comparison then takes 20 microseconds.
+
     Sets of na and nb members at the threshold differ in d = (na + nb) (100 - percent) / (100 + percent) members.  Each
     of these has a bit of its own unless the other set has that bit as well, so the bits apart are d at most, and
     but for chance, ``deviations`` standard deviations, d times the share of bits that are free.
     """
 
     def cond(left: Callable[[str], Column], right: Callable[[str], Column]) -> Column:
-        apart = sum((F.bit_count(left(f"w{w}").bitwiseXOR(right(f"w{w}"))) for w in range(words)), F.lit(0))
+        if packed:
+            each = F.zip_with(left("words"), right("words"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+            apart = F.aggregate(each, F.lit(0), lambda s, x: s + x)
+        else:
+            apart = sum((F.bit_count(left(f"w{w}").bitwiseXOR(right(f"w{w}"))) for w in range(words)), F.lit(0))
         d = (left("n") + right("n")) * (100 - percent) / (100 + percent)
         free = 1 - (left("ones") + right("ones")) / (128 * words)
         return apart <= F.least(d, d * free + F.sqrt(d * free * (1 - free)) * deviations)
@@ -115,6 +124,37 @@ def shared_members(members: DataFrame, store: Scratch) -> DataFrame:
     return shared
 
 
+def _first() -> Column:
+    """The order in which the members of a bucket become pivots."""
+    return F.struct("score", -F.col("id"))
+
+
+def _met(now: DataFrame, names: list[str], holding: Column) -> DataFrame:
+    """Pairs of each bucket's pivots, the rows with a pick, with its members in other components."""
+    chosen = now.where("pick IS NOT NULL").groupBy("key", "pick").agg(F.max_by(F.struct("id", "comp", *names), _first()).alias("p"))
+    return _pairs(now.join(chosen, "key"), holding)
+
+
+def _met_wide(now: DataFrame, names: list[str], holding: Column, tasks: int) -> DataFrame:
+    """As ``_met``, for buckets whose comparisons are much work over few bytes.
+
+    Buckets are dealt over ``tasks`` tasks, as Spark merges tasks that read little into one.  Buckets of more than
+    SLICE members are dealt in slices; each slice gets all pivots.
+    """
+    slices = F.ceil(F.col("of") / SLICE)
+    chosen = now.where("pick IS NOT NULL").groupBy("key", "pick").agg(
+        F.max("of").alias("of"), F.max_by(F.struct("id", "comp", *names), _first()).alias("p")
+    )
+    chosen = chosen.select("key", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)).alias("slice"), "p")
+    members = now.withColumn("slice", F.pmod(F.xxhash64("id"), slices)).repartition(tasks, "key", "slice")
+    return _pairs(members.join(chosen.hint("merge"), ["key", "slice"]), holding)
+
+
+def _pairs(both: DataFrame, holding: Column) -> DataFrame:
+    both = both.where((F.col("comp") != F.col("p.comp")) & holding)
+    return both.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
+
+
 def link(
     shared: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
@@ -128,7 +168,7 @@ def link(
 ) -> tuple[DataFrame, DataFrame]:
     """Components and links of the rows of ``shared_members``; see the module's text.
 
-    ``facts`` has columns beside id, of other names than key, score, comp, main, of, others, pick, keys and p; ``likely(left, right)`` builds a cheap condition over them
+    ``facts`` has columns beside id, of other names than key, score, comp, main, of, others, pick, slice, keys and p; ``likely(left, right)`` builds a cheap condition over them
     that must hold for every true link; ``more`` and ``sharp`` are the larger facts and the condition
     for wide buckets.  ``verify`` gets distinct pairs (a, b), a < b, and
     returns those that are links.  Returns (labels (id, comp), links (a, b)).
@@ -138,7 +178,8 @@ def link(
     if facts is not None:
         live = live.join(facts, "id")
     live = store.keep(live.select("key", "id", "score", *names), "members")
-    first = F.struct("score", -F.col("id"))
+    first = _first()
+    tasks = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     holds = lambda c: F.lit(True) if c is None else c(F.col, lambda x: F.col(f"p.{x}"))
 
     pivots = live.groupBy("key").agg(F.max_by(F.struct("id", "score", *names), first).alias("p"))
@@ -151,12 +192,6 @@ def link(
     first_round = True
     tested, labels, stored = pairs, store.keep(connected_components(links, store), "labels"), live
 
-    def met(now: DataFrame, pivots: DataFrame, names: list[str], holding: Column) -> DataFrame:
-        """Pairs of each bucket's pivots with its members in other components."""
-        chosen = pivots.groupBy("key", "pick").agg(F.max_by(F.struct("id", "comp", *names), first).alias("p"))
-        both = now.join(chosen, "key").where((F.col("comp") != F.col("p.comp")) & holding)
-        return both.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
-
     while True:
         now = live.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         parts = now.groupBy("key", "comp").agg(F.count("*").alias("c"))
@@ -176,7 +211,7 @@ def link(
         if is_empty(now):
             return labels, links
         narrow, broad = now.where(F.col("of") <= wide), now.where(F.col("of") > wide)
-        pairs = met(narrow, narrow.where("pick IS NOT NULL"), names, holds(likely))
+        pairs = _met(narrow, names, holds(likely))
         if not is_empty(broad):
             # a pair is left to the smallest key of the wide buckets that both are in
             big, all_names = broad.join(broad.groupBy("id").agg(F.collect_set("key").alias("keys")), "id"), [*names, "keys"]
@@ -186,7 +221,7 @@ def link(
                 holding &= holds(sharp)
             holding &= F.array_min(F.array_intersect("keys", "p.keys")) == F.col("key")
             big = store.keep(big, "wide")
-            pairs = pairs.unionByName(met(big, big.where("pick IS NOT NULL"), all_names, holding))
+            pairs = pairs.unionByName(_met_wide(big, all_names, holding, tasks))
         pairs = store.keep(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         if not is_empty(pairs):
             found = store.keep(verify(pairs).select("a", "b"), "found")
